@@ -1,0 +1 @@
+"""Operators of the package; see the modules."""

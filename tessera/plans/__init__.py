@@ -1,0 +1 @@
+"""Plans of the package; see the modules."""

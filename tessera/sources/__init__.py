@@ -1,0 +1 @@
+"""Sources of the package; see the modules."""
