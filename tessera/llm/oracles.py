@@ -1,3 +1,91 @@
 """DuckDB forms of the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from tessera.llm.license_scan import COPYRIGHT_LINE, SPELLINGS
+from tessera.llm.license_texts import KNOWN_NOTICES, KNOWN_TEXTS
+from tessera.llm.quality_rules import LINE_END, MENU_MARK, SHOUT_MARK, STOCK_PHRASES
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_SPACE = r"[\x20\x09-\x0D]"
+_COUNT = "(len(regexp_split_to_array({0}, {1})) - 1)"
+
+OP1 = rf"""
+WITH d AS (SELECT doc_id, text, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, t FROM d),
+tok AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+win AS (SELECT doc_id, i, word || chr(32) || lead(word, 1) OVER p || chr(32) || lead(word, 2) OVER p || chr(32) || lead(word, 3) OVER p || chr(32) || lead(word, 4) OVER p AS g
+        FROM tok WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win WHERE g IS NOT NULL) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM dup, (SELECT unnest([0, 1, 2, 3, 4]) AS k) GROUP BY doc_id),
+line AS (SELECT doc_id, l, regexp_replace(l, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS x FROM (SELECT doc_id, unnest(ls) AS l FROM w)),
+good AS (SELECT doc_id, sum(length(l)) AS chars, sum(length(l)) FILTER (
+           regexp_matches(x, {_quote(LINE_END)})
+           AND NOT length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) > 0.05 * length(x)
+           AND NOT {_COUNT.format("x", _quote(MENU_MARK))} > 2
+           AND NOT {_COUNT.format("x", _quote(SHOUT_MARK))} > 2
+           AND NOT (length(x) >= 12 AND upper(x) = x AND lower(x) <> x)
+           AND NOT regexp_matches(lower(x), {_quote("|".join(STOCK_PHRASES))})) AS good_chars
+         FROM line GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+        coalesce(chars, 0) AS chars, coalesce(good_chars, 0) AS good_chars
+      FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN good USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 1000 * good_chars >= 500 * chars AS kept
+FROM m
+"""
+
+_SPELLED = "regexp_replace(regexp_replace(' ' || lower({0}) || ' ', '[^\\p{{L}}\\p{{N}}\\n©]+', ' ', 'g'), ' ?\\n ?', ' ' || chr(10) || ' ', 'g')"
+for _old, _new in SPELLINGS:
+    _SPELLED = f"regexp_replace({_SPELLED}, {_quote(_old)}, {_quote(_new.replace('$', chr(92)))}, 'g')"
+
+
+def _lines(column: str) -> str:
+    return f"list_filter(list_transform(string_split({_SPELLED.format(column)}, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, {_quote(COPYRIGHT_LINE)}))"
+
+
+_KNOWN = ", ".join(f"({_quote(k)}, {_quote(v)}, {str(k in KNOWN_NOTICES).lower()})" for k, v in {**KNOWN_TEXTS, **KNOWN_NOTICES}.items())
+
+OP2 = f"""
+WITH known AS (SELECT md5(array_to_string({_lines("body")}, ' ')) AS digest, min(name) AS license_id, bool_or(notice) AS notice
+               FROM (VALUES {_KNOWN}) v(name, body, notice) GROUP BY 1),
+d AS (SELECT doc_id, {_lines("text")} AS ls FROM documents),
+n AS (SELECT doc_id, count(*) AS n, list_sort(list_distinct(list(license_id))) AS ids
+      FROM (SELECT doc_id, md5(unnest(ls)) AS digest FROM d) JOIN known USING (digest) WHERE notice GROUP BY doc_id)
+SELECT doc_id, digest, license_id, coalesce(array_to_string(ids, ';'), '') AS notice_ids, coalesce(n, 0)::BIGINT AS n_notice_lines
+FROM (SELECT doc_id, md5(array_to_string(ls, ' ')) AS digest FROM d) LEFT JOIN known USING (digest) LEFT JOIN n USING (doc_id)
+"""
+
+_U = "((('0x' || substr(md5({0}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+
+OP6 = f"""
+WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+w AS (SELECT source, n, pow(n::DOUBLE, 0.5) AS w FROM n),
+r AS (SELECT source, (w / sum(w) OVER ()) * sum(n) OVER () / n AS rate FROM w),
+p AS (SELECT source, k, exp(-rate + k * ln(rate) - CASE WHEN k < 2 THEN 0 ELSE lgamma(k + 1) END) AS p
+      FROM (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 20)::BIGINT + 1)) AS k FROM r)),
+c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p),
+u AS (SELECT *, {_U.format("'mix-1:' || coalesce(doc_id::VARCHAR, '')")} AS u FROM documents),
+x AS (SELECT u.doc_id, count(*) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.cdf <= u.u GROUP BY u.doc_id),
+y AS (SELECT d.*, unnest(range(1, x.n + 1))::INTEGER AS copy FROM documents d JOIN x USING (doc_id))
+SELECT *, {_U.format("'mix-1-order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy::VARCHAR")} AS shuffle_key FROM y
+"""
+
+OP7 = r"""
+WITH d AS (SELECT *, string_split(text, chr(10)) AS ls FROM documents),
+key AS (SELECT doc_id, coalesce(source, chr(0)) AS host, unnest(list_distinct(list_transform(ls, lambda x: trim(regexp_replace(x, '[\t\r\x0B\f]', ' ', 'g'))))) AS k FROM d),
+tot AS (SELECT coalesce(source, chr(0)) AS host, count(*) AS total FROM documents GROUP BY 1),
+bad AS (SELECT host, k FROM (SELECT host, k, count(*) AS n FROM key WHERE k <> '' GROUP BY ALL) JOIN tot USING (host) WHERE n >= 3 AND n > 0.1 * total),
+sets AS (SELECT host, list(k) AS ks FROM bad GROUP BY host),
+e AS (SELECT d.*, CASE WHEN ks IS NULL THEN ls ELSE list_filter(ls, lambda x: NOT list_contains(ks, trim(regexp_replace(x, '[\t\r\x0B\f]', ' ', 'g')))) END AS kept
+      FROM d LEFT JOIN sets ON coalesce(d.source, chr(0)) = sets.host)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(kept, chr(10)), '') END AS text, lang, source, n_chars, coalesce(len(ls) - len(kept), 0)::BIGINT AS n_dropped FROM e
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op2_license_scan": OP2, "op6_mix_sources": OP6, "op7_line_dedup": OP7}

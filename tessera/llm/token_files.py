@@ -15,6 +15,7 @@ their text; an empty table gives files without rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -42,36 +43,52 @@ def _word_encoder(path: str, end_id: int) -> WordCodes:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        mark = "<|startoftext|>"
-        mark_id = tokenizer.token_to_id(mark)
+        mark = "\x01"  # a word of its own, with one id
+        (mark_id,) = tokenizer.encode(mark, add_special_tokens=False).ids
+
+        def plain(words: list[str]) -> list[np.ndarray]:
+            out = []
+            for at in range(0, len(words), 200):
+                text = f" {mark} ".join(words[at : at + 200])
+                ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+                out.extend(part[part != mark_id] for part in np.split(ids, np.flatnonzero(ids == mark_id)))
+            return out
 
         def encode_words(words: list[str | None]) -> list[np.ndarray]:
-            # Special strings are cut out before anything else, so one of them between the words keeps them apart.
-            out: list[np.ndarray | None] = [None] * len(words)
-            plain = []
-            for i, word in enumerate(words):
+            # Letters and the stop after them are encoded apart by the vocabulary itself, so "word," adds nothing to "word".
+            bases = [w[:-1] if w and w[-1] in ".," and w[:-1].isalpha() else w for w in words]
+            wanted = dict.fromkeys(b for b in bases if b is not None and mark not in b and codes.known(b) is None)
+            found = dict(zip(wanted, plain(list(wanted)), strict=True))
+            out = []
+            for word, base in zip(words, bases, strict=True):
                 if word is None:
-                    out[i] = np.array([end_id], np.int32)
-                elif "<|" in word:
-                    out[i] = np.array(tokenizer.encode(word, add_special_tokens=False).ids, np.int32)
-                else:
-                    plain.append(i)
-            for at in range(0, len(plain), 2000):
-                some = plain[at : at + 2000]
-                ids = np.array(tokenizer.encode(mark.join([words[i] for i in some]), add_special_tokens=False).ids, np.int32)
-                cuts = np.flatnonzero(ids == mark_id)
-                for i, part in zip(some, np.split(ids, cuts), strict=True):
-                    out[i] = part[part != mark_id]
+                    out.append(np.array([end_id], np.int32))
+                    continue
+                ids = found.get(base)
+                if ids is None:
+                    ids = codes.known(base)
+                if ids is None:
+                    ids = np.array(tokenizer.encode(base, add_special_tokens=False).ids, np.int32)
+                out.append(ids if word is base else np.concatenate([ids, stops[word[-1]]]))
             return out
 
-        _CODES[path, end_id] = WordCodes(encode_words)
+        stops = {x: np.array(tokenizer.encode(x, add_special_tokens=False).ids, np.int32) for x in ".,"}
+        codes = _CODES[path, end_id] = WordCodes(encode_words)
     return _CODES[path, end_id]
 
 
+def _lowered(text: str) -> str:
+    """Lower case ahead of the tokenizer's own, for fewer distinct words, where both orders of its steps agree.
+
+    The tokenizer composes characters first and lowers a sigma without regard to its place.
+    """
+    return text.lower() if "Σ" not in text and "<|" not in text and unicodedata.is_normalized("NFC", text) else text
+
+
 def encode_texts(texts: list[str | None], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids and offsets; the word None stands for the end id. Only spaces and newlines part words here; the tokenizer itself drops other white space."""
     codes = _word_encoder(path, end_id)
-    return codes.assemble([*(text or "").replace("\n", " ").split(" "), None] for text in texts)
+    return codes.assemble([*_lowered(text or "").replace("\n", " ").split(" "), None] for text in texts)
 
 
 def write_token_files(

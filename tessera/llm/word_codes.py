@@ -15,7 +15,7 @@ import numpy as np
 class WordCodes(dict):
     """word -> code; unseen words get the next code and are encoded together."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list[np.ndarray]], limit: int = 400_000):
+    def __init__(self, encode_words: Callable[[list[str]], list[np.ndarray]], limit: int = 1_000_000):
         super().__init__()
         self.encode_words = encode_words
         self.limit = limit
@@ -33,6 +33,11 @@ class WordCodes(dict):
         self.new.append(word)
         return code
 
+    def known(self, word) -> np.ndarray | None:
+        """The ids of a word that is encoded already."""
+        code = self.get(word)
+        return None if code is None or code >= len(self.first) - 1 else self.flat[self.first[code] : self.first[code + 1]]
+
     def _encode_new(self) -> None:
         if self.new:
             ids = self.encode_words(self.new)
