@@ -1,8 +1,72 @@
-"""From raw documents to token ids, in stages that each write a table."""
+"""From raw documents to token ids, in stages that each write a table.
 
-STAGES = []
+Each stage takes the rows its predecessor kept and returns the columns of
+``documents``; the last returns ids. The stages:
+
+1. language: predicts the language of every text and writes it into ``lang``; texts
+   without any letter go.
+2. lines: drops boilerplate lines of each source from the texts, and sets ``n_chars``
+   anew. Documents stay, even if all their lines were boilerplate.
+3. near_duplicates: of each group of near copies the document with the least
+   ``doc_id`` stays.
+4. mixture: repeats documents so that the sources reach tempered weights, in
+   globally shuffled order.
+5. tokens: SentencePiece ids of each document.
+
+Columns that ``documents`` has besides its own five pass through the stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.langid import identify
+from tessera.llm.line_dedup import dedup_lines
+from tessera.llm.minhash_join import jaccard_groups
+from tessera.llm.mixing import mix_sources
+from tessera.llm.sp_codec import encode
+from tessera.runtime import new_folder, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    named = identify(docs).filter("lang_pred <> 'und'")
+    return named.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cleaned = dedup_lines(docs, host_col="source")
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    least = jaccard_groups(docs).filter("doc_id = class_id").select("doc_id").distinct()
+    # Rows that repeat a doc_id are one document: the first of them in text order stays. Rows without an id stay.
+    stay = docs.join(least, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", "lang", "source", "n_chars")).alias("_row"))
+    return stay.select("_row.*").unionByName(docs.filter("doc_id is null"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix_sources(docs).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    encoded = encode(docs.select("doc_id", "source", "lang", "text"))
+    return encoded.select("doc_id", "source", "lang", F.size("piece_ids").cast("long").alias("n_tokens"), "piece_ids")
+
+
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]
+
+#: Kernel classification, banding with verification and piece encoding have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each is written as Parquet and read again for the next."""
+    docs = table(spark, sf_dir, "documents")
+    folder = new_folder(spark, "pipeline")
+    for number, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.word_codes import WordCodes
-from tessera.runtime import arrow_batches
+from tessera.runtime import arrow_batches, with_fields
 
 MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -83,11 +83,16 @@ class PieceTable:
         self.keys, self.key_ids = hashes[order], np.array(text_ids)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
+        self.seen = np.zeros(1 << 20, bool)  # the top bits of the keys: most substrings are ruled out here
+        self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        # Between two characters that no piece holds side by side, nothing can join.
+        self.joined = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
+        self.units: dict[str, np.ndarray] = {}
         # Byte-pair scores are whole ranks; log probabilities are not.
         self.by_rank = bool(np.all(self.score[self.key_ids] == np.round(self.score[self.key_ids])))
         self.byte_text = {int(i): b for b, i in enumerate(self.bytes) if i != self.unknown}
-        self.pair_keys = np.empty(0, np.int64)
-        self.pair_stays = np.empty(0, bool)
+        self.pair_keys = np.array([-(2**62)], np.int64)
+        self.pair_stays = np.zeros(1, bool)
         # Pieces hold marks only in front. Where no piece holds a newline, it stands apart too.
         apart = "" if any("\n" in p for p in self.id_of) else "\n"
         self.chunks = re.compile(f"{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+|\n")
@@ -97,8 +102,13 @@ class PieceTable:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece ids of substring hashes, -1 where there is none."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.key_ids[at], -1)
+        out = np.full(len(hashes), -1, np.int64)
+        may = np.flatnonzero(self.seen[(hashes >> np.uint64(44)).astype(np.int64)])
+        probe = hashes[may]
+        at = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
+        hit = self.keys[at] == probe
+        out[may[hit]] = self.key_ids[at[hit]]
+        return out
 
     def _merge(self, text: str) -> list[str]:
         """Merges of a short string: the best score first, then the leftmost."""
@@ -115,22 +125,45 @@ class PieceTable:
 
     def stays(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether two neighbouring pieces stay two when merged alone. -1 and -2 on the left: the start, or an unknown character."""
-        keys = np.where(left < 0, -1, left * len(self.pieces) + right)
-        wanted = np.unique(keys)
-        at = np.minimum(np.searchsorted(self.pair_keys, wanted), max(len(self.pair_keys) - 1, 0))
-        new = wanted if not len(self.pair_keys) else wanted[self.pair_keys[at] != wanted]
-        if len(new):
-            found = []
-            for key in new.tolist():
-                a, b = divmod(key, len(self.pieces))
-                found.append(key < 0 or self._merge(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]])
-            if len(self.pair_keys) > 4_000_000:
-                self.pair_keys, self.pair_stays = np.empty(0, np.int64), np.empty(0, bool)
-                return self.stays(left, right)
-            keep = np.concatenate([self.pair_keys, new])
-            order = np.argsort(keep, kind="stable")
-            self.pair_keys, self.pair_stays = keep[order], np.concatenate([self.pair_stays, np.array(found, bool)])[order]
-        return self.pair_stays[np.searchsorted(self.pair_keys, keys)]
+        keys = left * len(self.pieces) + right
+        at = np.searchsorted(self.pair_keys, keys)
+        known = self.pair_keys[np.minimum(at, len(self.pair_keys) - 1)] == keys
+        missing = np.flatnonzero(~known & (left >= 0))
+        if len(missing):
+            self._learn(np.unique(keys[missing]))
+            at = np.searchsorted(self.pair_keys, keys)
+        return (left < 0) | self.pair_stays[np.minimum(at, len(self.pair_keys) - 1)]
+
+    def _learn(self, keys: np.ndarray) -> None:
+        found = []
+        for key in keys.tolist():
+            a, b = divmod(key, len(self.pieces))
+            found.append(self._merge(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]])
+        if len(self.pair_keys) > 4_000_000:
+            self.pair_keys, self.pair_stays = self.pair_keys[:1], self.pair_stays[:1]
+        # The least key is a sentinel, so that the table is never empty.
+        merged = np.concatenate([self.pair_keys, keys])
+        order = np.argsort(merged, kind="stable")
+        self.pair_keys, self.pair_stays = merged[order], np.concatenate([self.pair_stays, np.array(found, bool)])[order]
+
+    def cut(self, chunk: str) -> list[str]:
+        """Units of a chunk that are encoded apart without changing the result."""
+        out, start = [], 0
+        for i in range(1, len(chunk)):
+            if chunk[i - 1 : i + 1] not in self.joined:
+                out.append(chunk[start:i])
+                start = i
+        out.append(chunk[start:])
+        return out
+
+    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
+        """Ids of chunks; units met before are looked up."""
+        if len(self.units) > 500_000:
+            self.units.clear()
+        cuts = [self.cut(chunk) for chunk in chunks]
+        new = list(dict.fromkeys(u for parts in cuts for u in parts if u not in self.units))
+        self.units.update(zip(new, viterbi(self, new), strict=True))
+        return [self.units[p[0]] if len(p) == 1 else np.concatenate([self.units[u] for u in p]) for p in cuts]
 
 
 def viterbi(table: PieceTable, chunks: list[str]) -> list[np.ndarray]:
@@ -188,7 +221,7 @@ def _advance(table: PieceTable, chunks: list[str], length: int) -> list[np.ndarr
     out = []
     for chunk, path in zip(chunks, paths, strict=True):
         ids = path[path != -1]
-        out.append(ids if (ids >= 0).all() else _with_bytes(table, chunk, ids))
+        out.append(ids.astype(np.int32) if (ids >= 0).all() else _with_bytes(table, chunk, ids))
     return out
 
 
@@ -201,7 +234,7 @@ def _with_bytes(table: PieceTable, chunk: str, ids: np.ndarray) -> np.ndarray:
         else:
             out.append(i)
             at += len(table.pieces[i])
-    return np.array(out, np.int64)
+    return np.array(out, np.int32)
 
 
 _TABLES: dict[str, tuple[PieceTable, WordCodes]] = {}
@@ -211,7 +244,7 @@ def _codec(path: str) -> tuple[PieceTable, WordCodes]:
     """One table and one memo of chunks per worker process."""
     if path not in _TABLES:
         pieces = PieceTable(path)
-        _TABLES[path] = pieces, WordCodes(lambda chunks: viterbi(pieces, chunks))
+        _TABLES[path] = pieces, WordCodes(pieces.encode_chunks)
     return _TABLES[path]
 
 
@@ -248,8 +281,8 @@ def encode(docs: DataFrame, *, text_col: str = "text", ids_col: str = "piece_ids
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids_col])
 
-    schema = docs.schema.add(ids_col, "array<int>")
-    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    return docs.mapInArrow(run, with_fields(docs, **{ids_col: "array<int>"}))
 
 
 def decode(tokens: DataFrame, *, ids_col: str = "piece_ids", text_col: str = "decoded", model: str | None = None) -> DataFrame:
@@ -266,7 +299,7 @@ def decode(tokens: DataFrame, *, ids_col: str = "piece_ids", text_col: str = "de
             texts = [decode_ids(values[a:b], model) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
 
-    return tokens.mapInArrow(run, tokens.schema.add(text_col, "string"))
+    return tokens.mapInArrow(run, with_fields(tokens, **{text_col: "string"}))
 
 
 def ids_crc32(values: np.ndarray) -> int:
