@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -57,3 +58,9 @@ def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_fields(df: DataFrame, **fields: str) -> StructType:
+    """The schema of ``df`` and further nullable fields, for functions over Arrow batches."""
+    added = StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in fields.items()))
+    return StructType([*df.schema.fields, *added.fields])
