@@ -2,7 +2,7 @@
 
 from tessera.llm.license_scan import COPYRIGHT_LINE, SPELLINGS
 from tessera.llm.license_texts import KNOWN_NOTICES, KNOWN_TEXTS
-from tessera.llm.quality_rules import LINE_END, MENU_MARK, SHOUT_MARK, STOCK_PHRASES
+from tessera.llm.quality_rules import CLOSERS, LINE_ENDS, MENU_MARK, SHOUT_MARK, STOCK_PHRASES
 
 
 def _quote(text: str) -> str:
@@ -23,7 +23,7 @@ dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM dup, (SELECT unnest([0, 1, 2, 3, 4]) AS k) GROUP BY doc_id),
 line AS (SELECT doc_id, l, regexp_replace(l, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS x FROM (SELECT doc_id, unnest(ls) AS l FROM w)),
 good AS (SELECT doc_id, sum(length(l)) AS chars, sum(length(l)) FILTER (
-           regexp_matches(x, {_quote(LINE_END)})
+           regexp_matches(x, {_quote("[" + LINE_ENDS + "][" + CLOSERS.replace("]", chr(92) + "]") + "]*$")})
            AND NOT length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) > 0.05 * length(x)
            AND NOT {_COUNT.format("x", _quote(MENU_MARK))} > 2
            AND NOT {_COUNT.format("x", _quote(SHOUT_MARK))} > 2

@@ -25,7 +25,8 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
 
 #: How a sentence may end, what parts menu entries, and stock phrases.
-LINE_END = r"[.!?…。！？][\"'”’»)\]]*$"
+LINE_ENDS = ".!?…。！？"
+CLOSERS = "\"'”’»)]"
 MENU_MARK = r" [|»›•·>] "
 SHOUT_MARK = r"!!"
 STOCK_PHRASES = (
@@ -45,15 +46,16 @@ STOCK_PHRASES = (
 )
 
 
-def line_passes(line: Column, *, max_symbols: float = 0.05, max_marks: int = 2) -> Column:
-    """The three kinds of line rules for a trimmed, non-blank line."""
-    low = F.lower(line)
-    ends = line.rlike(LINE_END)
+def line_passes(line: Column, low: Column, *, max_symbols: float = 0.05, max_marks: int = 2) -> Column:
+    """The three kinds of line rules for a trimmed, non-blank line and its lower-case form."""
+    ends = F.right(F.rtrim(line, F.lit(CLOSERS)), F.lit(1)).isin(*LINE_ENDS)
     menu = F.regexp_count(line, F.lit(MENU_MARK)) > max_marks
     symbols = F.regexp_count(line, F.lit(SYMBOLS)) > max_symbols * F.length(line)
-    capitals = (F.length(line) >= 12) & (F.upper(line) == line) & (low != line)
+    capitals = (low != line) & (F.length(line) >= 12) & (F.upper(line) == line)
     shouts = F.regexp_count(line, F.lit(SHOUT_MARK)) > max_marks
-    stock = low.rlike("|".join(STOCK_PHRASES))
+    stock = F.lit(False)
+    for phrase in STOCK_PHRASES:
+        stock = stock | F.contains(low, F.lit(phrase))
     return ends & ~symbols & ~menu & ~shouts & ~capitals & ~stock
 
 
@@ -79,8 +81,9 @@ def quality_rules(docs: DataFrame, *, text_col: str = "text", max_lost: float =
 
     df = df.withColumn("_lines", F.split("_text", "\n"))
     df = df.withColumn("_full", F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    trimmed = lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
-    df = df.withColumn("_good", F.filter("_full", lambda x: line_passes(trimmed(x))))
+    df = df.withColumn("_trim", F.transform("_full", lambda x: F.trim(x, F.lit(" \t\n\x0b\f\r"))))
+    df = df.withColumn("_low", F.transform("_trim", lambda x: F.lower(x)))
+    df = df.withColumn("_good", F.filter("_full", lambda x, i: line_passes(F.get("_trim", i), F.get("_low", i))))
     chars = lambda c: F.length(F.array_join(c, ""))
     df = df.withColumn("_all_chars", chars("_full")).withColumn("_good_chars", chars("_good"))
     df = df.withColumns(
