@@ -127,7 +127,11 @@ def _grow(vectors: np.ndarray, upper: list[np.ndarray], n: int, most: int) -> np
         near, sims = batch[inside], np.take_along_axis(within, inside, 1)
         near = np.where(np.isneginf(sims), -1, near)
         if start:
-            far, far_sims = _beam(vectors, links[:start], q, _descend(vectors, upper, q), BUILD_WIDTH)
+            # Start nodes of the layer above may not be in this one yet; the first node always is.
+            entry = _descend(vectors, upper, q)
+            entry = np.where(entry < start, entry, -1)
+            entry[(entry < 0).all(axis=1), 0] = 0
+            far, far_sims = _beam(vectors, links[:start], q, entry, BUILD_WIDTH)
             near, sims = np.concatenate([far, near], axis=1), np.concatenate([far_sims, sims], axis=1)
         order = np.argsort(-sims, axis=1, kind="stable")[:, :BUILD_WIDTH]
         near, sims = np.take_along_axis(near, order, 1), np.take_along_axis(sims, order, 1)
