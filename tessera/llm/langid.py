@@ -76,25 +76,32 @@ class Model:
         return (found.astype(np.float32) @ self.weights) / norm
 
 
-def fit(found: np.ndarray, labels: list[str], *, landmarks: int = LANDMARKS, ridge: float = 1e-2) -> Model:
-    """Nyström features over evenly spaced landmarks, then ridge regression on +1/-1 targets."""
+def _unit_rows(packed: np.ndarray) -> np.ndarray:
+    """Presence rows of unit length from bits; callers take a few hundred rows at a time."""
+    found = np.unpackbits(packed, axis=1).astype(np.float32)
+    return found / np.sqrt(np.maximum(found.sum(axis=1, keepdims=True), 1, dtype=np.float32))
+
+
+def fit(packed: np.ndarray, labels: list[str], *, landmarks: int = LANDMARKS, ridge: float = 1e-2) -> Model:
+    """Nyström features over evenly spaced landmarks, then ridge regression on +1/-1 targets. packed: bits of the presence rows."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((SLOTS, 0), np.float32))
-    x = found.astype(np.float32) / np.sqrt(np.maximum(found.sum(axis=1, keepdims=True), 1))
     order = np.lexsort((np.arange(len(labels)), labels))
-    marks = x[order[np.unique(np.linspace(0, len(order) - 1, min(landmarks, len(order))).astype(int))]]
+    marks = _unit_rows(packed[order[np.unique(np.linspace(0, len(order) - 1, min(landmarks, len(order))).astype(int))]])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
-    features = (x @ marks.T).astype(np.float64) @ whiten
+    kernel = np.concatenate([_unit_rows(packed[at : at + 128]) @ marks.T for at in range(0, len(packed), 128)])
+    features = kernel.astype(np.float64) @ whiten
     targets = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     # Rare languages weigh as much as frequent ones.
-    weight = np.array([1 / labels.count(k) for k in languages])[[languages.index(k) for k in labels]]
+    times = dict(zip(*np.unique(labels, return_counts=True), strict=True))
+    weight = np.array([1 / times[k] for k in labels])
     weight *= len(labels) / weight.sum()
     gram = features.T @ (features * weight[:, None]) + ridge * np.eye(features.shape[1])
     beta = np.linalg.solve(gram, features.T @ (targets * weight[:, None]))
-    return Model(languages, (marks.T.astype(np.float64) @ (whiten @ beta)).astype(np.float32))
+    return Model(languages, marks.T @ (whiten @ beta).astype(np.float32))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -102,7 +109,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, list[str]]:
-    """Presence rows and labels of the sample. Texts are turned to bits on the executors; only these reach the driver."""
+    """Bits of the presence rows, and labels, of the sample. Texts are turned to bits on the executors; only these reach the driver."""
     usable = docs.filter("lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
     usable = usable.filter(F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").cast("string").alias("id"), "lang", "text")
     kinds = usable.select("lang").distinct().limit(rows + 1).count()
@@ -122,8 +129,8 @@ def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["lang", "bits"])
 
     got = sorted((r["lang"], bytes(r["bits"])) for r in chosen.mapInArrow(bits, "lang string, bits binary").collect())
-    found = np.array([np.unpackbits(np.frombuffer(b, np.uint8)) for _, b in got], bool).reshape(len(got), SLOTS)
-    return found, [k for k, _ in got]
+    packed = np.frombuffer(b"".join(b for _, b in got), np.uint8).reshape(len(got), SLOTS // 8)
+    return packed, [k for k, _ in got]
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:

@@ -51,7 +51,7 @@ def dedup_lines(pages: DataFrame, *, host_col: str = "source", text_col: str = "
         joined = pages.join(F.broadcast(hosts), pages[host_col].eqNullSafe(F.col("_host")), "left")
     else:
         salted = pages.withColumn("_salt", F.pmod(F.xxhash64(text_col), F.lit(SALTS)))
-        spread = hosts.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        spread = hosts.withColumn("_salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         joined = salted.join(spread, salted[host_col].eqNullSafe(spread["_host"]) & (F.col("_salt") == F.col("_salt2")), "left").drop("_salt", "_salt2")
     lines = joined.withColumn("_split", F.split(F.col(text_col), "\n"))
     kept = lines.withColumn("_kept", F.when(F.col("_lines").isNull(), F.col("_split")).otherwise(F.filter("_split", lambda x: ~F.array_contains(F.col("_lines"), _key(x)))))

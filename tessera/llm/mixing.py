@@ -71,7 +71,7 @@ def mix_sources(docs: DataFrame, *, weights: dict[str | None, float] | None = No
         joined = docs.join(F.broadcast(tables), docs["source"].eqNullSafe(F.col("_source")))
     else:
         salted = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-        spread = tables.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        spread = tables.withColumn("_salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         joined = salted.join(spread, salted["source"].eqNullSafe(spread["_source"]) & (F.col("_salt") == F.col("_salt2"))).drop("_salt", "_salt2")
     u = uniform(seed, F.col("doc_id"))
     drawn = joined.withColumn("_u", u).withColumn("_count", F.size(F.filter("_cdf", lambda p: p <= F.col("_u"))))
