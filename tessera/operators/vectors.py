@@ -62,8 +62,8 @@ def semantic_topk(queries: DataFrame, vectors: DataFrame, top_k: int = 10) -> Da
     q = queries.select("vec_id", _double(F.col("vector")).alias("v"))
     v_blocks = max(1, -(-v.count() // VECTOR_BLOCK))
     q_blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    left = q.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks))).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).cast("long"))
-    right = v.withColumn("vb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(v_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long"))
+    left = q.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks))).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long"))))
+    right = v.withColumn("vb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(v_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
 
     def unit(rows: list[list[float]], dims: int) -> np.ndarray:
         m = np.array([r if len(r) == dims else [0.0] * dims for r in rows], np.float64).reshape(len(rows), dims)
