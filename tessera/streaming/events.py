@@ -53,20 +53,23 @@ def stream_progress(events: DataFrame, longest: str = "1 hour", late: str = "10
     return joined.select("op_run_id", "beat", elapsed.alias("elapsed"), F.round(fraction, 6).alias("fraction"), F.round(F.greatest(F.col("estimate") - elapsed, F.lit(0.0)), 6).alias("remaining"))
 
 
-def stream_log_dedup(lines: DataFrame, keep: int = 5000, idle_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """Log dedup with state: the last line and the count of each (run, source), dropped after ``idle_ms`` without lines.
+def stream_log_dedup(lines: DataFrame, keep: int = 5000, idle: str = "24 hours", late: str = "10 minutes") -> DataFrame:
+    """Log dedup with state: the last line and the count of each (run, source).
 
-    lines: run long, source string, at long, line string. Lines of a batch are taken in
-    the order of ``at``.
+    lines: run long, source string, at long, line string, ts timestamp. Lines of a batch
+    are taken in the order of ``at``. State is dropped once the watermark has passed a
+    key's last line by ``idle``; event time, not the clock, so that a bounded run ends.
     """
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
+        rows = pd.concat(list(parts)).sort_values("at")
         last, n = state.get if state.exists else (None, 0)
         out = []
-        for r in pd.concat(list(parts)).sort_values("at").itertuples(index=False):
+        for r in rows.itertuples(index=False):
             line = (r.line or "").strip()
             if not line or line == last:
                 continue
@@ -74,7 +77,8 @@ def stream_log_dedup(lines: DataFrame, keep: int = 5000, idle_ms: int = 24 * 360
             if n <= keep + 1:
                 out.append((key[0], key[1], n, line if n <= keep else "log truncated"))
         state.update((last, n))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(out, columns=["run", "source", "n", "line"])
 
-    return lines.groupBy("run", "source").applyInPandasWithState(step, "run long, source string, n int, line string", "last string, n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = lines.withWatermark("ts", late)
+    return timed.groupBy("run", "source").applyInPandasWithState(step, "run long, source string, n int, line string", "last string, n int", "append", GroupStateTimeout.EventTimeTimeout)
