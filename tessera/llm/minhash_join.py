@@ -66,7 +66,7 @@ def shingles(words: list[bytes], width: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams."""
     if not words:
         return np.empty(0, np.uint64)
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 200_000:
         _WORDS.clear()
     h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     span = min(width, len(h))
@@ -105,6 +105,8 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 digests.append(digest)
                 keys.append(memo[digest] if words else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
+        _WORDS.clear()
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, "doc_id long, digest binary, bands array<long>")
 

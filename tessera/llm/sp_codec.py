@@ -87,7 +87,7 @@ class PieceTable:
         self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         # Between two characters that no piece holds side by side, nothing can join.
         self.joined = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
-        self.units: dict[str, np.ndarray] = {}
+        self.units = WordCodes(lambda units: viterbi(self, units), limit=400_000)
         # Byte-pair scores are whole ranks; log probabilities are not.
         self.by_rank = bool(np.all(self.score[self.key_ids] == np.round(self.score[self.key_ids])))
         self.byte_text = {int(i): b for b, i in enumerate(self.bytes) if i != self.unknown}
@@ -158,12 +158,8 @@ class PieceTable:
 
     def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
         """Ids of chunks; units met before are looked up."""
-        if len(self.units) > 500_000:
-            self.units.clear()
-        cuts = [self.cut(chunk) for chunk in chunks]
-        new = list(dict.fromkeys(u for parts in cuts for u in parts if u not in self.units))
-        self.units.update(zip(new, viterbi(self, new), strict=True))
-        return [self.units[p[0]] if len(p) == 1 else np.concatenate([self.units[u] for u in p]) for p in cuts]
+        ids, offsets = self.units.assemble([self.cut(chunk) for chunk in chunks])
+        return np.split(ids, offsets[1:-1])
 
 
 def viterbi(table: PieceTable, chunks: list[str]) -> list[np.ndarray]:
@@ -195,16 +191,19 @@ def _advance(table: PieceTable, chunks: list[str], length: int) -> list[np.ndarr
         sizes = np.arange(1, min(end, table.longest) + 1)
         value = np.full((len(sizes), n), -np.inf)
         piece = np.full((len(sizes), n), -1, np.int64)
+        steps = []
         for row, size in enumerate(sizes):
             start = end - size
             hashes = (prefix[:, end] - prefix[:, start] * powers[size]) ^ np.uint64(size)
-            ids = table.find(hashes)
-            hit = np.flatnonzero((ids >= 0) & (best[:, start] > -np.inf))
-            piece[row] = ids
-            if table.by_rank:
-                value[row, hit[table.stays(last[hit, start], ids[hit])]] = 0
-            else:
-                value[row, hit] = best[hit, start] + table.score[ids[hit]]
+            piece[row] = table.find(hashes)
+            hit = np.flatnonzero((piece[row] >= 0) & (best[:, start] > -np.inf))
+            steps.append((np.full(len(hit), row), hit, np.full(len(hit), start)))
+        row, hit, start = (np.concatenate(x) for x in zip(*steps, strict=True))
+        if table.by_rank:
+            good = table.stays(last[hit, start], piece[row, hit])
+            value[row[good], hit[good]] = 0
+        else:
+            value[row, hit] = best[hit, start] + table.score[piece[row, hit]]
         lone = piece[0] < 0  # the character itself is no piece
         value[0, lone] = best[lone, end - 1] + (0 if table.by_rank else table.score.min() - 10)
         piece[0, lone] = -2
@@ -244,10 +243,17 @@ def _codec(path: str) -> tuple[PieceTable, WordCodes]:
     """One table and one memo of chunks per worker process."""
     if path not in _TABLES:
         pieces = PieceTable(path)
-        _TABLES[path] = pieces, WordCodes(pieces.encode_chunks)
+        _TABLES[path] = pieces, WordCodes(pieces.encode_chunks, limit=400_000)
     return _TABLES[path]
 
 
+def release(path: str) -> None:
+    """Drop the memos of chunks and units at the end of a task; the table of pieces and pairs stays."""
+    pieces, codes = _codec(path)
+    pieces.units.release()
+    codes.release()
+
+
 def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids and offsets of whole texts: a word mark before the text, marks for spaces, no other change."""
     pieces, codes = _codec(path)
@@ -280,6 +286,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", ids_col: str = "piece_ids
             ids, offsets = encode_texts(batch.column(place).to_pylist(), model)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids_col])
+        release(model)
 
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     return docs.mapInArrow(run, with_fields(docs, **{ids_col: "array<int>"}))
@@ -320,6 +327,7 @@ def round_trip(docs: DataFrame, *, model: str | None = None) -> DataFrame:
                 crcs.append(ids_crc32(ids[a:b]))
                 exact.append(decode_ids(ids[a:b], model) == (text or ""))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(crcs, pa.int64()), pa.array(exact, pa.bool_())], ["doc_id", "n_tokens", "ids_crc32", "exact"])
+        release(model)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, exact boolean")

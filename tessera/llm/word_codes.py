@@ -8,8 +8,10 @@ gathers over a flat pool of ids.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 
 class WordCodes(dict):
@@ -22,6 +24,11 @@ class WordCodes(dict):
         self.new: list[str] = []
         self._empty()
 
+    def release(self) -> None:
+        """Give the memory back: a worker process outlives its task and waits beside the next stages."""
+        self._empty()
+        pa.default_memory_pool().release_unused()
+
     def _empty(self) -> None:
         self.clear()
         self.new.clear()
@@ -50,14 +57,13 @@ class WordCodes(dict):
         """Flat ids of all texts, given as lists of words, and the offsets of each text (one more than texts)."""
         if len(self) > self.limit:
             self._empty()
-        look = self.__getitem__
-        parts = [np.fromiter(map(look, words), np.int64, len(words)) for words in texts]
+        lists = list(texts)
+        codes = np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int64)
         self._encode_new()
-        codes = np.concatenate(parts) if parts else np.empty(0, np.int64)
         starts = self.first[codes]
         sizes = self.first[codes + 1] - starts
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
-        words_before = np.cumsum([0, *map(len, parts)])
+        words_before = np.cumsum([0, *map(len, lists)])
         return ids, np.concatenate([[0], ends])[words_before]
