@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.runtime import arrow_batches, with_fields
+from tessera.runtime import arrow_batches, cut, with_fields
 
 #: Columns that n-grams are hashed to.
 SLOTS = 1 << 15
@@ -112,11 +112,15 @@ def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarra
     """Bits of the presence rows, and labels, of the sample. Texts are turned to bits on the executors; only these reach the driver."""
     usable = docs.filter("lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
     usable = usable.filter(F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").cast("string").alias("id"), "lang", "text")
-    kinds = usable.select("lang").distinct().limit(rows + 1).count()
+    counts = cut(usable.groupBy("lang").agg(F.count("*").alias("_n")))
+    kinds = counts.limit(rows + 1).count()
     if kinds > rows:
         raise ValueError(f"more than {rows} languages")
     each = max(1, rows // max(kinds, 1))
-    place = Window.partitionBy("lang").orderBy(F.xxhash64(F.coalesce("id", F.lit(""))), "id", "text")
+    # A threshold on the hash leaves about three times the wanted rows of a language, however many it has.
+    key = F.xxhash64(F.coalesce("id", F.lit("")))
+    usable = usable.join(F.broadcast(counts), "lang").filter(F.pmod(key, F.lit(1 << 20)) * F.col("_n") <= F.lit(float((3 * each + 50) * (1 << 20))))
+    place = Window.partitionBy("lang").orderBy(key, "id", "text")
     chosen = usable.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= each).select("lang", "text")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
