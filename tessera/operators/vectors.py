@@ -58,11 +58,12 @@ def semantic_topk(queries: DataFrame, vectors: DataFrame, top_k: int = 10) -> Da
     queries and vectors: vec_id, vector. Blocks of queries meet blocks of vectors; a
     task multiplies two blocks and returns the best of each query only.
     """
-    v = vectors.select("vec_id", _double(F.col("vector")).alias("v"))
-    q = queries.select("vec_id", _double(F.col("vector")).alias("v"))
+    # New names on one side and new columns on the other: both may come from one table.
+    v = vectors.select(F.col("vec_id").alias("vec_id"), _double(F.col("vector")).alias("v"))
+    q = queries.select(F.col("vec_id").alias("asked"), _double(F.col("vector")).alias("w"))
     v_blocks = max(1, -(-v.count() // VECTOR_BLOCK))
     q_blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    left = q.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks))).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long"))))
+    left = q.withColumn("qb", F.pmod(F.xxhash64("asked"), F.lit(q_blocks))).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long"))))
     right = v.withColumn("vb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(v_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
 
     def unit(rows: list[list[float]], dims: int) -> np.ndarray:
@@ -72,9 +73,11 @@ def semantic_topk(queries: DataFrame, vectors: DataFrame, top_k: int = 10) -> Da
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
-        rows, wanted = b["v"].to_pylist(), a["v"].to_pylist()
-        ids, asked = b["vec_id"].to_numpy(), a["vec_id"].to_numpy()
-        for dims in {len(r) for r in wanted} if len(rows) else ():
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        rows, wanted = b["v"].to_pylist(), a["w"].to_pylist()
+        ids, asked = b["vec_id"].to_numpy(), a["asked"].to_numpy()
+        for dims in {len(r) for r in wanted}:
             who = [i for i, r in enumerate(wanted) if len(r) == dims]
             scores = unit([wanted[i] for i in who], dims) @ unit(rows, dims).T
             for i, s in zip(who, scores, strict=True):
@@ -117,7 +120,7 @@ def nearest_lists(vector: Column, centroids: np.ndarray, n: int) -> Column:
     return near(_double(vector))
 
 
-def ann_topk(queries: DataFrame, vectors: DataFrame, top_k: int = 10, lists: int = 100, nprobe: int = 20) -> DataFrame:
+def ann_topk(queries: DataFrame, vectors: DataFrame, top_k: int = 10, lists: int = 100, nprobe: int = 40) -> DataFrame:
     """``query_id, rank, vec_id, score`` from the ``nprobe`` nearest cells of each query only."""
     centroids = coarse_centroids(vectors, lists)
     cells = vectors.select("vec_id", l2_normalize(F.col("vector")).alias("v"), F.get(nearest_lists(F.col("vector"), centroids, 1), F.lit(0)).alias("cell"))

@@ -69,7 +69,7 @@ def manifest_nodes(lines: DataFrame) -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Nodes of a manifest of input lines."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     return manifest_nodes(text.select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")))
 
 

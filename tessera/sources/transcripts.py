@@ -13,7 +13,8 @@ SPEAKER = r"^\[([A-Z_]+\d*|UNKNOWN)\]$"
 
 def _seconds(line: Column, first: int) -> Column:
     part = [F.regexp_extract(line, CUE, first + k) for k in range(4)]
-    return part[0].cast("int") * 3600 + part[1].cast("int") * 60 + part[2].cast("int") + F.rpad(part[3], 3, "0").cast("int") / 1000
+    hours, minutes, seconds, ms = (p.try_cast("int") for p in [*part[:3], F.rpad(part[3], 3, "0")])
+    return hours * 3600 + minutes * 60 + seconds + ms / 1000
 
 
 def _lines(files: DataFrame, text_col: str) -> DataFrame:
@@ -57,5 +58,5 @@ def parse_speakered(files: DataFrame, text_col: str = "value") -> DataFrame:
 
 def read_transcripts(spark: SparkSession, path: str, format: str) -> DataFrame:
     """Segments of srt, vtt or speaker-tagged (txt) files."""
-    files = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return parse_speakered(files) if format == "txt" else parse_cued(files, format)
