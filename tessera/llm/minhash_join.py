@@ -37,6 +37,8 @@ from tessera.runtime import arrow_batches, cut, pin
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Texts in one block of a candidate set.
 BLOCK = 256
+#: Tables of large candidate sets up to so many rows (12 bytes each) are broadcast.
+BROADCAST_SETS = 100_000
 
 
 def choose_bands(similarity: float, recall: float, hashes: int = 256) -> tuple[int, int]:
@@ -171,8 +173,11 @@ def jaccard_groups(docs: DataFrame, *, similarity: float = 0.8, recall: float =
     edges = keys.join(heads, "key").filter("text_id <> head").select("text_id", "head")
     sets = connected_components(edges, "text_id", "head")
 
-    sizes = sets.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = sets.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Few sets need more than one block. Their sizes are broadcast after a count, so that no large set meets in one task.
+    large = cut(sets.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"))
+    large = F.broadcast(large) if large.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS else large
+    placed = sets.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     candidates = slim.join(placed, slim["doc_id"] == placed["node"]).select("component", "blocks", "block", "doc_id", "text")
     spread = candidates.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = spread.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "text")
