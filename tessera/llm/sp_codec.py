@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.word_codes import WordCodes
+from tessera.llm.word_codes import WordCodes, in_order
 from tessera.runtime import arrow_batches, with_fields
 
 MARK = "▁"
@@ -43,12 +43,13 @@ def default_model() -> str:
 
 
 def _hash_prefixes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Polynomial prefix hashes of equally long rows of code points, and the powers of the base."""
+    """Polynomial prefix hashes of equally long rows of code points, one row for each position, and the powers of the base."""
     n, length = codes.shape
-    prefix = np.zeros((n, length + 1), np.uint64)
+    columns = np.ascontiguousarray(codes.T) + np.uint64(1)
+    prefix = np.zeros((length + 1, n), np.uint64)
     powers = np.ones(length + 1, np.uint64)
     for i in range(length):
-        prefix[:, i + 1] = prefix[:, i] * _BASE + codes[:, i] + np.uint64(1)
+        prefix[i + 1] = prefix[i] * _BASE + columns[i]
         powers[i + 1] = int(powers[i]) * int(_BASE) % 2**64
     return prefix, powers
 
@@ -78,7 +79,7 @@ class PieceTable:
         for length in np.unique(lengths):
             at = np.flatnonzero(lengths == length)
             rows = np.array([[ord(c) for c in self.pieces[text_ids[i]]] for i in at], np.uint64)
-            hashes[at] = _hash_prefixes(rows)[0][:, -1] ^ np.uint64(length)
+            hashes[at] = _hash_prefixes(rows)[0][-1] ^ np.uint64(length)
         order = np.argsort(hashes)
         self.keys, self.key_ids = hashes[order], np.array(text_ids)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
@@ -86,7 +87,7 @@ class PieceTable:
         self.seen = np.zeros(1 << 20, bool)  # the top bits of the keys: most substrings are ruled out here
         self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         # Between two characters that no piece holds side by side, nothing can join.
-        self.joined = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
+        self.joined = np.unique([ord(p[i]) << 21 | ord(p[i + 1]) for p in self.id_of for i in range(len(p) - 1)])
         self.units = WordCodes(lambda units: viterbi(self, units), limit=400_000)
         # Byte-pair scores are whole ranks; log probabilities are not.
         self.by_rank = bool(np.all(self.score[self.key_ids] == np.round(self.score[self.key_ids])))
@@ -146,47 +147,51 @@ class PieceTable:
         order = np.argsort(merged, kind="stable")
         self.pair_keys, self.pair_stays = merged[order], np.concatenate([self.pair_stays, np.array(found, bool)])[order]
 
-    def cut(self, chunk: str) -> list[str]:
-        """Units of a chunk that are encoded apart without changing the result."""
-        out, start = [], 0
-        for i in range(1, len(chunk)):
-            if chunk[i - 1 : i + 1] not in self.joined:
-                out.append(chunk[start:i])
-                start = i
-        out.append(chunk[start:])
-        return out
-
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of chunks; units met before are looked up."""
-        ids, offsets = self.units.assemble([self.cut(chunk) for chunk in chunks])
-        return np.split(ids, offsets[1:-1])
-
-
-def viterbi(table: PieceTable, chunks: list[str]) -> list[np.ndarray]:
-    """Ids of each chunk. Chunks of one length form a matrix and advance position by position."""
-    out: list[np.ndarray | None] = [None] * len(chunks)
+    def cut(self, chunks: list[str]) -> list[list[str]]:
+        """Units of each chunk that are encoded apart without changing the result."""
+        text = "".join(chunks)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pairs = codes[:-1] << 21 | codes[1:]
+        at = np.minimum(np.searchsorted(self.joined, pairs), len(self.joined) - 1)
+        ends = np.cumsum([len(c) for c in chunks])
+        apart = np.concatenate([self.joined[at] != pairs, [True]])
+        apart[ends - 1] = True
+        stops = np.flatnonzero(apart) + 1
+        units = [text[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+        last = np.searchsorted(stops, ends, side="right").tolist()
+        return [units[a:b] for a, b in zip([0, *last[:-1]], last, strict=True)]
+
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and sizes of non-empty chunks; units met before are looked up."""
+        ids, offsets = self.units.assemble(self.cut(chunks))
+        return ids, np.diff(offsets)
+
+
+def viterbi(table: PieceTable, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids and sizes of the chunks. Chunks of one length form a matrix and advance position by position."""
     by_length: dict[int, list[int]] = {}
     for i, chunk in enumerate(chunks):
         by_length.setdefault(len(chunk), []).append(i)
+    parts = []
     for length, members in by_length.items():
         step = max(1, 400_000 // max(length, 1))
         for at in range(0, len(members), step):
             some = members[at : at + step]
-            for i, ids in zip(some, _advance(table, [chunks[i] for i in some], length), strict=True):
-                out[i] = ids
-    return out
+            parts.append((np.array(some), *_advance(table, [chunks[i] for i in some], length)))
+    return in_order(parts)
 
 
-def _advance(table: PieceTable, chunks: list[str], length: int) -> list[np.ndarray]:
+def _advance(table: PieceTable, chunks: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(chunks)
     if length == 0:
-        return [np.empty(0, np.int32)] * n
+        return np.empty(0, np.int32), np.zeros(n, np.int64)
     codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length).astype(np.uint64)
     prefix, powers = _hash_prefixes(codes)
-    best = np.full((n, length + 1), -np.inf)
-    best[:, 0] = 0
-    last = np.full((n, length + 1), -1, np.int64)  # the piece that ends here; -2: an unknown character
-    back = np.zeros((n, length + 1), np.int64)
+    best = np.full((length + 1, n), -np.inf)
+    best[0] = 0
+    last = np.full((length + 1, n), -1, np.int64)  # the piece that ends here; -2: an unknown character
+    back = np.zeros((length + 1, n), np.int64)
+    who = np.arange(n)
     for end in range(1, length + 1):
         sizes = np.arange(1, min(end, table.longest) + 1)
         value = np.full((len(sizes), n), -np.inf)
@@ -194,34 +199,36 @@ def _advance(table: PieceTable, chunks: list[str], length: int) -> list[np.ndarr
         steps = []
         for row, size in enumerate(sizes):
             start = end - size
-            hashes = (prefix[:, end] - prefix[:, start] * powers[size]) ^ np.uint64(size)
-            piece[row] = table.find(hashes)
-            hit = np.flatnonzero((piece[row] >= 0) & (best[:, start] > -np.inf))
-            steps.append((np.full(len(hit), row), hit, np.full(len(hit), start)))
-        row, hit, start = (np.concatenate(x) for x in zip(*steps, strict=True))
+            piece[row] = table.find((prefix[end] - prefix[start] * powers[size]) ^ np.uint64(size))
+            hit = np.flatnonzero(piece[row] >= 0)
+            hit = hit[best[start, hit] > -np.inf]
+            steps.append((np.full(len(hit), row), hit, last[start, hit], best[start, hit]))
+        row, hit, before, score = (np.concatenate(x) for x in zip(*steps, strict=True))
         if table.by_rank:
-            good = table.stays(last[hit, start], piece[row, hit])
+            good = table.stays(before, piece[row, hit])
             value[row[good], hit[good]] = 0
         else:
-            value[row, hit] = best[hit, start] + table.score[piece[row, hit]]
+            value[row, hit] = score + table.score[piece[row, hit]]
         lone = piece[0] < 0  # the character itself is no piece
-        value[0, lone] = best[lone, end - 1] + (0 if table.by_rank else table.score.min() - 10)
+        value[0, lone] = best[end - 1, lone] + (0 if table.by_rank else table.score.min() - 10)
         piece[0, lone] = -2
         row = np.argmax(value, axis=0)
-        who = np.arange(n)
-        best[:, end], last[:, end], back[:, end] = value[row, who], piece[row, who], sizes[row]
+        best[end], last[end], back[end] = value[row, who], piece[row, who], sizes[row]
     at = np.full(n, length)
     steps = []
     while (at > 0).any():
         live = at > 0
-        steps.append(np.where(live, last[np.arange(n), at], -1))
-        at = at - np.where(live, back[np.arange(n), at], 0)
+        steps.append(np.where(live, last[at, who], -1))
+        at = at - np.where(live, back[at, who], 0)
     paths = np.array(steps[::-1]).T
-    out = []
-    for chunk, path in zip(chunks, paths, strict=True):
-        ids = path[path != -1]
-        out.append(ids.astype(np.int32) if (ids >= 0).all() else _with_bytes(table, chunk, ids))
-    return out
+    odd = (paths == -2).any(axis=1)
+    plain = np.flatnonzero(~odd)
+    taken = paths[plain] != -1
+    parts = [(plain, paths[plain][taken].astype(np.int32), taken.sum(axis=1))]
+    for i in np.flatnonzero(odd):
+        ids = _with_bytes(table, chunks[i], paths[i][paths[i] != -1])
+        parts.append((np.array([i]), ids, np.array([len(ids)])))
+    return in_order(parts)
 
 
 def _with_bytes(table: PieceTable, chunk: str, ids: np.ndarray) -> np.ndarray:

@@ -54,7 +54,7 @@ def _word_encoder(path: str, end_id: int) -> WordCodes:
                 out.extend(part[part != mark_id] for part in np.split(ids, np.flatnonzero(ids == mark_id)))
             return out
 
-        def encode_words(words: list[str | None]) -> list[np.ndarray]:
+        def encode_words(words: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             # Letters and the stop after them are encoded apart by the vocabulary itself, so "word," adds nothing to "word".
             bases = [w[:-1] if w and w[-1] in ".," and w[:-1].isalpha() else w for w in words]
             wanted = dict.fromkeys(b for b in bases if b is not None and mark not in b and codes.known(b) is None)
@@ -70,7 +70,7 @@ def _word_encoder(path: str, end_id: int) -> WordCodes:
                 if ids is None:
                     ids = np.array(tokenizer.encode(base, add_special_tokens=False).ids, np.int32)
                 out.append(ids if word is base else np.concatenate([ids, stops[word[-1]]]))
-            return out
+            return np.concatenate(out), np.array([len(x) for x in out])
 
         stops = {x: np.array(tokenizer.encode(x, add_special_tokens=False).ids, np.int32) for x in ".,"}
         codes = _CODES[path, end_id] = WordCodes(encode_words)

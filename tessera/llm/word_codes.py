@@ -15,9 +15,12 @@ import pyarrow as pa
 
 
 class WordCodes(dict):
-    """word -> code; unseen words get the next code and are encoded together."""
+    """word -> code; unseen words get the next code and are encoded together.
 
-    def __init__(self, encode_words: Callable[[list[str]], list[np.ndarray]], limit: int = 1_000_000):
+    ``encode_words`` gives the ids of a list of words in one flat array, and their numbers.
+    """
+
+    def __init__(self, encode_words: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000):
         super().__init__()
         self.encode_words = encode_words
         self.limit = limit
@@ -47,10 +50,9 @@ class WordCodes(dict):
 
     def _encode_new(self) -> None:
         if self.new:
-            ids = self.encode_words(self.new)
-            ends = self.first[-1] + np.cumsum([len(x) for x in ids])
-            self.flat = np.concatenate([self.flat, *ids]).astype(np.int32, copy=False)
-            self.first = np.concatenate([self.first, ends])
+            ids, sizes = self.encode_words(self.new)
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+            self.flat = np.concatenate([self.flat, ids]).astype(np.int32, copy=False)
             self.new.clear()
 
     def assemble(self, texts: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,3 +69,15 @@ class WordCodes(dict):
         ids = self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
         words_before = np.cumsum([0, *map(len, lists)])
         return ids, np.concatenate([[0], ends])[words_before]
+
+
+def in_order(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids and sizes in the order of the items, from parts (item numbers, flat ids, sizes)."""
+    if not parts:
+        return np.empty(0, np.int32), np.empty(0, np.int64)
+    items, flat, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    starts = np.cumsum(sizes) - sizes
+    order = np.argsort(items, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]))], sizes

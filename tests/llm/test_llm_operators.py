@@ -394,7 +394,8 @@ def test_unigram_viterbi_equals_brute_force():
         return score[-1]
 
     chunks = ["▁hello", "▁internationalization", "▁" * 20, "abracadabra", "▁strengths,"]
-    for chunk, ids in zip(chunks, sp_codec.viterbi(table, chunks), strict=True):
+    flat, sizes = sp_codec.viterbi(table, chunks)
+    for chunk, ids in zip(chunks, np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
         assert "".join(table.pieces[i] for i in ids) == chunk and abs(table.score[ids].sum() - best(chunk)) < 1e-9
 
 
