@@ -18,13 +18,14 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.word_codes import WordCodes
+from tessera.llm.word_codes import WordCodes, in_order
 from tessera.runtime import arrow_batches, new_folder
 
 _CODES: dict[tuple[str, int], WordCodes] = {}
@@ -43,37 +44,43 @@ def _word_encoder(path: str, end_id: int) -> WordCodes:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        model = tokenizer.model
+        # How the vocabulary writes bytes: printable ones as themselves, the others from U+0100 on.
+        shown = [b for b in range(256) if b in range(33, 127) or b in range(161, 173) or b in range(174, 256)]
+        byte_names = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
         mark = "\x01"  # a word of its own, with one id
         (mark_id,) = tokenizer.encode(mark, add_special_tokens=False).ids
 
-        def plain(words: list[str]) -> list[np.ndarray]:
-            out = []
-            for at in range(0, len(words), 200):
-                text = f" {mark} ".join(words[at : at + 200])
+        def encode_units(units: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+            odd = [i for i, u in enumerate(units) if u is None or mark in u or "<|" in u]
+            parts = []
+            for i in odd:
+                ids = [end_id] if units[i] is None else tokenizer.encode(units[i], add_special_tokens=False).ids
+                parts.append((np.array([i]), np.array(ids, np.int32), np.array([len(ids)])))
+            latin = [i for i, u in enumerate(units) if u and u.isalpha() and u.islower() and max(u) < "\u0250"]
+            if latin:
+                # Composed lower-case Latin letters are one piece to the merges: normalising and splitting would change nothing.
+                names = [u if u.isascii() else u.encode().decode("latin-1").translate(byte_names) for u in (units[i] for i in latin)]
+                ids = [[token.id for token in model.tokenize(name)] for name in names]
+                parts.append((np.array(latin), np.fromiter(chain.from_iterable(ids), np.int32), np.array([len(x) for x in ids])))
+            plain = sorted(set(range(len(units))).difference(odd, latin))
+            for at in range(0, len(plain), 200):
+                some = plain[at : at + 200]
+                text = f" {mark} ".join([units[i] for i in some])
                 ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-                out.extend(part[part != mark_id] for part in np.split(ids, np.flatnonzero(ids == mark_id)))
-            return out
+                marks = np.flatnonzero(ids == mark_id)
+                sizes = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+                parts.append((np.array(some), ids[ids != mark_id], sizes))
+            return in_order(parts)
+
+        units = WordCodes(encode_units, limit=800_000)
 
         def encode_words(words: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             # Letters and the stop after them are encoded apart by the vocabulary itself, so "word," adds nothing to "word".
-            bases = [w[:-1] if w and w[-1] in ".," and w[:-1].isalpha() else w for w in words]
-            wanted = dict.fromkeys(b for b in bases if b is not None and mark not in b and codes.known(b) is None)
-            found = dict(zip(wanted, plain(list(wanted)), strict=True))
-            out = []
-            for word, base in zip(words, bases, strict=True):
-                if word is None:
-                    out.append(np.array([end_id], np.int32))
-                    continue
-                ids = found.get(base)
-                if ids is None:
-                    ids = codes.known(base)
-                if ids is None:
-                    ids = np.array(tokenizer.encode(base, add_special_tokens=False).ids, np.int32)
-                out.append(ids if word is base else np.concatenate([ids, stops[word[-1]]]))
-            return np.concatenate(out), np.array([len(x) for x in out])
-
-        stops = {x: np.array(tokenizer.encode(x, add_special_tokens=False).ids, np.int32) for x in ".,"}
-        codes = _CODES[path, end_id] = WordCodes(encode_words)
+            ids, offsets = units.assemble([w[:-1], w[-1]] if w and w[-1] in ".," and w[:-1].isalpha() else [w] for w in words)
+            return ids, np.diff(offsets)
+
+        _CODES[path, end_id] = WordCodes(encode_words, limit=1_000_000)
     return _CODES[path, end_id]
 
 

@@ -320,7 +320,7 @@ def test_lower_case_first_agrees_for_every_character():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(token_files.default_tokenizer())
-    chars = [c for c in map(chr, range(0x20, 0x3000)) if c.lower() != c]
+    chars = [c for c in map(chr, range(0x20, 0x3000)) if c.lower() != c or c.isalpha()]
     ids, offsets = token_files.encode_texts([f"a{c}b" for c in chars], token_files.default_tokenizer(), 1)
     for c, a, b in zip(chars, offsets[:-1], offsets[1:], strict=True):
         assert ids[a : b - 1].tolist() == tokenizer.encode(f"a{c}b", add_special_tokens=False).ids, hex(ord(c))
