@@ -204,6 +204,11 @@ def search(vectors: np.ndarray, sizes: list[int], flat: np.ndarray, queries: np.
     return _beam(tall, layers[-1], q, _descend(tall, layers[:-1], q), min(width, len(tall)))[0]
 
 
+def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    """Rows of equal length without a Python object for each component."""
+    return lists.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
 def usable(vector: Column) -> Column:
     v = vector.cast("array<double>")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
@@ -222,9 +227,8 @@ def build_index(vectors: DataFrame, *, k: int, id_col: str = "vec_id", vector_co
     dealt = nodes.select(F.size("v").alias("dims"), F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), "v", "ids")
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
         lists = group["ids"].to_pylist()
-        v = np.array(group["v"].to_pylist(), np.float64)
+        v = _matrix(group["v"])
         order = np.random.Generator(np.random.PCG64(11)).permutation(np.array(sorted(range(len(lists)), key=lambda i: lists[i]), np.int64))
         v, lists = v[order], [lists[i] for i in order]
         sizes, links = build(v)
@@ -258,10 +262,11 @@ def search_index(index: DataFrame, queries: DataFrame, *, k: int, id_col: str =
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
-            row = {c: right[c][0].as_py() for c in right.column_names}
+            row = {c: right[c][0].as_py() for c in ("dims", "firsts", "ids", "vectors", "sizes")}
+            links = right["links"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
             v = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dims"])
-            q = np.array(left["v"].to_pylist(), np.float64)
-            found = search(v, row["sizes"], np.array(row["links"], np.int32), q)
+            q = _matrix(left["v"])
+            found = search(v, row["sizes"], links, q)
             for query, vector, nodes in zip(left["id"].to_pylist(), q, found, strict=True):
                 nodes = nodes[nodes >= 0]
                 scores = (v[nodes] * vector).sum(axis=1)
