@@ -279,6 +279,13 @@ def test_line_dedup_by_host(spark, monkeypatch):
     assert {r.doc_id: (r.text, r.n_dropped) for r in dedup_lines(docs(spark, rows)).collect()} == want
 
 
+@pytest.mark.parametrize("percent", [3, 6, 10])
+def test_line_dedup_drops_lines_on_few_per_cent_of_pages(spark, percent):
+    rows = [(i, f"own line {i}.\nRead more here" if i < 2 * percent else f"own line {i}.", "en", "h", 0) for i in range(200)]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in dedup_lines(docs(spark, rows)).collect()}
+    assert got == {i: (f"own line {i}.", int(i < 2 * percent)) for i in range(200)}
+
+
 def test_line_dedup_edge_cases(spark):
     assert dedup_lines(odd_docs(spark).withColumnRenamed("n_chars", "n_dropped")).count() == 7
     assert dedup_lines(docs(spark, [])).count() == 0
