@@ -257,7 +257,7 @@ def _(spark, d):
 
 @query("d6_density_cluster")
 def _(spark, d):
-    return speakers.density_cluster(_vectors(spark, d), radius=0.7, min_samples=3)
+    return speakers.density_cluster(_vectors(spark, d), radius=0.4, min_samples=3)
 
 
 _CENTER = """p AS (SELECT vec_id, label, vec_id % 3 AS ns, generate_subscripts(e, 1) AS i, unnest(e) / sqrt(list_sum(list_transform(e, lambda y: y * y))) AS x FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)),

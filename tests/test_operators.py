@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from tessera.operators import catalog, chunks, event_log, frames, inference, sea
 from tessera.operators.graph import connected_components
 from tessera.operators.prefix import running_sum
 from tessera.plans import base
+from tessera.plans.registry import QUERIES
 from tessera.plans.report_queries import SCHEMA
 from tessera.sources import files, pages
 from tessera.sources.transcripts import read_transcripts
@@ -267,6 +269,49 @@ def test_density_cluster(spark):
     assert all(got[c * 100 + i] == c * 100 for c in range(3) for i in range(40)) and got[900] == -1 and {got[950 + i] for i in range(3)} == {950}
 
 
+def _dbscan(ids, rows, radius, min_samples, min_cluster_size=2):
+    """Brute force: cluster of each id, and how many are cores and borders."""
+    v = np.array(rows, float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(v @ v.T, 12)
+    near = s >= radius
+    np.fill_diagonal(near, True)
+    core = near.sum(axis=1) >= min_samples
+    cluster = {}
+    for k in np.argsort(ids):
+        if not core[k] or k in cluster:
+            continue
+        todo = [k]
+        while todo:
+            x = todo.pop()
+            if x not in cluster:
+                cluster[x] = ids[k]
+                todo.extend(y for y in np.flatnonzero(near[x] & core) if y not in cluster)
+    border = {k: min(np.flatnonzero(near[k] & core), key=lambda c: (-s[k, c], ids[c])) for k in range(len(ids)) if not core[k] and (near[k] & core).any()}
+    cluster |= {k: cluster[c] for k, c in border.items()}
+    sizes = Counter(cluster.values())
+    return {ids[k]: cluster[k] if k in cluster and sizes[cluster[k]] >= min_cluster_size else -1 for k in range(len(ids))}, int(core.sum()), len(border)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_density_cluster_query_equals_brute_force(spark, sf):
+    rows = sorted(tuple(r) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").collect())
+    want, cores, borders = _dbscan([r[0] for r in rows], [r[1] for r in rows], 0.4, 3)
+    got = {r.vec_id: r.cluster for r in QUERIES["d6_density_cluster"](spark, f"/root/testdata/{sf}").collect()}
+    assert got == want and cores and borders and len(set(want.values())) > 2
+
+
+def test_density_cluster_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(speakers, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    rows = rng.normal(0, 1, (150, 4)).tolist()
+    rows += rows[:20] + (np.eye(4)[[0] * 20] + rng.normal(0, 0.01, (20, 4))).tolist()
+    df = spark.createDataFrame([(k * 7 % 1000, r) for k, r in enumerate(rows)], "vec_id long, vector array<double>")
+    for radius, samples in ((0.97, 4), (0.99, 2), (0.6, 20)):
+        want, cores, borders = _dbscan([k * 7 % 1000 for k in range(len(rows))], rows, radius, samples)
+        assert cores and {r.vec_id: r.cluster for r in speakers.density_cluster(df, radius=radius, min_samples=samples, lists=6).collect()} == want
+
+
 def test_ann_recall(spark):
     source = "/root/testdata/sf0.01/embeddings.parquet"
     v = spark.read.parquet(source).select("vec_id", F.col("embedding").alias("vector"))
