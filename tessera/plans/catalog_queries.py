@@ -136,7 +136,7 @@ def _(spark, d):
 _TREE = """WITH RECURSIVE artifacts AS ({a}), docs AS (SELECT id, derived_from FROM artifacts WHERE kind = 'document'),
 e AS (SELECT id AS child, unnest(derived_from) AS parent, generate_subscripts(derived_from, 1) - 1 AS ordinal FROM docs),
 t AS (SELECT id AS root, id, 0 AS depth, []::INTEGER[] AS ordinals, [id] AS path FROM docs
-  UNION ALL SELECT t.root, e.parent, t.depth + 1, list_append(t.ordinals, e.ordinal::INTEGER), list_append(t.path, e.parent) FROM t JOIN e ON t.id = e.child JOIN docs d ON d.id = e.parent WHERE t.depth < 4 AND NOT list_contains(t.path, e.parent))
+  UNION ALL SELECT t.root, e.parent, t.depth + 1, list_append(t.ordinals, e.ordinal::INTEGER), list_append(t.path, e.parent) FROM t JOIN e ON t.id = e.child JOIN docs d ON d.id = e.parent WHERE t.depth < 10 AND NOT list_contains(t.path, e.parent))
 """
 
 
@@ -144,16 +144,16 @@ def _documents(spark, d):
     return base.artifacts(spark, d).filter("kind = 'document'")
 
 
-@query("c14_lineage", _TREE.format(a=base.SQL["artifacts"]) + "SELECT t.root, t.id, t.depth, array_to_string(t.ordinals, '.') AS place, t.depth = 4 AND len(d.derived_from) > 0 AS truncated FROM t JOIN docs d ON d.id = t.id")
+@query("c14_lineage", _TREE.format(a=base.SQL["artifacts"]) + "SELECT t.root, t.id, t.depth, array_to_string(t.ordinals, '.') AS place, t.depth = 10 AND len(d.derived_from) > 0 AS truncated FROM t JOIN docs d ON d.id = t.id")
 def _(spark, d):
     docs = _documents(spark, d)
-    return catalog.lineage(docs, docs, max_depth=4).select("root", "id", "depth", F.array_join("ordinals", ".").alias("place"), "truncated")
+    return catalog.lineage(docs, docs).select("root", "id", "depth", F.array_join("ordinals", ".").alias("place"), "truncated")
 
 
 @query("c15_flatten_ids", _TREE.format(a=base.SQL["artifacts"]) + "SELECT root, string_agg(id, ',' ORDER BY ordinals) AS ids FROM t GROUP BY root")
 def _(spark, d):
     docs = _documents(spark, d)
-    return catalog.flatten_ids(catalog.lineage(docs, docs, max_depth=4)).select("root", F.array_join("ids", ",").alias("ids"))
+    return catalog.flatten_ids(catalog.lineage(docs, docs)).select("root", F.array_join("ids", ",").alias("ids"))
 
 
 _ID_SQL = """'{"backend":' || coalesce('"' || backend || '"', 'null') || ',"backend_version":' || coalesce('"' || backend_version || '"', 'null') || ',"input_ids":["' || array_to_string(list_sort(input_ids), '","') || '"],"kind":"document","op":"' || op_name || '","op_version":"1","params":""" 

@@ -1,5 +1,6 @@
 """Golden cases, properties against plain Python, file readers and plans of the operators."""
 
+import hashlib
 import json
 import random
 from collections import Counter
@@ -104,6 +105,25 @@ def test_connected_components(spark):
     assert connected_components(edges.limit(0)).count() == 0
 
 
+def test_lineage_queries_reach_the_first_document(spark, tmp_path):
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("pages", "conversations"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    name_of = {k: hashlib.sha256(f"document|{k}".encode()).hexdigest() for k in range(1000)}
+
+    def tree(k, place=()):
+        yield k, place
+        for n, parent in enumerate(dict.fromkeys((k // 3, k // 7)) if k else ()):
+            yield from tree(parent, (*place, n))
+
+    trees = {name_of[k]: [(name_of[x], place) for x, place in tree(k)] for k in range(1000)}
+    got = QUERIES["c14_lineage"](spark, str(tmp_path)).collect()
+    want = {(root, x, len(place), ".".join(map(str, place)), False) for root, nodes in trees.items() for x, place in nodes}
+    assert len(got) == sum(map(len, trees.values())) and {tuple(r) for r in got} == want and max(r.depth for r in got) > 4
+    assert {r.root: r.ids for r in QUERIES["c15_flatten_ids"](spark, str(tmp_path)).collect()} == {root: ",".join(x for x, _ in nodes) for root, nodes in trees.items()}
+
+
 def test_lineage_ends_on_cycles(spark):
     df = spark.createDataFrame([("a", ["b", "c"]), ("b", ["c", "a"]), ("c", []), ("d", ["x"])], "id string, derived_from array<string>")
     tree = catalog.lineage(df, spark.createDataFrame([("a",), ("d",), ("zz",)], "id string"), max_depth=5)
