@@ -361,11 +361,11 @@ def _(spark, d):
 
 @query("e4_log_dedup", """, l AS (SELECT user_id AS run, namespace AS source, id AS pos, trim(CASE WHEN id % 13 = 0 THEN '  ' ELSE event_type || ' ' END) AS line FROM op_events),
 c AS (SELECT run, source, line, row_number() OVER (PARTITION BY run, source ORDER BY pos) AS n FROM (SELECT *, lag(line) OVER (PARTITION BY run, source ORDER BY pos) AS b FROM l WHERE line <> '') WHERE line IS DISTINCT FROM b)
-SELECT run, source, n::INTEGER AS n, CASE WHEN n > 50 THEN 'log truncated' ELSE line END AS line FROM c WHERE n <= 51""", "op_events")
+SELECT run, source, n::INTEGER AS n, CASE WHEN n > 5000 THEN 'log truncated' ELSE line END AS line FROM c WHERE n <= 5001""", "op_events")
 def _(spark, d):
     e = base.op_events(spark, d)
     lines = e.select(F.col("user_id").alias("run"), F.col("namespace").alias("source"), F.col("id").alias("at"), F.when(F.col("id") % 13 == 0, "  ").otherwise(F.concat("event_type", F.lit(" "))).alias("line"))
-    return event_log.log_dedup(lines, keep=50)
+    return event_log.log_dedup(lines, keep=5000)
 
 
 @query("e5_progress", """SELECT b.op_run_id, b.id AS beat, (b.ts - s.ts)::DOUBLE AS elapsed, round(CASE WHEN s.value > 0 THEN least((b.ts - s.ts) / s.value, 1.0) ELSE 0.0 END, 6) AS fraction, round(greatest(s.value - (b.ts - s.ts), 0.0), 6) AS remaining

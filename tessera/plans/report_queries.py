@@ -183,10 +183,10 @@ def _(spark, d):
     return stream.run_available(stream.live_events(twice), "replay").select("id", "event_type")
 
 
-@query("e4_stream_log_dedup", base.with_tables("op_events", body="""SELECT run, source, n::INTEGER AS n, CASE WHEN n > 50 THEN 'log truncated' ELSE line END AS line FROM (SELECT run, source, line, row_number() OVER (PARTITION BY run, source ORDER BY pos) AS n FROM (SELECT user_id AS run, 'log' AS source, id AS pos, event_type AS line, lag(event_type) OVER (PARTITION BY user_id ORDER BY id) AS b FROM op_events) WHERE line IS DISTINCT FROM b) WHERE n <= 51"""))
+@query("e4_stream_log_dedup", base.with_tables("op_events", body="""SELECT run, source, n::INTEGER AS n, CASE WHEN n > 5000 THEN 'log truncated' ELSE line END AS line FROM (SELECT run, source, line, row_number() OVER (PARTITION BY run, source ORDER BY pos) AS n FROM (SELECT user_id AS run, 'log' AS source, id AS pos, event_type AS line, lag(event_type) OVER (PARTITION BY user_id ORDER BY id) AS b FROM op_events) WHERE line IS DISTINCT FROM b) WHERE n <= 5001"""))
 def _(spark, d):
     lines = _stream_events(spark, d).select(F.col("user_id").alias("run"), F.lit("log").alias("source"), F.col("id").alias("at"), F.col("event_type").alias("line"), "ts")
-    return stream.run_available(stream.stream_log_dedup(lines, keep=50, idle="60 days"), "log")
+    return stream.run_available(stream.stream_log_dedup(lines, keep=5000, idle="60 days"), "log")
 
 
 @query("e5_stream_progress", """SELECT b.op_run_id, b.id AS beat, (b.ts - s.ts)::DOUBLE AS elapsed, round(CASE WHEN s.value > 0 THEN least((b.ts - s.ts) / s.value, 1.0) ELSE 0.0 END, 6) AS fraction, round(greatest(s.value - (b.ts - s.ts), 0.0), 6) AS remaining

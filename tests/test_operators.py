@@ -105,6 +105,15 @@ def test_connected_components(spark):
     assert connected_components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["e4_log_dedup", "e4_stream_log_dedup"])
+def test_log_dedup_queries_keep_long_runs(spark, tmp_path, name):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(1).drop("event_id", "event_type", "user_id")
+    ids = spark.range(300).select(F.col("id").alias("event_id"), F.concat(F.lit("type"), F.col("id").cast("string")).alias("event_type"), F.lit(7).cast("long").alias("user_id"))
+    ids.crossJoin(events).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = [r.line for r in sorted(QUERIES[name](spark, str(tmp_path)).collect(), key=lambda r: r.n)]
+    assert got == [f"type{i}" for i in range(300) if name == "e4_stream_log_dedup" or i % 13]
+
+
 def test_lineage_queries_reach_the_first_document(spark, tmp_path):
     docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
