@@ -66,22 +66,25 @@ def _cue_files(spark, d, mark, head):
     return s.groupBy(F.col("recording_id").alias("path")).agg(F.concat(F.lit(head), F.array_join(_in_order("_cue"), "\n")).alias("value"))
 
 
-@query("s3_read_srt", "SELECT recording_id AS path, seq, round(floor(start * 1000) / 1000, 3) AS start, round(floor(\"end\" * 1000) / 1000, 3) AS \"end\", NULL::VARCHAR AS speaker_id, length(text) AS size FROM segments WHERE NOT contains(text, chr(10))", "segments")
+# A cue's text: its lines up to a blank one, joined by spaces.
+_CUES = r"""SELECT recording_id AS path, seq, round(floor(start * 1000) / 1000, 3) AS start, round(floor("end" * 1000) / 1000, 3) AS "end", NULL::VARCHAR AS speaker_id, array_to_string(ls[1:coalesce(nullif(list_position(ls, ''), 0) - 1, len(ls))], ' ') AS text
+FROM (SELECT *, list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: trim(x)) AS ls FROM segments)"""
+
+
+@query("s3_read_srt", _CUES, "segments")
 def _(spark, d):
     parsed = parse_cued(_cue_files(spark, d, ",", ""), "srt")
-    return _only_plain(spark, d, parsed)
+    return _rounded(parsed)
 
 
-@query("s3_read_vtt", "SELECT recording_id AS path, seq, round(floor(start * 1000) / 1000, 3) AS start, round(floor(\"end\" * 1000) / 1000, 3) AS \"end\", NULL::VARCHAR AS speaker_id, length(text) AS size FROM segments WHERE NOT contains(text, chr(10))", "segments")
+@query("s3_read_vtt", _CUES, "segments")
 def _(spark, d):
     parsed = parse_cued(_cue_files(spark, d, ".", "WEBVTT\nKind: captions\n\n"), "vtt")
-    return _only_plain(spark, d, parsed)
+    return _rounded(parsed)
 
 
-def _only_plain(spark, d, parsed):
-    """Sizes of cue texts, of those that had no line break of their own."""
-    plain = base.segments(spark, d).filter(~F.contains("text", F.lit("\n"))).select(F.col("recording_id").alias("path"), "seq")
-    return parsed.join(plain, ["path", "seq"]).select("path", "seq", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "speaker_id", F.length("text").alias("size"))
+def _rounded(parsed):
+    return parsed.select("path", "seq", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "speaker_id", "text")
 
 
 @query("s4_read_speakered", r"""SELECT recording_id AS path, turn AS seq, 'SPEAKER_0' || (turn % 3) AS speaker_id, text FROM (SELECT conv_id AS recording_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq0, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') AS text FROM conversations) WHERE text <> ''""")

@@ -114,6 +114,14 @@ def test_log_dedup_queries_keep_long_runs(spark, tmp_path, name):
     assert got == [f"type{i}" for i in range(300) if name == "e4_stream_log_dedup" or i % 13]
 
 
+@pytest.mark.parametrize("name", ["s3_read_srt", "s3_read_vtt"])
+def test_cue_queries_return_texts_with_line_breaks(spark, tmp_path, name):
+    texts = ["plain words", "first line\n second line ", "before a blank\n \nafter it", "12\n34"]
+    spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = [(r.seq, r.text) for r in sorted(QUERIES[name](spark, str(tmp_path)).collect(), key=lambda r: r.seq)]
+    assert got == [(0, "plain words"), (1, "first line second line"), (2, "before a blank"), (3, "12 34")]
+
+
 def test_lineage_queries_reach_the_first_document(spark, tmp_path):
     docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
