@@ -1,5 +1,7 @@
 """Public licence texts and one-line licence notices."""
 
+import pkgutil
+
 _MIT_TERMS = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
@@ -89,6 +91,24 @@ KNOWN_TEXTS = {
     "Zlib (titled)": "zlib License\n\n" + _ZLIB,
 }
 
+#: Longer licences: whole texts as published, appendices included, in the folder ``licenses``.
+_FILES = {
+    "Apache-2.0": "Apache-2.0",
+    "Artistic-1.0": "Artistic",
+    "CC0-1.0": "CC0-1.0",
+    "GFDL-1.2": "GFDL-1.2",
+    "GFDL-1.3": "GFDL-1.3",
+    "GPL-1.0": "GPL-1",
+    "GPL-2.0": "GPL-2",
+    "GPL-3.0": "GPL-3",
+    "LGPL-2.0": "LGPL-2",
+    "LGPL-2.1": "LGPL-2.1",
+    "LGPL-3.0": "LGPL-3",
+    "MPL-1.1": "MPL-1.1",
+    "MPL-2.0": "MPL-2.0",
+}
+KNOWN_TEXTS |= {name: pkgutil.get_data("tessera.llm", f"licenses/{file}.txt").decode() for name, file in _FILES.items()}
+
 #: One-line notices.
 KNOWN_NOTICES = {
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",

@@ -87,6 +87,13 @@ def test_license_scan_edge_cases(spark):
     assert [r.license_id for r in known] == ["a"]
 
 
+@pytest.mark.parametrize("name, file", [("Apache-2.0", "Apache-2.0"), ("Artistic-1.0", "Artistic"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("GFDL-1.3", "GFDL-1.3")])
+def test_license_scan_knows_long_texts(spark, name, file):
+    text = open(f"/usr/share/common-licenses/{file}").read()
+    got = license_scan(docs(spark, [(1, text, "en", "s", 0), (2, text[: len(text) // 2], "en", "s", 0)])).collect()
+    assert {r.doc_id: r.license_id for r in got} == {1: name, 2: None}
+
+
 # --- 3 nearest neighbours
 
 
