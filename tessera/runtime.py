@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -50,10 +53,48 @@ def pin(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of very long texts fits a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def arrow_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bound the bytes of an Arrow batch, so that batches of very long texts fit a Python worker.
+
+    Spark has one setting for this, which is the session's; a bound that the caller has set stays.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "-1")) <= 0:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads; 0 if it reads none. File contents are not opened."""
+    paths = [re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(f)) for f in df.inputFiles()]
+    if not paths:
+        return 0
+    return df.sparkSession.read.format("binaryFile").load(paths).agg(F.sum("length")).first()[0] or 0
+
+
+def partitions_for(df: DataFrame, each: int = 128 << 20) -> int:
+    """Partitions for a range shuffle of ``df``: about ``each`` bytes of its input files in one, and no fewer than the session's shuffles have."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // each))
+
+
+def column(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """Columns of ``df`` but those that equal one of the names in any case, as Spark compares them."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def set_apart(df: DataFrame, *outputs: str, **inputs: Column) -> DataFrame:
+    """``row``, a struct of all columns but those that the outputs replace, and the named inputs.
+
+    Beside one struct no name of an operator can clash with one of the table;
+    ``row.*`` brings the columns back.
+    """
+    kept = others(df, *outputs)
+    row = F.struct(*map(column, kept)) if kept else F.struct(F.lit(0).alias("none"))
+    return df.select(row.alias("row"), *[c.alias(k) for k, c in inputs.items()])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
