@@ -58,8 +58,9 @@ def arrow_batches(spark: SparkSession, most: int = 8 << 20) -> None:
 
     Spark has one setting for this, which is the session's; a bound that the caller has set stays.
     """
-    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "-1")) <= 0:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(most))
 
 
 def input_bytes(df: DataFrame) -> int:
