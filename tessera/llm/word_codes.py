@@ -65,13 +65,23 @@ class WordCodes(dict):
         finally:
             if collecting:
                 gc.enable()
+        return self._flat(codes, np.cumsum([0, *map(len, lists)]))
+
+    def gather(self, words: list[str], places: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``assemble``, for texts that are given as places in a list of distinct words, one after the other, and where each text ends."""
+        if len(self) > self.limit:
+            self._empty()
+        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        self._encode_new()
+        return self._flat(codes[places], np.concatenate([[0], ends]))
+
+    def _flat(self, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = self.first[codes]
         sizes = self.first[codes + 1] - starts
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
-        words_before = np.cumsum([0, *map(len, lists)])
-        return ids, np.concatenate([[0], ends])[words_before]
+        return ids, np.concatenate([[0], ends])[bounds]
 
 
 def in_order(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:

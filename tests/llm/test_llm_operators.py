@@ -1,9 +1,11 @@
 """Corpus operators against SQL, brute force and round trips, with the defined edge cases."""
 
 import re
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from compare import assert_same
@@ -306,7 +308,7 @@ def test_token_files_round_trip(spark, tmp_path, encoding):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(token_files.default_tokenizer())
-    texts = {7: None, 3: "", 5: "It's ΣΑΣ, don't… <|endoftext|> x\x01y", 9: "é é İstanbul ﬁ wide, 1234.", 1: "Hello, hello. HELLO\n\nworld."}
+    texts = {7: None, 3: "", 5: "It's ΣΑΣ, don't… <|endoftext|> x\x01y", 9: "é é İstanbul ﬁ wide, 1234.", 1: "Hello, hello. HELLO\n\nworld.", 11: "again and " * 500}
     path = str(tmp_path / encoding)
     got = sorted(token_files.token_files(docs(spark, [(k, v, None, None, None) for k, v in texts.items()]), path, encoding=encoding).collect())
     start = 0
@@ -314,7 +316,8 @@ def test_token_files_round_trip(spark, tmp_path, encoding):
         ids = tokenizer.encode(texts[k] or "", add_special_tokens=False).ids + [1]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
-    column = pq.ParquetFile(next((tmp_path / encoding).glob("*.parquet"))).metadata.row_group(0).column(1)
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / encoding).glob("*.parquet")]
+    column = max((m.row_group(0).column(1) for m in files if m.num_row_groups), key=lambda c: c.num_values)
     assert ("RLE_DICTIONARY" if encoding == "dictionary" else "DELTA_BINARY_PACKED") in column.encodings and column.has_offset_index
 
 
@@ -330,14 +333,59 @@ def test_token_files_equal_the_library(spark, sf_dir):
         start += len(ids)
 
 
-def test_lower_case_first_agrees_for_every_character():
+def library_ids(texts, path=None):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(token_files.default_tokenizer())
-    chars = [c for c in map(chr, range(0x20, 0x3000)) if c.lower() != c or c.isalpha()]
-    ids, offsets = token_files.encode_texts([f"a{c}b" for c in chars], token_files.default_tokenizer(), 1)
-    for c, a, b in zip(chars, offsets[:-1], offsets[1:], strict=True):
-        assert ids[a : b - 1].tolist() == tokenizer.encode(f"a{c}b", add_special_tokens=False).ids, hex(ord(c))
+    return [e.ids for e in Tokenizer.from_file(path or token_files.default_tokenizer()).encode_batch(texts, add_special_tokens=False)]
+
+
+def assert_library_ids(texts, path=None):
+    ids, offsets = token_files.encode_texts(pa.array(texts, pa.string()), path or token_files.default_tokenizer(), 1)
+    for text, want, a, b in zip(texts, library_ids(texts, path), offsets[:-1], offsets[1:], strict=True):
+        assert ids[a:b].tolist() == [*want, 1], ascii(text)
+
+
+def test_lower_case_first_agrees_for_every_character():
+    chars = [c for c in map(chr, range(0x20, 0x11000)) if (c.lower() != c or c.isalpha()) and not "\ud800" <= c <= "\udfff"]
+    assert_library_ids([f"a{c}b" for c in chars])
+    assert_library_ids([f"{c}. {c}, x{c}." for c in chars])
+
+
+def test_token_ids_of_random_words_with_stops():
+    draw = np.random.default_rng(5)
+    letters = [*"abzJHTWYIESé", "ß", "İ", "ı", "Σ", "σ", "ς", "ﬁ", "ǅ", "ª", "Я", "ж", "अ", "क़", "中", "ﷺ", "Ⅷ", "٣", "½", "1", "_", "'", "'s", "’"]
+    marks = ["", "", "", "\u0301", "\u0308", "\u030c", "\u0331", "\u030a", "\u0307", "\u0323", "\u0345", "\u200d"]
+    ends = ["", ".", ",", ".,", "...", "!", " .", "\n", "\t", "\u00a0", "\u2028", " \u0301", "<|endoftext|>", "<|", "\x01", "\x1c"]
+
+    def word():
+        return "".join(draw.choice(letters) + draw.choice(marks) for _ in range(draw.integers(1, 6))) + draw.choice(ends)
+
+    texts = []
+    for _ in range(6000):
+        text = " ".join(word() for _ in range(draw.integers(1, 5)))
+        texts.append(unicodedata.normalize(str(draw.choice(["NFC", "NFD", "NFKC"])), text) if draw.random() < 0.7 else text)
+    assert_library_ids([*texts, "TÜRKİ. e\u0308 abc", "J\u030c abc", "", "  ", "\n.\n"])
+
+
+def test_other_tokenizers_see_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not token_files.is_wordwise(path) and token_files.is_wordwise(token_files.default_tokenizer())
+    assert_library_ids(["Hello, WORLD.  two spaces\n\n", "", "é İ. 12"], path)
+
+
+def test_token_starts_do_not_depend_on_the_folder_and_one_id_may_fill_files(spark, tmp_path):
+    rows = [(None if i % 3 else 7, f"text {i % 40}", None, None, None) for i in range(600)]
+    path = tmp_path / "part-3" / "x"
+    got = sorted(token_files.token_files(docs(spark, rows).repartition(5), str(path)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 400 + [7] * 200 and len(list(path.glob("*.parquet"))) > 2
+    start = 0
+    for r in got:
+        assert r.start == start
+        start += r.n_tokens
+    want = sorted(zlib.crc32(np.array([*i, 1], "<u4").tobytes()) for i in library_ids([t for _, t, *_ in rows]))
+    assert sorted(r.ids_crc32 for r in got) == want
 
 
 def test_token_files_edge_cases(spark):
