@@ -124,7 +124,7 @@ def _word_encoder(path: str, end_id: int) -> WordCodes | None:
                 parts.append((np.array(some), ids[ids != mark_id], sizes))
             return in_order(parts)
 
-        units = WordCodes(encode_units, limit=800_000)
+        units = WordCodes(encode_units, limit=300_000)
 
         def encode_words(words: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             """The word None stands for the end id."""
@@ -135,7 +135,7 @@ def _word_encoder(path: str, end_id: int) -> WordCodes | None:
             sizes[ends] = 1
             return ids, sizes
 
-        _CODES[path, end_id] = WordCodes(encode_words, limit=1_000_000)
+        _CODES[path, end_id] = WordCodes(encode_words, limit=500_000)
     return _CODES[path, end_id]
 
 

@@ -19,6 +19,7 @@ class WordCodes(dict):
     """word -> code; unseen words get the next code and are encoded together.
 
     ``encode_words`` gives the ids of a list of words in one flat array, and their numbers.
+    Beyond ``limit`` words, those that one batch only has used are forgotten, and all if too many are left.
     """
 
     def __init__(self, encode_words: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000):
@@ -38,6 +39,24 @@ class WordCodes(dict):
         self.new.clear()
         self.flat = np.empty(0, np.int32)
         self.first = np.zeros(1, np.int64)
+        self.batches = np.zeros(0, np.int32)
+
+    def _shrink(self) -> None:
+        if len(self) <= self.limit:
+            return
+        often = np.flatnonzero(self.batches > 1)
+        if 2 * len(often) > self.limit:
+            self._empty()
+            return
+        names = list(self)
+        names = [names[i] for i in often.tolist()]
+        starts, sizes = self.first[often], np.diff(self.first)[often]
+        ends = np.cumsum(sizes)
+        self.flat = self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        self.first = np.concatenate([[0], ends])
+        self.batches = np.ones(len(often), np.int32)
+        self.clear()
+        self.update(zip(names, range(len(names)), strict=True))
 
     def __missing__(self, word: str) -> int:
         code = self[word] = len(self)
@@ -50,11 +69,11 @@ class WordCodes(dict):
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
             self.flat = np.concatenate([self.flat, ids]).astype(np.int32, copy=False)
             self.new.clear()
+            self.batches = np.concatenate([self.batches, np.zeros(len(self) - len(self.batches), np.int32)])
 
     def assemble(self, texts: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, given as lists of words, and the offsets of each text (one more than texts)."""
-        if len(self) > self.limit:
-            self._empty()
+        self._shrink()
         # Millions of short lists live for a moment and hold no cycles: collecting between them costs a fifth of the time.
         collecting = gc.isenabled()
         gc.disable()
@@ -69,13 +88,13 @@ class WordCodes(dict):
 
     def gather(self, words: list[str], places: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As ``assemble``, for texts that are given as places in a list of distinct words, one after the other, and where each text ends."""
-        if len(self) > self.limit:
-            self._empty()
+        self._shrink()
         codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         self._encode_new()
         return self._flat(codes[places], np.concatenate([[0], ends]))
 
     def _flat(self, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.batches[codes] += 1
         starts = self.first[codes]
         sizes = self.first[codes + 1] - starts
         ends = np.cumsum(sizes)
