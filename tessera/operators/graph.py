@@ -11,20 +11,32 @@ from tessera.runtime import cut
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """``node, component``: the smallest node that each node is connected to.
 
-    Every round takes the least label among the neighbours and then the label of
-    that label, so paths halve; each round is checkpointed, and a round without
-    changes ends the loop. Nothing but the number of changed rows reaches the
-    driver. Edges with a null end are ignored; an empty table gives no rows.
+    Every round labels a node with the least of its neighbours and itself, in the
+    order of a hash, and contracts the edges to the labels; as the order is random,
+    a round leaves a fraction of the nodes, chains included, and a star is done at
+    once. The labels of all rounds are composed in the end. Each round is
+    checkpointed; nothing but whether edges are left reaches the driver. Edges with a
+    null end are ignored; an empty table gives no rows.
     """
-    clean = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).dropna()
-    both = cut(clean.union(clean.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("node"), F.least("a", "near").alias("component"))
-    labels = cut(labels)
+
+    def ranked(c: str):
+        return F.struct(F.xxhash64(c).alias("hash"), F.col(c).alias("id"))
+
+    left_edges = cut(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).dropna().distinct())
+    rounds = []
     while True:
-        heard = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("heard"))
-        lower = labels.join(heard, F.col("node") == F.col("a")).select("node", F.col("component").alias("old"), F.least("component", "heard").alias("to"))
-        of = lower.select(F.col("node").alias("_node"), F.col("to").alias("component"))
-        jumped = cut(lower.join(of, F.col("to") == F.col("_node")).select("node", "component", (F.col("component") != F.col("old")).alias("changed")))
-        labels = jumped.select("node", "component")
-        if jumped.filter("changed").isEmpty():
-            return labels
+        both = left_edges.union(left_edges.select("b", "a"))
+        near = both.groupBy("a").agg(F.min(ranked("b")).alias("near"))
+        rounds.append(cut(near.select(F.col("a").alias("node"), F.least("near", ranked("a"))["id"].alias("to"))))
+        of_a, of_b = rounds[-1].toDF("a", "to_a"), rounds[-1].toDF("b", "to_b")
+        moved = left_edges.join(of_a, "a").join(of_b, "b").filter("to_a <> to_b")
+        left_edges = cut(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+        if left_edges.isEmpty():
+            break
+    whole = rounds.pop().toDF("node", "root")
+    while rounds:
+        above = whole.toDF("to", "above")
+        whole = rounds.pop().join(above, "to", "left").select("node", F.coalesce("above", "to").alias("root"))
+    whole = cut(whole)
+    least = whole.groupBy("root").agg(F.min("node").alias("component"))
+    return whole.join(least, "root").select("node", "component")

@@ -299,7 +299,7 @@ def _(spark, d):
     return frames.empty_timelines(talks.select(F.col("conv_id").alias("recording_id")).distinct(), late)
 
 
-@query("o1_ocr_regions", "SELECT vec_id AS image_id, 0 AS seq, 'L' || label AS text, [round(least(embedding[1], embedding[3], embedding[5]), 6), round(least(embedding[2], embedding[4], embedding[6]), 6), round(greatest(embedding[1], embedding[3], embedding[5]), 6), round(greatest(embedding[2], embedding[4], embedding[6]), 6)]::DOUBLE[] AS bbox, 0.5::DOUBLE AS confidence FROM embeddings")
+@query("o1_ocr_regions", "SELECT vec_id AS image_id, 0 AS seq, 'L' || label AS text, [round(least(e[1], e[3], e[5]), 6), round(least(e[2], e[4], e[6]), 6), round(greatest(e[1], e[3], e[5]), 6), round(greatest(e[2], e[4], e[6]), 6)] AS bbox, 0.5::DOUBLE AS confidence FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)")
 def _(spark, d):
     e = table(spark, d, "embeddings")
     point = lambda i: F.array(F.get("embedding", F.lit(i)).cast("double"), F.get("embedding", F.lit(i + 1)).cast("double"))

@@ -98,6 +98,31 @@ def set_apart(df: DataFrame, *outputs: str, **inputs: Column) -> DataFrame:
     return df.select(row.alias("row"), *[c.alias(k) for k, c in inputs.items()])
 
 
+def few(df: DataFrame, most: int) -> DataFrame:
+    """The table, marked for a broadcast if a count shows at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def join_few(rows: DataFrame, small: DataFrame, keys: str | list[str], most: int, how: str = "inner", salts: int = 32) -> DataFrame:
+    """``rows`` joined to a table of fewer rows by keys of one name, nulls equal. Up to ``most`` rows, by a count, it is broadcast.
+
+    Beyond that both sides are dealt by keys and salt, so that one key with a third of
+    the rows is no single task.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    other = small
+    same = F.lit(True)
+    for k in keys:
+        other = other.withColumnRenamed(k, f"_other_{k}")
+        same = same & F.col(k).eqNullSafe(F.col(f"_other_{k}"))
+    dropped = [f"_other_{k}" for k in keys]
+    if small.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(other), same, how).drop(*dropped)
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    spread = other.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(spread, same & (F.col("_salt") == F.col("_salt2")), how).drop(*dropped, "_salt", "_salt2")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 6)
+        return "nan" if math.isnan(value) else value + 0.0
     if isinstance(value, (list, tuple)):
         return tuple(plain(v) for v in value)
     if isinstance(value, dict):
