@@ -7,8 +7,10 @@ place of a row is then ``permuted % shards`` (its shard) and ``permuted // shard
 number of rows and the row number alone, with shards at most one row apart.
 
 Defined cases: a null text counts no bytes (size 1, checksum 0); null ``doc_id``
-comes first; rows that share a ``doc_id`` are ordered by their text; wholly equal
-rows are interchangeable; an empty table gives no rows.
+comes first; rows that share a ``doc_id`` are ordered by the checksum, size and a hash
+of their text; wholly equal rows are interchangeable; a very long text counts like
+any other, by its size; an empty table gives no rows; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.runtime import cut, pin
+from tessera.runtime import column, cut, pin
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -80,9 +82,9 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_number") -> Da
 
 def feistel_shards(docs: DataFrame, *, shards: int = 8, seed: int = 20240229) -> DataFrame:
     """``doc_id, size, text_crc32, row_number, shard, slot``: size is UTF-8 bytes plus one."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.coalesce(column("text").cast("string"), F.lit(""))
     slim = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        column("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("_text"),

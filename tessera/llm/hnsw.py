@@ -1,8 +1,11 @@
 """Approximate nearest neighbours: one hierarchical navigable small-world graph per shard.
 
 Distinct vectors are dealt to shards by hash. Each shard is one row: vectors, and
-the neighbour lists of all layers in one flat array. Queries, in blocks, meet every
-shard; a task searches one block in one graph, and the shards' answers are merged.
+the neighbour lists of all layers in one flat array. Queries meet every shard, in
+blocks as large as a shard, so that a graph moves once for each such block: about
+as many vectors move for the index as for the queries. A task loads one graph,
+searches the block in it a few hundred queries at a time, and the shards' answers
+are merged.
 
 Nearness is the largest inner product. One more coordinate gives all vectors of a
 shard the same length, which turns it into the Euclidean order that the graph
@@ -15,7 +18,8 @@ fills a third of the table sends a few rows.
 Defined cases: vectors that are null, zero, or hold a null or non-finite component
 take no part, nor do rows with a null id; rows that repeat an id with the same
 vector count once; vectors only meet queries of their own dimension; a query's own
-id is never returned; ties go to the smaller id; an empty table gives no rows.
+id is never returned; ties go to the smaller id; very long vectors are vectors of
+another dimension; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.runtime import pin
+from tessera.runtime import column, pin
 
 #: Links of a node in an upper layer; the base layer has twice as many.
 LINKS = 16
@@ -35,7 +39,8 @@ BUILD_WIDTH = 64
 SEARCH_WIDTH = 160
 SHARD_ROWS = 32_768
 MIN_SHARDS = 8
-QUERY_BLOCK = 512
+#: Queries that walk a graph at once.
+WALK = 512
 
 
 def _spread(near: np.ndarray, sims: np.ndarray, vectors: np.ndarray, most: int) -> np.ndarray:
@@ -217,7 +222,7 @@ def usable(vector: Column) -> Column:
 
 def build_index(vectors: DataFrame, *, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per shard: ``dims, shard, firsts, ids, vectors, sizes, links``."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
+    rows = vectors.select(column(id_col).cast("long").alias("id"), column(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     by_part = Window.partitionBy("v", F.pmod(F.xxhash64("id"), F.lit(32))).orderBy("id")
     by_vector = Window.partitionBy("v").orderBy("id")
     few = rows.distinct().withColumn("_n", F.row_number().over(by_part)).filter(F.col("_n") <= k + 1)
@@ -250,13 +255,13 @@ def build_index(vectors: DataFrame, *, k: int, id_col: str = "vec_id", vector_co
 
 def search_index(index: DataFrame, queries: DataFrame, *, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of each query, itself excluded."""
-    rows = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = queries.select(column(id_col).cast("long").alias("id"), column(vector_col).cast("array<double>").alias("v"))
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("v"))).distinct()
-    blocks = max(1, -(-rows.count() // QUERY_BLOCK))
-    places = index.select(F.col("dims").alias("_dims"), F.col("shard").alias("_shard"))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("dims", F.size("v"))
-    # Every block meets every shard, and every shard every block.
-    asked = dealt.join(places, F.col("dims") == F.col("_dims")).withColumn("shard", F.col("_shard") + 0).drop("_dims", "_shard").groupBy("dims", "shard", "block")
+    blocks = max(1, -(-rows.count() // SHARD_ROWS))
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    # Every block meets every shard: both sides are spread by numbers that are known, without a join.
+    dealt = rows.select("id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    asked = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).groupBy("dims", "shard", "block")
     copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("dims", "shard", "block")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -266,7 +271,8 @@ def search_index(index: DataFrame, queries: DataFrame, *, k: int, id_col: str =
             links = right["links"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
             v = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dims"])
             q = _matrix(left["v"])
-            found = search(v, row["sizes"], links, q)
+            width = min(SEARCH_WIDTH, len(v))
+            found = np.concatenate([search(v, row["sizes"], links, q[at : at + WALK], width) for at in range(0, len(q), WALK)])
             for query, vector, nodes in zip(left["id"].to_pylist(), q, found, strict=True):
                 nodes = nodes[nodes >= 0]
                 scores = (v[nodes] * vector).sum(axis=1)

@@ -16,7 +16,9 @@ evenly over the languages and chosen by a hash of ``doc_id``, from documents who
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is
 everything if nothing can be learned; null languages are not learned; a null
 ``doc_id`` counts as an empty one for the hold-out rule; equal scores give the
-smaller language; repeated rows are scored alike; an empty table gives no rows.
+smaller language; repeated rows are scored alike; a very long text is read whole,
+into one row of ``SLOTS`` bits; an empty table gives no rows; input columns named as
+an output (in any case) are replaced, others pass whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.runtime import arrow_batches, cut, with_fields
+from tessera.runtime import arrow_batches, column, cut, others, with_fields
 
 #: Columns that n-grams are hashed to.
 SLOTS = 1 << 15
@@ -110,8 +112,8 @@ def held_out(doc_id: Column) -> Column:
 
 def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, list[str]]:
     """Bits of the presence rows, and labels, of the sample. Texts are turned to bits on the executors; only these reach the driver."""
-    usable = docs.filter("lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
-    usable = usable.filter(F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").cast("string").alias("id"), "lang", "text")
+    usable = docs.select(column("doc_id").cast("string").alias("id"), column("lang").cast("string").alias("lang"), column("text").cast("string").alias("text"))
+    usable = usable.filter("lang is not null and text is not null").filter(~held_out(F.col("id"))).filter(F.col("text").rlike(r"\p{L}"))
     counts = cut(usable.groupBy("lang").agg(F.count("*").alias("_n")))
     kinds = counts.limit(rows + 1).count()
     if kinds > rows:
@@ -140,8 +142,8 @@ def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarra
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """All columns of ``docs`` and the predicted language with its score. Runs where the rows are."""
     arrow_batches(docs.sparkSession)
-    docs = docs.drop(lang_col, score_col)
-    place = docs.columns.index(text_col)
+    kept = others(docs, lang_col, score_col)
+    place = [c.lower() for c in kept].index(text_col.lower())
     group = 128
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +161,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", lang_col:
                     langs[i], scores[i] = model.languages[k], p
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, lang_col, score_col])
 
-    typed = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    typed = docs.select(*[column(c).cast("string").alias(c) if i == place else column(c) for i, c in enumerate(kept)])
     return typed.mapInArrow(run, with_fields(typed, **{lang_col: "string", score_col: "double"}))
 
 

@@ -11,8 +11,9 @@ digests are broadcast; documents are never shuffled.
 
 Defined cases: a null text has a null digest and no licence; a text that is empty
 after canonicalisation has the digest of the empty string, which no licence has;
-repeated rows are scanned alike; two known texts of one digest give the smaller
-name; an empty table gives no rows; input columns named as an output are replaced.
+a very long text is one row's work; repeated rows are scanned alike; two known texts
+of one digest give the smaller name; an empty table gives no rows; input columns
+named as an output (in any case) are replaced, others pass whatever their names.
 """
 
 from __future__ import annotations
@@ -21,23 +22,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.license_texts import KNOWN_NOTICES, KNOWN_TEXTS
+from tessera.runtime import column, join_few, set_apart
 
-#: Equivalent spellings, applied in this order to text without punctuation.
+#: Equivalent spellings (those of the matching guidelines for licence lists), applied in this order to text without punctuation.
 SPELLINGS = (
-    ("licenc", "licens"),
-    ("acknowledgement", "acknowledgment"),
-    ("judgement", "judgment"),
-    ("(author|organ|initial|recogn|util|custom|minim|real)is(e|ing|ation)", "$1iz$2"),
-    ("(behavi|fav|hon|endeav)our", "$1or"),
+    ("licenc|sub licens", "licens"),
+    ("(acknowled|jud)gement", "$1gment"),
+    ("(anal|catal)ogue", "$1og"),
+    ("analyse", "analyze"),
+    ("artefact", "artifact"),
+    ("(author|capital|categor|emphas|organ|initial|maxim|minim|optim|real|recogn|util|custom)is(e|ing|ation)", "$1iz$2"),
+    ("(behavi|fav|hon|endeav|lab)our", "$1or"),
+    ("(cancel|label|model|signal)l(ed|ing)", "$1$2"),
+    (" (cent|calib)re", " $1er"),
+    ("(off|def)ence", "$1ense"),
+    ("practise", "practice"),
+    (" programme ", " program "),
+    (" wilful", " willful"),
     (" whilst ", " while "),
-    (" fulfil ", " fulfill "),
+    (" fulfil(|ment|s) ", " fulfill$1 "),
     (" merchantibility ", " merchantability "),
     (" noninfringment ", " noninfringement "),
+    (" non commercial ", " noncommercial "),
+    (" per cent ", " percent "),
+    (" copyright owner", " copyright holder"),
     (" https ", " http "),
 )
 #: How a copyright line starts.
 COPYRIGHT_LINE = r"^(copyright|©|c copyright|portions copyright|all rights reserved$)"
-#: Known texts up to so many are broadcast (a digest and a name each).
+#: Tables of known texts up to so many rows are broadcast (a digest and a name each); larger ones are joined by digest and salt.
 BROADCAST_TEXTS = 100_000
 
 
@@ -64,16 +77,16 @@ def license_scan(docs: DataFrame, *, text_col: str = "text", texts: dict[str, st
     spark = docs.sparkSession
     texts, notices = KNOWN_TEXTS if texts is None else texts, KNOWN_NOTICES if notices is None else notices
     known = known_digests(spark, {**texts, **notices})
-    if len(texts) + len(notices) <= BROADCAST_TEXTS:
-        known = F.broadcast(known)
     notice_rows = known_digests(spark, notices).collect()  # as many as the caller gave
-    added = ["digest", "license_id", "notice_ids", "n_notice_lines"]
-    df = docs.drop(*[c for c in added if c in docs.columns])
-    columns = df.columns
-    df = df.withColumn("_lines", canonical_lines(F.col(text_col)))
+    df = set_apart(docs, "digest", "license_id", "notice_ids", "n_notice_lines", _lines=canonical_lines(column(text_col).cast("string")))
     df = df.withColumn("digest", F.md5(F.array_join("_lines", " ")))
-    df = df.withColumn("_notices", F.filter(F.transform("_lines", F.md5), lambda d: d.isin([r["digest"] for r in notice_rows])))
-    name = F.create_map(*[F.lit(x) for r in notice_rows for x in (r["digest"], r["license_id"])])
-    ids = F.array_sort(F.array_distinct(F.transform("_notices", lambda d: name[d])))
-    df = df.join(known, "digest", "left")
-    return df.select(*columns, "digest", "license_id", F.coalesce(ids, F.array().cast("array<string>")).alias("notice_ids"), F.coalesce(F.size("_notices"), F.lit(0)).cast("long").alias("n_notice_lines"))
+    digests = F.transform("_lines", F.md5)
+    # The set of known notices is hashed once a row, whatever its size; lines of one kind count each time.
+    met = F.array_intersect(digests, F.array(*[F.lit(r["digest"]) for r in notice_rows]).cast("array<string>"))
+    df = df.withColumn("_met", met)
+    df = df.withColumn("_times", F.when(F.size("_met") > 0, F.size(F.filter(digests, lambda d: F.array_contains("_met", d)))).otherwise(0))
+    name = F.create_map(*[F.lit(x) for r in notice_rows for x in (r["digest"], r["license_id"])]).cast("map<string,string>")
+    ids = F.array_sort(F.array_distinct(F.transform("_met", lambda d: name[d])))
+    df = df.select("row", "digest", F.coalesce(ids, F.array().cast("array<string>")).alias("_ids"), "_times")
+    df = join_few(df, known, "digest", BROADCAST_TEXTS, "left")
+    return df.select("row.*", "digest", "license_id", F.col("_ids").alias("notice_ids"), F.coalesce("_times", F.lit(0)).cast("long").alias("n_notice_lines"))

@@ -5,16 +5,22 @@ rows, gets the repetition rate ``epochs * w / p``. Each document's count comes f
 inverting the Poisson distribution with that mean at a uniform number hashed from
 the seed and ``doc_id``, so a rerun, on whatever cluster, draws the same counts. The
 copies are then dealt out over all partitions in the order of a second hash: a
-global shuffle.
+global shuffle. The hash is uniform, so its value names the partition and no rows
+are sampled for bounds.
+
+A rate above ``BLOCK_RATE`` is drawn as a sum of Poisson numbers of equal, smaller
+rates (which is a Poisson number of the whole rate), so tables of probabilities and
+arrays of copies are bounded whatever the rate.
 
 Default targets temper the sources' own shares: w is proportional to
 ``rows ** temper``. Given weights are normalised over the sources present; sources
 without a given weight get none.
 
 Defined cases: null sources form one source of their own (weight key None); a null
-``doc_id`` hashes as an empty string; repeated rows draw the same count each; null
-texts are rows like any other; columns ``copy`` and ``shuffle_key`` of the input
-are replaced; an empty table gives no rows.
+``doc_id`` hashes as an empty string; repeated rows draw the same count each; null,
+empty and very long texts are rows like any other; columns named ``copy`` or
+``shuffle_key`` (in any case) are replaced, other columns pass whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,11 +28,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import cut
+from tessera.runtime import column, cut, join_few, others, partitions_for
 
-#: Source tables up to so many rows are broadcast; larger ones are joined by a salted key.
+#: Source tables up to so many rows (a table of at most 155 probabilities each, 12 MB) are broadcast.
 BROADCAST_SOURCES = 10_000
-SALTS = 32
+#: The largest rate that is drawn by one number; the copies drawn by the second number start at COPY_STEP + 1, and so on.
+BLOCK_RATE = 50.0
+COPY_STEP = 1000
+#: Blocks that one array holds while they are exploded.
+CHUNK = 4096
 
 
 def uniform(seed: str, *columns: Column) -> Column:
@@ -63,19 +73,23 @@ def source_rates(docs: DataFrame, *, weights: dict[str | None, float] | None, te
 
 
 def mix_sources(docs: DataFrame, *, weights: dict[str | None, float] | None = None, temper: float = 0.5, epochs: float = 1.0, seed: str = "mix-1") -> DataFrame:
-    """Rows of ``docs`` as often as drawn, with ``copy`` (from 1) and ``shuffle_key``, in globally shuffled order."""
-    docs = docs.drop("copy", "shuffle_key")
-    rates = source_rates(docs, weights=weights, temper=temper, epochs=epochs)
-    tables = rates.select(F.col("source").alias("_source"), poisson_table(F.col("rate")).alias("_cdf"))
-    if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(tables), docs["source"].eqNullSafe(F.col("_source")))
-    else:
-        salted = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-        spread = tables.withColumn("_salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        joined = salted.join(spread, salted["source"].eqNullSafe(spread["_source"]) & (F.col("_salt") == F.col("_salt2"))).drop("_salt", "_salt2")
-    u = uniform(seed, F.col("doc_id"))
-    drawn = joined.withColumn("_u", u).withColumn("_count", F.size(F.filter("_cdf", lambda p: p <= F.col("_u"))))
-    copies = drawn.filter("_count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
-    keyed = copies.withColumn("shuffle_key", uniform(seed + "-order", F.col("doc_id"), F.col("copy")))
-    kept = keyed.drop("_source", "_cdf", "_u", "_count")
-    return kept.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    """Rows of ``docs`` as often as drawn, with ``copy`` and ``shuffle_key``, in globally shuffled order.
+
+    ``copy`` is 1, 2, ... for rates up to ``BLOCK_RATE``; above, copies of each further block start from the next multiple of ``COPY_STEP``.
+    """
+    columns = others(docs, "copy", "shuffle_key")
+    apart = docs.select(column("source").alias("source"), column("doc_id").alias("doc_id"), F.struct(*map(column, columns)).alias("row"))
+    rates = source_rates(apart.select("source"), weights=weights, temper=temper, epochs=epochs)
+    blocks = F.greatest(F.ceil(F.col("rate") / BLOCK_RATE), F.lit(1)).cast("long")
+    tables = rates.withColumn("blocks", blocks).select("source", "blocks", poisson_table(F.col("rate") / F.col("blocks")).alias("cdf"))
+    joined = join_few(apart, tables, "source", BROADCAST_SOURCES)
+    first = joined.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1, F.lit(CHUNK).cast("long"))))
+    block = first.withColumn("block", F.explode(F.sequence("first", F.least(F.col("first") + (CHUNK - 1), F.col("blocks") - 1))))
+    u = F.when(F.col("block") == 0, uniform(seed, F.col("doc_id"))).otherwise(uniform(seed + "-block", F.col("doc_id"), F.col("block")))
+    drawn = block.withColumn("u", u).withColumn("count", F.size(F.filter("cdf", lambda p: p <= F.col("u"))))
+    copies = drawn.filter("count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count"))))
+    copies = copies.withColumn("copy", (F.col("block") * COPY_STEP + F.col("copy")).cast("long"))
+    keyed = copies.select("row", "copy", uniform(seed + "-order", F.col("doc_id"), F.col("copy")).alias("shuffle_key"))
+    parts = max(1, round(partitions_for(docs) * max(epochs, 1.0)))
+    dealt = keyed.repartitionById(parts, F.least(F.floor(F.col("shuffle_key") * parts), F.lit(parts - 1)).cast("int"))
+    return dealt.sortWithinPartitions("shuffle_key").select("row.*", F.col("copy"), F.col("shuffle_key"))

@@ -2,7 +2,8 @@
 
 from tessera.llm.license_scan import COPYRIGHT_LINE, SPELLINGS
 from tessera.llm.license_texts import KNOWN_NOTICES, KNOWN_TEXTS
-from tessera.llm.quality_rules import CLOSERS, LINE_ENDS, MENU_MARK, SHOUT_MARK, STOCK_PHRASES
+from tessera.llm.line_dedup import RATIO
+from tessera.llm.quality_rules import CLOSERS, CUT_OFF, DATE, LINE_ENDS, LINK_STARTS, MENU_MARK, NOTICE_STARTS, SHOUT_MARK, STOCK_PHRASES
 
 
 def _quote(text: str) -> str:
@@ -24,6 +25,9 @@ rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM dup, (SELECT unnest([0, 1
 line AS (SELECT doc_id, l, regexp_replace(l, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS x FROM (SELECT doc_id, unnest(ls) AS l FROM w)),
 good AS (SELECT doc_id, sum(length(l)) AS chars, sum(length(l)) FILTER (
            regexp_matches(x, {_quote("[" + LINE_ENDS + "][" + CLOSERS.replace("]", chr(92) + "]") + "]*$")})
+           AND NOT regexp_matches(x, {_quote(CUT_OFF.replace(".", chr(92) + ".") + "[" + CLOSERS.replace("]", chr(92) + "]") + "]*$")})
+           AND NOT regexp_matches(x, {_quote(DATE)})
+           AND NOT ({" OR ".join(f"starts_with(lower(x), {_quote(start)})" for start in (*LINK_STARTS, *NOTICE_STARTS))})
            AND NOT length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) > 0.05 * length(x)
            AND NOT {_COUNT.format("x", _quote(MENU_MARK))} > 2
            AND NOT {_COUNT.format("x", _quote(SHOUT_MARK))} > 2
@@ -73,15 +77,15 @@ p AS (SELECT source, k, exp(-rate + k * ln(rate) - CASE WHEN k < 2 THEN 0 ELSE l
 c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p),
 u AS (SELECT *, {_U.format("'mix-1:' || coalesce(doc_id::VARCHAR, '')")} AS u FROM documents),
 x AS (SELECT u.doc_id, count(*) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.cdf <= u.u GROUP BY u.doc_id),
-y AS (SELECT d.*, unnest(range(1, x.n + 1))::INTEGER AS copy FROM documents d JOIN x USING (doc_id))
+y AS (SELECT d.*, unnest(range(1, x.n + 1))::BIGINT AS copy FROM documents d JOIN x USING (doc_id))
 SELECT *, {_U.format("'mix-1-order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy::VARCHAR")} AS shuffle_key FROM y
 """
 
-OP7 = r"""
+OP7 = rf"""
 WITH d AS (SELECT *, string_split(text, chr(10)) AS ls FROM documents),
 key AS (SELECT doc_id, coalesce(source, chr(0)) AS host, unnest(list_distinct(list_transform(ls, lambda x: trim(regexp_replace(x, '[\t\r\x0B\f]', ' ', 'g'))))) AS k FROM d),
 tot AS (SELECT coalesce(source, chr(0)) AS host, count(*) AS total FROM documents GROUP BY 1),
-bad AS (SELECT host, k FROM (SELECT host, k, count(*) AS n FROM key WHERE k <> '' GROUP BY ALL) JOIN tot USING (host) WHERE n >= 3 AND n > 0.1 * total),
+bad AS (SELECT host, k FROM (SELECT host, k, count(*) AS n FROM key WHERE k <> '' GROUP BY ALL) JOIN tot USING (host) WHERE n >= 3 AND n > {RATIO}::DOUBLE * total),
 sets AS (SELECT host, list(k) AS ks FROM bad GROUP BY host),
 e AS (SELECT d.*, CASE WHEN ks IS NULL THEN ls ELSE list_filter(ls, lambda x: NOT list_contains(ks, trim(regexp_replace(x, '[\t\r\x0B\f]', ' ', 'g')))) END AS kept
       FROM d LEFT JOIN sets ON coalesce(d.source, chr(0)) = sets.host)

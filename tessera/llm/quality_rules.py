@@ -1,18 +1,19 @@
 """Line-first quality rules.
 
-Each line is judged alone: it must end a sentence (punctuation), must not be a
-menu (navigation), and must not be symbols, capitals or a stock phrase
-(boilerplate). Failing lines are removed; a document that loses more than
-``max_lost`` of its characters is rejected. Repetition inside a document is judged
-by its 5-word windows.
+Each line is judged alone: it must end a sentence (punctuation; three dots at the
+end mark a cut-off teaser), must not be a menu or a link (navigation), and must not
+be symbols, capitals, a date, a copyright line or a stock phrase (boilerplate).
+Failing lines are removed; a document that loses more than ``max_lost`` of its
+characters is rejected. Repetition inside a document is judged by its 5-word windows.
 
 All of it is column expressions over a row's own arrays: nothing is shuffled, and a
 very long text costs n log n.
 
 Defined cases: a null text has no words, fails the base rules and keeps a null
-cleaned text; blank lines count as neither kept nor lost; each row is judged by
-itself, so ties and repeated rows change nothing; an empty table gives no rows;
-input columns named as an output are replaced.
+cleaned text; an empty text keeps an empty one; blank lines count as neither kept nor
+lost; each row is judged by itself, so ties and repeated rows change nothing; an
+empty table gives no rows; input columns named as an output (in any case) are
+replaced, others pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -20,15 +21,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.runtime import column, set_apart
+
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
 
-#: How a sentence may end, what parts menu entries, and stock phrases.
-LINE_ENDS = ".!?…。！？"
+#: How a sentence may end, how a cut-off one does, what parts menu entries, and how links and notices start.
+LINE_ENDS = ".!?。！？"
+CUT_OFF = "..."
 CLOSERS = "\"'”’»)]"
 MENU_MARK = r" [|»›•·>] "
 SHOUT_MARK = r"!!"
+LINK_STARTS = ("http://", "https://", "www.")
+NOTICE_STARTS = ("©", "(c) ", "copyright ", "alle rechte", "tous droits", "todos los derechos")
+DATE = r"^[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}[.]?$"
+#: Stock phrases of pages, in English, German, French and Spanish.
 STOCK_PHRASES = (
     "lorem ipsum",
     "enable javascript",
@@ -43,17 +51,41 @@ STOCK_PHRASES = (
     "click here",
     "share this",
     "skip to content",
+    "javascript aktivieren",
+    "verwendet cookies",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "alle rechte vorbehalten",
+    "hier klicken",
+    "zum inhalt springen",
+    "activer javascript",
+    "utilise des cookies",
+    "politique de confidentialité",
+    "conditions d'utilisation",
+    "tous droits réservés",
+    "cliquez ici",
+    "aller au contenu",
+    "activar javascript",
+    "utiliza cookies",
+    "política de privacidad",
+    "términos de uso",
+    "todos los derechos reservados",
+    "haga clic aquí",
+    "saltar al contenido",
 )
 
 
 def line_passes(line: Column, low: Column, *, max_symbols: float = 0.05, max_marks: int = 2) -> Column:
     """The three kinds of line rules for a trimmed, non-blank line and its lower-case form."""
-    ends = F.right(F.rtrim(line, F.lit(CLOSERS)), F.lit(1)).isin(*LINE_ENDS)
+    bare = F.rtrim(line, F.lit(CLOSERS))
+    ends = F.right(bare, F.lit(1)).isin(*LINE_ENDS) & ~F.endswith(bare, F.lit(CUT_OFF))
     menu = F.regexp_count(line, F.lit(MENU_MARK)) > max_marks
     symbols = F.regexp_count(line, F.lit(SYMBOLS)) > max_symbols * F.length(line)
     capitals = (low != line) & (F.length(line) >= 12) & (F.upper(line) == line)
     shouts = F.regexp_count(line, F.lit(SHOUT_MARK)) > max_marks
-    stock = F.lit(False)
+    stock = (F.length(line) <= 12) & line.rlike(DATE)
+    for start in (*LINK_STARTS, *NOTICE_STARTS):
+        stock = stock | F.startswith(low, F.lit(start))
     for phrase in STOCK_PHRASES:
         stock = stock | F.contains(low, F.lit(phrase))
     return ends & ~symbols & ~menu & ~shouts & ~capitals & ~stock
@@ -62,10 +94,9 @@ def line_passes(line: Column, low: Column, *, max_symbols: float = 0.05, max_mar
 def quality_rules(docs: DataFrame, *, text_col: str = "text", max_lost: float = 0.5, min_words: int = 10, max_repeated: int = 20) -> DataFrame:
     """``docs`` with word counts, ``cleaned`` text, ``lost`` (share of characters) and the verdicts ``base_failed`` and ``kept``."""
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "cleaned", "lost", "base_failed", "kept"]
-    df = docs.drop(*[c for c in added if c in docs.columns])
-    columns = df.columns
+    df = set_apart(docs, *added, _given=column(text_col).cast("string"))
     # Each array is a column of its own, so that no lambda computes it again for each element.
-    df = df.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    df = df.withColumn("_text", F.coalesce("_given", F.lit("")))
     df = df.withColumn("_words", F.array_remove(F.split("_text", SPACE + "+"), ""))
     df = df.withColumn("_hash", F.transform("_words", lambda w: F.xxhash64(w)))
     starts = F.slice("_hash", 1, F.greatest(F.size("_hash") - (WINDOW - 1), F.lit(0)))
@@ -93,7 +124,7 @@ def quality_rules(docs: DataFrame, *, text_col: str = "text", max_lost: float =
             "n_symbols": F.regexp_count("_text", F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"),
             "n_repeat_words": n_repeat,
-            "cleaned": F.when(F.col(text_col).isNotNull(), F.array_join("_good", "\n")),
+            "cleaned": F.when(F.col("_given").isNotNull(), F.array_join("_good", "\n")),
             "lost": F.when(F.col("_all_chars") > 0, 1 - F.col("_good_chars") / F.col("_all_chars")).otherwise(F.lit(0.0)),
         }
     )
@@ -102,4 +133,4 @@ def quality_rules(docs: DataFrame, *, text_col: str = "text", max_lost: float =
     # Whole numbers on both sides: no rounding at the threshold.
     keeps = 1000 * F.col("_good_chars").cast("long") >= round(1000 * (1 - max_lost)) * F.col("_all_chars").cast("long")
     df = df.withColumn("kept", ~F.col("base_failed") & keeps)
-    return df.select(*columns, *added)
+    return df.select("row.*", *added)

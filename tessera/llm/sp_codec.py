@@ -12,10 +12,15 @@ they are merged alone; such a step scores 0 and any other is barred. Both give
 the ids of the reference library. Characters outside the vocabulary become byte
 pieces and never join their neighbours.
 
+Models whose text rules differ from those that this module applies (a mark in front,
+spaces as marks, nothing else changed) are refused when they are loaded.
+
 Defined cases: a null text encodes as an empty one (no ids) and decodes to an
 empty text; a literal word mark U+2581 decodes to a space, so that such a text is
-the one kind without an exact round trip; repeated rows are encoded alike; an
-empty table gives no rows; other columns are ignored by the encoder.
+the one kind without an exact round trip; a very long text is one row like any other,
+and batches are bounded in bytes; repeated rows are encoded alike; an empty table
+gives no rows; input columns named as the output (in any case) are replaced, others
+pass whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.word_codes import WordCodes, in_order
-from tessera.runtime import arrow_batches, with_fields
+from tessera.runtime import arrow_batches, column, others, with_fields
 
 MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -61,6 +66,11 @@ class PieceTable:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        for text in ("a  B\tc\n", " é e\u0301 ﬁ Ⅷ "):
+            if model.decode(model.encode(text)) != text:
+                raise ValueError(f"{path}: a model that normalises its texts")
+        if model.encode("a") != [model.piece_to_id(MARK + "a")] and model.encode("a", out_type=str)[:1] != [MARK]:
+            raise ValueError(f"{path}: a model without a mark in front of texts")
         size = len(model)
         self.pieces = [model.id_to_piece(i) for i in range(size)]
         self.unknown = model.unk_id()
@@ -284,9 +294,8 @@ def encode(docs: DataFrame, *, text_col: str = "text", ids_col: str = "piece_ids
     """All columns of ``docs`` and the ids of the text. Runs where the rows are; nothing is shuffled."""
     arrow_batches(docs.sparkSession)
     model = model or default_model()
-    if ids_col in docs.columns:
-        docs = docs.drop(ids_col)
-    place = docs.columns.index(text_col)
+    kept = others(docs, ids_col)
+    place = [c.lower() for c in kept].index(text_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,16 +304,16 @@ def encode(docs: DataFrame, *, text_col: str = "text", ids_col: str = "piece_ids
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids_col])
         release(model)
 
-    docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    return docs.mapInArrow(run, with_fields(docs, **{ids_col: "array<int>"}))
+    typed = docs.select(*[column(c).cast("string").alias(c) if i == place else column(c) for i, c in enumerate(kept)])
+    return typed.mapInArrow(run, with_fields(typed, **{ids_col: "array<int>"}))
 
 
 def decode(tokens: DataFrame, *, ids_col: str = "piece_ids", text_col: str = "decoded", model: str | None = None) -> DataFrame:
     """All columns of ``tokens`` and the text of the ids (null ids: an empty text)."""
     arrow_batches(tokens.sparkSession)
     model = model or default_model()
-    tokens = tokens.drop(text_col) if text_col in tokens.columns else tokens
-    place = tokens.columns.index(ids_col)
+    tokens = tokens.select(*map(column, others(tokens, text_col)))
+    place = [c.lower() for c in tokens.columns].index(ids_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,5 +345,5 @@ def round_trip(docs: DataFrame, *, model: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(crcs, pa.int64()), pa.array(exact, pa.bool_())], ["doc_id", "n_tokens", "ids_crc32", "exact"])
         release(model)
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = docs.select(column("doc_id").cast("long").alias("doc_id"), column("text").cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, exact boolean")

@@ -12,11 +12,11 @@ from compare import assert_same
 
 import corpus_pipeline
 from tessera.llm import hnsw, langid, line_dedup, minhash_join, mixing, sp_codec, token_files
-from tessera.llm.feistel_shards import feistel_shards, permute
+from tessera.llm.feistel_shards import _round_keys, feistel_shards, permute
 from tessera.llm.license_scan import license_scan
 from tessera.llm.license_texts import KNOWN_TEXTS
 from tessera.llm.line_dedup import dedup_lines
-from tessera.llm.minhash_join import choose_bands, jaccard_groups, link_block, shingles, words_of
+from tessera.llm.minhash_join import choose_bands, jaccard_groups, link_block, shingles, unlike_rows, words_of
 from tessera.llm.mixing import mix_sources
 from tessera.llm.oracles import ORACLES
 from tessera.llm.quality_rules import quality_rules
@@ -123,6 +123,22 @@ def test_hnsw_query_recall(spark, sf_dir):
         assert abs(r.score - float(vectors[place[r.query_id]] @ vectors[place[r.vec_id]])) < 1e-12
 
 
+def test_hnsw_recall_on_shards_larger_than_the_search(spark):
+    draw = np.random.default_rng(8)
+    v = (draw.normal(size=(40, 24))[draw.integers(0, 40, 16_000)] + draw.normal(size=(16_000, 24))) * draw.uniform(0.5, 2, size=(16_000, 1))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in hnsw.nearest(df, df.filter("vec_id % 20 = 0"), k=20).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(got) == 800 and {len(x) for x in got.values()} == {20}
+    ids, hits = np.arange(16_000), 0
+    for q, found in got.items():
+        s = v @ v[q]
+        s[q] = -np.inf
+        hits += len(set(found) & set(ids[np.argsort(-s)[:20]].tolist()))
+    assert hits >= 0.95 * 20 * len(got)  # 2,000 vectors a shard, 160 wide
+
+
 def test_hnsw_graph_of_one_shard():
     draw = np.random.default_rng(3)
     v = draw.normal(size=(3000, 16)) * draw.uniform(0.5, 2, size=(3000, 1))
@@ -165,6 +181,29 @@ def test_shards(spark, sf_dir):
     assert rows and sorted(rows) == sorted(QUERIES["op4_feistel_shards"](spark, sf_dir).collect())
 
 
+def scalar_place(number, n, seed, rounds=6):
+    """The Feistel network on Python numbers."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    keys, mask, word = _round_keys(seed, rounds).tolist(), (1 << half) - 1, (1 << 64) - 1
+    while True:
+        left, right = number >> half, number & mask
+        for key in keys:
+            f = (right + key) * 0xFF51AFD7ED558CCD & word
+            f ^= f >> 32
+            left, right = right, left ^ ((f * 0xFF51AFD7ED558CCD & word) >> 20 & mask)
+        number = left << half | right
+        if number < n:
+            return number
+
+
+def test_shard_and_slot_are_computable(spark, sf_dir):
+    rows = sorted(QUERIES["op4_feistel_shards"](spark, sf_dir).collect(), key=lambda r: r.row_number)
+    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows) and [r.row_number for r in rows] == list(range(len(rows)))
+    for r in rows:
+        place = scalar_place(r.row_number, len(rows), 20240229)
+        assert (r.shard, r.slot) == (place % 8, place // 8)
+
+
 def test_shards_edge_cases(spark):
     rows = feistel_shards(odd_docs(spark)).collect()
     assert len(rows) == 7 and {r.doc_id: r.size for r in rows}[1] == 1 and {r.doc_id: r.text_crc32 for r in rows}[1] == 0
@@ -218,7 +257,7 @@ def near_copies(n, seed, words=80):
 
 
 def test_jaccard_groups_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(minhash_join, "BLOCK", 16)  # so that one set needs several blocks
+    monkeypatch.setattr(minhash_join, "LEAST_TEXTS", 16)  # so that one set needs several blocks
     texts = near_copies(90, 1) + near_copies(5, 2) + near_copies(3, 3, words=6) + ["one two", "One  two", "one two three", "", "  ", "a b c d e"]
     table = dict(enumerate(texts, start=10))
     got = {r.doc_id: r for r in jaccard_groups(docs(spark, [(i, t, None, None, None) for i, t in table.items()])).collect()}
@@ -226,6 +265,24 @@ def test_jaccard_groups_equal_brute_force(spark, monkeypatch):
     assert {i: (r.class_id, r.n_links, r.text_id) for i, r in got.items()} == want
 
 
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_jaccard_links_between_texts_of_one_id(spark, monkeypatch, most):
+    monkeypatch.setattr(minhash_join, "BROADCAST_SETS", most)
+    monkeypatch.setattr(minhash_join, "LEAST_TEXTS", 8)
+    a, b, near_b = near_copies(1, 11)[0], "x " + near_copies(1, 12)[0], "y " + near_copies(1, 12)[0]
+    family = near_copies(40, 13)
+    rows = [(5, a), (5, b), (7, b), (8, near_b), (None, near_b + " z"), (None, "alone " + a[:40]), (9, None), (9, "")] + [(100 + i, t) for i, t in enumerate(family)]
+    got = [(r.doc_id, r.class_id, r.n_links, r.n_copies) for r in jaccard_groups(docs(spark, [(i, t, None, None, None) for i, t in rows])).collect()]
+    assert sorted(x for x in got if x[0] in (5, 7, 8)) == [(5, 5, 0, 1), (5, 5, 2, 2), (7, 5, 2, 2), (8, 5, 2, 1)]
+    assert sorted((x[1:] for x in got if x[0] is None), key=str) == [(5, 2, 1), (None, 0, 1)]
+    assert [x for x in got if x[0] == 9] == [(9, 9, 0, 1)] * 2
+    want = brute_groups({100 + i: t for i, t in enumerate(family)})
+    assert {x[0]: x[1:3] for x in got if x[0] and x[0] >= 100} == {i: (c, n) for i, (c, n, _) in want.items()}
+    kept = unlike_rows(docs(spark, [(i, t, None, f"s{k}", None) for k, (i, t) in enumerate(rows)])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id and r.doc_id < 9) == sorted([(5, a), (5, b)])
+    assert sorted(str(r.text) for r in kept if r.doc_id == 9) == ["", "None"] and [r.text for r in kept if r.doc_id is None] == ["alone " + a[:40]]
+
+
 def test_jaccard_query_equals_brute_force(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = {r.doc_id: (r.class_id, r.n_links, r.text_id) for r in QUERIES["op5_jaccard_join"](spark, sf_dir).collect()}
@@ -234,14 +291,15 @@ def test_jaccard_query_equals_brute_force(spark, sf_dir):
 
 def test_link_block_counts_pairs_across_only():
     sets = [shingles(words_of(t)) for t in near_copies(6, 5)]
-    ids, side = np.arange(6), np.array([0, 0, 0, 1, 1, 1])
-    _, across = link_block(ids, sets, side, 0.1)
-    assert across.tolist() == [3] * 6
+    roots, links = link_block(sets, np.array([0, 0, 0, 1, 1, 1]), 0.1)
+    assert links.tolist() == [3] * 6 and roots.tolist() == [0] * 6
+    roots, links = link_block([*sets, shingles(["other"])], np.zeros(7, int), 0.1)
+    assert links.tolist() == [5] * 6 + [0] and roots.tolist() == [0] * 6 + [6]
 
 
 def test_jaccard_edge_cases(spark):
     rows = jaccard_groups(odd_docs(spark)).collect()
-    assert len(rows) == 7 and [r.class_id for r in rows if r.doc_id is None] == [None]
+    assert len(rows) == 7 and [(r.class_id, r.n_links) for r in rows if r.doc_id is None] == [(None, 0)]
     assert {r.class_id for r in rows if r.doc_id == 4} == {4} and {r.n_copies for r in rows if r.doc_id == 4} == {2}
     assert jaccard_groups(docs(spark, [])).count() == 0
 
@@ -265,6 +323,9 @@ def test_mixing_is_reproducible_and_shuffled(spark, sf_dir):
 def test_mixing_large_rates_and_many_sources(spark, monkeypatch):
     big = mix_sources(docs(spark, [(i, "t", "en", "s", 1) for i in range(5)]), epochs=1500.0).groupBy("doc_id").count().collect()
     assert len(big) == 5 and all(abs(r["count"] - 1500) < 250 for r in big)
+    one = mix_sources(docs(spark, [(1, "t", "en", "rare", 1)]), epochs=400_000.0)
+    n, distinct, top = one.selectExpr("count(*)", "count(distinct copy)", "max(copy)").first()
+    assert n == distinct and abs(n - 400_000) < 4000 and top > 7_000_000
     rows = docs(spark, [(i, "t", "en", f"s{i % 7}", 1) for i in range(200)])
     want = sorted((r.doc_id, r.copy) for r in mix_sources(rows).collect())
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
@@ -417,6 +478,28 @@ def test_language_scores_equal_the_kernel_form():
     assert [model.languages[i] for i in model.scores(found).argmax(axis=1)] == ["en", "fr", "en", "fr", "de"]
 
 
+def test_language_query_equals_plain_kernels(spark, sf_dir):
+    """Every prediction again, from slots of n-grams in Python sets and one kernel value at a time."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    packed, labels = langid.training_sample(table)
+    model = langid.fit(packed, labels)
+    weights = model.weights.astype(np.float64)
+    texts = {r.doc_id: r.text for r in table.collect()}
+    for r in QUERIES["op9_language_id"](spark, sf_dir).collect():
+        slots = set()
+        for n in range(1, langid.LONGEST + 1):
+            for at in range(len(texts[r.doc_id].lower()) - n + 1):
+                slots.add(texts[r.doc_id].lower()[at : at + n])
+        row = np.zeros(langid.SLOTS, bool)
+        for gram in slots:
+            one = np.zeros(langid.SLOTS, bool)
+            langid.presence(gram, one)
+            row |= one
+        out = sum(weights[k] for k in np.flatnonzero(row)) / np.sqrt(row.sum())
+        sure = 1 / np.exp(3 * (out - out.max())).sum()
+        assert r.lang_pred == model.languages[int(out.argmax())] and abs(r.score - sure) < 1e-3
+
+
 def test_language_edge_cases(spark):
     rows = langid.identify(odd_docs(spark).withColumnRenamed("n_chars", "score")).collect()
     assert {r.doc_id: r.lang_pred for r in rows}[1] == "und" and {r.doc_id: r.lang_pred for r in rows}[6] == "und" and len(rows) == 7
@@ -442,6 +525,16 @@ def test_pieces_equal_the_library(spark, sf_dir):
         assert sp_codec.decode_ids(ids[a:b], path) == text
 
 
+def test_piece_query_equals_the_library(spark, sf_dir):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=sp_codec.default_model())
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in QUERIES["op10_sentencepiece"](spark, sf_dir).collect():
+        ids = model.encode(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_crc32, r.exact) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
+
+
 def test_unigram_viterbi_equals_brute_force():
     table = sp_codec.PieceTable(sp_codec.default_model())
     table.by_rank, table.score = False, -1.0 - np.log1p(np.arange(len(table.pieces)))
@@ -469,6 +562,42 @@ def test_encode_decode_tables(spark):
     assert sp_codec.encode(odd_docs(spark).withColumnRenamed("n_chars", "piece_ids")).count() == 7
 
 
+# --- names
+
+
+NAMES = """_text _words _lines _good _given row ROW N_WORDS Kept _notices _met DIGEST digest license_ID _source _cdf _u _count COPY first block blocks cdf count _host HOST split kept rest hits lines N_DROPPED _salt _other Score lang_PRED
+PIECE_IDS extra raw _key none shuffle_key size place a.b""".split()
+OPERATORS = {
+    "op1": (quality_rules, {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "cleaned", "lost", "base_failed", "kept"}),
+    "op2": (license_scan, {"digest", "license_id", "notice_ids", "n_notice_lines"}),
+    "op6": (lambda d: mix_sources(d, epochs=30.0), {"copy", "shuffle_key"}),
+    "op7": (dedup_lines, {"n_dropped"}),
+    "op9": (langid.identify, {"lang_pred", "score"}),
+    "op10": (sp_codec.encode, {"piece_ids"}),
+    "unlike": (unlike_rows, set()),
+    **{name: (lambda d, f=stage: f(d.sparkSession, d, ""), set()) for name, stage in corpus_pipeline.STAGES[:4]},
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_columns_of_any_name_pass(spark, name):
+    run, added = OPERATORS[name]
+    unique = list({n.lower(): n for n in NAMES}.values())
+    table = docs(spark, [(i, f"Some words of text {i}.\nOne more line of it {i % 3}.", "en" if i % 2 else "fr", "s", 9) for i in range(12)])
+    for at in range(2):
+        wide = table.selectExpr("*", *[f"concat('{n}', doc_id) AS `{n if at else n.swapcase()}`" for n in unique])
+        out = run(wide)
+        stay = [c for c in wide.columns if c.lower() not in added]
+        assert out.columns[: len(stay)] == stay and {c.lower() for c in out.columns} == {c.lower() for c in wide.columns} | added
+        rows = out.collect()
+        assert len(rows) > 0
+        for r in rows:
+            value = dict(zip(out.columns, r, strict=True))
+            for n in unique:
+                if n.lower() not in added:
+                    assert value[n if at else n.swapcase()] == f"{n}{value['doc_id']}"
+
+
 # --- pipeline
 
 
