@@ -7,8 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters that decompose to an ASCII letter and marks, by rule.
-_MARKED = "".join(c for c in map(chr, range(0xC0, 0x1F00)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0] < "\x80" and all(map(unicodedata.combining, d[1:])))
+#: Letters of all scripts in the basic plane that decompose to a letter and marks, by rule.
+_MARKED = "".join(c for c in map(chr, range(0xC0, 0xD800)) if len(d := unicodedata.normalize("NFD", c)) > 1 and all(map(unicodedata.combining, d[1:])))
 _BASE = "".join(unicodedata.normalize("NFD", c)[0] for c in _MARKED)
 
 SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z(])"
@@ -21,8 +21,8 @@ def strip_space(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(text), _MARKED, _BASE)
+    """Lower case without diacritics, be they part of a letter or marks behind it."""
+    return F.regexp_replace(F.translate(F.lower(text), _MARKED, _BASE), r"\p{M}+", "")
 
 
 def tokenize(text: Column) -> Column:
@@ -38,9 +38,14 @@ def split_units(text: Column, strategy: str = "sentence") -> Column:
     return F.filter(F.transform(parts, strip_space), lambda x: x != "")
 
 
-def snippet(text: Column, terms: Column, width: int = 160, lead: int = 40) -> Column:
-    """A window that starts ``lead`` before the first query term found, in query order; else the head."""
-    places = F.filter(F.transform(terms, lambda t: F.instr(F.lower(text), t)), lambda p: p > 0)
+def raw_words(text: Column) -> Column:
+    """What stands between white space."""
+    return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
+
+
+def snippet(text: Column, words: Column, width: int = 160, lead: int = 40) -> Column:
+    """A window that starts ``lead`` before the first query word found as it is written (but for case), in query order; else the head."""
+    places = F.filter(F.transform(words, lambda w: F.instr(F.lower(text), F.lower(w))), lambda p: p > 0)
     start = F.greatest(F.coalesce(F.get(places, F.lit(0)), F.lit(1)) - lead, F.lit(1))
     return strip_space(F.substr(text, start, F.lit(width)))
 

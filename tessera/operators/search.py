@@ -1,19 +1,29 @@
 """Full-text search over an inverted index, and rank fusion.
 
-Index: ``postings(term, doc_id, kind, tf)`` and ``doc_stats(doc_id, kind, len)``.
-Queries come as a table ``query_id, text``; one job answers all of them.
+Index: ``postings(namespace, term, doc_id, kind, tf, positions, len)`` and
+``doc_stats(namespace, doc_id, kind, len)``; ``write_index`` keeps postings in files
+sorted by term. Documents come as ``doc_id, kind, text``, queries as ``query_id, text``,
+both with an optional ``namespace``: a query finds documents of its own namespace
+only, ranked by that namespace's statistics. One job answers all queries.
+
+What stands between white space in a query is one item; an item of several tokens
+("well-known") is a phrase, found where its tokens stand side by side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import snippet, tokenize
+from tessera.functions.text import raw_words, snippet, tokenize
+from tessera.runtime import join_few, partitions_for, pin
 
 K1, B = 1.2, 0.75
 #: The floor of a term's weight where it stands in more than half of the documents.
 LEAST_IDF = 1e-6
+#: Tables of query items up to so many rows (some 100 bytes each) are broadcast.
+BROADCAST_ITEMS = 200_000
+NAMED = ["namespace", "doc_id", "kind"]
 
 
 def searchable_text(artifacts: DataFrame) -> DataFrame:
@@ -32,76 +42,125 @@ def searchable_text(artifacts: DataFrame) -> DataFrame:
     return artifacts.select("id", "kind", F.coalesce(value, F.lit("")).alias("text"))
 
 
-def tokens_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, kind, pos, term``"""
-    return docs.select("doc_id", "kind", F.posexplode(tokenize(F.col("text"))).alias("pos", "term"))
+def scoped(df: DataFrame) -> DataFrame:
+    """The table with a namespace, an empty one if it has none."""
+    return df if "namespace" in df.columns else df.withColumn("namespace", F.lit(""))
 
 
 def build_postings(docs: DataFrame) -> DataFrame:
-    return tokens_of(docs).groupBy("term", "doc_id", "kind").agg(F.count("*").alias("tf"))
+    """One row for each term of each document."""
+    tokens = scoped(docs).select(*NAMED, tokenize(F.col("text")).alias("tokens"))
+    each = tokens.select(*NAMED, F.size("tokens").cast("long").alias("len"), F.posexplode("tokens").alias("pos", "term"))
+    return each.groupBy("namespace", "term", "doc_id", "kind", "len").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")).select("namespace", "term", "doc_id", "kind", "tf", "positions", "len")
 
 
 def build_doc_stats(docs: DataFrame) -> DataFrame:
     """Lengths come from the rows themselves: no shuffle."""
-    return docs.select("doc_id", "kind", F.coalesce(F.size(tokenize(F.col("text"))), F.lit(0)).cast("long").alias("len"))
+    return scoped(docs).select(*NAMED, F.coalesce(F.size(tokenize(F.col("text"))), F.lit(0)).cast("long").alias("len"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """``query_id, term, term_no``: distinct terms in the order they first occur."""
-    terms = F.array_distinct(tokenize(F.col("text")))
-    return queries.select("query_id", F.posexplode(terms).alias("term_no", "term"))
+def write_index(docs: DataFrame, path: str) -> None:
+    """Postings and statistics as files; postings are dealt by ranges of terms (and documents, for a common term), so that a query's terms are found by the files' bounds."""
+    order = ["namespace", "term", "doc_id"]
+    build_postings(docs).repartitionByRange(partitions_for(docs), *order).sortWithinPartitions(*order).write.parquet(f"{path}/postings")
+    build_doc_stats(docs).write.parquet(f"{path}/doc_stats")
 
 
-def _scores(terms: DataFrame, postings: DataFrame, doc_stats: DataFrame) -> DataFrame:
-    """``query_id, doc_id, kind, bm25, matched``. Document frequencies are counted at query time, so appended postings need no rewrite."""
-    size = doc_stats.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")).withColumn("_one", F.lit(1))
-    wanted = postings.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df")).withColumn("_one", F.lit(1)).join(F.broadcast(size), "_one")
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats")
+
+
+def query_items(queries: DataFrame) -> DataFrame:
+    """``namespace, query_id, item, terms``: distinct items of each query; ``item`` is its terms joined by spaces."""
+    items = F.transform(raw_words(F.col("text")), lambda w: F.array_join(tokenize(w), " "))
+    items = F.array_distinct(F.filter(items, lambda x: x != ""))
+    return scoped(queries).select("namespace", "query_id", F.explode(items).alias("item")).withColumn("terms", F.split("item", " "))
+
+
+def _wanted(items: DataFrame, postings: DataFrame) -> DataFrame:
+    terms = items.select("namespace", F.explode("terms").alias("term")).distinct()
+    return join_few(postings, terms, ["namespace", "term"], BROADCAST_ITEMS)
+
+
+def _phrases(items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``namespace, item, doc_id, kind, tf, len``: how often the terms of each item stand side by side.
+
+    Candidates come from the places of a phrase's rarest term; only they are looked up for the other terms.
+    """
+    each = items.select("namespace", "item", F.size("terms").alias("need"), F.posexplode("terms").alias("no", "term")).distinct()
+    df = wanted.groupBy("namespace", "term").agg(F.count("*").alias("df"))
+    known = each.join(df, ["namespace", "term"]).groupBy("namespace", "item", "need")
+    rarest = known.agg(F.count("*").alias("met"), F.min_by(F.struct("no", "term"), F.struct("df", "no")).alias("at")).filter("met = need")
+    rarest = pin(rarest.select("namespace", "item", F.col("at.no").alias("no"), F.col("at.term").alias("term")), "rarest")
+    starts = join_few(wanted, rarest, ["namespace", "term"], BROADCAST_ITEMS)
+    starts = starts.select("namespace", "item", "doc_id", "kind", "len", "no", F.explode("positions").alias("pos"))
+    starts = starts.select("namespace", "item", "doc_id", "kind", "len", (F.col("pos") - F.col("no")).alias("start")).filter("start >= 0")
+    asked = join_few(starts, each, ["namespace", "item"], BROADCAST_ITEMS)
+    met = asked.join(wanted.select("namespace", "term", "doc_id", "kind", "positions"), ["namespace", "term", "doc_id", "kind"])
+    met = met.filter(F.array_contains("positions", F.col("start") + F.col("no")))
+    whole = met.groupBy("namespace", "item", "need", "doc_id", "kind", "len", "start").agg(F.count("*").alias("got")).filter("got = need")
+    return whole.groupBy("namespace", "item", "doc_id", "kind", "len").agg(F.count("*").alias("tf")).select("namespace", "item", "doc_id", "kind", "tf", "len")
+
+
+def score(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame, *, kinds: list[str] | None = None, stop_words: list[str] | None = None) -> DataFrame:
+    """``query_id, doc_id, kind, bm25, matched, asked``: BM25 of each document that holds an item, the number of items met and asked for.
+
+    Statistics are over all kinds, and are counted at query time, so appended postings
+    need no rewrite; documents of other kinds than ``kinds`` are left out before they are scored.
+    """
+    items = query_items(queries)
+    if stop_words is not None:
+        items = items.filter(~F.col("item").isin(stop_words))
+    items = pin(items, "items")
+    wanted = pin(_wanted(items, postings), "wanted")
+    of_kind = F.col("kind").isin(kinds) if kinds is not None else F.lit(True)
+    found = wanted.select("namespace", F.col("term").alias("item"), "doc_id", "kind", "tf", "len")
+    phrases = items.filter("size(terms) > 1")
+    if not phrases.isEmpty():
+        found = found.unionByName(pin(_phrases(phrases, wanted), "phrases"))
+    size = doc_stats.groupBy("namespace").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    df = found.groupBy("namespace", "item").agg(F.count("*").alias("df"))
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.select("term", F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF)).alias("idf"), "avg_len")
-    hits = wanted.join(idf, "term").join(doc_stats.select("doc_id", "kind", "len"), ["doc_id", "kind"])
+    idf = df.join(size, "namespace").select("namespace", "item", F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF)).alias("idf"), "avg_len")
+    asked = items.groupBy("query_id").agg(F.count("*").alias("asked"))
+    weighed = pin(items.select("namespace", "query_id", "item").join(idf, ["namespace", "item"]).join(asked, "query_id"), "weights")
+    hits = join_few(found.filter(of_kind), weighed, ["namespace", "item"], BROADCAST_ITEMS)
     tf = F.col("tf")
-    hits = hits.withColumn("w", F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))))
-    return terms.select("query_id", "term").join(hits, "term").groupBy("query_id", "doc_id", "kind").agg(F.sum("w").alias("bm25"), F.count("*").alias("matched"))
+    w = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    return hits.groupBy("query_id", "doc_id", "kind").agg(F.sum(w).alias("bm25"), F.count("*").alias("matched"), F.first("asked").alias("asked"))
 
 
-def _ranked(scored: DataFrame, top_k: int) -> DataFrame:
+def ranked(scored: DataFrame, top_k: int) -> DataFrame:
     """Rank by the score at nine places and then by id, so that sums in another order rank alike."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "doc_id", "kind")
     kept = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
     return kept.select("query_id", "rank", "doc_id", "kind", F.round("bm25", 6).alias("bm25"), F.round(F.col("bm25") / (1 + F.col("bm25")), 6).alias("score"))
 
 
-def kind_filter(df: DataFrame, kinds: list[str] | None) -> DataFrame:
-    return df if kinds is None else df.filter(F.col("kind").isin(kinds))
-
-
 def bm25_topk(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame, top_k: int = 10, kinds: list[str] | None = None) -> DataFrame:
-    """The best documents for any of a query's terms. Statistics are over all kinds; the filter comes after."""
-    return _ranked(kind_filter(_scores(query_terms(queries), postings, doc_stats), kinds), top_k)
+    """The best documents for any of a query's items."""
+    return ranked(score(queries, postings, doc_stats, kinds=kinds), top_k)
 
 
 def match_all_terms(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame, stop_words: list[str], top_k: int = 10) -> DataFrame:
-    """Documents that hold all of a query's terms but stop words, ranked by BM25."""
-    terms = query_terms(queries).filter(~F.col("term").isin(stop_words))
-    need = terms.groupBy("query_id").agg(F.count("*").alias("need"))
-    return _ranked(_scores(terms, postings, doc_stats).join(need, "query_id").filter("matched = need"), top_k)
+    """Documents that hold all of a query's items but stop words, ranked by BM25."""
+    return ranked(score(queries, postings, doc_stats, stop_words=stop_words).filter("matched = asked"), top_k)
 
 
-def phrase_matches(phrases: DataFrame, docs: DataFrame) -> DataFrame:
-    """``query_id, doc_id, kind, n``: how often the terms of a phrase stand side by side. phrases: query_id, text."""
-    terms = phrases.select("query_id", F.posexplode(tokenize(F.col("text"))).alias("no", "term"))
-    need = terms.groupBy("query_id").agg(F.count("*").alias("need"))
-    met = tokens_of(docs).join(terms, "term").withColumn("start", F.col("pos") - F.col("no"))
-    whole = met.groupBy("query_id", "doc_id", "kind", "start").agg(F.count("*").alias("got")).join(need, "query_id").filter("got = need")
-    return whole.groupBy("query_id", "doc_id", "kind").agg(F.count("*").alias("n"))
+def phrase_matches(phrases: DataFrame, postings: DataFrame) -> DataFrame:
+    """``query_id, doc_id, kind, n``: how often the terms of a whole text stand side by side. phrases: query_id, text."""
+    items = scoped(phrases).select("namespace", "query_id", tokenize(F.col("text")).alias("terms")).filter(F.size("terms") > 0)
+    items = pin(items.withColumn("item", F.array_join("terms", " ")), "items")
+    found = _phrases(items.select("namespace", "item", "terms").distinct(), pin(_wanted(items, postings), "wanted"))
+    met = join_few(found, items.select("namespace", "query_id", "item"), ["namespace", "item"], BROADCAST_ITEMS)
+    return met.select("query_id", "doc_id", "kind", F.col("tf").alias("n"))
 
 
-def with_snippets(ranked: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+def with_snippets(best: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Ranked rows with a snippet of the text; only the texts of ranked documents are read on."""
-    terms = queries.select("query_id", F.array_distinct(tokenize(F.col("text"))).alias("_terms"))
-    joined = ranked.join(docs.select("doc_id", "kind", "text"), ["doc_id", "kind"]).join(terms, "query_id")
-    return joined.withColumn("snippet", snippet(F.col("text"), F.col("_terms"))).drop("text", "_terms")
+    words = queries.select("query_id", raw_words(F.col("text")).alias("_words"))
+    joined = best.join(docs.select("doc_id", "kind", "text"), ["doc_id", "kind"]).join(words, "query_id")
+    return joined.withColumn("snippet", snippet(F.col("text"), F.col("_words"))).drop("text", "_words")
 
 
 def rrf_fuse(lists: list[DataFrame], rrf_k: int = 60, top_k: int = 10) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokenize
@@ -10,7 +10,7 @@ from tessera.operators import search, speakers, vectors
 from tessera.operators.chunks import chunk_documents
 from tessera.plans import base
 from tessera.plans.base import EPOCH, with_tables
-from tessera.runtime import table
+from tessera.runtime import new_folder, pin, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -40,19 +40,31 @@ def _asked(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+#: Namespaces of documents and queries, where a query is about them.
+DOC_SCOPE, QUERY_SCOPE = "doc_id % 3", "query_id % 3"
 _TOK = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
 _DOCS = "docs AS (SELECT doc_id, 'document' AS kind, text FROM documents UNION ALL SELECT page_id + 1000000000, 'webpage', html FROM pages)"
-_INDEX = f"""WITH {_DOCS}, tok AS (SELECT doc_id, kind, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS pos FROM (SELECT doc_id, kind, {_TOK} AS ts FROM docs)),
-stats AS (SELECT doc_id, kind, coalesce(len({_TOK}), 0)::BIGINT AS len FROM docs), post AS (SELECT term, doc_id, kind, count(*) AS tf FROM tok GROUP BY ALL),
-qt AS (SELECT query_id, term FROM (SELECT item_id AS query_id, unnest(list_distinct({_TOK})) AS term FROM benchmark))"""
-_SCORE = """, n AS (SELECT count(*) AS n, avg(len) AS a FROM stats), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+
+
+def _index_sql(doc_scope="''", query_scope="''"):
+    """DuckDB: tokens, postings, statistics, items of the queries and their hits."""
+    return f"""WITH {_DOCS}, scoped AS (SELECT *, {doc_scope} AS ns FROM docs), tok AS (SELECT ns, doc_id, kind, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS pos FROM (SELECT ns, doc_id, kind, {_TOK} AS ts FROM scoped)),
+stats AS (SELECT ns, doc_id, kind, coalesce(len({_TOK}), 0)::BIGINT AS len FROM scoped), post AS (SELECT ns, term, doc_id, kind, count(*) AS tf FROM tok GROUP BY ALL),
+qt AS (SELECT query_id, {query_scope} AS ns, unnest(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda w: array_to_string({_TOK.replace("text", "w")}, ' ')), lambda x: x <> ''))) AS item FROM (SELECT item_id AS query_id, text FROM benchmark))""".replace("\\\\", "\\")
+
+
+_INDEX = _index_sql()
+_SCORE = """, ph AS (SELECT ns, item, len(ts) AS need, unnest(ts) AS term, generate_subscripts(ts, 1) AS no FROM (SELECT DISTINCT ns, item, string_split(item, ' ') AS ts FROM {qt} WHERE contains(item, ' '))),
+found AS (SELECT ns, term AS item, doc_id, kind, tf FROM post WHERE (ns, term) IN (SELECT (ns, item) FROM {qt}) UNION ALL
+  SELECT ns, item, doc_id, kind, count(*) AS tf FROM (SELECT ns, item, doc_id, kind, pos - no AS s FROM tok JOIN ph USING (ns, term) GROUP BY ns, item, doc_id, kind, s, need HAVING count(*) = need) GROUP BY ALL),
+n AS (SELECT ns, count(*) AS n, avg(len) AS a FROM stats GROUP BY ns), df AS (SELECT ns, item, count(*) AS df FROM found GROUP BY ALL),
 sc AS (SELECT query_id, doc_id, kind, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / a)))::DOUBLE AS bm25, count(*) AS matched
-  FROM {qt} JOIN post USING (term) JOIN df USING (term) JOIN stats USING (doc_id, kind), n GROUP BY ALL)"""
+  FROM {qt} JOIN found USING (ns, item) JOIN df USING (ns, item) JOIN stats USING (ns, doc_id, kind) JOIN n USING (ns) GROUP BY ALL)"""
 _TOP = """SELECT query_id, rank::INTEGER AS rank, doc_id, kind, round(bm25, 6) AS bm25, round(bm25 / (1 + bm25), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id, kind) AS rank FROM {0}) WHERE rank <= 10"""
 
 
-def _index(spark, d):
-    docs = _docs(spark, d)
+def _index(spark, d, docs=None):
+    docs = _docs(spark, d) if docs is None else docs
     return search.build_postings(docs), search.build_doc_stats(docs)
 
 
@@ -72,14 +84,14 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(t).alias("n"), F.md5(F.array_join(t, " ")).alias("terms"))
 
 
-@query("x3_postings", _INDEX + " SELECT term, doc_id, kind, tf FROM post")
+@query("x3_postings", _INDEX + " SELECT term, doc_id, kind, count(*) AS tf, array_to_string(list(pos ORDER BY pos), ',') AS positions, len FROM tok JOIN stats USING (ns, doc_id, kind) GROUP BY term, doc_id, kind, len")
 def _(spark, d):
-    return _index(spark, d)[0]
+    return _index(spark, d)[0].select("term", "doc_id", "kind", "tf", F.array_join("positions", ",").alias("positions"), "len")
 
 
 @query("x3_doc_stats", _INDEX + " SELECT doc_id, kind, len FROM stats")
 def _(spark, d):
-    return _index(spark, d)[1]
+    return _index(spark, d)[1].select("doc_id", "kind", "len")
 
 
 @query("x4_bm25_topk", _INDEX + _SCORE.format(qt="qt") + _TOP.format("sc"))
@@ -87,29 +99,39 @@ def x4_bm25(spark, d):
     return search.bm25_topk(_asked(spark, d), *_index(spark, d))
 
 
+@query("x4n_namespaces", _index_sql(DOC_SCOPE, QUERY_SCOPE) + _SCORE.format(qt="qt") + _TOP.format("sc"))
+def _(spark, d):
+    docs = _docs(spark, d).withColumn("namespace", F.expr(DOC_SCOPE))
+    return search.bm25_topk(_asked(spark, d).withColumn("namespace", F.expr(QUERY_SCOPE)), *_index(spark, d, docs))
+
+
+@query("x4w_written_index", _INDEX + _SCORE.format(qt="qt") + _TOP.format("sc"))
+def _(spark, d):
+    path = new_folder(spark, "index")
+    search.write_index(_docs(spark, d), path)
+    return search.bm25_topk(_asked(spark, d), *search.read_index(spark, path))
+
+
 @query("x7_kind_filter", _INDEX + _SCORE.format(qt="qt") + _TOP.format("(SELECT * FROM sc WHERE kind = 'webpage')"))
 def _(spark, d):
     return search.bm25_topk(_asked(spark, d), *_index(spark, d), kinds=["webpage"])
 
 
 @query("x4p_phrase_matches", f"""WITH {_DOCS}, tok AS (SELECT doc_id, kind, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM (SELECT doc_id, kind, {_TOK} AS ts FROM docs)),
-ph AS (SELECT item_id AS query_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS no, len(ts) AS need FROM (SELECT item_id, ({_TOK})[1:3] AS ts FROM benchmark))
+ph AS (SELECT item_id AS query_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS no, len(ts) AS need FROM (SELECT item_id, {_TOK} AS ts FROM benchmark))
 SELECT query_id, doc_id, kind, count(*) AS n FROM (SELECT query_id, doc_id, kind, pos - no AS s FROM tok JOIN ph USING (term) GROUP BY query_id, doc_id, kind, s, need HAVING count(*) = need) GROUP BY ALL""")
 def _(spark, d):
-    phrases = _asked(spark, d).withColumn("text", F.array_join(F.slice(tokenize(F.col("text")), 1, 3), "-"))
-    return search.phrase_matches(phrases, _docs(spark, d))
+    return search.phrase_matches(_asked(spark, d), _index(spark, d)[0])
 
 
-@query("x5_match_all_terms", _INDEX + f", q2 AS (SELECT * FROM qt WHERE term NOT IN {tuple(STOP_WORDS)})" + _SCORE.format(qt="q2") + ", need AS (SELECT query_id, count(*) AS need FROM q2 GROUP BY 1), al AS (SELECT sc.* FROM sc JOIN need USING (query_id) WHERE matched = need) " + _TOP.format("al"))
+@query("x5_match_all_terms", _INDEX + f", q2 AS (SELECT * FROM qt WHERE item NOT IN {tuple(STOP_WORDS)})" + _SCORE.format(qt="q2") + ", need AS (SELECT query_id, count(*) AS need FROM q2 GROUP BY 1), al AS (SELECT sc.* FROM sc JOIN need USING (query_id) WHERE matched = need) " + _TOP.format("al"))
 def _(spark, d):
-    shipped = set(StopWordsRemover.loadDefaultStopWords("english"))
-    return search.match_all_terms(_asked(spark, d), *_index(spark, d), stop_words=[w for w in STOP_WORDS if w in shipped])
+    return search.match_all_terms(_asked(spark, d), *_index(spark, d), stop_words=STOP_WORDS)
 
 
-@query("x5b_snippets", _INDEX + _SCORE.format(qt="qt") + f""", top AS ({_TOP.format("sc")}), w AS (SELECT item_id AS query_id, {_TOK} AS ts FROM benchmark),
-u AS (SELECT query_id, list_filter(ts, lambda t, i: list_position(ts, t) = i) AS ts FROM w)
+@query("x5b_snippets", _INDEX + _SCORE.format(qt="qt") + f""", top AS ({_TOP.format("sc")}), w AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS ts FROM benchmark)
 SELECT query_id, rank, doc_id, trim(substr(text, greatest(coalesce(list_filter(list_transform(ts, lambda t: instr(lower(text), t)), lambda p: p > 0)[1], 1) - 40, 1), 160), ' ' || chr(10)) AS snippet
-FROM top JOIN docs USING (doc_id, kind) JOIN u USING (query_id)""")
+FROM top JOIN docs USING (doc_id, kind) JOIN w USING (query_id)""")
 def _(spark, d):
     top = search.bm25_topk(_asked(spark, d), *_index(spark, d))
     return search.with_snippets(top, _docs(spark, d), _asked(spark, d)).select("query_id", "rank", "doc_id", "snippet")
@@ -122,10 +144,9 @@ SELECT query_id, rank::INTEGER AS rank, id, round(score, 6) AS score, 's' || CAS
 
 @query("x6_rrf_fuse", _INDEX + _SCORE.format(qt="qt") + _LISTS.format(top=_TOP.format("sc").replace("rank <= 10", "rank <= 30")))
 def _(spark, d):
-    asked, (postings, stats) = _asked(spark, d), _index(spark, d)
-    a = search.bm25_topk(asked, postings, stats, top_k=30).select("query_id", F.col("doc_id").alias("id"), "rank", F.lit("s0").alias("snippet"))
-    scored = search._scores(search.query_terms(asked), postings, stats)
-    order = search.Window.partitionBy("query_id").orderBy(F.desc("matched"), "doc_id", "kind")
+    scored = pin(search.score(_asked(spark, d), *_index(spark, d)), "scored")
+    a = search.ranked(scored, 30).select("query_id", F.col("doc_id").alias("id"), "rank", F.lit("s0").alias("snippet"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("matched"), "doc_id", "kind")
     b = scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 30").select("query_id", F.col("doc_id").alias("id"), "rank", F.lit("s1").alias("snippet"))
     return search.rrf_fuse([a, b])
 

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from tessera.functions.json_check import validate_json
 from tessera.functions.pricing import rates
 from tessera.functions.text import fold, parse_reply
-from tessera.operators import catalog, chunks, event_log, frames, inference, search, speakers, transcripts, vectors
+from tessera.operators import catalog, chunks, event_log, frames, graph, inference, search, speakers, transcripts, vectors
 from tessera.operators.graph import connected_components
 from tessera.operators.prefix import running_sum
 from tessera.plans import base
 from tessera.plans.registry import QUERIES
 from tessera.plans.report_queries import SCHEMA
+from tessera.runtime import input_bytes, partitions_for
 from tessera.sources import files, pages
 from tessera.sources.transcripts import read_transcripts
 from tessera.streaming import events as stream
@@ -98,6 +99,50 @@ def test_running_sum_and_eviction_equal_a_walk(spark):
             total -= r[4] if total > 900 else 0
 
 
+def test_input_bytes_of_any_path(spark, tmp_path):
+    path = tmp_path / "a b[1]{x}%20ü"
+    spark.range(100).selectExpr("id", "'x y/ü' AS p").write.partitionBy("p").parquet(str(path))
+    escaped = str(path).replace("[", r"\[").replace("]", r"\]").replace("{", r"\{").replace("}", r"\}")
+    want = sum(f.stat().st_size for f in path.rglob("*.parquet"))
+    df = spark.read.parquet(escaped)
+    assert input_bytes(df) == want and input_bytes(spark.range(3)) == 0 and partitions_for(df, each=100) == -(-want // 100)
+
+
+def test_search_items_phrases_namespaces_and_snippets(spark):
+    texts = ["A well-known fact, well known.", "Known well, it is known.", "cafe\u0301 noir and well-known cafés", "Русский йод", "nothing"]
+    table = spark.createDataFrame([("n0" if i < 4 else "n1", i, "document" if i % 2 == 0 else "webpage", t) for i, t in enumerate(texts)], "namespace string, doc_id long, kind string, text string")
+    asked = spark.createDataFrame([("n0", 1, "well-known"), ("n0", 2, "Café"), ("n0", 3, "nothing"), ("n1", 4, "nothing"), ("n0", 5, "иод")], "namespace string, query_id long, text string")
+    postings, stats = search.build_postings(table), search.build_doc_stats(table)
+    top = search.bm25_topk(asked, postings, stats)
+    found = {}
+    for r in top.collect():
+        found.setdefault(r.query_id, set()).add(r.doc_id)
+    assert found == {1: {0, 2}, 2: {2}, 4: {4}, 5: {3}}
+    assert {(r.query_id, r.doc_id) for r in search.bm25_topk(asked, postings, stats, kinds=["webpage"]).collect()} == {(5, 3)}
+    tf = {(r.query_id, r.doc_id): r.n for r in search.phrase_matches(asked, postings).collect()}
+    assert tf == {(1, 0): 2, (1, 2): 1, (2, 2): 1, (4, 4): 1, (5, 3): 1}
+    latte = spark.createDataFrame([("", 0, "document", "x" * 300 + " the café here")], "namespace string, doc_id long, kind string, text string")
+    hit = search.with_snippets(search.bm25_topk(asked.filter("query_id = 2").withColumn("namespace", F.lit("")), search.build_postings(latte), search.build_doc_stats(latte)), latte, asked).first()
+    assert hit.snippet.startswith("xxx") and "café" in hit.snippet
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_connected_components_of_random_edges(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "BROADCAST_LABELS", most)
+    pairs = [(i * 7919 % 503, (i * i * 31 + 7) % 503) for i in range(260)]
+    up = list(range(503))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: root(x) for p in pairs for x in p}
+
+
 def test_connected_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
