@@ -98,6 +98,18 @@ def set_apart(df: DataFrame, *outputs: str, **inputs: Column) -> DataFrame:
     return df.select(row.alias("row"), *[c.alias(k) for k, c in inputs.items()])
 
 
+def value_and_rest(df: DataFrame, name: str, *outputs: str, cast: str | None = None) -> tuple[DataFrame, list[Column]]:
+    """``rest``, a struct of the other columns but those that the outputs replace, and ``value``, the named one; and the columns that bring all back in order.
+
+    For functions over Arrow batches, which take no columns with dots in their names.
+    """
+    kept = others(df, *outputs)
+    rest = [c for c in kept if c.lower() != name.lower()]
+    value = column(name).cast(cast) if cast else column(name)
+    slim = df.select((F.struct(*map(column, rest)) if rest else F.lit(None).cast("string")).alias("rest"), value.alias("value"))
+    return slim, [F.col("value").alias(c) if c.lower() == name.lower() else F.col("rest").getField(c).alias(c) for c in kept]
+
+
 def few(df: DataFrame, most: int) -> DataFrame:
     """The table, marked for a broadcast if a count shows at most ``most`` rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
