@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.runtime import arrow_batches, column, cut, others, with_fields
+from tessera.runtime import arrow_batches, column, cut, value_and_rest, with_fields
 
 #: Columns that n-grams are hashed to.
 SLOTS = 1 << 15
@@ -142,13 +142,12 @@ def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarra
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """All columns of ``docs`` and the predicted language with its score. Runs where the rows are."""
     arrow_batches(docs.sparkSession)
-    kept = others(docs, lang_col, score_col)
-    place = [c.lower() for c in kept].index(text_col.lower())
+    slim, back = value_and_rest(docs, text_col, lang_col, score_col, cast="string")
     group = 128
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(place).to_pylist()
+            texts = batch.column(1).to_pylist()
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
             known = [i for i, t in enumerate(texts) if model.languages and has_letter(t)]
             for at in range(0, len(known), group):
@@ -159,10 +158,10 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", lang_col:
                 sure = 1 / sure.sum(axis=1)
                 for i, k, p in zip(some, best.tolist(), sure.tolist(), strict=True):
                     langs[i], scores[i] = model.languages[k], p
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, lang_col, score_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["rest", "value", "lang", "score"])
 
-    typed = docs.select(*[column(c).cast("string").alias(c) if i == place else column(c) for i, c in enumerate(kept)])
-    return typed.mapInArrow(run, with_fields(typed, **{lang_col: "string", score_col: "double"}))
+    out = slim.mapInArrow(run, with_fields(slim, lang="string", score="double"))
+    return out.select(*back, F.col("lang").alias(lang_col), F.col("score").alias(score_col))
 
 
 def identify(docs: DataFrame) -> DataFrame:

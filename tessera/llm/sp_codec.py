@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.word_codes import WordCodes, in_order
-from tessera.runtime import arrow_batches, column, others, with_fields
+from tessera.runtime import arrow_batches, column, value_and_rest, with_fields
 
 MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -294,35 +294,32 @@ def encode(docs: DataFrame, *, text_col: str = "text", ids_col: str = "piece_ids
     """All columns of ``docs`` and the ids of the text. Runs where the rows are; nothing is shuffled."""
     arrow_batches(docs.sparkSession)
     model = model or default_model()
-    kept = others(docs, ids_col)
-    place = [c.lower() for c in kept].index(text_col.lower())
+    slim, back = value_and_rest(docs, text_col, ids_col, cast="string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, offsets = encode_texts(batch.column(place).to_pylist(), model)
+            ids, offsets = encode_texts(batch.column(1).to_pylist(), model)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["rest", "value", "ids"])
         release(model)
 
-    typed = docs.select(*[column(c).cast("string").alias(c) if i == place else column(c) for i, c in enumerate(kept)])
-    return typed.mapInArrow(run, with_fields(typed, **{ids_col: "array<int>"}))
+    return slim.mapInArrow(run, with_fields(slim, ids="array<int>")).select(*back, F.col("ids").alias(ids_col))
 
 
 def decode(tokens: DataFrame, *, ids_col: str = "piece_ids", text_col: str = "decoded", model: str | None = None) -> DataFrame:
     """All columns of ``tokens`` and the text of the ids (null ids: an empty text)."""
     arrow_batches(tokens.sparkSession)
     model = model or default_model()
-    tokens = tokens.select(*map(column, others(tokens, text_col)))
-    place = [c.lower() for c in tokens.columns].index(ids_col.lower())
+    slim, back = value_and_rest(tokens, ids_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(place).fill_null([])
+            lists = batch.column(1).fill_null([])
             values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             texts = [decode_ids(values[a:b], model) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["rest", "value", "text"])
 
-    return tokens.mapInArrow(run, with_fields(tokens, **{text_col: "string"}))
+    return slim.mapInArrow(run, with_fields(slim, text="string")).select(*back, F.col("text").alias(text_col))
 
 
 def ids_crc32(values: np.ndarray) -> int:
