@@ -44,7 +44,7 @@ from tessera.runtime import arrow_batches, column, cut, few, pin
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Texts in one block of a candidate set: from the least, for small sets, to the most.
-LEAST_TEXTS, MOST_TEXTS = 256, 2048
+LEAST_TEXTS, MOST_TEXTS = 128, 2048
 #: Bytes of shingle sets in one block.
 BLOCK_BYTES = 16 << 20
 #: Tables of large candidate sets, or of their pairs of blocks, up to so many rows (60 bytes each) are broadcast.
