@@ -42,10 +42,14 @@ def lookup_runs(requests: DataFrame, runs: DataFrame, artifacts: DataFrame) -> D
     Requests and runs carry the key columns ``op_name, op_version, backend,
     backend_version, params_hash, input_key, namespace``; backends compare null-safe.
     """
-    outputs = runs.select("run_id", F.explode_outer("output_ids").alias("id"))
+    keys = [F.coalesce(F.col(c), F.lit("")) if "backend" in c else F.col(c) for c in [*KEY, "backend", "backend_version"]]
+    # Only runs of a key that is asked for are looked at. A null backend and an empty one share this key and are told apart below.
+    wanted = requests.select(F.sha2(F.to_json(F.array(*[k.cast("string") for k in keys])), 256).alias("_key")).distinct()
+    asked = runs.withColumn("_key", F.sha2(F.to_json(F.array(*[k.cast("string") for k in keys])), 256)).join(wanted, "_key", "left_semi").drop("_key")
+    outputs = asked.select("run_id", F.explode_outer("output_ids").alias("id"))
     whole = outputs.join(artifacts.select("id", F.lit(1).alias("there")), "id", "left").groupBy("run_id")
     whole = whole.agg((F.count("id") == F.count("there")).alias("whole")).filter("whole").select("run_id")
-    usable = runs.join(whole, "run_id", "left_semi")
+    usable = asked.join(whole, "run_id", "left_semi")
     same = F.lit(True)
     a, b = requests.alias("a"), usable.alias("b")
     for c in [*KEY, "backend", "backend_version"]:

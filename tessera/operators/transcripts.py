@@ -74,21 +74,29 @@ def transcript_text(segments: DataFrame) -> DataFrame:
 def align_speakers(segments: DataFrame, turns: DataFrame, bin_seconds: float = 10.0) -> DataFrame:
     """``recording_id, seq, speaker_id``: the turn with the largest overlap, the first of equals, else UNKNOWN.
 
-    An interval join: both sides are dealt to time bins, so the join is on
-    (recording, bin), and a pair that meets in several bins counts once, in the first
-    bin that both touch.
+    An interval join: both sides are dealt to time bins, whose width fits the longer
+    of the two intervals (a power of 8 times ``bin_seconds``), so that an interval of
+    whatever length stands in two bins at most. A pair meets only in the width of its
+    longer interval, and counts in the first bin there that both touch.
     """
-
-    def bins(start: Column, end: Column) -> Column:
-        first = F.floor(start / bin_seconds)
-        return F.sequence(first, F.greatest(first, F.floor(end / bin_seconds)))
-
-    s = segments.select("recording_id", "seq", F.col("start").alias("s0"), F.col("end").alias("s1"))
-    t = turns.select(F.col("recording_id").alias("_r"), F.col("seq").alias("t"), F.col("start").alias("t0"), F.col("end").alias("t1"), F.col("speaker_id").alias("who"))
-    a = s.filter("s0 is not null and s1 is not null").withColumn("bin", F.explode(bins(F.col("s0"), F.col("s1"))))
-    b = t.filter("t0 is not null and t1 is not null").withColumn("_bin", F.explode(bins(F.col("t0"), F.col("t1"))))
-    met = a.join(b, (F.col("recording_id") == F.col("_r")) & (F.col("bin") == F.col("_bin")))
-    once = F.col("bin") == F.greatest(F.floor(F.col("s0") / bin_seconds), F.floor(F.col("t0") / bin_seconds))
+    level = lambda s, e: F.greatest(F.ceil(F.log(8.0, F.greatest((e - s) / bin_seconds, F.lit(1.0)))), F.lit(0)).cast("int")
+    s = segments.select("recording_id", "seq", F.col("start").alias("s0"), F.col("end").alias("s1")).filter("s0 is not null and s1 is not null")
+    t = turns.select(F.col("recording_id").alias("_r"), F.col("seq").alias("t"), F.col("start").alias("t0"), F.col("end").alias("t1"), F.col("speaker_id").alias("who")).filter("t0 is not null and t1 is not null")
+    s, t = s.withColumn("own", level(F.col("s0"), F.col("s1"))), t.withColumn("_own", level(F.col("t0"), F.col("t1")))
+    # The widths that occur are a handful. One side stands in its own width only, the other in its own and wider ones.
+    levels = sorted({r[0] for r in s.select("own").distinct().unionAll(t.select("_own").distinct()).collect()})
+    known = F.array(*map(F.lit, levels)).cast("array<int>")
+    at = lambda x, width: F.floor(x / (F.lit(bin_seconds) * F.pow(F.lit(8.0), width)))
+    bins = lambda x, y, width: F.sequence(at(x, width), F.greatest(at(x, width), at(y, width)))
+    a = s.withColumn("level", F.col("own")), s.withColumn("level", F.explode(F.filter(known, lambda x: x > F.col("own"))))
+    b = t.withColumn("_level", F.explode(F.filter(known, lambda x: x >= F.col("_own")))), t.withColumn("_level", F.col("_own"))
+    pairs = []
+    for x, y in zip(a, b, strict=True):
+        x = x.withColumn("bin", F.explode(bins(F.col("s0"), F.col("s1"), F.col("level"))))
+        y = y.withColumn("_bin", F.explode(bins(F.col("t0"), F.col("t1"), F.col("_level"))))
+        pairs.append(x.join(y, (F.col("recording_id") == F.col("_r")) & (F.col("level") == F.col("_level")) & (F.col("bin") == F.col("_bin"))))
+    met = pairs[0].unionByName(pairs[1])
+    once = F.col("bin") == F.greatest(at(F.col("s0"), F.col("level")), at(F.col("t0"), F.col("level")))
     overlap = F.least("s1", "t1") - F.greatest("s0", "t0")
     best = met.filter(once).withColumn("overlap", overlap).filter("overlap > 0").groupBy("recording_id", "seq")
     best = best.agg(F.max_by("who", F.struct("overlap", (-F.col("t")).alias("t"))).alias("who"))

@@ -15,9 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokenize
+from tessera.operators.search import scoped
+from tessera.runtime import cut, few, join_few
 
 #: Vectors and queries in one block of the exact search.
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 512
+#: Tables of hits, or of labels with their vectors, up to so many rows are broadcast.
+BROADCAST_HITS, BROADCAST_LABELS = 200_000, 5_000
 
 
 def _double(v: Column) -> Column:
@@ -52,15 +56,27 @@ def embed_text(chunks: DataFrame, id_cols: list[str], text_col: str, dims: int =
     return unit.select(*id_cols, vector_to_array("_unit").alias("vector"))
 
 
-def semantic_topk(queries: DataFrame, vectors: DataFrame, top_k: int = 10) -> DataFrame:
-    """``query_id, rank, vec_id, score``: exact cosine search, a query's own id left out.
+def _or_null(df: DataFrame, name: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
-    queries and vectors: vec_id, vector. Blocks of queries meet blocks of vectors; a
-    task multiplies two blocks and returns the best of each query only.
+
+def semantic_topk(queries: DataFrame, vectors: DataFrame, top_k: int = 10, kinds: list[str] | None = None) -> DataFrame:
+    """``query_id, rank, vec_id, id, kind, score``: exact cosine search, a query's own id left out.
+
+    queries: vec_id, vector; vectors: vec_id, vector, and where known the source_id and
+    source_kind that a vector stands for, which are the ``id`` and ``kind`` of a hit (else
+    the vector's own id, and "embedding"). ``kinds`` leaves out vectors of other source
+    kinds before the search. Both may have a namespace: a query meets vectors of its own.
+
+    Blocks of queries meet blocks of vectors; a task multiplies two blocks and returns
+    the best of each query only.
     """
+    known = scoped(vectors).select("vec_id", "namespace", _double(F.col("vector")).alias("v"), _or_null(vectors, "source_id").alias("source_id"), _or_null(vectors, "source_kind").alias("source_kind"))
+    if kinds is not None:
+        known = known.filter(F.col("source_kind").isin(kinds))
     # New names on one side and new columns on the other: both may come from one table.
-    v = vectors.select(F.col("vec_id").alias("vec_id"), _double(F.col("vector")).alias("v"))
-    q = queries.select(F.col("vec_id").alias("asked"), _double(F.col("vector")).alias("w"))
+    v = known.select(F.col("vec_id").alias("vec_id"), "namespace", "v")
+    q = scoped(queries).select(F.col("vec_id").alias("asked"), "namespace", _double(F.col("vector")).alias("w"))
     v_blocks = max(1, -(-v.count() // VECTOR_BLOCK))
     q_blocks = max(1, -(-q.count() // QUERY_BLOCK))
     left = q.withColumn("qb", F.pmod(F.xxhash64("asked"), F.lit(q_blocks))).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long"))))
@@ -89,8 +105,11 @@ def semantic_topk(queries: DataFrame, vectors: DataFrame, top_k: int = 10) -> Da
                 out["score"].extend(s[order].tolist())
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
-    found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(best, "query_id long, vec_id long, score double")
-    return _top(found, top_k)
+    keys = ["namespace", "qb", "vb"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double")
+    top = few(cut(_top(found, top_k)), BROADCAST_HITS)
+    named = known.select("vec_id", F.coalesce(F.col("source_id").cast("string"), F.col("vec_id").cast("string")).alias("id"), F.coalesce("source_kind", F.lit("embedding")).alias("kind"))
+    return named.join(top, "vec_id").select("query_id", "rank", "vec_id", "id", "kind", "score")
 
 
 def _top(found: DataFrame, top_k: int) -> DataFrame:
@@ -132,8 +151,11 @@ def ann_topk(queries: DataFrame, vectors: DataFrame, top_k: int = 10, lists: int
 def zero_shot_scores(items: DataFrame, labels: DataFrame, scale: float = 100.0) -> DataFrame:
     """``vec_id, label, score``: softmax over the labels of scaled cosines. labels: label, vector; met on equal dimensions."""
     a = items.select("vec_id", F.col("vector").alias("v"), F.size("vector").alias("dims"))
-    b = labels.select("label", F.col("vector").alias("lv"), F.size("vector").alias("dims"))
-    scored = a.join(b, "dims").select("vec_id", "label", (cosine(F.col("v"), F.col("lv")) * scale).alias("c"))
+    every = F.collect_list(F.struct("label", F.col("vector").alias("lv")))
+    b = cut(labels.withColumn("dims", F.size("vector")).groupBy("dims", (F.pmod(F.xxhash64("label"), F.lit(1 + labels.count() // BROADCAST_LABELS))).alias("block")).agg(every.alias("labels")))
+    # Labels of one dimension come in lists of bounded size, so an item meets a few rows, not one for each label, and nothing is dealt by dimension alone.
+    met = join_few(a, b.drop("block"), "dims", 64).select("vec_id", "v", F.explode("labels").alias("l"))
+    scored = met.select("vec_id", "l.label", (cosine(F.col("v"), F.col("l.lv")) * scale).alias("c"))
     w = Window.partitionBy("vec_id")
     scored = scored.withColumn("e", F.exp(F.col("c") - F.max("c").over(w)))
     return scored.select("vec_id", "label", F.round(F.col("e") / F.sum("e").over(w), 6).alias("score"))

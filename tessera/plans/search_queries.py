@@ -187,12 +187,24 @@ def _(spark, d):
     return j.select("vec_id", (F.round(vectors.cosine(F.col("vector"), w), 6) + F.lit(0.0)).alias("score"))
 
 
-_TOPK = "SELECT query_id, rank::INTEGER AS rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)) WHERE rank <= 10"
+#: What a vector stands for: every fifth has no source.
+SOURCE_ID, SOURCE_KIND, VECTOR_SCOPE = "CASE WHEN vec_id % 5 <> 0 THEN concat('s', vec_id % 300) END", "CASE WHEN vec_id % 5 <> 0 THEN CASE WHEN vec_id % 2 = 0 THEN 'document' ELSE 'webpage' END END", "concat('n', vec_id % 4)"
+_TOPK = """SELECT query_id, rank::INTEGER AS rank, vec_id, coalesce({id}, vec_id::VARCHAR) AS id, coalesce({kind}, 'embedding') AS kind, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q JOIN (SELECT *, {kind} AS source_kind FROM embeddings) v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0 {more})) WHERE rank <= 10"""
 
 
-@query("v4_semantic_topk", _TOPK)
+def _sourced(spark, d):
+    return _vectors(spark, d).withColumns({"source_id": F.expr(SOURCE_ID), "source_kind": F.expr(SOURCE_KIND)})
+
+
+@query("v4_semantic_topk", _TOPK.format(id=SOURCE_ID, kind=SOURCE_KIND, more=""))
+def _(spark, d):
+    return vectors.semantic_topk(_questions(spark, d), _sourced(spark, d))
+
+
+@query("v4k_kind_and_namespace", _TOPK.format(id=SOURCE_ID, kind=SOURCE_KIND, more="AND v.source_kind IN ('document', 'webpage') AND q.vec_id % 4 = v.vec_id % 4"))
 def _(spark, d):
-    return vectors.semantic_topk(_questions(spark, d), _vectors(spark, d))
+    scope = F.expr(VECTOR_SCOPE)
+    return vectors.semantic_topk(_questions(spark, d).withColumn("namespace", scope), _sourced(spark, d).withColumn("namespace", scope), kinds=["document", "webpage"])
 
 
 @query("v5_ann_topk")

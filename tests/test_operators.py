@@ -108,6 +108,17 @@ def test_input_bytes_of_any_path(spark, tmp_path):
     assert input_bytes(df) == want and input_bytes(spark.range(3)) == 0 and partitions_for(df, each=100) == -(-want // 100)
 
 
+def test_align_speakers_with_very_long_intervals(spark):
+    segs = [(1, i, i * 3.0, i * 3.0 + (1e9 if i == 4 else 700.0 if i == 5 else 2.5)) for i in range(30)]
+    talk = [(1, i, i * 4.0, i * 4.0 + (5000.0 if i == 2 else 3.0), f"s{i}") for i in range(25)]
+    got = transcripts.align_speakers(spark.createDataFrame(segs, "recording_id long, seq long, start double, end double"), spark.createDataFrame(talk, "recording_id long, seq long, start double, end double, speaker_id string"))
+    want = {}
+    for _, seq, a, b in segs:
+        overlaps = [(min(b, d) - max(a, c), -t, who) for _, t, c, d, who in talk if min(b, d) > max(a, c)]
+        want[seq] = max(overlaps)[2] if overlaps else "UNKNOWN"
+    assert {r.seq: r.speaker_id for r in got.collect()} == want
+
+
 def test_search_items_phrases_namespaces_and_snippets(spark):
     texts = ["A well-known fact, well known.", "Known well, it is known.", "cafe\u0301 noir and well-known cafés", "Русский йод", "nothing"]
     table = spark.createDataFrame([("n0" if i < 4 else "n1", i, "document" if i % 2 == 0 else "webpage", t) for i, t in enumerate(texts)], "namespace string, doc_id long, kind string, text string")
