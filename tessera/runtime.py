@@ -71,9 +71,9 @@ def input_bytes(df: DataFrame) -> int:
     return df.sparkSession.read.format("binaryFile").load(paths).agg(F.sum("length")).first()[0] or 0
 
 
-def partitions_for(df: DataFrame, each: int = 128 << 20) -> int:
-    """Partitions for a range shuffle of ``df``: about ``each`` bytes of its input files in one, and no fewer than the session's shuffles have."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // each))
+def partitions_for(df: DataFrame, each: int = 128 << 20, copies: float = 1.0) -> int:
+    """Partitions for a range shuffle of ``df``: about ``each`` bytes of its input files, taken ``copies`` times, in one, and no fewer than the session's shuffles have."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(-(-input_bytes(df) * copies // each)))
 
 
 def column(name: str) -> Column:
