@@ -90,6 +90,6 @@ def mix_sources(docs: DataFrame, *, weights: dict[str | None, float] | None = No
     copies = drawn.filter("count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count"))))
     copies = copies.withColumn("copy", (F.col("block") * COPY_STEP + F.col("copy")).cast("long"))
     keyed = copies.select("row", "copy", uniform(seed + "-order", F.col("doc_id"), F.col("copy")).alias("shuffle_key"))
-    parts = max(1, round(partitions_for(docs) * max(epochs, 1.0)))
+    parts = partitions_for(docs, copies=max(epochs, 1.0))
     dealt = keyed.repartitionById(parts, F.least(F.floor(F.col("shuffle_key") * parts), F.lit(parts - 1)).cast("int"))
     return dealt.sortWithinPartitions("shuffle_key").select("row.*", F.col("copy"), F.col("shuffle_key"))
