@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from tessera.functions.json_check import validate_json
 from tessera.functions.pricing import rates
 from tessera.functions.text import fold, parse_reply
-from tessera.operators import catalog, chunks, event_log, frames, graph, inference, search, speakers, transcripts, vectors
+from tessera.operators import catalog, chunks, event_log, frames, graph, inference, reports, search, speakers, transcripts, vectors
 from tessera.operators.graph import connected_components
 from tessera.operators.prefix import running_sum
-from tessera.plans import base
+from tessera.plans import base, pipelines
 from tessera.plans.registry import QUERIES
 from tessera.plans.report_queries import SCHEMA
 from tessera.runtime import input_bytes, partitions_for
@@ -310,6 +310,61 @@ def test_rrf_golden(spark):
     assert [r.id for r in out] == ["b", "a", "c"] and out[0].score == round(1 / 62 + 1 / 61, 6) and [r.snippet for r in out] == ["sb", "ta", "tc"]
 
 
+def test_name_candidates_are_the_best_of_all_names(spark, sf_dir):
+    names = [(r.n_name, f"R{r.n_regionkey}") for r in spark.read.parquet(f"{sf_dir}/nation.parquet").collect()]
+    names.sort(key=lambda x: (x[1], x[0]))
+    got = {}
+    for r in QUERIES["d2_fuzzy_candidates"](spark, sf_dir).collect():
+        got.setdefault((r.recording_id, r.speaker_id), []).append((r.place, r.alias, r.canonical, r.score))
+    texts = speakers.intro_text(base.segments(spark, sf_dir)).collect()
+    assert len(texts) == len(got)
+    for t in texts:
+        ranked = sorted(((-speakers.partial_ratio(alias.lower(), t.text.lower()), i) for i, (alias, _) in enumerate(names)))[:8]
+        assert sorted(got[t.recording_id, t.speaker_id]) == [(p, *names[i], -s) for p, (s, i) in enumerate(ranked)]
+
+
+def test_embedded_texts_are_hashed_counts(spark):
+    from pyspark.ml.feature import HashingTF
+
+    texts = ["one two two three", "Three TWO one two", "", "other words here"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: np.array(r.vector) for r in vectors.embed_text(table, ["doc_id"], "text", dims=64).collect()}
+    place = HashingTF(numFeatures=64).indexOf
+    for i, text in enumerate(texts):
+        want = np.zeros(64)
+        for word in text.lower().split():
+            want[place(word)] += 1
+        assert np.allclose(got[i], want / (np.linalg.norm(want) or 1))
+
+
+def test_zeitgeist_report_holds_the_aggregates(spark, sf_dir):
+    windows = base.windows(spark, sf_dir)
+    values, total = reports.zeitgeist_values(windows).collect(), reports.zeitgeist_summary(windows).first()
+    text = QUERIES["r3_zeitgeist_report"](spark, sf_dir).first().report
+    assert f"**Sessions analyzed:** {total.n_sessions} · **Windows:** {total.n_windows}" in text
+    shapes = {"topics": "- **{0}** — {1}", "entities": "- **{0}** — {1}", "claims": "- _({1}x)_ {0}", "speakers": "- **{0}** — {1} window(s)"}
+    at = 0
+    for field, shape in shapes.items():
+        lines = [shape.format(r.value, r.n) for r in sorted((r for r in values if r.field == field), key=lambda r: r["rank"])]
+        assert lines and "\n".join(lines) in text[at:], field
+        at = text.index("\n".join(lines))
+
+
+def test_stream_durations_equal_the_batch(spark, sf_dir):
+    whole = {(r.op_run_id, r.status, r.seconds) for r in QUERIES["e6_run_durations"](spark, sf_dir).collect() if r.status != "running"}
+    seen = {(r.op_run_id, r.status, r.seconds) for r in QUERIES["e6_stream_durations"](spark, sf_dir).collect() if r.status != "running"}
+    assert seen == whole
+
+
+def test_hybrid_search_fuses_both_lists(spark):
+    texts = ["red apples and pears", "green apples", "blue whales sing", "red cars"]
+    table = spark.createDataFrame([(i, "document", t) for i, t in enumerate(texts)], "doc_id long, kind string, text string")
+    out = pipelines.hybrid_search(spark.createDataFrame([(1, "red apples")], "query_id long, text string"), table).collect()
+    words = [r.doc_id for r in search.bm25_topk(spark.createDataFrame([(1, "red apples")], "query_id long, text string"), search.build_postings(table), search.build_doc_stats(table)).orderBy("rank").collect()]
+    assert out[0].id == 0 and out[0].in_lists == 2 and words[0] == 0 and {r.id for r in out} >= set(words)
+    assert all(r.snippet for r in out) and [r["rank"] for r in out] == list(range(1, len(out) + 1))
+
+
 def test_partial_ratio():
     assert speakers.partial_ratio("ann lee", "my name is ann lee, hello") == 100.0
     assert speakers.partial_ratio("", "x") == 0.0

@@ -1,4 +1,4 @@
-"""Every registered query: against its SQL form where it has one, else that it runs."""
+"""Every registered query: against its SQL form where it has one, else that it gives rows (their values: test_operators)."""
 
 import pytest
 from compare import assert_same
@@ -14,7 +14,7 @@ def test_equals_sql(spark, sf_dir, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() >= 0
+    assert QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_entry(spark):
