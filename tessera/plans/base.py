@@ -49,11 +49,26 @@ def _artifact_sql(kind: str, source: str) -> str:
       CASE WHEN key > 0 THEN list_transform(CASE WHEN key // 3 = key // 7 THEN [key // 3] ELSE [key // 3, key // 7] END, lambda k: sha256('{kind}|' || k)) ELSE [] END AS derived_from, key, text FROM ({source})"""
 
 
+def document_count(spark: SparkSession, sf_dir: str) -> int:
+    return table(spark, sf_dir, "documents").count()
+
+
+def inputs_of(number: Column, n: int) -> Column:
+    """Two documents that a numbered run reads, out of all n."""
+    return F.array(artifact_id("document", number * 31 % n), artifact_id("document", (number * 17 + 5) % n))
+
+
+def inputs_sql(number: str) -> str:
+    n = "(SELECT count(*) FROM documents)"
+    return f"[sha256('document|' || ({number} * 31 % {n})), sha256('document|' || (({number} * 17 + 5) % {n}))]"
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run per event: ``run_id, op_name, op_version, backend, backend_version, params_hash, input_ids, output_ids, input_key, namespace``."""
     e = table(spark, sf_dir, "events")
-    ins = F.array(artifact_id("document", F.col("event_id") % 700), artifact_id("document", F.col("event_id") % 900))
-    outs = F.array(artifact_id("document", F.col("event_id") % 1300))
+    n = document_count(spark, sf_dir)
+    ins = inputs_of(F.col("event_id"), n)
+    outs = F.array(artifact_id("document", F.col("event_id") * 13 % (n + n // 10)))
     backend = F.when(F.col("user_id") % 5 != 0, F.concat(F.lit("b"), (F.col("user_id") % 3).cast("string")))
     return e.select(
         F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("run_id"),
@@ -165,9 +180,9 @@ SQL = {
             _artifact_sql("transcript", "SELECT conv_id AS key, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id"),
         ]
     ),
-    "runs": """SELECT 'r' || event_id AS run_id, event_type AS op_name, '1' AS op_version, CASE WHEN user_id % 5 <> 0 THEN 'b' || (user_id % 3) END AS backend, CASE WHEN user_id % 5 <> 0 THEN '1' END AS backend_version,
-      sha256(props) AS params_hash, [sha256('document|' || (event_id % 700)), sha256('document|' || (event_id % 900))] AS input_ids, [sha256('document|' || (event_id % 1300))] AS output_ids,
-      sha256(array_to_string(list_sort([sha256('document|' || (event_id % 700)), sha256('document|' || (event_id % 900))]), ',')) AS input_key, 'n' || (user_id % 3) AS namespace, event_id FROM events""",
+    "runs": f"""SELECT 'r' || event_id AS run_id, event_type AS op_name, '1' AS op_version, CASE WHEN user_id % 5 <> 0 THEN 'b' || (user_id % 3) END AS backend, CASE WHEN user_id % 5 <> 0 THEN '1' END AS backend_version,
+      sha256(props) AS params_hash, {inputs_sql("event_id")} AS input_ids, [sha256('document|' || (event_id * 13 % ((SELECT count(*) FROM documents) + (SELECT count(*) FROM documents) // 10)))] AS output_ids,
+      sha256(array_to_string(list_sort({inputs_sql("event_id")}), ',')) AS input_key, 'n' || (user_id % 3) AS namespace, event_id FROM events""",
     "ledger": f"""SELECT event_id AS id, {_SECONDS} AS ts, event_type AS op_name, CASE WHEN user_id % 5 <> 0 THEN 'b' || (user_id % 3) END AS backend, 'n' || (user_id % 3) AS namespace,
       value * 1.25::DOUBLE AS estimated_cents, value AS actual_cents, json_extract_string(props, '$.k')::BIGINT AS tokens_in, json_extract_string(props, '$.k')::BIGINT * 2 AS tokens_out FROM events""",
     "op_events": f"""SELECT event_id AS id, {_SECONDS} AS ts, CASE event_id % 3 WHEN 0 THEN 'op_started' WHEN 1 THEN 'heartbeat' ELSE CASE WHEN event_type = 'error' THEN 'op_failed' ELSE 'op_completed' END END AS type,

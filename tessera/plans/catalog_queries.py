@@ -181,8 +181,8 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", memo.content_key(F.col("text").cast("binary")).alias("key"))
 
 
-_REQ = """, req AS (SELECT event_id AS request_id, event_type AS op_name, '1' AS op_version, CASE WHEN user_id % 5 <> 0 THEN 'b' || (user_id % 3) END AS backend, CASE WHEN user_id % 5 <> 0 THEN '1' END AS backend_version,
-  sha256(props) AS params_hash, sha256(array_to_string(list_sort([sha256('document|' || ((event_id // 2) % 700)), sha256('document|' || ((event_id // 2) % 900))]), ',')) AS input_key, 'n' || (user_id % 3) AS namespace, event_type AS pipeline, value AS estimate FROM events),
+_REQ = f""", req AS (SELECT event_id AS request_id, event_type AS op_name, '1' AS op_version, CASE WHEN user_id % 5 <> 0 THEN 'b' || (user_id % 3) END AS backend, CASE WHEN user_id % 5 <> 0 THEN '1' END AS backend_version,
+  sha256(props) AS params_hash, sha256(array_to_string(list_sort({base.inputs_sql("(event_id // 2)")}), ',')) AS input_key, 'n' || (user_id % 3) AS namespace, event_type AS pipeline, value AS estimate FROM events),
   dead AS (SELECT DISTINCT run_id FROM (SELECT run_id, unnest(output_ids) AS id FROM runs) WHERE id NOT IN (SELECT id FROM artifacts)),
   hit AS (SELECT q.request_id, min(r.run_id) AS run_id FROM req q JOIN runs r ON q.op_name = r.op_name AND q.op_version = r.op_version AND q.params_hash = r.params_hash AND q.input_key = r.input_key AND q.namespace = r.namespace
     AND q.backend IS NOT DISTINCT FROM r.backend AND q.backend_version IS NOT DISTINCT FROM r.backend_version WHERE r.run_id NOT IN (SELECT run_id FROM dead) GROUP BY q.request_id)
@@ -194,7 +194,7 @@ def _requests(spark, d):
     e = table(spark, d, "events")
     half = F.floor(F.col("event_id") / 2)
     r = base.runs(spark, d).select("event_id", "op_name", "op_version", "backend", "backend_version", "params_hash", "namespace")
-    ins = F.array(base.artifact_id("document", half % 700), base.artifact_id("document", half % 900))
+    ins = base.inputs_of(half, base.document_count(spark, d))
     return r.join(e.select("event_id", F.col("event_type").alias("pipeline"), F.col("value").alias("estimate")), "event_id").withColumn("input_key", memo.input_key(ins)).withColumnRenamed("event_id", "request_id")
 
 
