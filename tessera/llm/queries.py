@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.feistel_shards import feistel_shards
+from tessera.llm.fp_search import ranked_search
 from tessera.llm.hnsw import nearest
 from tessera.llm.langid import held_out, identify
 from tessera.llm.license_scan import license_scan
@@ -13,7 +14,9 @@ from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.minhash_join import jaccard_groups
 from tessera.llm.mixing import mix_sources
 from tessera.llm.quality_rules import quality_rules
+from tessera.llm.sequence_packing import pack_documents
 from tessera.llm.sp_codec import round_trip
+from tessera.llm.spelling_variants import spelling_variants
 from tessera.llm.token_files import token_files
 from tessera.runtime import table
 
@@ -63,4 +66,31 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_hnsw, op4_feistel_shards, op5_jaccard_join, op6_mix_sources, op7_line_dedup, op8_token_files, op9_language_id, op10_sentencepiece)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), ids=False)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ALL = (
+    op1_quality_rules,
+    op2_license_scan,
+    op3_hnsw,
+    op4_feistel_shards,
+    op5_jaccard_join,
+    op6_mix_sources,
+    op7_line_dedup,
+    op8_token_files,
+    op9_language_id,
+    op10_sentencepiece,
+    op11_spelling_variants,
+    op12_sequence_packing,
+    op13_ranked_search,
+)
+QUERIES = {f.__name__: f for f in _ALL}
