@@ -85,11 +85,11 @@ class Tree:
         shared = np.array([-1, *(self._shared(paths, begins[a], ends[a], begins[b], ends[b]) for a, b in zip(self.order, self.order[1:], strict=False))])
         order = np.lexsort((place[of], paths))
         kind, at, tf, m = paths[order], place[of][order], tf[order], m[self.order]
-        # Depths at which the tree has four times the nodes of the depth before; the documents are the last.
+        # Depths at which the tree has twice the nodes of the depth before; the documents are the last.
         depths, count = [], 1
         nodes_at = np.cumsum(np.bincount(shared[1:], minlength=1)) + 1 if len(shared) > 1 else np.ones(1, int)
         for depth, n in enumerate(nodes_at.tolist(), 1):
-            if n >= 4 * count and 4 * n <= len(sizes):
+            if 2 * count <= n <= len(sizes) // 2:
                 depths.append(depth)
                 count = n
         begin = [shared < d for d in depths] + [np.ones(len(sizes), bool)]
@@ -227,7 +227,7 @@ def _search_block(docs: DataFrame, items: list[tuple], k: int) -> DataFrame:
             if len(scores):
                 yield pa.RecordBatch.from_arrays([pa.array([number] * len(ids), pa.int64()), pa.array(ids, mask=ids == _NO_ID), pa.array(scores)], ["item", "doc_id", "score"])
 
-    return vectors.mapInArrow(run, "item long, doc_id long, score long").withColumn("part", F.spark_partition_id())
+    return vectors.filter("size(terms) > 0").mapInArrow(run, "item long, doc_id long, score long").withColumn("part", F.spark_partition_id())
 
 
 def ranked_search(docs: DataFrame, items: DataFrame, *, k: int = 20, item_col: str = "item_id", item_text_col: str = "text", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -92,4 +92,43 @@ e AS (SELECT d.*, CASE WHEN ks IS NULL THEN ls ELSE list_filter(ls, lambda x: NO
 SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(kept, chr(10)), '') END AS text, lang, source, n_chars, coalesce(len(ls) - len(kept), 0)::BIGINT AS n_dropped FROM e
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op2_license_scan": OP2, "op6_mix_sources": OP6, "op7_line_dedup": OP7}
+# crc32 is a fold over the bytes with the table of the polynomial EDB88320.
+OP11 = r"""
+WITH RECURSIVE bits(i, k, v) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS c FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+p AS (SELECT *, coalesce(doc_id::VARCHAR, '') || ':' || run AS s FROM d),
+b AS (SELECT run, c, s, hex(s) AS hx FROM p),
+h AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(hx) // 2 + 1), lambda i: ('0x' || substr(hx, 2 * i - 1, 2))::BIGINT)),
+        lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM b, tab),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+skip AS (SELECT word, n, i, substr(word, 1, i) || chr(0) || substr(word, i + 2) AS gap, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM skip a JOIN skip b USING (gap) WHERE a.word <> b.word
+   UNION SELECT s.word, v.word, v.n FROM skip s JOIN v ON s.less = v.word
+   UNION SELECT v.word, s.word, s.n FROM skip s JOIN v ON s.less = v.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, other)) AS other FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 5 * v.n THEN other END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+chain(word, root, depth) AS (SELECT word, word, 0 FROM f UNION ALL SELECT c.word, f.form, depth + 1 FROM chain c JOIN f ON c.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT word, arg_max(root, depth) AS root FROM chain GROUP BY word) r USING (word)
+"""
+
+OP13 = r"""
+WITH it AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM it GROUP BY ALL),
+tok AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+d AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d),
+p AS (SELECT doc_id, term, count(*) AS tf FROM tok SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), g),
+m AS (SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM d, g),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op2_license_scan": OP2, "op6_mix_sources": OP6, "op7_line_dedup": OP7, "op11_spelling_variants": OP11, "op13_ranked_search": OP13}

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.token_files import default_tokenizer, encode_texts
-from tessera.runtime import arrow_batches, column, cut, pin
+from tessera.runtime import arrow_batches, column, cut, pin, value_and_rest, with_fields
 
 LENGTH = 4096
 #: Pieces of one group.
@@ -100,37 +100,36 @@ def sum_of_squares(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray,
 
 def pack_pieces(pieces: DataFrame, *, length: int = LENGTH, group_pieces: int = GROUP_PIECES, full: int = FULL) -> DataFrame:
     """``pieces`` (with ``length``, at most a sequence long) and ``sequence_id, offset``, gapless from 0 in each sequence."""
-    names = pieces.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    slim, back = value_and_rest(pieces, "length", "sequence_id", "offset", cast="long")
+    schema = with_fields(slim, sequence_id="long", offset="long", gap="long")
 
     def place(key: tuple, group: pa.Table) -> pa.Table:
-        sizes = group["length"].to_numpy()
+        sizes = group["value"].to_numpy()
         order = np.argsort(-sizes, kind="stable")
         sequence, offset, gaps = sum_of_squares(sizes[order], length)
         name = (key[0].as_py() << 56) + (key[1].as_py() << 24) + sequence
-        placed = group.select(names).take(pa.array(order))
-        for field, values in (("sequence_id", name), ("offset", offset), ("_gap", gaps[sequence])):
+        placed = group.select(["rest", "value"]).take(pa.array(order))
+        for field, values in (("sequence_id", name), ("offset", offset), ("gap", gaps[sequence])):
             placed = placed.append_column(field, pa.array(values, pa.int64()))
         return placed
 
-    left, done, turn = pin(pieces, "pieces"), [], 0
+    left, done, turn = pin(slim, "pieces"), [], 0
     n = left.count()
     while True:
         groups = max(1, -(-n // group_pieces))
-        dealt = left.withColumns({"_turn": F.lit(turn), "_group": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))})
-        placed = dealt.groupBy("_turn", "_group").applyInArrow(place, f"{kinds}, sequence_id long, offset long, _gap long")
-        placed = pin(placed, "packed")
-        open_ones = placed.filter(F.col("_gap") > full)
+        dealt = left.withColumns({"turn": F.lit(turn), "group": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))})
+        placed = pin(dealt.groupBy("turn", "group").applyInArrow(place, schema), "packed")
+        open_ones = placed.filter(F.col("gap") > full)
         # The last group keeps its open sequences; so does a turn that leaves most pieces open, as longer pieces than half a sequence do.
         over = groups == 1 or 2 * (again := open_ones.count()) > n
-        done.append(placed if over else placed.filter(F.col("_gap") <= full))
+        done.append(placed if over else placed.filter(F.col("gap") <= full))
         if over:
             break
-        left, n, turn = cut(open_ones.select(*names)), again, turn + 1
+        left, n, turn = cut(open_ones.select("rest", "value")), again, turn + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.drop("_gap")
+    return out.select(*back, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, *, length: int = LENGTH, ids: bool = True, **encoding) -> DataFrame:
