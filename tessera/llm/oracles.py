@@ -1,6 +1,6 @@
 """DuckDB forms of the queries that SQL can express."""
 
-from tessera.llm.license_scan import COPYRIGHT_LINE, SPELLINGS
+from tessera.llm.license_scan import PHRASES, SPELLINGS
 from tessera.llm.license_texts import KNOWN_NOTICES, KNOWN_TEXTS
 from tessera.llm.line_dedup import RATIO
 from tessera.llm.quality_rules import CLOSERS, CUT_OFF, DATE, LINE_ENDS, LINK_STARTS, MENU_MARK, NOTICE_STARTS, SHOUT_MARK, STOCK_PHRASES
@@ -46,24 +46,46 @@ FROM m
 """
 
 _SPELLED = "regexp_replace(regexp_replace(' ' || lower({0}) || ' ', '[^\\p{{L}}\\p{{N}}\\n©]+', ' ', 'g'), ' ?\\n ?', ' ' || chr(10) || ' ', 'g')"
-for _old, _new in SPELLINGS:
+_JOINED = "' ' || array_to_string({0}, ' ') || ' '"
+for _old, _new in (*SPELLINGS, *PHRASES):
     _SPELLED = f"regexp_replace({_SPELLED}, {_quote(_old)}, {_quote(_new.replace('$', chr(92)))}, 'g')"
+for _old, _new in PHRASES:
+    _JOINED = f"regexp_replace({_JOINED}, {_quote(_old)}, {_quote(_new)}, 'g')"
+
+# Copyright lines by their words, written apart from the operator's pattern. w: the words of the line, without a leading "portions".
+_FIRMS = "'authors', 'contributors', 'developers', 'maintainers', 'project', 'team', 'foundation', 'inc', 'ltd', 'llc', 'gmbh', 'corp', 'corporation', 'company'"
+_AFTER = "list_filter(w, lambda y, k: NOT list_bool_and(list_transform(w[:k], lambda z: z IN ('copyright', 'c', '©'))))[1]"
+_END = "CASE WHEN w[-3:] = ['all', 'rights', 'reserved'] THEN w[:-4] ELSE w END"
+_COPYRIGHT = f"""(SELECT starts_with(x, '©') OR x = 'all rights reserved'
+  OR (w[1] IN ('copyright', 'c', '©') AND regexp_matches({_AFTER}, '^([0-9][0-9][0-9][0-9]|yyyy|year)$'))
+  OR (w[1] = 'copyright' AND w[2] IN ('c', '©'))
+  OR (w[1] = 'copyright' AND NOT regexp_matches(w[2], '^(holder|owner|notice)') AND len({_END}) BETWEEN 2 AND 8 + (w[2] = 'by')::INT AND ({_END})[-1] IN ({_FIRMS}))
+  FROM (SELECT CASE WHEN starts_with(x, 'portions ') THEN string_split(x[10:], ' ') ELSE string_split(x, ' ') END AS w))"""
 
 
 def _lines(column: str) -> str:
-    return f"list_filter(list_transform(string_split({_SPELLED.format(column)}, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, {_quote(COPYRIGHT_LINE)}))"
+    return f"list_filter(list_transform(string_split({_SPELLED.format(column)}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _digest(lines: str) -> str:
+    return f"md5(trim({_JOINED.format(lines)}))"
 
 
 _KNOWN = ", ".join(f"({_quote(k)}, {_quote(v)}, {str(k in KNOWN_NOTICES).lower()})" for k, v in {**KNOWN_TEXTS, **KNOWN_NOTICES}.items())
 
 OP2 = f"""
-WITH known AS (SELECT md5(array_to_string({_lines("body")}, ' ')) AS digest, min(name) AS license_id, bool_or(notice) AS notice
-               FROM (VALUES {_KNOWN}) v(name, body, notice) GROUP BY 1),
+WITH raw AS (SELECT name, notice, {_lines("body")} AS ls FROM (VALUES {_KNOWN}) v(name, body, notice)),
 d AS (SELECT doc_id, {_lines("text")} AS ls FROM documents),
+begun AS (SELECT DISTINCT x FROM (SELECT unnest(ls) AS x FROM raw UNION ALL SELECT unnest(ls) FROM d) WHERE regexp_matches(x, '^(portions )?(copyright|c |©|all rights)')),
+cop AS (SELECT list(x) AS xs FROM begun WHERE {_COPYRIGHT}),
+rawd AS (SELECT name, notice, unnest([{_digest("ls")}, {_digest("list_filter(ls, lambda x: NOT list_contains(coalesce(xs, []), x))")}]) AS digest FROM raw, cop),
+known AS (SELECT digest, min(name) AS license_id FROM rawd GROUP BY digest),
+nknown AS (SELECT digest, min(name) AS license_id FROM rawd WHERE notice GROUP BY digest),
 n AS (SELECT doc_id, count(*) AS n, list_sort(list_distinct(list(license_id))) AS ids
-      FROM (SELECT doc_id, md5(unnest(ls)) AS digest FROM d) JOIN known USING (digest) WHERE notice GROUP BY doc_id)
-SELECT doc_id, digest, license_id, coalesce(array_to_string(ids, ';'), '') AS notice_ids, coalesce(n, 0)::BIGINT AS n_notice_lines
-FROM (SELECT doc_id, md5(array_to_string(ls, ' ')) AS digest FROM d) LEFT JOIN known USING (digest) LEFT JOIN n USING (doc_id)
+      FROM (SELECT doc_id, md5(unnest(ls)) AS digest FROM d) JOIN nknown USING (digest) GROUP BY doc_id),
+dd AS (SELECT doc_id, {_digest("ls")} AS whole, {_digest("list_filter(ls, lambda x: NOT list_contains(coalesce(xs, []), x))")} AS digest FROM d, cop)
+SELECT dd.doc_id, dd.digest, coalesce(a.license_id, b.license_id) AS license_id, coalesce(array_to_string(ids, ';'), '') AS notice_ids, coalesce(n, 0)::BIGINT AS n_notice_lines
+FROM dd LEFT JOIN known a ON dd.digest = a.digest LEFT JOIN known b ON dd.whole = b.digest LEFT JOIN n ON dd.doc_id = n.doc_id
 """
 
 _U = "((('0x' || substr(md5({0}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"

@@ -1,6 +1,7 @@
 """Corpus operators against SQL, brute force and round trips, with the defined edge cases."""
 
 import re
+import textwrap
 import unicodedata
 import zlib
 
@@ -11,7 +12,7 @@ import pytest
 from compare import assert_same
 
 import corpus_pipeline
-from tessera.llm import hnsw, langid, line_dedup, minhash_join, mixing, sp_codec, token_files
+from tessera.llm import hnsw, langid, line_dedup, license_scan as license_scan_module, minhash_join, mixing, sp_codec, token_files
 from tessera.llm.feistel_shards import _round_keys, feistel_shards, permute
 from tessera.llm.license_scan import license_scan
 from tessera.llm.license_texts import KNOWN_TEXTS
@@ -96,6 +97,46 @@ def test_license_scan_knows_long_texts(spark, name, file):
     assert {r.doc_id: r.license_id for r in got} == {1: name, 2: None}
 
 
+def wrapped(text, width):
+    """A text with its paragraphs wrapped anew; None puts each on one line."""
+    paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text)]
+    return "\n\n".join(p if width is None else textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in paragraphs)
+
+
+@pytest.mark.parametrize("width", [60, 72, 80, 100, None])
+def test_license_scan_at_any_width(spark, width):
+    """Every known text, plain, as bytes of another wrap, and below a copyright line; none with a condition altered."""
+    names = sorted(KNOWN_TEXTS)
+    rows = [(i, wrapped(KNOWN_TEXTS[n], width)) for i, n in enumerate(names)]
+    rows += [(100 + i, "Copyright (c) 2019-2024 Some One and others\n\n" + wrapped(KNOWN_TEXTS[n], width)) for i, n in enumerate(names) if "Copyright (" not in KNOWN_TEXTS[n]]
+    altered = [(200 + i, re.sub(r"(?i)\b(copyright|this|the)( +)(\w+)", r"\1\2unlike \3", text, count=1)) for i, text in rows if i < 100]
+    got = {r.doc_id: r.license_id for r in license_scan(docs(spark, [(k, t, None, None, None) for k, t in rows + altered])).collect()}
+    same = {}
+    for r in license_scan(docs(spark, [(i, KNOWN_TEXTS[n], None, None, None) for i, n in enumerate(names)])).collect():
+        same[r.doc_id] = r.license_id
+    assert set(same.values()) <= set(names) and all(KNOWN_TEXTS[same[i]].split()[:3] for i in same)
+    for k, _ in rows:
+        assert got[k] == same[k % 100], (names[k % 100], width)
+    assert not [names[k - 200] for k, t in altered if got[k] is not None]
+
+
+def test_license_scan_keeps_terms_that_begin_with_copyright(spark):
+    isc = KNOWN_TEXTS["ISC"]
+    assert "\ncopyright notice and this permission notice appear in all copies." in isc
+    fee = isc.replace("copyright notice and this permission notice appear in all copies.", "copyright notice may never be reproduced and a fee is due.")
+    head = "\n\n".join(["Portions Copyright 2001, 2003 by A. Holder", "© 1999 B", "Copyright (C) <year> <name>", "Copyright The Go Authors. All rights reserved.", "All rights reserved.", isc])
+    got = {r.doc_id: r.license_id for r in license_scan(docs(spark, [(1, fee, None, None, None), (2, head, None, None, None), (3, isc + "\nCopyright holders pay.", None, None, None)])).collect()}
+    assert got == {1: None, 2: "ISC", 3: None}
+
+
+def test_license_scan_with_many_notices(spark, monkeypatch):
+    table = docs(spark, [(1, "Licensed under CC BY 4.0.\nx\nlicensed under cc-by 4.0", None, None, None), (2, None, None, None, None), (3, "Released under the MIT License.\nLicensed under CC BY 4.0", None, None, None), (3, "", None, None, None)])
+    want = sorted(map(tuple, license_scan(table).collect()), key=repr)
+    monkeypatch.setattr(license_scan_module, "PLAN_NOTICES", 0)
+    assert sorted(map(tuple, license_scan(table).collect()), key=repr) == want
+    assert {(r[0], r[-1]) for r in want} == {(1, 2), (2, 0), (3, 2), (3, 0)}
+
+
 # --- 3 nearest neighbours
 
 
