@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 from compare import assert_same
 
 import corpus_pipeline
@@ -519,26 +520,67 @@ def test_language_scores_equal_the_kernel_form():
     assert [model.languages[i] for i in model.scores(found).argmax(axis=1)] == ["en", "fr", "en", "fr", "de"]
 
 
-def test_language_query_equals_plain_kernels(spark, sf_dir):
-    """Every prediction again, from slots of n-grams in Python sets and one kernel value at a time."""
-    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    packed, labels = langid.training_sample(table)
-    model = langid.fit(packed, labels)
-    weights = model.weights.astype(np.float64)
-    texts = {r.doc_id: r.text for r in table.collect()}
+def own_slots(text):
+    """Presence of the n-grams of one to three characters, in plain integers."""
+    codes, out, key = [ord(c) for c in text.lower()], set(), []
+    for n in (1, 2, 3):
+        if len(codes) < n:
+            break
+        key = [((k + c + n) * 0x9E3779B97F4A7C15) % 2**64 for k, c in zip(key or [0] * len(codes), codes[n - 1 :])]
+        out.update(k >> 49 for k in key)
+        key = [k ^ (k >> 29) for k in key]
+    return frozenset(out)
+
+
+def own_kernel(a, b):
+    """Blended presence kernels of two lists of n-gram sets, by plain intersections."""
+    return np.array([[len(x & y) / np.sqrt(max(len(x), 1) * max(len(y), 1)) for y in b] for x in a])
+
+
+def test_language_query_equals_an_own_kernel_machine(spark, sf_dir):
+    """Sample, kernel, landmarks, regression and scores are all written anew here."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    letters = lambda t: any(unicodedata.category(c)[0] == "L" for c in t or "")
+    learn = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None and letters(r.text)]
+    languages = sorted({r.lang for r in learn})
+    each, chosen = 2000 // len(languages), []
+    for lang in languages:
+        own = [r for r in learn if r.lang == lang]
+        own.sort(key=lambda r: (np.int64(np.uint64(xxhash.xxh64_intdigest(str(r.doc_id), seed=42))), str(r.doc_id)))
+        chosen += [(lang, own_slots(r.text)) for r in own[:each]]
+
+    def bits(slots):
+        row = np.zeros(1 << 15, bool)
+        row[list(slots)] = True
+        return np.packbits(row).tobytes()
+
+    chosen.sort(key=lambda x: (x[0], bits(x[1])))
+    labels, sets = [c[0] for c in chosen], [c[1] for c in chosen]
+    marks = [sets[k] for k in sorted({int(x) for x in np.linspace(0, len(sets) - 1, min(200, len(sets)))})]
+    values, vectors = np.linalg.eigh(own_kernel(marks, marks))
+    good = values > 1e-6 * values.max()
+    whiten = vectors[:, good] / np.sqrt(values[good])
+    x = own_kernel(sets, marks) @ whiten
+    share = np.array([len(labels) / len(languages) / labels.count(k) for k in labels])
+    y = np.array([[1.0 if k == lang else -1.0 for lang in languages] for k in labels])
+    beta = np.linalg.solve(x.T @ (x * share[:, None]) + 0.01 * np.eye(x.shape[1]), x.T @ (y * share[:, None]))
+    texts = {r.doc_id: r.text for r in rows}
     for r in QUERIES["op9_language_id"](spark, sf_dir).collect():
-        slots = set()
-        for n in range(1, langid.LONGEST + 1):
-            for at in range(len(texts[r.doc_id].lower()) - n + 1):
-                slots.add(texts[r.doc_id].lower()[at : at + n])
-        row = np.zeros(langid.SLOTS, bool)
-        for gram in slots:
-            one = np.zeros(langid.SLOTS, bool)
-            langid.presence(gram, one)
-            row |= one
-        out = sum(weights[k] for k in np.flatnonzero(row)) / np.sqrt(row.sum())
-        sure = 1 / np.exp(3 * (out - out.max())).sum()
-        assert r.lang_pred == model.languages[int(out.argmax())] and abs(r.score - sure) < 1e-3
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        if not letters(texts[r.doc_id]):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        out = (own_kernel([own_slots(texts[r.doc_id])], marks) @ whiten @ beta)[0]
+        sure = np.exp(3 * out) / np.exp(3 * out).sum()
+        assert r.lang_pred == languages[int(out.argmax())] or sure.max() - sure[languages.index(r.lang_pred)] < 1e-3
+        assert abs(r.score - sure.max()) < 2e-3
+
+
+@pytest.mark.parametrize("text", ["½ ²", "①", "Ⅷ", "_ _ 12 !?", "٣", "\u0301", "🙂"])
+def test_language_of_texts_without_letters(spark, sf_dir, text):
+    model = langid.fit(np.packbits(langid.presence_rows(["abc", "xyz"]), axis=1), ["a", "x"])
+    (r,) = langid.predict(docs(spark, [(1, text, None, None, None)]), model).collect()
+    assert (r.lang_pred, r.score) == ("und", 0.0) and not any(unicodedata.category(c)[0] == "L" for c in text)
 
 
 def test_language_edge_cases(spark):
