@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,25 +12,28 @@ from tessera.functions.text import split_units
 _CHUNK = "array<struct<text:string,char_start:long,char_end:long,chunk_index:int,unit_first:int,unit_last:int>>"
 
 
-def _pack(units: list[str], most: int, overlap: int) -> list[dict]:
-    chunks, parts, size, cursor, first = [], [], 0, 0, 0
+def chunk_rows(units: list[str], most: int, overlap: int) -> list[dict]:
+    """The chunks of one list of units, by prefix sums of the units' sizes (each with a separator).
 
-    def close(last: int) -> None:
-        if parts:
-            chunks.append({"text": " ".join(parts).strip(), "char_start": cursor - size, "char_end": cursor, "chunk_index": len(chunks), "unit_first": first, "unit_last": last})
-
-    for number, unit in enumerate(units):
-        need = len(unit) + 1
-        if parts and size + need > most:
-            close(number - 1)
-            tail = " ".join(parts)[-overlap:] if overlap else ""
-            parts, size, first = ([tail], len(tail) + 1, number) if tail else ([], 0, number)
-            cursor += need  # counted again below: the offsets are a running estimate, not places in the source
-        parts.append(unit)
-        size += need
-        cursor += need
-    close(len(units) - 1)
-    return chunks
+    The end of a chunk is the last place whose sum is within reach of its start; a binary
+    search finds it, whatever lies between.
+    """
+    sizes = np.array([len(u) + 1 for u in units], int)
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    first, after, texts, tail = [], [0], [], ""
+    while after[-1] < len(units):
+        first.append(after[-1])
+        extra = len(tail) + 1 if tail else 0
+        reach = int(np.searchsorted(sums, sums[first[-1]] + most - extra, "right")) - 1
+        after.append(max(reach, first[-1] + 1))
+        texts.append(" ".join([*([tail] if tail else []), *units[first[-1] : after[-1]]]))
+        tail = texts[-1][max(0, len(texts[-1]) - overlap) :]
+    # Places in the text run ahead by the first unit of each chunk but the first.
+    ends = sums[after[1:]] + np.cumsum(sizes[first]) - sizes[:1].sum()
+    return [
+        {"text": t.strip(), "char_start": e - len(t) - 1, "char_end": e, "chunk_index": k, "unit_first": a, "unit_last": b - 1}
+        for k, (t, e, a, b) in enumerate(zip(texts, ends.tolist(), first, after[1:], strict=True))
+    ]
 
 
 def pack_chunks(units: Column, max_chars: int = 2000, overlap_chars: int = 200) -> Column:
@@ -42,7 +46,7 @@ def pack_chunks(units: Column, max_chars: int = 2000, overlap_chars: int = 200)
 
     @F.pandas_udf(_CHUNK)
     def pack(column: pd.Series) -> pd.Series:
-        return column.map(lambda units: _pack(list(units), max_chars, overlap_chars) if units is not None else None)
+        return column.map(lambda units: chunk_rows(list(units), max_chars, overlap_chars) if units is not None else None)
 
     return pack(units)
 

@@ -5,63 +5,125 @@ Segments: ``recording_id, seq, start, end, speaker_id, text``.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import strip_space
+from tessera.operators.prefix import any_large, last_before, last_seen, running_sum, sums_before
+from tessera.runtime import cut, pin, with_fields
+
 
 def speaker_runs(segments: DataFrame) -> DataFrame:
     """``segments`` with ``run``: the number of speaker changes before each (null equals null)."""
-    order = Window.partitionBy("recording_id").orderBy("seq")
-    changed = F.lag("seq").over(order).isNotNull() & ~F.col("speaker_id").eqNullSafe(F.lag("speaker_id").over(order))
-    return segments.withColumn("_changed", changed.cast("int")).withColumn("run", F.sum("_changed").over(order)).drop("_changed")
-
-
-_GROUP_SCHEMA = "recording_id long, seq long, start double, end double, speaker_id string, text string"
+    large = any_large(segments, ["recording_id"])
+    # A struct, so that a null speaker is a value.
+    seen = last_seen(segments, ["recording_id"], ["seq"], F.struct("speaker_id"), "_seen", large)
+    changed = F.col("_seen").isNotNull() & ~F.col("speaker_id").eqNullSafe(F.col("_seen.speaker_id"))
+    marked = seen.withColumn("_changed", changed.cast("int"))
+    return sums_before(marked, ["recording_id"], ["seq"], "_changed", "_earlier", large).withColumn("run", F.col("_earlier") + F.col("_changed")).drop("_seen", "_changed", "_earlier")
 
 
-def _fold(gap: float, max_chars: int):
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        out, texts, size, last_end = [], [], 0, None
-        for r in rows.itertuples(index=False):
-            start = None if pd.isna(r.start) else r.start
-            text = r.text or ""
-            pause = max(0.0, start - last_end) if start is not None and last_end is not None else 0.0
-            if not texts or pause > gap or size + len(text) > max_chars:
-                out.append([r.recording_id, r.seq, start, None, r.speaker_id, None])
-                texts, size, last_end = [], 0, None
-            texts.append(text)
-            size += len(text)
-            if not pd.isna(r.end):
-                last_end = r.end
-            out[-1][3], out[-1][5] = last_end, " ".join(texts).strip()
-        return pd.DataFrame(out, columns=["recording_id", "seq", "start", "end", "speaker_id", "text"])
+def piece_starts(start: np.ndarray, end: np.ndarray, size: np.ndarray, gap: float, most: int) -> list[int]:
+    """Where the pieces of one stretch begin. Times may be NaN.
 
-    return fold
-
-
-def merge_segments(segments: DataFrame, gap_threshold: float = 2.0, max_chars: int = 2000) -> DataFrame:
+    A piece ends before the first segment that its prefix sum no longer reaches, or that
+    comes too late after the last known end inside the piece. Both are looked up from
+    the piece's start by binary search.
+    """
+    n = len(size)
+    sums = np.concatenate([[0], np.cumsum(size)])
+    known = np.maximum.accumulate(np.where(np.isnan(end), -1, np.arange(n)))
+    known = np.concatenate([[-1], known[:-1]])
+    late = np.flatnonzero((known >= 0) & (start - end[known] > gap))
+    since = known[late]
+    starts, at = [], 0
+    while at < n:
+        starts.append(at)
+        full = max(int(np.searchsorted(sums, sums[at] + most, "right")) - 1, at + 1)
+        pause = int(np.searchsorted(since, at))
+        at = min(full, int(late[pause]) if pause < len(late) else n)
+    return starts
+
+
+_STRETCH = ["recording_id", "run", "stretch"]
+
+
+def _successors(rows: DataFrame, gap: float, most: int) -> DataFrame:
+    """``<stretch>, no, next``: where the piece that begins at each segment ends. rows: numbered (``no``) with the sum before (``sum``)."""
+    # Sums and limits in one order: behind a limit stands the first segment whose sum is beyond it.
+    reached = rows.select(*_STRETCH, (F.col("sum") + F.col("size")).alias("x"), F.lit(0).alias("asks"), "no")
+    limits = rows.select(*_STRETCH, (F.col("sum") + most).alias("x"), F.lit(1).alias("asks"), "no")
+    both = reached.unionByName(limits)
+    full = last_before(both, _STRETCH, ["x", "asks", "no"], F.when(F.col("asks") == 0, F.col("no")), "full", backwards=True).filter("asks = 1").select(*_STRETCH, "no", "full")
+    ends = last_before(rows, _STRETCH, ["no"], F.when(F.col("end").isNotNull(), F.struct("no", "end")), "known")
+    late = ends.filter(F.col("start") - F.col("known.end") > gap).groupBy(*_STRETCH, F.col("known.no").alias("no")).agg(F.min("no").alias("late"))
+    pauses = last_before(rows.join(late, [*_STRETCH, "no"], "left").withColumn("own", F.col("late")), _STRETCH, ["no"], F.col("own"), "later", backwards=True)
+    pauses = pauses.select(*_STRETCH, "no", F.coalesce("late", "later").alias("pause"))
+    return full.join(pauses, [*_STRETCH, "no"]).select(*_STRETCH, "no", F.least(F.when(F.col("full").isNotNull(), F.greatest("full", F.col("no") + 1)), "pause").alias("next"))
+
+
+def _pieces_of_large(rows: DataFrame, gap: float, most: int) -> DataFrame:
+    """``rows`` with ``piece``: boundaries by pointer doubling over the table of successors, so that a stretch of any length spreads over tasks."""
+    one = running_sum(rows.withColumn("_one", F.lit(1)), _STRETCH, ["seq"], "_one", "no")
+    numbered = pin(running_sum(one, _STRETCH, ["seq"], "size", "sum"), "stretch")
+    jumps = [cut(_successors(numbered, gap, most).filter("next is not null"))]
+    while True:
+        far = jumps[-1].alias("a").join(jumps[-1].select(*_STRETCH, F.col("no").alias("next"), F.col("next").alias("after")), [*_STRETCH, "next"])
+        far = cut(far.select(*_STRETCH, "no", F.col("after").alias("next")))
+        if far.isEmpty():
+            break
+        jumps.append(far)
+    begun = numbered.filter("no = 0").select(*_STRETCH, "no")
+    for jump in reversed(jumps):
+        begun = cut(begun.union(begun.join(jump, [*_STRETCH, "no"]).select(*_STRETCH, "next")))
+    marked = numbered.join(begun.withColumn("_begins", F.lit(1)), [*_STRETCH, "no"], "left")
+    return running_sum(marked, _STRETCH, ["seq"], "_begins", "_earlier").withColumn("piece", F.col("_earlier") + F.coalesce("_begins", F.lit(0)))
+
+
+def merge_segments(segments: DataFrame, gap_threshold: float = 2.0, max_chars: int = 2000, one_task: int = 50_000) -> DataFrame:
     """Segments of one speaker joined, unless a pause is longer than the gap or the text would outgrow ``max_chars``.
 
     Times and speakers may be null: null speakers are alike, a pause with an unknown
-    end counts 0. Where the cap cannot bind in a run and all ends are known, windows
-    cut the run at its pauses; only other runs are folded row by row, each run by
-    itself. Output ``seq`` is that of the first segment.
+    end counts 0. A pause behind a known end always parts, so runs fall into stretches
+    that are merged apart. A stretch within the cap and with all times known is one
+    piece; the pieces of others are found in one task a stretch, or, above ``one_task``
+    segments, by tables of successors. Output ``seq`` is that of the first segment.
     """
-    runs = speaker_runs(segments)
-    by_run = Window.partitionBy("recording_id", "run")
-    plain = (F.sum(F.length(F.coalesce("text", F.lit("")))).over(by_run) <= max_chars) & (F.count_if(F.col("end").isNull() | F.col("start").isNull()).over(by_run) == 0)
-    marked = runs.withColumn("_plain", plain)
-    order = by_run.orderBy("seq")
-    pause = F.greatest(F.lit(0.0), F.col("start") - F.lag("end").over(order))
-    cut = marked.filter("_plain").withColumn("_cut", F.coalesce((pause > gap_threshold).cast("int"), F.lit(0))).withColumn("_part", F.sum("_cut").over(order))
-    in_order = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text"), "end")))
-    fast = cut.groupBy("recording_id", "run", "_part").agg(F.min("seq").alias("seq"), F.min_by("start", "seq").alias("start"), F.max_by("end", "seq").alias("end"), F.first("speaker_id").alias("speaker_id"), in_order.alias("_rows"))
-    text = F.trim(F.array_join(F.transform("_rows", lambda x: x["text"]), " "))
-    fast = fast.select(F.col("recording_id").cast("long"), F.col("seq").cast("long"), "start", "end", "speaker_id", text.alias("text"))
-    slow = marked.filter("not _plain").select("recording_id", "run", "seq", "start", "end", "speaker_id", "text").groupBy("recording_id", "run").applyInPandas(_fold(gap_threshold, max_chars), _GROUP_SCHEMA)
-    return fast.unionByName(slow)
+    runs = speaker_runs(segments).select(F.col("recording_id").cast("long"), F.col("seq").cast("long"), "start", "end", "speaker_id", F.coalesce("text", F.lit("")).alias("text"), "run")
+    large = any_large(runs, ["recording_id"])
+    ends = last_seen(runs, ["recording_id", "run"], ["seq"], F.struct("end"), "_ended", large)
+    sure = F.coalesce(F.greatest(F.lit(0.0), F.col("start") - F.col("_ended.end")) > gap_threshold, F.lit(False))
+    parted = sums_before(ends.withColumn("_sure", sure.cast("int")), ["recording_id", "run"], ["seq"], "_sure", "_earlier", large)
+    parted = parted.withColumn("stretch", F.col("_earlier") + F.col("_sure")).withColumn("size", F.length("text")).drop("_ended", "_sure", "_earlier")
+    parted = pin(parted, "stretches")
+    kinds = parted.groupBy(*_STRETCH).agg(F.count("*").alias("_n"), ((F.sum("size") <= max_chars) & (F.count_if(F.col("end").isNull() | F.col("start").isNull()) == 0)).alias("_whole"))
+    kinds = kinds.select(*_STRETCH, F.when(F.col("_whole"), 0).when(F.col("_n") <= one_task, 1).otherwise(2).alias("_kind"))
+    told = parted.join(kinds, _STRETCH)
+    told = pin(told, "stretches") if large else told
+    schema = with_fields(parted, piece="long")
+
+    def part(stretch: pa.Table) -> pa.Table:
+        stretch = stretch.sort_by("seq")
+        times = (stretch[c].to_numpy().astype(float) for c in ("start", "end"))
+        begins = piece_starts(*times, stretch["size"].to_numpy(), gap_threshold, max_chars)
+        return stretch.append_column("piece", pa.array(np.searchsorted(begins, np.arange(stretch.num_rows), "right")))
+
+    pieces = told.filter("_kind = 0").select(*parted.columns, F.lit(0).cast("long").alias("piece"))
+    pieces = pieces.unionByName(told.filter("_kind = 1").select(*parted.columns).groupBy(*_STRETCH).applyInArrow(part, schema))
+    if not kinds.filter("_kind = 2").isEmpty():
+        pieces = pieces.unionByName(_pieces_of_large(told.filter("_kind = 2").select(*parted.columns), gap_threshold, max_chars).select(*parted.columns, F.col("piece").cast("long")))
+    in_order = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    merged = pieces.groupBy(*_STRETCH, "piece").agg(
+        F.min("seq").alias("seq"),
+        F.min_by("start", "seq").alias("start"),
+        F.max_by("end", F.when(F.col("end").isNotNull(), F.col("seq"))).alias("end"),
+        F.first("speaker_id").alias("speaker_id"),
+        in_order.alias("_rows"),
+    )
+    text = strip_space(F.array_join(F.transform("_rows", lambda x: x["text"]), " "))
+    return merged.select("recording_id", "seq", "start", "end", "speaker_id", text.alias("text"))
 
 
 def transcript_text(segments: DataFrame) -> DataFrame:
@@ -105,25 +167,25 @@ def align_speakers(segments: DataFrame, turns: DataFrame, bin_seconds: float = 1
 
 def words_to_sentences(words: DataFrame) -> DataFrame:
     """``recording_id, sentence, start, end, text``: a word that ends in ``.?!`` closes its sentence; the tail is kept."""
-    before = Window.partitionBy("recording_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    ends = F.col("text").rlike(r"[.?!]$").cast("int")
-    numbered = words.withColumn("_ends", ends).withColumn("sentence", F.coalesce(F.sum("_ends").over(before), F.lit(0)))
+    ends = words.withColumn("_ends", F.col("text").rlike(r"[.?!]$").cast("int"))
+    numbered = sums_before(ends, ["recording_id"], ["seq"], "_ends", "sentence", any_large(words, ["recording_id"]))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ")
     return numbered.groupBy("recording_id", "sentence").agg(F.min_by("start", "seq").alias("start"), F.max_by("end", "seq").alias("end"), joined.alias("text"))
 
 
 def normalise_turns(turns: DataFrame) -> DataFrame:
     """Turns numbered by start, and the number of speakers of the recording."""
-    order = Window.partitionBy("recording_id").orderBy("start", "end", "speaker_id")
-    speakers = F.size(F.collect_set("speaker_id").over(Window.partitionBy("recording_id")))
-    return turns.select("recording_id", (F.row_number().over(order) - 1).cast("long").alias("seq"), "start", "end", "speaker_id", speakers.cast("long").alias("num_speakers"))
+    order = ["start", "end", "speaker_id"]
+    numbered = sums_before(turns.withColumn("_one", F.lit(1)), ["recording_id"], order, "_one", "_no", any_large(turns, ["recording_id"]))
+    speakers = turns.groupBy("recording_id").agg(F.count_distinct("speaker_id").alias("num_speakers"))
+    return numbered.join(speakers, "recording_id").select("recording_id", F.col("_no").cast("long").alias("seq"), "start", "end", "speaker_id", F.col("num_speakers").cast("long").alias("num_speakers"))
 
 
 def analysis_windows(segments: DataFrame, size: int, salt: str = "") -> DataFrame:
     """``recording_id, window_index, start, end, text, speaker, window_id`` of every ``size`` consecutive segments."""
-    order = Window.partitionBy("recording_id").orderBy("seq")
     name = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("speaker_name", "speaker_id") if c in segments.columns])
-    numbered = segments.withColumn("window_index", F.floor((F.row_number().over(order) - 1) / size)).withColumn("_name", name)
+    rows = segments.withColumn("_name", name).withColumn("_one", F.lit(1))
+    numbered = sums_before(rows, ["recording_id"], ["seq"], "_one", "_no", any_large(segments, ["recording_id"])).withColumn("window_index", F.floor(F.col("_no") / size))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n")
     grouped = numbered.groupBy("recording_id", "window_index").agg(F.min_by("start", "seq").alias("start"), F.max_by("end", "seq").alias("end"), joined.alias("text"), F.min_by("_name", "seq").alias("speaker"))
     key = F.concat_ws(":", F.lit(salt), F.col("window_index").cast("string"), F.col("text"))

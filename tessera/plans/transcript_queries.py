@@ -222,9 +222,20 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(split_units(F.replace("text", F.lit(". "), F.lit(".\n\n")), "paragraph")).alias("n"))
 
 
-@query("k2_pack_chunks")
+_UNIT = "length(us[p.i + 1]) + 1"
+_OPENS = f"p.size + {_UNIT} > 2000"
+# A row a unit: the chunk so far, its text, its size and the places, which count the first unit of every further chunk twice.
+_OVERLAP = f"""WITH RECURSIVE u AS MATERIALIZED (SELECT doc_id, {base._SPLIT} AS us FROM documents),
+p AS (SELECT doc_id, 1 AS i, us[1] AS t, length(us[1]) + 1 AS size, 0 AS c, length(us[1]) + 1 AS pos, 1 AS f FROM u WHERE len(us) > 0
+ UNION ALL SELECT p.doc_id, p.i + 1, CASE WHEN {_OPENS} THEN right(p.t, 200) ELSE p.t END || ' ' || us[p.i + 1],
+  CASE WHEN {_OPENS} THEN least(200, length(p.t)) + 1 ELSE p.size END + {_UNIT}, p.c + ({_OPENS})::INTEGER, p.pos + ({_UNIT}) * (1 + ({_OPENS})::INTEGER), CASE WHEN {_OPENS} THEN p.i + 1 ELSE p.f END
+ FROM p JOIN u USING (doc_id) WHERE p.i < len(us))
+SELECT doc_id, c AS chunk_index, md5(trim(arg_max(t, i))) AS text, (max(pos) - max(size))::BIGINT AS char_start, max(pos)::BIGINT AS char_end, (min(f) - 1)::INTEGER AS unit_first, (max(i) - 1)::INTEGER AS unit_last FROM p GROUP BY doc_id, c"""
+
+
+@query("k2_pack_chunks", _OVERLAP)
 def _(spark, d):
-    return chunks.chunk_documents(table(spark, d, "documents"))
+    return chunks.chunk_documents(table(spark, d, "documents")).withColumn("text", F.md5("text"))
 
 
 @query("k2_pack_no_overlap", f"""WITH RECURSIVE u AS MATERIALIZED (SELECT doc_id, {base._SPLIT} AS us FROM documents),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.json_check import validate_json
 from tessera.functions.pricing import rates
 from tessera.functions.text import fold, parse_reply
-from tessera.operators import catalog, chunks, event_log, frames, graph, inference, reports, search, speakers, transcripts, vectors
+from tessera.operators import catalog, chunks, event_log, frames, graph, inference, prefix, reports, search, speakers, transcripts, vectors
 from tessera.operators.graph import connected_components
 from tessera.operators.prefix import running_sum
 from tessera.plans import base, pipelines
@@ -43,24 +43,43 @@ def merged_by_walk(rows, gap, most):
     return [(b["seq"], b["start"], b["end"], b["who"], " ".join(b["texts"]).strip()) for b in out]
 
 
-def test_merge_segments_equals_a_walk(spark):
+@pytest.mark.parametrize("path", ["tasks", "tables"])
+def test_merge_segments_equals_a_walk(spark, monkeypatch, path):
+    """Merged one task a stretch, or as stretches and recordings too long for one task are."""
+    if path == "tables":
+        monkeypatch.setattr(prefix, "ONE_TASK_ROWS", 0)
     rng = random.Random(4)
     rows, want = [], {}
     for rec in range(60):
         at, own = 0.0, []
-        for seq in range(rng.randint(1, 14)):
+        for seq in range(rng.randint(1, 14) if rec else 90):
             at += rng.choice([0.0, 1.0, 3.0])
             start, end = (None if rng.random() < 0.15 else at), (None if rng.random() < 0.15 else at + 1)
             own.append((rec, seq, start, end, rng.choice(["A", "B", None]), rng.choice(["hi", "a longer text", "", "x" * 12])))
         rows += own
         want[rec] = merged_by_walk(own, 2.0, 30)
-    out = transcripts.merge_segments(spark.createDataFrame(rows, SEGMENTS), max_chars=30).collect()
+    out = transcripts.merge_segments(spark.createDataFrame(rows, SEGMENTS), max_chars=30, one_task=-1 if path == "tables" else 50_000).collect()
     got = {}
     for r in sorted(out, key=lambda r: (r.recording_id, r.seq)):
         got.setdefault(r.recording_id, []).append((r.seq, r.start, r.end, r.speaker_id, r.text))
     assert got == want
 
 
+def test_scans_of_large_groups_equal_windows(spark, monkeypatch):
+    rows = [(r, i, float(i), i + 1.0, random.Random(i * 7 + r).choice(["A", "B", None]), f"w{i}" + "." * (i % 4 == 0)) for r in range(3) for i in range(40)]
+    table = spark.createDataFrame(rows, SEGMENTS).repartition(5)
+    named = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    each = [transcripts.speaker_runs, transcripts.words_to_sentences, transcripts.normalise_turns, lambda df: transcripts.analysis_windows(df, 7)]
+    plain = [named(f(table)) for f in each]
+    monkeypatch.setattr(prefix, "ONE_TASK_ROWS", 10)
+    for f, want in zip(each, plain, strict=True):
+        out = f(table)
+        assert named(out) == want
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        # Windows over a whole recording are left only over one row a part.
+        assert "_part" in plan
+
+
 def test_align_speakers(spark):
     segments = spark.createDataFrame([(1, i, float(i), i + 1.0, None, "t") for i in range(3)] + [(2, 0, 50.0, 51.0, None, "t")], SEGMENTS)
     turns = spark.createDataFrame([(1, 0, 0.0, 1.5, "S00", ""), (1, 1, 1.5, 3.0, "S01", ""), (2, 0, 0.0, 9.0, "S00", "")], SEGMENTS)
