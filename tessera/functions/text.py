@@ -20,6 +20,16 @@ def strip_space(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def end_space(text: Column) -> Column:
+    """Unicode white space off the end."""
+    return F.regexp_replace(text, r"(?U)\s+$", "")
+
+
+def is_blank(text: Column) -> Column:
+    """Whether there is nothing but white space; null is blank."""
+    return ~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
+
+
 def fold(text: Column) -> Column:
     """Lower case without diacritics, be they part of a letter or marks behind it."""
     return F.regexp_replace(F.translate(F.lower(text), _MARKED, _BASE), r"\p{M}+", "")

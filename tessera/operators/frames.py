@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import strip_space
+
 
 def subsample(frames: DataFrame, max_n: int = 30) -> DataFrame:
     """Evenly spaced frames of each frameset: all if there are few, the first if one is wanted. frames: frameset_id, position."""
@@ -57,7 +59,7 @@ def timeline_rows(frames: DataFrame, segments: DataFrame) -> DataFrame:
     """``recording_id, at, side, seq, line``: frames and non-empty segments by time, frames first."""
     f = frames.select("recording_id", "at", F.lit(0).alias("side"), "seq", F.concat(F.lit("[t="), clock(F.col("at")), F.lit("] FRAME: "), "description").alias("line"))
     start = F.coalesce("start", F.lit(0.0))
-    text = F.trim("text")
+    text = strip_space(F.col("text"))
     s = segments.filter(F.length(text) > 0).select("recording_id", start.alias("at"), F.lit(1).alias("side"), "seq", F.concat(F.lit("[t="), clock(start), F.lit("] "), F.coalesce("speaker_id", F.lit("UNKNOWN")), F.lit(": "), text).alias("line"))
     return f.unionByName(s)
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import is_blank
+
 
 def canonical_json(**fields: Column) -> Column:
     """JSON of the fields in alphabetical order, nulls written out."""
@@ -68,7 +70,7 @@ def incremental_apply(requests: DataFrame, runs: DataFrame, artifacts: DataFrame
 
 def index_delta(artifacts: DataFrame, seen: DataFrame, kinds: list[str]) -> DataFrame:
     """Artifacts of indexable kinds with text that the index has not seen."""
-    ready = artifacts.filter(F.col("kind").isin(kinds)).filter(F.length(F.trim("text")) > 0)
+    ready = artifacts.filter(F.col("kind").isin(kinds)).filter(~is_blank(F.col("text")))
     return ready.join(seen.select("id"), "id", "left_anti")
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import strip_space
+
 FIELDS = {"topics": 20, "entities": 30, "claims": 20}
 TOP_SPEAKERS = 20
 
@@ -15,7 +17,7 @@ TOP_SPEAKERS = 20
 def _strings(v: Column, path: str) -> Column:
     """Trimmed, non-blank strings of a list; anything else is dropped."""
     items = F.filter(F.try_variant_get(v, path, "array<variant>"), lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False)))
-    return F.filter(F.transform(items, lambda x: F.trim(F.try_variant_get(x, "$", "string"))), lambda s: s != "")
+    return F.filter(F.transform(items, lambda x: strip_space(F.try_variant_get(x, "$", "string"))), lambda s: s != "")
 
 
 def _parsed(windows: DataFrame) -> DataFrame:

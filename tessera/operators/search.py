@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import raw_words, snippet, tokenize
+from tessera.functions.text import is_blank, raw_words, snippet, tokenize
 from tessera.runtime import join_few, partitions_for, pin
 
 K1, B = 1.2, 0.75
@@ -31,10 +31,9 @@ def searchable_text(artifacts: DataFrame) -> DataFrame:
 
     artifacts: id, kind, text, body, segments (array of texts), chunks (array of texts).
     """
-    blank = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) == 0
     kind, text = F.col("kind"), F.col("text")
     value = (
-        F.when(kind == "transcript", F.when(blank(text), F.array_join(F.filter("segments", lambda s: ~blank(s)), " ")).otherwise(text))
+        F.when(kind == "transcript", F.when(is_blank(text), F.array_join(F.filter("segments", lambda s: ~is_blank(s)), " ")).otherwise(text))
         .when(kind == "markdown", F.col("body"))
         .when(kind.isin("document", "webpage"), text)
         .when(kind == "chunks", F.array_join("chunks", " "))

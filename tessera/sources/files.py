@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import strip_space
+
 
 def ingest_files(spark: SparkSession, path: str, namespace: str) -> DataFrame:
     """``id, path, namespace, size``: one row per distinct content. Files over 2 GB are beyond the reader."""
@@ -59,7 +61,7 @@ def manifest_nodes(lines: DataFrame) -> DataFrame:
     A numbered slug may equal another line's own slug; such nodes take the first
     number that is free in their slug's list, found by one more round.
     """
-    kept = lines.select("at", F.trim("line").alias("line")).filter("line <> '' and not line like '#%'")
+    kept = lines.select("at", strip_space(F.col("line")).alias("line")).filter("line <> '' and not line like '#%'")
     kept = kept.withColumn("_slug", slug(F.col("line")))
     n = F.row_number().over(Window.partitionBy("_slug").orderBy("at")) - 1
     named = kept.withColumn("_n", n).withColumn("node", F.when(F.col("_n") == 0, F.col("_slug")).otherwise(F.concat("_slug", F.lit("_"), F.col("_n").cast("string"))))
@@ -77,8 +79,8 @@ def speaker_aliases(rows: DataFrame, name_field: str = "name", alias_field: str
     """``alias, canonical, extra``: the name and each of its comma-separated aliases; other columns as a map."""
     others = [c for c in rows.columns if c not in (name_field, alias_field)]
     extra = F.create_map(*[x for c in others for x in (F.lit(c), F.col(c).cast("string"))]) if others else F.create_map().cast("map<string,string>")
-    name = F.trim(F.col(name_field))
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col(alias_field), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    name = strip_space(F.col(name_field))
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col(alias_field), F.lit("")), ","), strip_space), lambda x: x != "")
     named = rows.filter(F.length(name) > 0)
     return named.select(F.explode(F.concat(F.array(name), parts)).alias("alias"), name.alias("canonical"), extra.alias("extra"))
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import end_space, is_blank
+
 _SKIPPED = ("script", "style", "noscript", "template")
 _SPACE = re.compile(r"\s+")
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
@@ -89,8 +91,8 @@ def parse_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 def assemble_documents(doc_pages: DataFrame) -> DataFrame:
     """``doc_id, text, page_count, title``: non-empty pages in order, parted by a blank line."""
-    rows = doc_pages.withColumn("_text", F.rtrim(F.coalesce("text", F.lit(""))))
-    kept = F.array_sort(F.collect_list(F.when(F.length(F.trim("_text")) > 0, F.struct("page_index", F.col("_text").alias("text")))))
-    titles = F.min_by("title", F.when(F.length(F.trim("title")) > 0, F.col("page_index")))
+    rows = doc_pages.withColumn("_text", end_space(F.coalesce("text", F.lit(""))))
+    kept = F.array_sort(F.collect_list(F.when(~is_blank(F.col("_text")), F.struct("page_index", F.col("_text").alias("text")))))
+    titles = F.min_by("title", F.when(~is_blank(F.col("title")), F.col("page_index")))
     grouped = rows.groupBy("doc_id").agg(kept.alias("_pages"), F.count("*").alias("page_count"), titles.alias("title"))
     return grouped.select("doc_id", F.array_join(F.transform("_pages", lambda x: x["text"]), "\n\n").alias("text"), "page_count", "title")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import strip_space
+
 # A cue's time line, an index line, a speaker tag.
 CUE = r"^(\d+):(\d{2}):(\d{2})[,.](\d{1,3})\s*-->\s*(\d+):(\d{2}):(\d{2})[,.](\d{1,3})"
 INDEX = r"^\d+$"
@@ -18,7 +20,7 @@ def _seconds(line: Column, first: int) -> Column:
 
 
 def _lines(files: DataFrame, text_col: str) -> DataFrame:
-    return files.select("path", F.posexplode(F.split(text_col, r"\r?\n")).alias("at", "line")).withColumn("line", F.trim("line"))
+    return files.select("path", F.posexplode(F.split(text_col, r"\r?\n")).alias("at", "line")).withColumn("line", strip_space(F.col("line")))
 
 
 def parse_cued(files: DataFrame, format: str, text_col: str = "value") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.json_check import validate_json
 from tessera.functions.pricing import rates
 from tessera.functions.text import fold, parse_reply
-from tessera.operators import catalog, chunks, event_log, frames, graph, inference, prefix, reports, search, speakers, transcripts, vectors
+from tessera.operators import catalog, chunks, event_log, frames, graph, inference, memo, prefix, reports, search, speakers, transcripts, vectors
 from tessera.operators.graph import connected_components
 from tessera.operators.prefix import running_sum
 from tessera.plans import base, pipelines
@@ -20,7 +20,7 @@ from tessera.plans.registry import QUERIES
 from tessera.plans.report_queries import SCHEMA
 from tessera.runtime import input_bytes, partitions_for
 from tessera.sources import files, pages
-from tessera.sources.transcripts import read_transcripts
+from tessera.sources.transcripts import parse_cued, parse_speakered, read_transcripts
 from tessera.streaming import events as stream
 from tessera.streaming.ingest import append_once, maintain_index, segment_files
 
@@ -533,3 +533,28 @@ def test_files_and_index_grow_once(spark, tmp_path):
 def test_no_single_task_window_over_rows(spark, sf_dir):
     plan = catalog.eviction_plan(base.artifacts(spark, sf_dir), 1000, [])._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+@pytest.mark.parametrize("space", ["\t", "\u00a0", "\u2003", " \t\u00a0"])
+def test_all_white_space_is_stripped(spark, space):
+    """Every operator that strips or looks for blanks takes tabs and other spaces for what they are."""
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    files_of = lambda text: frame([("p", text)], "path string, value string")
+    cues = f"1\n00:00:00,000 --> 00:00:01,000\n{space}Hello{space}\n{space}\n2\n00:00:02,000 --> 00:00:03,000\nyou\n"
+    assert [r.text for r in parse_cued(files_of(cues), "srt").orderBy("seq").collect()] == ["Hello", "you"]
+    assert [(r.speaker_id, r.text) for r in parse_speakered(files_of(f"[SPEAKER_00]{space}\n{space}Hi{space}\n{space}\n")).collect()] == [("SPEAKER_00", "Hi")]
+    (doc,) = pages.assemble_documents(frame([(1, 0, f"a{space}", space), (1, 1, space, "t"), (1, 2, "b", "u")], "doc_id long, page_index long, text string, title string")).collect()
+    assert (doc.text, doc.page_count, doc.title) == ("a\n\nb", 3, "t")
+    assert [r.line for r in files.manifest_nodes(frame([(0, f"{space}x{space}"), (1, space), (2, f"{space}# no")], "at long, line string")).collect()] == ["x"]
+    got = files.speaker_aliases(frame([(f"{space}Ann{space}", f"{space}A{space},{space}"), (space, "b")], "name string, aliases string")).collect()
+    assert sorted((r.alias, r.canonical) for r in got) == [("A", "Ann"), ("Ann", "Ann")]
+    texts = [(0, 0, 0.0, 1.0, "A", f"{space}hello world{space}\n"), (1, 0, 0.0, 1.0, "A", f"{space}hello"), (1, 1, None, None, "A", f"you{space}")]
+    assert {r.recording_id: r.text for r in transcripts.merge_segments(frame(texts, SEGMENTS)).collect()} == {0: "hello world", 1: "hello you"}
+    seen = frame([("z",)], "id string")
+    assert [r.id for r in memo.index_delta(frame([("a", "k", f"\n{space}"), ("b", "k", "x"), ("c", "k", None)], "id string, kind string, text string"), seen, ["k"]).collect()] == ["b"]
+    rows = frame([("i", "transcript", f"{space}\n", None, ["a", space, "b"], None)], "id string, kind string, text string, body string, segments array<string>, chunks array<string>")
+    assert search.searchable_text(rows).first().text == "a b"
+    windows = frame([("s", 0, 0.0, 1.0, "A", json.dumps({"topics": [f"{space}x{space}\n", "x", f"\n{space}"]}))], "session_id string, window_index long, start double, end double, speaker string, analysis string")
+    assert [(r.value, r.n) for r in reports.zeitgeist_values(windows).collect() if r.field == "topics"] == [("x", 2)]
+    lines = frames.timeline_rows(frame([], "recording_id long, at double, seq long, description string"), frame([(1, 0, 0.0, 1.0, "A", f"{space}hi{space}"), (1, 1, 1.0, 2.0, "A", space)], SEGMENTS)).collect()
+    assert [r.line for r in lines] == ["[t=00:00.00] A: hi"]
