@@ -7,7 +7,8 @@
 2. Band hashes are shuffled. Members of a bucket are tied to its least member, so a
    bucket of n gives n - 1 edges; connected components of these edges are the
    candidate sets.
-3. The shingles of each candidate text are hashed once. A large set is cut into
+3. The shingles of each candidate text are hashed once, where the text lies: a bitmap of
+   the wanted rows, one bit a row, is sent to the scan, so texts are not shuffled. A large set is cut into
    blocks, members of a bucket side by side; two blocks meet if a bucket spans them,
    and each such pair of blocks is one task's work, dealt out in turn. A task compares
    its pairs on the full shingle sets by matrix products and returns a count of
@@ -49,6 +50,8 @@ LEAST_TEXTS, MOST_TEXTS = 128, 2048
 BLOCK_BYTES = 16 << 20
 #: Tables of large candidate sets, or of their pairs of blocks, up to so many rows (60 bytes each) are broadcast.
 BROADCAST_SETS = 50_000
+#: Bitmaps of 4 KB, one for each 32,768 places, that are broadcast at once: 64 MB, for half a billion rows.
+BROADCAST_BITMAPS = 16_384
 
 
 def choose_bands(similarity: float, recall: float, hashes: int = 256) -> tuple[int, int]:
@@ -104,7 +107,7 @@ def signature(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, bands: int, band_rows: int) -> DataFrame:
-    """``rows`` (doc_id, raw, text) as ``doc_id, raw, digest, bands``; digest and bands are null without words."""
+    """``rows`` (at, doc_id, text) as ``at, doc_id, raw, digest, bands``; digest and bands are null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,11 +119,37 @@ def signatures(rows: DataFrame, bands: int, band_rows: int) -> DataFrame:
                     memo[digest] = signature(shingles(words), bands, band_rows)
                 digests.append(digest)
                 keys.append(memo[digest] if words else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "raw", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["at", "doc_id", "raw", "digest", "bands"])
         _WORDS.clear()
         pa.default_memory_pool().release_unused()
 
-    return rows.mapInArrow(run, "doc_id long, raw string, digest binary, bands array<long>")
+    return rows.select("at", "doc_id", "text", _raw(F.col("text")).alias("raw")).mapInArrow(run, "at long, doc_id long, raw string, digest binary, bands array<long>")
+
+
+def rows_at(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``at`` is wanted, found where they lie: nothing but one bit for each place is sent to them.
+
+    The bits are broadcast in parts of bounded size; a part reads the files of its own
+    range of places.
+    """
+    place = F.col("at") + 1
+    marks = wanted.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    marks = pin(marks, "wanted")
+    parts = -(-marks.count() // BROADCAST_BITMAPS)
+    bounds = marks.approxQuantile("bucket", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    edges = [None, *sorted(set(map(int, bounds))), None]
+    found = None
+    for low, high in zip(edges, edges[1:], strict=False):
+        some, bits = rows, marks
+        if low is not None:
+            some, bits = some.filter(F.col("at") >= low << 15), bits.filter(F.col("bucket") > low)
+        if high is not None:
+            some, bits = some.filter(F.col("at") < high << 15), bits.filter(F.col("bucket") <= high)
+        bit = F.bitmap_bit_position(place)
+        byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(at + 1) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        met = some.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "bucket").filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
+        found = met if found is None else found.unionByName(met)
+    return found
 
 
 def _common(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -215,28 +244,30 @@ def jaccard_groups(docs: DataFrame, *, similarity: float = 0.8, recall: float =
     ``class_id`` the least ``doc_id`` that links lead to and ``class_key`` the text that
     stands for the class; ``row_key`` names the row by its id and text (see ``row_key``).
     """
-    arrow_batches(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("at"), column("doc_id").cast("long").alias("doc_id"), column("text").cast("string").alias("text"))
+    return _groups(pin(rows, "placed"), similarity, recall, hashes).drop("at")
+
+
+def _groups(rows: DataFrame, similarity: float = 0.8, recall: float = 0.999, hashes: int = 256) -> DataFrame:
+    """``jaccard_groups`` and the place of each row. rows: a table in files, with at (unlike in each), doc_id, text."""
+    arrow_batches(rows.sparkSession)
     bands, band_rows = choose_bands(similarity, recall, hashes)
-    text = column("text").cast("string")
-    slim = docs.select(column("doc_id").cast("long").alias("doc_id"), _raw(text).alias("raw"), text.alias("text"))
-    signed = pin(signatures(slim, bands, band_rows), "signatures")
+    signed = pin(signatures(rows, bands, band_rows), "signatures")
     known = signed.filter("digest is not null").groupBy("digest")
-    texts = pin(known.agg(F.min("doc_id").alias("text_id"), F.count("*").alias("n_copies"), F.min("raw").alias("raw"), F.first("bands").alias("bands")), "texts")
+    texts = pin(known.agg(F.min("doc_id").alias("text_id"), F.count("*").alias("n_copies"), F.min("at").alias("at"), F.first("bands").alias("bands")), "texts")
     sets, shared = candidate_sets(texts)
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [shingles(words_of(t)) for t in batch.column(3).to_pylist()]
-            columns = [*batch.columns[:3], pa.array([len(g) for g in grams], pa.int32()), pa.array([g.tobytes() for g in grams], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["digest", "component", "head", "size", "grams"])
+            grams = [shingles(words_of(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in grams], pa.int32()), pa.array([g.tobytes() for g in grams], pa.binary())], ["at", "size", "grams"])
         _WORDS.clear()
         pa.default_memory_pool().release_unused()
 
-    # One row of each raw text, found before texts move, so that copies do not meet in one task.
-    once = slim.select("raw", "text").dropDuplicates(["raw"])
-    wanted = sets.join(texts.select("digest", "raw"), "digest")
-    candidates = once.join(wanted, "raw").select("digest", "component", "head", "text")
-    hashed = pin(candidates.mapInArrow(hash_sets, "digest binary, component binary, head binary, size int, grams binary"), "shingles")
+    # One row of each candidate text.
+    wanted = pin(sets.join(texts.select("digest", "at"), "digest").select("digest", "component", "head", "at"), "candidates")
+    grams = rows_at(rows.select("at", "text"), wanted).mapInArrow(hash_sets, "at long, size int, grams binary")
+    hashed = pin(grams.join(wanted, "at").select("digest", "component", "head", "size", "grams"), "shingles")
 
     totals = hashed.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long") * 8).alias("bytes"))
     texts_each = F.least(F.greatest(F.col("n") / 64, F.lit(LEAST_TEXTS)), F.lit(MOST_TEXTS))
@@ -275,9 +306,10 @@ def jaccard_groups(docs: DataFrame, *, similarity: float = 0.8, recall: float =
     classes = members.groupBy("class_key").agg(F.min("text_id").alias("class_id"))
     members = members.join(classes, "class_key").select("digest", "class_key", "class_id", "n_links")
     named = cut(texts.select("digest", "text_id", "n_copies").join(members, "digest", "left"))
-    rows = signed.select("doc_id", "raw", "digest").join(named, "digest", "left")
+    told = signed.select("at", "doc_id", "raw", "digest").join(named, "digest", "left")
     alone = F.col("digest").isNull()
-    return rows.select(
+    return told.select(
+        "at",
         "doc_id",
         F.when(F.col("class_key").isNotNull(), F.col("class_id")).otherwise(F.when(alone, F.col("doc_id")).otherwise(F.col("text_id"))).alias("class_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("text_id")).alias("text_id"),
@@ -303,8 +335,11 @@ def unlike_rows(docs: DataFrame, **options) -> DataFrame:
     Rows without words are no copies of each other and stay; of wholly equal rows
     (id and text) one stays. All columns stay as they are.
     """
-    groups = jaccard_groups(docs, **options)
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key")))["row_key"]
-    chosen = groups.groupBy(F.coalesce("class_key", "row_key")).agg(first.alias("_key")).select("_key")
-    keyed = docs.select(row_key(column("doc_id").cast("long"), _raw(column("text").cast("string"))).alias("_key"), F.struct(*map(column, docs.columns)).alias("_row")).dropDuplicates(["_key"])
-    return keyed.join(chosen, "_key", "left_semi").select("_row.*")
+    rest = [c for c in docs.columns if c.lower() != "text" or docs.schema[c].dataType.simpleString() != "string"]
+    placed = docs.select(F.monotonically_increasing_id().alias("at"), column("doc_id").cast("long").alias("doc_id"), column("text").cast("string").alias("text"), F.struct(*map(column, rest)).alias("rest"))
+    placed = pin(placed, "placed")
+    groups = _groups(placed.select("at", "doc_id", "text"), **options)
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"), F.col("at")))["at"]
+    chosen = groups.groupBy(F.coalesce("class_key", "row_key")).agg(first.alias("at")).select("at")
+    kept = rows_at(placed, chosen)
+    return kept.select(*[F.col("rest").getField(c).alias(c) if c in rest else F.col("text").alias(c) for c in docs.columns])

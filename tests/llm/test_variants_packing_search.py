@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import fp_search, sequence_packing, spelling_variants
+from tessera.llm import fp_search, minhash_join, spelling_variants
 from tessera.llm.fp_search import ranked_search
 from tessera.llm.sequence_packing import document_pieces, pack_documents, pack_pieces, sequences, sum_of_squares
 from tessera.llm.token_files import default_tokenizer
@@ -273,3 +273,18 @@ def test_search_of_nothing(spark):
     items = spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert ranked_search(none, items).count() == 0 and ranked_search(one, items.limit(0)).count() == 0
     assert [tuple(r)[:3] for r in ranked_search(one, items).collect()] == [(1, 1, 1)]
+
+
+# --- rows by their places (5)
+
+
+def test_rows_at_wanted_places_in_parts(spark, tmp_path, monkeypatch):
+    table = spark.range(0, 400_000, 1, 7).selectExpr("id AS doc", "monotonically_increasing_id() AS at")
+    table.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    wanted = rows.filter("doc % 7 = 3 or doc in (0, 32767, 32768, 399999)")
+    for most in (16_384, 1, 3):
+        monkeypatch.setattr(minhash_join, "BROADCAST_BITMAPS", most)
+        got = minhash_join.rows_at(rows, wanted.select("at"))
+        assert {r.doc for r in got.collect()} == {r.doc for r in wanted.collect()} and got.columns == ["doc", "at"]
+    assert minhash_join.rows_at(rows, wanted.select("at").limit(0)).count() == 0
