@@ -153,15 +153,16 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Analysed windows: a labelled document is one window of the session of its source; the analysis is JSON."""
+    """Analysed windows: a labelled document is one window of the session of its source; the analysis is JSON that all its words share in turn."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    w = F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, 6)
+    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    of = lambda k: F.filter(w, lambda x, i: i % 3 == k)
     analysis = F.to_json(
         F.struct(
             F.concat(F.lit("About "), F.coalesce(F.get(w, F.lit(0)), F.lit(""))).alias("summary"),
-            F.slice(w, 1, 2).alias("topics"),
-            F.slice(w, 3, 2).alias("entities"),
-            F.slice(w, 5, 2).alias("claims"),
+            of(0).alias("topics"),
+            of(1).alias("entities"),
+            of(2).alias("claims"),
             F.struct((F.col("quality") * 2 - 1).alias("polarity"), F.lit(0.5).alias("confidence")).alias("sentiment"),
         )
     )
@@ -195,8 +196,8 @@ SQL = {
     "turns": """SELECT recording_id, turn AS seq, min(start) + 1.5 AS start, max("end") + 1.5 AS "end", any_value(speaker_id) AS speaker_id FROM segments GROUP BY recording_id, turn""",
     "words": f"""SELECT recording_id, seq, text, seq::DOUBLE AS start, seq + 0.5::DOUBLE AS "end" FROM (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY s, no) - 1 AS seq, text
       FROM (SELECT recording_id, s, unnest(u) AS text, generate_subscripts(u, 1) AS no FROM (SELECT recording_id, seq AS s, {_WORDS} AS u FROM segments)))""",
-    "windows": f"""SELECT source AS session_id, doc_id AS window_index, doc_id * 10.0::DOUBLE AS start, doc_id * 10.0::DOUBLE + 5 AS "end", lang AS speaker, 'About ' || coalesce(w[1], '') AS summary, w[1:2] AS topics, w[3:4] AS entities, w[5:6] AS claims,
-      quality * 2 - 1 AS polarity, length(text)::BIGINT AS tokens_in, CASE WHEN doc_id % 4 <> 0 THEN n_chars END AS tokens_out FROM (SELECT *, ({_WORDS})[1:6] AS w FROM documents JOIN labels USING (doc_id))""",
+    "windows": f"""SELECT source AS session_id, doc_id AS window_index, doc_id * 10.0::DOUBLE AS start, doc_id * 10.0::DOUBLE + 5 AS "end", lang AS speaker, 'About ' || coalesce(w[1], '') AS summary, list_filter(w, lambda x, i: i % 3 = 1) AS topics, list_filter(w, lambda x, i: i % 3 = 2) AS entities, list_filter(w, lambda x, i: i % 3 = 0) AS claims,
+      quality * 2 - 1 AS polarity, length(text)::BIGINT AS tokens_in, CASE WHEN doc_id % 4 <> 0 THEN n_chars END AS tokens_out FROM (SELECT *, {_WORDS} AS w FROM documents JOIN labels USING (doc_id))""",
 }
 NEEDS = {"turns": ["segments"], "words": ["segments"]}
 

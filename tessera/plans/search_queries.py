@@ -231,10 +231,15 @@ def _(spark, d):
     return vectors.zero_shot_best(vectors.zero_shot_scores(_vectors(spark, d), _labels(spark, d)))
 
 
-@query("v7_vector_sync", "SELECT vec_id, sha256('document|' || vec_id % 1100) AS source_id, coalesce(a.kind, 'embedding') AS kind FROM embeddings e LEFT JOIN artifacts a ON a.id = sha256('document|' || vec_id % 1100) WHERE vec_id % 3 <> 0 AND vec_id % 7 <> 0", "artifacts")
+# Sources are drawn from all documents and a tenth more, which are not there.
+_SOURCE = "sha256('document|' || (vec_id * 7 % ((SELECT count(*) FROM documents) * 11 // 10)))"
+
+
+@query("v7_vector_sync", f"SELECT vec_id, e.source_id, coalesce(a.kind, 'embedding') AS kind FROM (SELECT vec_id, {_SOURCE} AS source_id FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id % 7 <> 0) e LEFT JOIN artifacts a ON a.id = e.source_id", "artifacts")
 def _(spark, d):
     v = _vectors(spark, d)
-    vs = v.select("vec_id", F.when(F.col("vec_id") % 7 == 0, F.slice("vector", 1, 5)).otherwise(F.col("vector")).alias("vector"), F.array(base.artifact_id("document", F.col("vec_id") % 1100)).alias("derived_from"))
+    n = base.document_count(spark, d)
+    vs = v.select("vec_id", F.when(F.col("vec_id") % 7 == 0, F.slice("vector", 1, 5)).otherwise(F.col("vector")).alias("vector"), F.array(base.artifact_id("document", F.col("vec_id") * 7 % (n * 11 // 10))).alias("derived_from"))
     return vectors.vector_sync(vs, base.artifacts(spark, d), v.filter("vec_id % 3 = 0"), 64)
 
 

@@ -35,22 +35,23 @@ def _(spark, d):
     return files.address_content(rows, "content", "n0")
 
 
-_PROBES = [
-    '{"format": {"duration": "12.5"}, "streams": [{"codec_type": "video", "codec_name": "h264", "width": 320, "height": 240, "r_frame_rate": "30000/1001"}, {"codec_type": "audio", "codec_name": "aac", "sample_rate": "44100", "channels": 2}]}',
-    '{"format": {}, "streams": [{"codec_type": "video", "codec_name": "png", "width": 64, "height": 32, "r_frame_rate": "25/0"}]}',
-    '{"format": {"duration": "@"}, "streams": [{"codec_type": "audio", "codec_name": "mp3", "sample_rate": "8000", "channels": 1}]}',
+# What a probe of each page's text would report: the shape goes by its length, the numbers are those of its parts.
+_SHAPES = [
+    '{"format": {"duration": "%1$d.5"}, "streams": [{"codec_type": "video", "codec_name": "h264", "width": %1$d, "height": %2$d, "r_frame_rate": "30000/1001"}, {"codec_type": "audio", "codec_name": "aac", "sample_rate": "%3$d", "channels": 2}]}',
+    '{"format": {}, "streams": [{"codec_type": "video", "codec_name": "png", "width": %1$d, "height": %2$d, "r_frame_rate": "%2$d/0"}]}',
+    '{"format": {"duration": "@"}, "streams": [{"codec_type": "audio", "codec_name": "mp3", "sample_rate": "%3$d", "channels": 1}]}',
     '{"format": {}, "streams": []}',
-    '{"format": {"duration": "1"}, "streams": [{"codec_type": "video", "codec_name": "vp9", "r_frame_rate": "24"}]}',
+    '{"format": {"duration": "%2$d"}, "streams": [{"codec_type": "video", "codec_name": "vp9", "r_frame_rate": "%2$d"}]}',
 ]
 
 
-@query("s2_probe_metadata", """SELECT page_id, ['video', 'image', 'audio', NULL, 'video'][k] AS kind, CASE k WHEN 1 THEN 12.5 + page_id WHEN 5 THEN 1.0 END::DOUBLE AS duration, [320, 64, NULL, NULL, NULL][k] AS width, [240, 32, NULL, NULL, NULL][k] AS height,
-['h264', 'png', 'mp3', NULL, 'vp9'][k] AS codec, round(CASE k WHEN 1 THEN 30000.0::DOUBLE / 1001 WHEN 2 THEN 25.0 WHEN 5 THEN 24.0 END, 6)::DOUBLE AS fps, [44100, NULL, 8000, NULL, NULL][k] AS sample_rate, [2, NULL, 1, NULL, NULL][k] AS channels,
-CASE WHEN k = 4 THEN 'no audio or video stream' END AS error FROM (SELECT page_id, page_id % 5 + 1 AS k FROM pages)""")
+@query("s2_probe_metadata", """SELECT page_id, ['video', 'image', 'audio', NULL, 'video'][k] AS kind, CASE k WHEN 1 THEN a + 0.5 WHEN 5 THEN b END::DOUBLE AS duration, CASE WHEN k < 3 THEN a END::INTEGER AS width, CASE WHEN k < 3 THEN b END::INTEGER AS height,
+['h264', 'png', 'mp3', NULL, 'vp9'][k] AS codec, round(CASE k WHEN 1 THEN 30000.0::DOUBLE / 1001 WHEN 2 THEN b WHEN 5 THEN b END::DOUBLE, 6)::DOUBLE AS fps, CASE WHEN k IN (1, 3) THEN c END::INTEGER AS sample_rate, [2, NULL, 1, NULL, NULL][k] AS channels,
+CASE WHEN k = 4 THEN 'no audio or video stream' END AS error FROM (SELECT page_id, length(html) % 5 + 1 AS k, length(html) AS a, length(url) AS b, len(string_split(html, '<')) * 100 AS c FROM pages)""")
 def _(spark, d):
-    probe = F.element_at(F.array(*map(F.lit, _PROBES)), (F.col("page_id") % 5 + 1).cast("int"))
-    rows = table(spark, d, "pages").select("page_id", F.replace(probe, F.lit('"12.5"'), F.concat(F.lit('"'), (F.col("page_id") + 12.5).cast("string"), F.lit('"'))).alias("probe"))
-    return files.probe_metadata(rows, "probe").drop("probe").withColumn("fps", F.round("fps", 6))
+    a, b, c = F.length("html"), F.length("url"), F.size(F.split("html", "<")) * 100
+    probe = F.element_at(F.array(*[F.format_string(s, a, b, c) for s in _SHAPES]), a % 5 + 1)
+    return files.probe_metadata(table(spark, d, "pages").select("page_id", probe.alias("probe")), "probe").drop("probe").withColumn("fps", F.round("fps", 6))
 
 
 def _stamp(seconds, mark):

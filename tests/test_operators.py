@@ -296,7 +296,9 @@ GOOD = {"summary": "s", "topics": ["a"], "sentiment": {"polarity": 1.5}}
         ({}, None),
         ({"summary": ""}, "$.summary: string shorter than minLength=1"),
         ({"summary": 3}, '$.summary: expected type "string"'),
-        ({"topics": ["a", "b", "c"]}, "$.topics: array longer than maxItems=2"),
+        ({"topics": ["a"] * 61}, "$.topics: array longer than maxItems=60"),
+        ({"zoo": 1, "odd": 1}, "$: additional property 'zoo' not allowed"),
+        ({"summary": 1, "topics": 1}, '$.summary: expected type "string"'),
         ({"topics": ["a", None]}, '$.topics[1]: expected type "string"'),
         ({"sentiment": {"polarity": True}}, '$.sentiment.polarity: expected type "number"'),
         ({"sentiment": {"polarity": 1, "confidence": None}}, None),
@@ -310,6 +312,13 @@ def test_validate_json(spark, change, error):
     assert df.select(validate_json(F.col("j"), SCHEMA)).first()[0] == error
 
 
+def test_validate_json_in_the_order_of_the_text(spark):
+    schema = {"additionalProperties": False, "properties": {"a": {"type": "integer"}, "b": {"properties": {"y": {"type": "string"}, "x": {"type": "string"}}}}}
+    texts = ['{"b": {"y": 1, "x": 2}, "a": "s"}', '{"a": "s", "b": {"x": 2}}', '{"a": 12345678901234567890123, "b": {"x": "t", "y": 3}}', '{"a": 1.5}', '{"z": 0, "a": "s"}', '{"a": -12345678901234567890}', '{"a": 1, "b": [1]}']
+    got = spark.createDataFrame([(t,) for t in texts], "j string").select(validate_json(F.col("j"), schema)).collect()
+    assert [r[0] for r in got] == ['$.b.y: expected type "string"', '$.a: expected type "integer"', '$.b.y: expected type "string"', '$.a: expected type "integer"', "$: additional property 'z' not allowed", None, None]
+
+
 def test_validate_json_at_the_root(spark):
     df = spark.createDataFrame([("[1]",), ("{",), ('{"topics": []}',)], "j string")
     assert [r[0] for r in df.select(validate_json(F.col("j"), SCHEMA)).collect()] == ['$: expected type "object"', "$: not valid JSON", "$: missing required property 'summary'"]
