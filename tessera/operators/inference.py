@@ -90,6 +90,6 @@ def fake_model(schema: dict[str, Any]) -> Callable[[], Model]:
 
 
 def usage_rollup(windows: DataFrame, key: str = "session_id") -> DataFrame:
-    """``<key>, windows, tokens_in, tokens_out``; nulls count 0."""
-    zero = F.lit(0)
-    return windows.groupBy(key).agg(F.count("*").alias("windows"), F.sum(F.coalesce("tokens_in", zero)).alias("tokens_in"), F.sum(F.coalesce("tokens_out", zero)).alias("tokens_out"))
+    """``<key>, windows, tokens_in, tokens_out, cost_cents``; nulls count 0."""
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias(c)
+    return windows.groupBy(key).agg(F.count("*").alias("windows"), total("tokens_in"), total("tokens_out"), total("cost_cents"))

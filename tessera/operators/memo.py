@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_blank
+from tessera.runtime import pin
 
 
 def canonical_json(**fields: Column) -> Column:
@@ -44,28 +45,41 @@ def lookup_runs(requests: DataFrame, runs: DataFrame, artifacts: DataFrame) -> D
     Requests and runs carry the key columns ``op_name, op_version, backend,
     backend_version, params_hash, input_key, namespace``; backends compare null-safe.
     """
-    keys = [F.coalesce(F.col(c), F.lit("")) if "backend" in c else F.col(c) for c in [*KEY, "backend", "backend_version"]]
-    # Only runs of a key that is asked for are looked at. A null backend and an empty one share this key and are told apart below.
-    wanted = requests.select(F.sha2(F.to_json(F.array(*[k.cast("string") for k in keys])), 256).alias("_key")).distinct()
-    asked = runs.withColumn("_key", F.sha2(F.to_json(F.array(*[k.cast("string") for k in keys])), 256)).join(wanted, "_key", "left_semi").drop("_key")
-    outputs = asked.select("run_id", F.explode_outer("output_ids").alias("id"))
-    whole = outputs.join(artifacts.select("id", F.lit(1).alias("there")), "id", "left").groupBy("run_id")
-    whole = whole.agg((F.count("id") == F.count("there")).alias("whole")).filter("whole").select("run_id")
-    usable = asked.join(whole, "run_id", "left_semi")
-    same = F.lit(True)
-    a, b = requests.alias("a"), usable.alias("b")
-    for c in [*KEY, "backend", "backend_version"]:
-        same = same & (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) if "backend" in c else F.col(f"a.{c}") == F.col(f"b.{c}"))
-    hits = a.join(b, same).groupBy("a.request_id").agg(F.min("b.run_id").alias("run_id"))
-    return requests.join(hits, "request_id", "left")
-
-
-def incremental_apply(requests: DataFrame, runs: DataFrame, artifacts: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``request_id, run_id``: hits keep their run, ``fn`` computes the others only."""
-    looked = lookup_runs(requests, runs, artifacts)
-    hits = looked.filter("run_id is not null").select("request_id", "run_id")
-    new = fn(requests.join(hits, "request_id", "left_anti"))
-    return hits.unionByName(new.select("request_id", "run_id"))
+    # Only runs of a key that is asked for are looked at.
+    wanted = requests.select(_run_key().alias("_key")).distinct()
+    asked = pin(runs.select(_run_key().alias("_key"), "run_id", "output_ids").join(wanted, "_key", "left_semi"), "asked")
+    outputs = asked.select("_key", "run_id", F.explode_outer("output_ids").alias("id"))
+    whole = outputs.join(artifacts.select("id", F.lit(1).alias("there")), "id", "left").groupBy("_key", "run_id")
+    best = whole.agg((F.count("id") == F.count("there")).alias("whole")).filter("whole").groupBy("_key").agg(F.min("run_id").alias("run_id"))
+    return requests.withColumn("_key", _run_key()).join(best, "_key", "left").drop("_key")
+
+
+def _run_key() -> Column:
+    """Digest of the columns by which a request finds a run. Null where a column but the backend's is, so that such a request meets none; a null backend is no empty one."""
+    keys = [F.col(c).cast("string") for c in KEY]
+    backend = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("backend", "backend_version")]
+    known = F.col(KEY[0]).isNotNull()
+    for c in KEY[1:]:
+        known = known & F.col(c).isNotNull()
+    return F.when(known, F.sha2(F.to_json(F.array(*keys, *backend)), 256))
+
+
+def incremental_apply(requests: DataFrame, runs: DataFrame, artifacts: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(``request_id, run_id``, runs to append): hits keep their run, ``fn`` computes the others only.
+
+    ``fn`` gets one request of each missing key, the least, and returns
+    ``request_id, run_id, output_ids``; other requests of the key take its run. Its
+    result is pinned: a run is paid once. The runs to append have the key columns, and
+    ``input_ids`` if the requests have them.
+    """
+    looked = pin(lookup_runs(requests, runs, artifacts).withColumn("_key", F.coalesce(_run_key(), F.concat(F.lit("request "), F.col("request_id").cast("string")))), "looked")
+    first = looked.filter("run_id is null").groupBy("_key").agg(F.min("request_id").alias("request_id"))
+    missing = looked.drop("run_id").join(first, ["_key", "request_id"], "left_semi")
+    made = pin(fn(missing.drop("_key")).select("request_id", "run_id", "output_ids"), "new-runs")
+    new = first.join(made, "request_id").select("_key", F.col("run_id").alias("_new"))
+    answers = looked.join(new, "_key", "left").select("request_id", F.coalesce("run_id", "_new").alias("run_id"))
+    kept = [c for c in [*KEY, "backend", "backend_version", "input_ids"] if c in requests.columns]
+    return answers, missing.select("request_id", *kept).join(made, "request_id").select("run_id", *kept, "output_ids")
 
 
 def index_delta(artifacts: DataFrame, seen: DataFrame, kinds: list[str]) -> DataFrame:

@@ -163,9 +163,10 @@ def with_snippets(best: DataFrame, docs: DataFrame, queries: DataFrame) -> DataF
 
 
 def rrf_fuse(lists: list[DataFrame], rrf_k: int = 60, top_k: int = 10) -> DataFrame:
-    """``query_id, rank, id, score, snippet, in_lists`` from lists ``query_id, id, rank, snippet``.
+    """``query_id, rank, id, score, snippet, in_lists, ranks`` from lists ``query_id, id, rank, snippet``.
 
-    An id that a list holds twice counts twice; ties keep the order in which ids are
+    ``ranks`` has the rank in each list, null where an id is in none. An id that a list
+    holds twice counts twice, and its rank there is the last one; ties keep the order in which ids are
     first seen, list by list.
     """
     parts = [x.select("query_id", "id", "rank", "snippet", F.lit(i).alias("list")) for i, x in enumerate(lists)]
@@ -173,8 +174,9 @@ def rrf_fuse(lists: list[DataFrame], rrf_k: int = 60, top_k: int = 10) -> DataFr
     for x in parts[1:]:
         rows = rows.unionByName(x)
     first_text = F.min_by("snippet", F.when(F.length("snippet") > 0, F.struct("list", "rank")))
-    fused = rows.groupBy("query_id", "id").agg(F.sum(1 / (F.lit(rrf_k) + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("seen"), first_text.alias("snippet"), F.size(F.collect_set("list")).alias("in_lists"))
+    fused = rows.groupBy("query_id", "id").agg(F.sum(1 / (F.lit(rrf_k) + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("seen"), first_text.alias("snippet"), F.array(*[F.max(F.when(F.col("list") == i, F.col("rank"))) for i in range(len(lists))]).alias("ranks"))
+    fused = fused.withColumn("in_lists", F.size(F.filter("ranks", lambda r: r.isNotNull())))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "seen", "id")
-    return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).select("query_id", "rank", "id", F.round("score", 6).alias("score"), "snippet", "in_lists")
+    return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).select("query_id", "rank", "id", F.round("score", 6).alias("score"), "snippet", "in_lists", "ranks")
 
 

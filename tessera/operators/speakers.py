@@ -86,19 +86,36 @@ def fuzzy_candidates(texts: DataFrame, names: DataFrame, best: int = 8) -> DataF
 
 
 def resolve_names(scored: DataFrame, threshold: float = 0.7, margin: float = 5.0) -> DataFrame:
-    """``recording_id, speaker_id, name, score, runner_up``: a name only if it is good and clearly ahead of the next."""
+    """``recording_id, speaker_id, name, score, runner_up, matched``: a name only if it is good and clearly ahead of the next; ``matched`` is the alias that scored."""
     keys = ["recording_id", "speaker_id"]
-    best = scored.groupBy(*keys).agg(F.max_by(F.struct("canonical", "score"), F.struct("score", -F.col("place"))).alias("best"))
+    best = scored.groupBy(*keys).agg(F.max_by(F.struct("canonical", "score", "alias"), F.struct("score", -F.col("place"))).alias("best"))
     joined = scored.join(best, keys)
     other = F.max(F.when(F.col("canonical") != F.col("best.canonical"), F.col("score")))
     out = joined.groupBy(*keys).agg(F.first("best").alias("best"), other.alias("runner_up"))
     clear = (F.col("best.score") / 100 >= threshold) & (F.col("runner_up").isNull() | (F.col("best.score") - F.col("runner_up") >= margin))
-    return out.select(*keys, F.when(clear, F.col("best.canonical")).alias("name"), F.col("best.score").alias("score"), "runner_up")
+    return out.select(*keys, F.when(clear, F.col("best.canonical")).alias("name"), F.col("best.score").alias("score"), "runner_up", F.col("best.alias").alias("matched"))
 
 
-def attach_names(segments: DataFrame, names: DataFrame) -> DataFrame:
-    """Segments with ``speaker_name`` of their speaker, null where it is not resolved."""
-    resolved = names.select("recording_id", "speaker_id", F.col("name").alias("speaker_name"))
+def attach_names(segments: DataFrame, names: DataFrame, people: DataFrame | None = None) -> DataFrame:
+    """Segments with ``speaker_name`` of their speaker, null where it is not resolved, and how it was matched.
+
+    ``match_score`` and ``runner_up_score`` (0 to 100) and ``matched_candidate`` are 0, 0 and
+    null without a name; a speaker that no text spoke of has null scores. ``speaker_extra``
+    has the further columns of the speaker database (people: canonical, extra).
+    """
+    found = F.col("name").isNotNull()
+    resolved = names.select(
+        "recording_id",
+        "speaker_id",
+        F.col("name").alias("speaker_name"),
+        F.when(found, F.col("score")).otherwise(0.0).alias("match_score"),
+        F.when(found, F.col("matched")).alias("matched_candidate"),
+        F.when(found, F.coalesce("runner_up", F.lit(0.0))).otherwise(0.0).alias("runner_up_score"),
+    )
+    if people is not None:
+        # One row a person; names of speakers are joined to it, not segments.
+        extra = people.groupBy(F.col("canonical").alias("speaker_name")).agg(F.first("extra").alias("speaker_extra"))
+        resolved = resolved.join(extra, "speaker_name", "left")
     return segments.join(resolved, ["recording_id", "speaker_id"], "left")
 
 

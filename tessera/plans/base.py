@@ -166,7 +166,7 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct((F.col("quality") * 2 - 1).alias("polarity"), F.lit(0.5).alias("confidence")).alias("sentiment"),
         )
     )
-    return d.select(F.col("source").alias("session_id"), F.col("doc_id").alias("window_index"), (F.col("doc_id") * 10.0).alias("start"), (F.col("doc_id") * 10.0 + 5).alias("end"), F.col("lang").alias("speaker"), analysis.alias("analysis"), F.length("text").cast("long").alias("tokens_in"), F.when(F.col("doc_id") % 4 != 0, F.col("n_chars")).alias("tokens_out"))
+    return d.select(F.col("source").alias("session_id"), F.col("doc_id").alias("window_index"), (F.col("doc_id") * 10.0).alias("start"), (F.col("doc_id") * 10.0 + 5).alias("end"), F.col("lang").alias("speaker"), analysis.alias("analysis"), F.length("text").cast("long").alias("tokens_in"), F.when(F.col("doc_id") % 4 != 0, F.col("n_chars")).alias("tokens_out"), F.when(F.col("doc_id") % 3 != 0, F.col("n_chars") * 0.25).alias("cost_cents"))
 
 
 _SECONDS = "floor(epoch(ts))::BIGINT"
@@ -197,7 +197,7 @@ SQL = {
     "words": f"""SELECT recording_id, seq, text, seq::DOUBLE AS start, seq + 0.5::DOUBLE AS "end" FROM (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY s, no) - 1 AS seq, text
       FROM (SELECT recording_id, s, unnest(u) AS text, generate_subscripts(u, 1) AS no FROM (SELECT recording_id, seq AS s, {_WORDS} AS u FROM segments)))""",
     "windows": f"""SELECT source AS session_id, doc_id AS window_index, doc_id * 10.0::DOUBLE AS start, doc_id * 10.0::DOUBLE + 5 AS "end", lang AS speaker, 'About ' || coalesce(w[1], '') AS summary, list_filter(w, lambda x, i: i % 3 = 1) AS topics, list_filter(w, lambda x, i: i % 3 = 2) AS entities, list_filter(w, lambda x, i: i % 3 = 0) AS claims,
-      quality * 2 - 1 AS polarity, length(text)::BIGINT AS tokens_in, CASE WHEN doc_id % 4 <> 0 THEN n_chars END AS tokens_out FROM (SELECT *, {_WORDS} AS w FROM documents JOIN labels USING (doc_id))""",
+      quality * 2 - 1 AS polarity, length(text)::BIGINT AS tokens_in, CASE WHEN doc_id % 4 <> 0 THEN n_chars END AS tokens_out, CASE WHEN doc_id % 3 <> 0 THEN n_chars * 0.25::DOUBLE END AS cost_cents FROM (SELECT *, {_WORDS} AS w FROM documents JOIN labels USING (doc_id))""",
 }
 NEEDS = {"turns": ["segments"], "words": ["segments"]}
 

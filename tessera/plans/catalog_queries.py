@@ -133,7 +133,7 @@ def _(spark, d):
     return catalog.dangling_edges(base.artifacts(spark, d).filter("kind <> 'document' or key % 5 <> 2"))
 
 
-_TREE = """WITH RECURSIVE artifacts AS ({a}), docs AS (SELECT id, derived_from FROM artifacts WHERE kind = 'document'),
+_TREE = """WITH RECURSIVE artifacts AS ({a}), docs AS (SELECT id, derived_from, produced_by FROM artifacts WHERE kind = 'document'),
 e AS (SELECT id AS child, unnest(derived_from) AS parent, generate_subscripts(derived_from, 1) - 1 AS ordinal FROM docs),
 t AS (SELECT id AS root, id, 0 AS depth, []::INTEGER[] AS ordinals, [id] AS path FROM docs
   UNION ALL SELECT t.root, e.parent, t.depth + 1, list_append(t.ordinals, e.ordinal::INTEGER), list_append(t.path, e.parent) FROM t JOIN e ON t.id = e.child JOIN docs d ON d.id = e.parent WHERE t.depth < 10 AND NOT list_contains(t.path, e.parent))
@@ -144,10 +144,12 @@ def _documents(spark, d):
     return base.artifacts(spark, d).filter("kind = 'document'")
 
 
-@query("c14_lineage", _TREE.format(a=base.SQL["artifacts"]) + "SELECT t.root, t.id, t.depth, array_to_string(t.ordinals, '.') AS place, t.depth = 10 AND len(d.derived_from) > 0 AS truncated FROM t JOIN docs d ON d.id = t.id")
+@query("c14_lineage", _TREE.format(a=base.SQL["artifacts"]) + f"""SELECT t.root, t.id, t.depth, array_to_string(t.ordinals, '.') AS place, t.depth = 10 AND len(d.derived_from) > 0 AS truncated, r.run_id, r.op_name
+FROM t JOIN docs d ON d.id = t.id LEFT JOIN ({base.SQL["runs"]}) r ON r.run_id = d.produced_by""")
 def _(spark, d):
     docs = _documents(spark, d)
-    return catalog.lineage(docs, docs).select("root", "id", "depth", F.array_join("ordinals", ".").alias("place"), "truncated")
+    runs = base.runs(spark, d).select("run_id", "op_name")
+    return catalog.lineage(docs, docs, runs=runs).select("root", "id", "depth", F.array_join("ordinals", ".").alias("place"), "truncated", "run.run_id", "run.op_name")
 
 
 @query("c15_flatten_ids", _TREE.format(a=base.SQL["artifacts"]) + "SELECT root, string_agg(id, ',' ORDER BY ordinals) AS ids FROM t GROUP BY root")
@@ -203,9 +205,23 @@ def _(spark, d):
     return memo.lookup_runs(_requests(spark, d), base.runs(spark, d), base.artifacts(spark, d)).select("request_id", "run_id")
 
 
-@query("h3_incremental_apply", _REQ + "SELECT q.request_id, coalesce(hit.run_id, 'new' || q.request_id) AS run_id FROM req q LEFT JOIN hit USING (request_id)", "artifacts", "runs")
+# One run is made for all requests of one key that has none.
+_MADE = "SELECT q.*, hit.run_id AS found, 'new' || min(q.request_id) OVER (PARTITION BY op_name, op_version, params_hash, input_key, namespace, backend, backend_version) AS made FROM req q LEFT JOIN hit USING (request_id)"
+
+
+def _applied(spark, d):
+    made = F.concat(F.lit("new"), F.col("request_id").cast("string"))
+    return memo.incremental_apply(_requests(spark, d), base.runs(spark, d), base.artifacts(spark, d), lambda miss: miss.select("request_id", made.alias("run_id"), F.array(F.sha2(made, 256)).alias("output_ids")))
+
+
+@query("h3_incremental_apply", _REQ + f"SELECT request_id, coalesce(found, made) AS run_id FROM ({_MADE})", "artifacts", "runs")
+def _(spark, d):
+    return _applied(spark, d)[0]
+
+
+@query("h3_appended_runs", _REQ + f"SELECT made AS run_id, op_name, op_version, params_hash, input_key, namespace, backend, backend_version, [sha256(made)] AS output_ids FROM ({_MADE}) WHERE found IS NULL AND made = 'new' || request_id", "artifacts", "runs")
 def _(spark, d):
-    return memo.incremental_apply(_requests(spark, d), base.runs(spark, d), base.artifacts(spark, d), lambda miss: miss.select("request_id", F.concat(F.lit("new"), F.col("request_id").cast("string")).alias("run_id")))
+    return _applied(spark, d)[1]
 
 
 @query("b10_pipeline_estimate", _REQ + "SELECT pipeline, count(*) AS steps, count(*) FILTER (hit.run_id IS NULL) AS to_run, round(sum(CASE WHEN hit.run_id IS NULL THEN estimate ELSE 0 END), 4) AS cents FROM req q LEFT JOIN hit USING (request_id) GROUP BY pipeline", "artifacts", "runs")

@@ -108,7 +108,7 @@ def _(spark, d):
     return _broken(spark, d).select("session_id", "window_index", validate_json(F.col("json"), SCHEMA).alias("problem"))
 
 
-@query("i4_usage_rollup", "SELECT session_id, count(*) AS windows, sum(coalesce(tokens_in, 0))::BIGINT AS tokens_in, sum(coalesce(tokens_out, 0))::BIGINT AS tokens_out FROM windows GROUP BY session_id", "windows")
+@query("i4_usage_rollup", "SELECT session_id, count(*) AS windows, sum(coalesce(tokens_in, 0))::BIGINT AS tokens_in, sum(coalesce(tokens_out, 0))::BIGINT AS tokens_out, sum(coalesce(cost_cents, 0)) AS cost_cents FROM windows GROUP BY session_id", "windows")
 def _(spark, d):
     return inference.usage_rollup(base.windows(spark, d))
 
@@ -185,6 +185,16 @@ def _(spark, d):
     return stream.run_available(stream.live_events(twice), "replay").select("id", "event_type")
 
 
+# What is replayed, and what of the live events is new: those that stand in neither the log nor an earlier live event.
+@query("e3_replay_then_live", "SELECT event_id AS id, event_type, event_id % 4 = 3 AS live FROM events WHERE event_id % 4 < 3 OR event_id % 4 = 3")
+def _(spark, d):
+    e = _stream_events(spark, d).select("id", "ts", "event_type")
+    log = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "event_type").filter("id % 4 < 3")
+    out = new_folder(spark, "replay-then-live")
+    stream.replay_then_live(log, e.filter("id % 4 > 0").union(e.filter("id % 12 = 3")), f"{out}/rows", f"{out}/state", "30 days").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("id", "event_type", (F.col("batch") >= 0).alias("live"))
+
+
 @query("e4_stream_log_dedup", base.with_tables("op_events", body="""SELECT run, source, n::INTEGER AS n, CASE WHEN n > 5000 THEN 'log truncated' ELSE line END AS line FROM (SELECT run, source, line, row_number() OVER (PARTITION BY run, source ORDER BY pos) AS n FROM (SELECT user_id AS run, 'log' AS source, id AS pos, event_type AS line, lag(event_type) OVER (PARTITION BY user_id ORDER BY id) AS b FROM op_events) WHERE line IS DISTINCT FROM b) WHERE n <= 5001"""))
 def _(spark, d):
     lines = _stream_events(spark, d).select(F.col("user_id").alias("run"), F.lit("log").alias("source"), F.col("id").alias("at"), F.col("event_type").alias("line"), "ts")

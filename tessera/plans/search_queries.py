@@ -138,8 +138,8 @@ def _(spark, d):
 
 
 _LISTS = """, a AS (SELECT query_id, rank, doc_id AS id FROM ({top})), b AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, doc_id, kind) AS rank, doc_id AS id FROM sc), r AS (SELECT *, 0 AS l FROM a UNION ALL SELECT *, 1 AS l FROM b WHERE rank <= 30),
-f AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score, min((l, rank)) AS seen, count(DISTINCT l) AS in_lists FROM r GROUP BY ALL)
-SELECT query_id, rank::INTEGER AS rank, id, round(score, 6) AS score, 's' || CASE WHEN seen[1] = 0 THEN 0 ELSE 1 END AS snippet, in_lists::INTEGER AS in_lists FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen, id) AS rank FROM f) WHERE rank <= 10"""
+f AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score, min((l, rank)) AS seen, count(DISTINCT l) AS in_lists, concat_ws(',', coalesce((max(rank) FILTER (l = 0))::VARCHAR, '-'), coalesce((max(rank) FILTER (l = 1))::VARCHAR, '-')) AS ranks FROM r GROUP BY ALL)
+SELECT query_id, rank::INTEGER AS rank, id, round(score, 6) AS score, 's' || CASE WHEN seen[1] = 0 THEN 0 ELSE 1 END AS snippet, in_lists::INTEGER AS in_lists, ranks FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen, id) AS rank FROM f) WHERE rank <= 10"""
 
 
 @query("x6_rrf_fuse", _INDEX + _SCORE.format(qt="qt") + _LISTS.format(top=_TOP.format("sc").replace("rank <= 10", "rank <= 30")))
@@ -148,7 +148,7 @@ def _(spark, d):
     a = search.ranked(scored, 30).select("query_id", F.col("doc_id").alias("id"), "rank", F.lit("s0").alias("snippet"))
     order = Window.partitionBy("query_id").orderBy(F.desc("matched"), "doc_id", "kind")
     b = scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 30").select("query_id", F.col("doc_id").alias("id"), "rank", F.lit("s1").alias("snippet"))
-    return search.rrf_fuse([a, b])
+    return search.rrf_fuse([a, b]).withColumn("ranks", F.array_join(F.col("ranks").cast("array<string>"), ",", "-"))
 
 
 # --- vectors
@@ -265,19 +265,26 @@ def _(spark, d):
 def _given_scores(spark, d):
     """Scores of names made of the conversations: three candidates a speaker."""
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("recording_id"), F.col("role").alias("speaker_id"), "turn", F.length("text").alias("n"))
-    return c.select("recording_id", "speaker_id", F.col("turn").cast("int").alias("place"), F.concat(F.lit("N"), (F.col("n") % 4).cast("string")).alias("canonical"), (60 + F.col("n") % 41).cast("double").alias("score"))
+    return c.select("recording_id", "speaker_id", F.col("turn").cast("int").alias("place"), F.concat(F.lit("A"), "turn").alias("alias"), F.concat(F.lit("N"), (F.col("n") % 4).cast("string")).alias("canonical"), (60 + F.col("n") % 41).cast("double").alias("score"))
 
 
 @query("d3_resolve_names", """, g AS (SELECT conv_id AS recording_id, role AS speaker_id, turn AS place, 'N' || (length(text) % 4) AS canonical, (60 + length(text) % 41)::DOUBLE AS score FROM conversations),
-b AS (SELECT recording_id, speaker_id, arg_max(canonical, (score, -place)) AS best, max(score) AS top FROM g GROUP BY ALL), r AS (SELECT recording_id, speaker_id, best, top, max(score) FILTER (canonical <> best) AS runner_up FROM g JOIN b USING (recording_id, speaker_id) GROUP BY ALL)
-SELECT recording_id, speaker_id, CASE WHEN top / 100 >= 0.7 AND (runner_up IS NULL OR top - runner_up >= 5) THEN best END AS name, top AS score, runner_up FROM r""", "segments")
+b AS (SELECT recording_id, speaker_id, arg_max(canonical, (score, -place)) AS best, arg_max(place, (score, -place)) AS pl, max(score) AS top FROM g GROUP BY ALL), r AS (SELECT recording_id, speaker_id, best, pl, top, max(score) FILTER (canonical <> best) AS runner_up FROM g JOIN b USING (recording_id, speaker_id) GROUP BY ALL)
+SELECT recording_id, speaker_id, CASE WHEN top / 100 >= 0.7 AND (runner_up IS NULL OR top - runner_up >= 5) THEN best END AS name, top AS score, runner_up, 'A' || pl AS matched FROM r""", "segments")
 def _(spark, d):
     return speakers.resolve_names(_given_scores(spark, d))
 
 
-@query("d4_attach_names", ORACLES["d3_resolve_names"].replace("SELECT recording_id, speaker_id, CASE WHEN top", ", nm AS (SELECT recording_id, speaker_id, CASE WHEN top").replace("top AS score, runner_up FROM r", "top FROM r) SELECT s.recording_id, s.seq, s.speaker_id, nm.name AS speaker_name FROM segments s LEFT JOIN nm USING (recording_id, speaker_id)"))
+_NAMED = ORACLES["d3_resolve_names"].replace("SELECT recording_id, speaker_id, CASE WHEN top", ", nm AS (SELECT recording_id, speaker_id, CASE WHEN top") + ")"
+_META = """SELECT s.recording_id, s.seq, s.speaker_id, nm.name AS speaker_name, CASE WHEN nm.name IS NULL AND nm.score IS NOT NULL THEN 0 ELSE nm.score END::DOUBLE AS match_score, CASE WHEN nm.name IS NOT NULL THEN matched END AS matched_candidate,
+CASE WHEN nm.score IS NULL THEN NULL WHEN nm.name IS NULL THEN 0 ELSE coalesce(runner_up, 0) END::DOUBLE AS runner_up_score, n_name AS nation FROM segments s LEFT JOIN nm USING (recording_id, speaker_id) LEFT JOIN nation ON 'N' || n_nationkey = nm.name"""
+
+
+@query("d4_attach_names", f"{_NAMED} {_META}")
 def _(spark, d):
-    return speakers.attach_names(base.segments(spark, d), speakers.resolve_names(_given_scores(spark, d))).select("recording_id", "seq", "speaker_id", "speaker_name")
+    people = table(spark, d, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("canonical"), F.create_map(F.lit("nation"), "n_name").alias("extra"))
+    out = speakers.attach_names(base.segments(spark, d), speakers.resolve_names(_given_scores(spark, d)), people)
+    return out.select("recording_id", "seq", "speaker_id", "speaker_name", "match_score", "matched_candidate", "runner_up_score", F.col("speaker_extra")["nation"].alias("nation"))
 
 
 def _turn_vectors(spark, d):

@@ -132,6 +132,12 @@ def join_few(rows: DataFrame, small: DataFrame, keys: str | list[str], most: int
     return salted.join(spread, same & (F.col("_salt") == F.col("_salt2")), how).drop(*dropped, "_salt", "_salt2")
 
 
+def file_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, asked through the file system that Spark itself uses."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

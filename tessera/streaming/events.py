@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.runtime import new_folder
+from tessera.runtime import few, file_exists, new_folder
+
+#: Ids of the end of a log, up to so many, are broadcast.
+BROADCAST_IDS = 500_000
 
 
 def stream_table(spark, path: str, ts: str = "ts") -> DataFrame:
@@ -32,6 +35,34 @@ def live_events(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
 
 
+def replay_then_live(persisted: DataFrame, live: DataFrame, out: str, state: str, late: str = "10 minutes"):
+    """Start a query that writes the persisted events, and behind them the live ones, each id once, to ``out``.
+
+    persisted: a table ``id, ts, ...``; live: a stream of the same columns. The log is
+    written first, as the part ``batch=-1``; a run that starts again finds it there. Ids that
+    live events repeat among themselves are kept in state for ``late``. A live event is
+    compared with the log's last ``late`` only, where replay and live overlap, which is
+    broadcast behind a count; the rare event that is older than that is looked up in the
+    whole log. Batches that run again overwrite their own part.
+    """
+    spark = live.sparkSession
+    ordered = persisted.dropDuplicates(["id"]).select(*live.columns)
+    if not file_exists(spark, f"{out}/batch=-1/_SUCCESS"):
+        ordered.sortWithinPartitions("ts", "id").write.mode("overwrite").parquet(f"{out}/batch=-1")
+    log = spark.read.parquet(f"{out}/batch=-1")
+    border = log.agg((F.max("ts") - F.expr(f"interval {late}")).alias("border")).first()["border"]
+    recent = few(log.filter(F.col("ts") >= F.lit(border)).select("id"), BROADCAST_IDS)
+
+    def add(batch: DataFrame, number: int) -> None:
+        old = batch.filter(F.col("ts") < F.lit(border)) if border is not None else batch.limit(0)
+        fresh = batch.filter(F.col("ts") >= F.lit(border)).join(recent, "id", "left_anti") if border is not None else batch
+        if not old.isEmpty():
+            fresh = fresh.unionByName(old.join(log.select("id"), "id", "left_anti"))
+        fresh.sortWithinPartitions("ts", "id").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return live_events(live, late).writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
 def stream_durations(events: DataFrame, longest: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """``op_run_id, status, seconds``: ends joined to starts at most ``longest`` before them; a start without an end is running once the watermark has passed."""
     starts = events.filter("type = 'op_started'").select(F.col("op_run_id").alias("run"), F.col("ts").alias("started")).withWatermark("started", late)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.search import build_doc_stats, build_postings
+from tessera.runtime import file_exists
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -22,7 +23,7 @@ def append_once(stream: DataFrame, out: str, state: str, key: str = "id"):
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates([key])
-        if _exists(spark, out):
+        if file_exists(spark, out):
             new = new.join(spark.read.parquet(out).select(key), key, "left_anti")
         new.write.mode("append").parquet(out)
 
@@ -39,17 +40,10 @@ def maintain_index(docs: DataFrame, index: str, state: str):
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates(["doc_id", "kind"])
-        if _exists(spark, f"{index}/doc_stats"):
+        if file_exists(spark, f"{index}/doc_stats"):
             seen = spark.read.parquet(f"{index}/doc_stats").filter(F.col("batch") != number).select("doc_id", "kind")
             new = new.join(seen, ["doc_id", "kind"], "left_anti")
         for name, rows in (("postings", build_postings(new)), ("doc_stats", build_doc_stats(new))):
             rows.write.mode("overwrite").parquet(f"{index}/{name}/batch={number}")
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start()
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether the folder is there, asked through the file system that Spark itself uses."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

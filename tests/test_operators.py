@@ -200,7 +200,7 @@ def test_cue_queries_return_texts_with_line_breaks(spark, tmp_path, name):
 def test_lineage_queries_reach_the_first_document(spark, tmp_path):
     docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    for name in ("pages", "conversations"):
+    for name in ("pages", "conversations", "events"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     name_of = {k: hashlib.sha256(f"document|{k}".encode()).hexdigest() for k in range(1000)}
 
@@ -211,6 +211,10 @@ def test_lineage_queries_reach_the_first_document(spark, tmp_path):
 
     trees = {name_of[k]: [(name_of[x], place) for x, place in tree(k)] for k in range(1000)}
     got = QUERIES["c14_lineage"](spark, str(tmp_path)).collect()
+    runs = {f"r{k}" for k in range(0, 1000)}
+    made = {name_of[k]: (f"r{k}" if k % 5 else None) for k in range(1000)}
+    assert all(r.run_id in (None, made[r.id]) for r in got) and any(r.run_id for r in got) and runs
+    got = [r[:5] for r in got]
     want = {(root, x, len(place), ".".join(map(str, place)), False) for root, nodes in trees.items() for x, place in nodes}
     assert len(got) == sum(map(len, trees.values())) and {tuple(r) for r in got} == want and max(r.depth for r in got) > 4
     assert {r.root: r.ids for r in QUERIES["c15_flatten_ids"](spark, str(tmp_path)).collect()} == {root: ",".join(x for x, _ in nodes) for root, nodes in trees.items()}
@@ -567,3 +571,36 @@ def test_all_white_space_is_stripped(spark, space):
     assert [(r.value, r.n) for r in reports.zeitgeist_values(windows).collect() if r.field == "topics"] == [("x", 2)]
     lines = frames.timeline_rows(frame([], "recording_id long, at double, seq long, description string"), frame([(1, 0, 0.0, 1.0, "A", f"{space}hi{space}"), (1, 1, 1.0, 2.0, "A", space)], SEGMENTS)).collect()
     assert [r.line for r in lines] == ["[t=00:00.00] A: hi"]
+
+
+def test_replay_then_live_over_batches(spark, tmp_path):
+    """Persisted ids come first and once; live ones that repeat them, late ones too, are left out, however often the query starts."""
+    at = lambda m: F.timestamp_seconds(F.lit(1_700_000_000) + m * 60)
+    log = spark.range(0, 100).select("id", at(F.col("id")).alias("ts"))
+    landing = str(tmp_path / "live")
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    batches = [[90, 95, 99, 100, 101, 3], [101, 102, 99, 102], [103, 50, -7]]
+    for ids in batches:
+        # Event -7 is older than the overlap and in no log.
+        spark.createDataFrame([(i,) for i in ids], "id long").select("id", at(F.when(F.col("id") < 0, 20).otherwise(F.col("id"))).alias("ts")).coalesce(1).write.mode("append").parquet(landing)
+        live = spark.readStream.schema("id long, ts timestamp").parquet(landing)
+        stream.replay_then_live(log, live, out, state, "2 hours").awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    assert sorted(r.id for r in rows if r.batch == -1) == list(range(100))
+    assert sorted(r.id for r in rows if r.batch >= 0) == [-7, 100, 101, 102, 103]
+
+
+def test_incremental_apply_runs_each_missing_key_once(spark):
+    key = "op_name string, op_version string, params_hash string, input_key string, namespace string, backend string, backend_version string"
+    k = lambda name, backend=None: (name, "1", "p", "i", "n", backend, None)
+    runs = spark.createDataFrame([("r1", ["a"], *k("x")), ("r0", ["gone"], *k("x")), ("r2", [], *k("y", ""))], f"run_id string, output_ids array<string>, {key}")
+    asked = spark.createDataFrame([(1, *k("x")), (2, *k("y")), (3, *k("y")), (4, *k("y", "")), (5, *k(None)), (6, *k(None))], f"request_id long, {key}")
+    seen = []
+
+    def run(miss):
+        seen.extend(r.request_id for r in miss.collect())
+        return miss.select("request_id", F.concat(F.lit("new"), F.col("request_id").cast("string")).alias("run_id"), F.array(F.lit("o")).alias("output_ids"))
+
+    answers, appended = memo.incremental_apply(asked, runs, spark.createDataFrame([("a",)], "id string"), run)
+    assert {r.request_id: r.run_id for r in answers.collect()} == {1: "r1", 2: "new2", 3: "new2", 4: "r2", 5: "new5", 6: "new6"}
+    assert sorted(seen) == [2, 5, 6] and sorted((r.run_id, r.op_name) for r in appended.collect()) == [("new2", "y"), ("new5", None), ("new6", None)]
