@@ -12,11 +12,16 @@ What stands between white space in a query is one item; an item of several token
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_blank, raw_words, snippet, tokenize
-from tessera.runtime import join_few, partitions_for, pin
+from tessera.runtime import arrow_batches, join_few, partitions_for, pin
 
 K1, B = 1.2, 0.75
 #: The floor of a term's weight where it stands in more than half of the documents.
@@ -46,11 +51,44 @@ def scoped(df: DataFrame) -> DataFrame:
     return df if "namespace" in df.columns else df.withColumn("namespace", F.lit(""))
 
 
+def _tokens(docs: DataFrame) -> DataFrame:
+    return scoped(docs).select(F.struct(*NAMED).alias("doc"), tokenize(F.col("text")).alias("tokens"))
+
+
+def _postings(tokens: DataFrame, whole: bool) -> DataFrame:
+    """Rows ``<doc>, term, tf, positions, len`` of each document's terms, made where the document is. whole: one row without a term for each document besides, as statistics."""
+    arrow_batches(tokens.sparkSession)
+    kind = tokens.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            words = lists.flatten().dictionary_encode()
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.lexsort((code, owner))  # places stay in order
+            owner, code, place = owner[order], code[order], place[order]
+            first = np.flatnonzero(np.diff(owner, prepend=-1) | np.diff(code, prepend=-1))
+            bounds = np.append(first, len(owner))
+            docs, terms = owner[first], words.dictionary.take(pa.array(code[first]))
+            positions = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(place, pa.int32()))
+            tf = np.diff(bounds)
+            if whole:
+                every = np.arange(len(sizes))
+                docs, tf = np.concatenate([docs, every]), np.concatenate([tf, np.zeros(len(every), int)])
+                terms = pa.concat_arrays([terms.cast(pa.string()), pa.nulls(len(every), pa.string())])
+                positions = pa.concat_arrays([positions, pa.nulls(len(every), positions.type)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs)), terms, pa.array(tf, pa.int64()), positions, pa.array(sizes[docs], pa.int64())], ["doc", "term", "tf", "positions", "len"])
+
+    rows = tokens.mapInArrow(run, f"doc {kind}, term string, tf long, positions array<int>, len long")
+    return rows.select("doc.namespace", "term", "doc.doc_id", "doc.kind", "tf", "positions", "len")
+
+
 def build_postings(docs: DataFrame) -> DataFrame:
-    """One row for each term of each document."""
-    tokens = scoped(docs).select(*NAMED, tokenize(F.col("text")).alias("tokens"))
-    each = tokens.select(*NAMED, F.size("tokens").cast("long").alias("len"), F.posexplode("tokens").alias("pos", "term"))
-    return each.groupBy("namespace", "term", "doc_id", "kind", "len").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")).select("namespace", "term", "doc_id", "kind", "tf", "positions", "len")
+    """One row for each term of each document. No row leaves its task: a term of a document is counted where the document is."""
+    return _postings(_tokens(docs), False)
 
 
 def build_doc_stats(docs: DataFrame) -> DataFrame:
@@ -58,11 +96,18 @@ def build_doc_stats(docs: DataFrame) -> DataFrame:
     return scoped(docs).select(*NAMED, F.coalesce(F.size(tokenize(F.col("text"))), F.lit(0)).cast("long").alias("len"))
 
 
+def build_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings and statistics from one pass over the texts, written to the shared folder: queries read the columns they need."""
+    rows = pin(_postings(_tokens(docs), True), "index")
+    return rows.filter("term is not null"), rows.filter("term is null").select(*NAMED, "len")
+
+
 def write_index(docs: DataFrame, path: str) -> None:
     """Postings and statistics as files; postings are dealt by ranges of terms (and documents, for a common term), so that a query's terms are found by the files' bounds."""
     order = ["namespace", "term", "doc_id"]
-    build_postings(docs).repartitionByRange(partitions_for(docs), *order).sortWithinPartitions(*order).write.parquet(f"{path}/postings")
-    build_doc_stats(docs).write.parquet(f"{path}/doc_stats")
+    postings, stats = build_index(docs)
+    postings.repartitionByRange(partitions_for(docs), *order).sortWithinPartitions(*order).write.parquet(f"{path}/postings")
+    stats.write.parquet(f"{path}/doc_stats")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -76,9 +121,10 @@ def query_items(queries: DataFrame) -> DataFrame:
     return scoped(queries).select("namespace", "query_id", F.explode(items).alias("item")).withColumn("terms", F.split("item", " "))
 
 
-def _wanted(items: DataFrame, postings: DataFrame) -> DataFrame:
+def _wanted(items: DataFrame, postings: DataFrame, *columns: str) -> DataFrame:
+    """Postings of the terms of items, with the columns that are needed."""
     terms = items.select("namespace", F.explode("terms").alias("term")).distinct()
-    return join_few(postings, terms, ["namespace", "term"], BROADCAST_ITEMS)
+    return join_few(postings.select("namespace", "term", "doc_id", "kind", *columns), terms, ["namespace", "term"], BROADCAST_ITEMS)
 
 
 def _phrases(items: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -101,8 +147,10 @@ def _phrases(items: DataFrame, wanted: DataFrame) -> DataFrame:
     return whole.groupBy("namespace", "item", "doc_id", "kind", "len").agg(F.count("*").alias("tf")).select("namespace", "item", "doc_id", "kind", "tf", "len")
 
 
-def score(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame, *, kinds: list[str] | None = None, stop_words: list[str] | None = None) -> DataFrame:
-    """``query_id, doc_id, kind, bm25, matched, asked``: BM25 of each document that holds an item, the number of items met and asked for.
+def score(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame, *, kinds: list[str] | None = None, stop_words: list[str] | None = None, every: bool = False) -> DataFrame:
+    """``query_id, doc_id, kind, bm25, matched, asked``: BM25 of each document that holds an item, or with ``every`` all of them; the number of items met and asked for.
+
+    Documents for all items are looked for among those of each query's rarest item.
 
     Statistics are over all kinds, and are counted at query time, so appended postings
     need no rewrite; documents of other kinds than ``kinds`` are left out before they are scored.
@@ -111,19 +159,28 @@ def score(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame, *, kind
     if stop_words is not None:
         items = items.filter(~F.col("item").isin(stop_words))
     items = pin(items, "items")
-    wanted = pin(_wanted(items, postings), "wanted")
     of_kind = F.col("kind").isin(kinds) if kinds is not None else F.lit(True)
-    found = wanted.select("namespace", F.col("term").alias("item"), "doc_id", "kind", "tf", "len")
+    found = pin(_wanted(items.filter("size(terms) = 1"), postings, "tf", "len").withColumnRenamed("term", "item"), "wanted")
     phrases = items.filter("size(terms) > 1")
     if not phrases.isEmpty():
-        found = found.unionByName(pin(_phrases(phrases, wanted), "phrases"))
+        # Only terms of phrases need their positions.
+        placed = pin(_wanted(phrases, postings, "positions", "len"), "placed")
+        found = found.unionByName(pin(_phrases(phrases, placed), "phrases"))
     size = doc_stats.groupBy("namespace").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     df = found.groupBy("namespace", "item").agg(F.count("*").alias("df"))
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = df.join(size, "namespace").select("namespace", "item", F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF)).alias("idf"), "avg_len")
     asked = items.groupBy("query_id").agg(F.count("*").alias("asked"))
     weighed = pin(items.select("namespace", "query_id", "item").join(idf, ["namespace", "item"]).join(asked, "query_id"), "weights")
-    hits = join_few(found.filter(of_kind), weighed, ["namespace", "item"], BROADCAST_ITEMS)
+    if every:
+        # A query with an item that no document holds has a weight too few, and no candidates.
+        rarest = weighed.groupBy("query_id", "asked").agg(F.count("*").alias("held"), F.max_by(F.struct("namespace", "item"), F.struct("idf", "item")).alias("at")).filter("held = asked")
+        rarest = pin(rarest.select("query_id", "at.*"), "rarest")
+        candidates = join_few(found.filter(of_kind).select("namespace", "item", "doc_id", "kind"), rarest, ["namespace", "item"], BROADCAST_ITEMS).select("query_id", "doc_id", "kind")
+        weighed = weighed.join(rarest.select("query_id"), "query_id", "left_semi")
+        hits = join_few(found.filter(of_kind), weighed, ["namespace", "item"], BROADCAST_ITEMS).join(candidates, ["query_id", "doc_id", "kind"], "left_semi")
+    else:
+        hits = join_few(found.filter(of_kind), weighed, ["namespace", "item"], BROADCAST_ITEMS)
     tf = F.col("tf")
     w = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return hits.groupBy("query_id", "doc_id", "kind").agg(F.sum(w).alias("bm25"), F.count("*").alias("matched"), F.first("asked").alias("asked"))
@@ -143,14 +200,14 @@ def bm25_topk(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame, top
 
 def match_all_terms(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame, stop_words: list[str], top_k: int = 10) -> DataFrame:
     """Documents that hold all of a query's items but stop words, ranked by BM25."""
-    return ranked(score(queries, postings, doc_stats, stop_words=stop_words).filter("matched = asked"), top_k)
+    return ranked(score(queries, postings, doc_stats, stop_words=stop_words, every=True).filter("matched = asked"), top_k)
 
 
 def phrase_matches(phrases: DataFrame, postings: DataFrame) -> DataFrame:
     """``query_id, doc_id, kind, n``: how often the terms of a whole text stand side by side. phrases: query_id, text."""
     items = scoped(phrases).select("namespace", "query_id", tokenize(F.col("text")).alias("terms")).filter(F.size("terms") > 0)
     items = pin(items.withColumn("item", F.array_join("terms", " ")), "items")
-    found = _phrases(items.select("namespace", "item", "terms").distinct(), pin(_wanted(items, postings), "wanted"))
+    found = _phrases(items.select("namespace", "item", "terms").distinct(), pin(_wanted(items, postings, "positions", "len"), "wanted"))
     met = join_few(found, items.select("namespace", "query_id", "item"), ["namespace", "item"], BROADCAST_ITEMS)
     return met.select("query_id", "doc_id", "kind", F.col("tf").alias("n"))
 

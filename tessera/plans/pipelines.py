@@ -37,7 +37,7 @@ def analysis_full(segments: DataFrame, names: DataFrame, schema_json: str, schem
 
 def hybrid_search(queries: DataFrame, docs: DataFrame, top_k: int = 10) -> DataFrame:
     """Text and vector search over the same documents, fused. queries: query_id, text; docs: doc_id, kind, text."""
-    postings, stats = search.build_postings(docs), search.build_doc_stats(docs)
+    postings, stats = search.build_index(docs)
     by_words = search.bm25_topk(queries, postings, stats, top_k=3 * top_k)
     by_words = search.with_snippets(by_words, docs, queries).select("query_id", F.col("doc_id").alias("id"), "rank", "snippet")
     pieces = pin(chunks.chunk_documents(docs).withColumn("vec_id", F.xxhash64("doc_id", "chunk_index")), "chunks")

@@ -260,5 +260,5 @@ def flagship(spark, d):
     """BM25 over documents and pages for every benchmark text, with snippets."""
     docs = table(spark, d, "documents").select("doc_id", F.lit("document").alias("kind"), "text")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    top = search.bm25_topk(asked, search.build_postings(docs), search.build_doc_stats(docs))
+    top = search.bm25_topk(asked, *search.build_index(docs))
     return search.with_snippets(top, docs, asked)

@@ -65,7 +65,7 @@ _TOP = """SELECT query_id, rank::INTEGER AS rank, doc_id, kind, round(bm25, 6) A
 
 def _index(spark, d, docs=None):
     docs = _docs(spark, d) if docs is None else docs
-    return search.build_postings(docs), search.build_doc_stats(docs)
+    return search.build_index(docs)
 
 
 @query("x1_searchable_text", "SELECT id, kind, CASE WHEN kind = 'webpage' AND key % 3 = 0 THEN 'body ' || text ELSE coalesce(text, '') END AS text FROM artifacts", "artifacts")

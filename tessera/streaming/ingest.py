@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.search import build_doc_stats, build_postings
+from tessera.operators.search import build_index
 from tessera.runtime import file_exists
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -43,7 +43,7 @@ def maintain_index(docs: DataFrame, index: str, state: str):
         if file_exists(spark, f"{index}/doc_stats"):
             seen = spark.read.parquet(f"{index}/doc_stats").filter(F.col("batch") != number).select("doc_id", "kind")
             new = new.join(seen, ["doc_id", "kind"], "left_anti")
-        for name, rows in (("postings", build_postings(new)), ("doc_stats", build_doc_stats(new))):
+        for name, rows in zip(("postings", "doc_stats"), build_index(new), strict=True):
             rows.write.mode("overwrite").parquet(f"{index}/{name}/batch={number}")
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start()
