@@ -32,7 +32,9 @@ def is_blank(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Lower case without diacritics, be they part of a letter or marks behind it."""
-    return F.regexp_replace(F.translate(F.lower(text), _MARKED, _BASE), r"\p{M}+", "")
+    low = F.lower(text)
+    # The table is looked up for each character, so only where one can be in it.
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(low, _MARKED, _BASE), r"\p{M}+", "")).otherwise(low)
 
 
 def tokenize(text: Column) -> Column:

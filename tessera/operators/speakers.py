@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import connected_components
 from tessera.operators.transcripts import turn_filter
-from tessera.operators.vectors import coarse_centroids, cosine, dot, l2_normalize, nearest_lists
+from tessera.operators.vectors import cosine, l2_normalize
 from tessera.runtime import cut, pin
 
 #: Names that one text is scored against; more must be split by the caller.
 MOST_NAMES = 10_000
-#: Vectors in one block of the density search, and rows of a block that are compared at once.
-BLOCK, SLAB = 2048, 512
-
 
 def intro_text(segments: DataFrame, seconds: float = 30.0) -> DataFrame:
     """``recording_id, speaker_id, text``: what each named speaker says up to the segment that ends past the window."""
@@ -193,104 +187,3 @@ def match_profiles(turns: DataFrame, profiles: DataFrame, threshold: float = 0.5
     best = turns.join(b, "namespace").groupBy("query_id", "speaker_id").agg(F.max(cosine(F.col("vector"), F.col("centroid"))).alias("score")).filter(F.col("score") >= threshold)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "speaker_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "speaker_id", F.round("score", 6).alias("score"))
-
-
-def _sides(a: pa.Table):
-    """The two blocks of a pair: rows of the table, vectors, and whether the blocks are one."""
-    block = a["block"].to_numpy()
-    i, j = a["i"][0].as_py(), a["j"][0].as_py()
-    v = a["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(a.num_rows, -1)
-    return np.flatnonzero(block == i), np.flatnonzero(block == j), v, i == j
-
-
-def _near(a: pa.Table, radius: float):
-    """Pairs of rows of one block pair that are neighbours, each pair once, a few rows at a time: rows, other rows, cosines."""
-    left, right, v, same = _sides(a)
-    for at in range(0, len(left), SLAB):
-        score = np.round(v[left[at : at + SLAB]] @ v[right].T, 12)
-        near = score >= radius
-        r, c = np.nonzero(near)
-        s = score[near]
-        if same:
-            once = r + at < c
-            r, c, s = r[once], c[once], s[once]
-        yield left[r + at], right[c], s
-
-
-def density_cluster(points: DataFrame, *, radius: float = 0.8, min_samples: int = 2, min_cluster_size: int = 2, lists: int = 16) -> DataFrame:
-    """``vec_id, cluster`` (-1: noise) of unit vectors by fixed-radius density.
-
-    Two points are neighbours at a cosine of ``radius``; a point with ``min_samples``
-    points around it, itself included, is a core; linked cores make a cluster, and
-    other neighbours of a core join that of the nearest core. The search is exact:
-    points are dealt to their nearest coarse cell and to blocks inside it, and all
-    blocks meet but those of cells that lie further apart than their widths and the
-    radius allow. Without such cells the work grows with the square of the points.
-    Equal vectors stand for each other in the search.
-    """
-    units = points.select("vec_id", l2_normalize(F.col("vector")).alias("v"))
-    same = units.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-    same = pin(same, "distinct")
-    reps = same.select(F.col("rep").alias("vec_id"), "v", "weight")
-    marks = coarse_centroids(reps.withColumnRenamed("v", "vector"), lists)
-    centers = reps.sparkSession.createDataFrame([(k, m.tolist()) for k, m in enumerate(marks)], "cell int, mark array<double>")
-    placed = reps.withColumn("cell", F.get(nearest_lists(F.col("v"), marks, 1), F.lit(0))).join(F.broadcast(centers), "cell")
-    placed = pin(placed.withColumn("inner", dot(F.col("v"), F.col("mark"))).drop("mark"), "cells")
-    cells = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("inner").alias("inner")).orderBy("cell").collect()
-    width = {r["cell"]: float(np.arccos(np.clip(r["inner"], -1, 1))) for r in cells}
-    first = dict(zip(width, np.cumsum([0] + [r["blocks"] for r in cells]).tolist()))
-    numbers = {r["cell"]: range(first[r["cell"]], first[r["cell"]] + r["blocks"]) for r in cells}
-
-    def meet(a: int, b: int) -> bool:
-        apart = float(np.arccos(np.clip(marks[a] @ marks[b], -1, 1)))
-        return radius <= 0 or apart - width[a] - width[b] <= np.arccos(min(radius, 1.0)) + 1e-6
-
-    met = [(a, first[a], len(numbers[a]), [n for b in numbers if meet(a, b) for n in numbers[b]]) for a in numbers]
-    met = reps.sparkSession.createDataFrame(met, "cell int, first int, blocks int, others array<int>")
-    dealt = placed.join(F.broadcast(met), "cell").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).cast("int"))
-    dealt = dealt.select("vec_id", "v", "weight", "block", F.explode("others").alias("other")).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-
-    def count(a: pa.Table) -> pa.Table:
-        weight = a["weight"].to_numpy()
-        n = np.zeros(a.num_rows)
-        for r, c, _ in _near(a, radius):
-            n += np.bincount(r, weight[c], a.num_rows) + np.bincount(c, weight[r], a.num_rows)
-        some = np.flatnonzero(n)
-        return pa.table({"vec_id": a["vec_id"].to_numpy()[some], "n": n[some].astype(np.int64)})
-
-    counts = dealt.groupBy("i", "j").applyInArrow(count, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
-    cores = placed.join(counts, "vec_id", "left").select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("weight") >= min_samples).alias("core"))
-    cores = pin(cores, "cores")
-
-    def link(a: pa.Table) -> pa.Table:
-        ids, core = a["vec_id"].to_numpy(), a["core"].to_numpy().astype(bool)
-        label = np.arange(len(ids))
-        row, best, score = [], [], []
-        for r, c, s in _near(a, radius):
-            both = core[r] & core[c]
-            x, y = r[both], c[both]
-            while (label[x] != label[y]).any():
-                least = np.minimum(label[x], label[y])
-                for end in (label[x], label[y], x, y):
-                    np.minimum.at(label, end, least)
-                label = label[label]
-            for p, q in ((r, c), (c, r)):
-                one = ~core[p] & core[q]
-                order = np.lexsort((ids[q[one]], -s[one], p[one]))
-                p, q, t = p[one][order], q[one][order], s[one][order]
-                lead = np.diff(p, prepend=-1) > 0
-                row.append(p[lead]), best.append(q[lead]), score.append(t[lead])
-        tied = np.flatnonzero(label != np.arange(len(ids)))
-        row, best = np.concatenate([tied, *row]), np.concatenate([label[tied], *best])
-        score = np.concatenate([np.ones(len(tied)), *score])
-        return pa.table({"a": ids[row], "b": ids[best], "score": score, "border": np.arange(len(row)) >= len(tied)})
-
-    edges = pin(dealt.join(cores, "vec_id").groupBy("i", "j").applyInArrow(link, "a long, b long, score double, border boolean"), "edges")
-    groups = connected_components(edges.filter("not border"), "a", "b")
-    of_core = cores.filter("core").join(groups, F.col("vec_id") == F.col("node"), "left").select("vec_id", F.coalesce("component", "vec_id").alias("cluster"))
-    border = edges.filter("border").groupBy("a").agg(F.max_by("b", F.struct("score", -F.col("b"))).alias("b"))
-    of_border = border.join(of_core, F.col("b") == F.col("vec_id")).select(F.col("a").alias("vec_id"), "cluster")
-    member = same.select("v", F.col("rep").alias("_rep")).join(of_core.unionByName(of_border), F.col("_rep") == F.col("vec_id")).select("v", "cluster")
-    every = units.join(member, "v", "left")
-    big = every.filter("cluster is not null").groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") >= min_cluster_size).select("cluster", F.lit(True).alias("_big"))
-    return every.join(big, "cluster", "left").select("vec_id", F.when(F.col("_big"), F.col("cluster")).otherwise(F.lit(-1)).cast("long").alias("cluster"))

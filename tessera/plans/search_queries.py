@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokenize
-from tessera.operators import search, speakers, vectors
+from tessera.operators import density, search, speakers, vectors
 from tessera.operators.chunks import chunk_documents
 from tessera.plans import base
 from tessera.plans.base import EPOCH, with_tables
@@ -302,7 +302,7 @@ def _(spark, d):
 
 @query("d6_density_cluster")
 def _(spark, d):
-    return speakers.density_cluster(_vectors(spark, d), radius=0.4, min_samples=3)
+    return density.density_cluster(_vectors(spark, d), min_samples=3, min_cluster_size=5)
 
 
 _CENTER = """p AS (SELECT vec_id, label, vec_id % 3 AS ns, generate_subscripts(e, 1) AS i, unnest(e) / sqrt(list_sum(list_transform(e, lambda y: y * y))) AS x FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)),

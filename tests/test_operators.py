@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.json_check import validate_json
 from tessera.functions.pricing import rates
 from tessera.functions.text import fold, parse_reply
-from tessera.operators import catalog, chunks, event_log, frames, graph, inference, memo, prefix, reports, search, speakers, transcripts, vectors
+from tessera.operators import catalog, chunks, density, event_log, frames, graph, inference, memo, prefix, reports, search, speakers, transcripts, vectors
 from tessera.operators.graph import connected_components
 from tessera.operators.prefix import running_sum
 from tessera.plans import base, pipelines
@@ -439,56 +439,106 @@ def test_reconcile_equals_greedy(spark):
         assert got == want, case
 
 
-def test_density_cluster(spark):
-    rng = np.random.default_rng(1)
-    centers = np.eye(8)[:3]
-    points = [(c * 100 + i, (centers[c] + rng.normal(0, 0.02, 8)).tolist()) for c in range(3) for i in range(40)] + [(900, (-np.eye(8)[6]).tolist())] + [(950 + i, np.eye(8)[5].tolist()) for i in range(3)]
-    df = spark.createDataFrame(points, "vec_id long, vector array<double>")
-    got = {r.vec_id: r.cluster for r in speakers.density_cluster(df, radius=0.9, min_samples=3, lists=4).collect()}
-    assert all(got[c * 100 + i] == c * 100 for c in range(3) for i in range(40)) and got[900] == -1 and {got[950 + i] for i in range(3)} == {950}
-
-
-def _dbscan(ids, rows, radius, min_samples, min_cluster_size=2):
-    """Brute force: cluster of each id, and how many are cores and borders."""
+def hdbscan_by_definition(ids, rows, min_samples, least):
+    """Cut the mutual reachability graph at every level from above, follow the clusters, choose by stability. Plain, quadratic."""
     v = np.array(rows, float)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    s = np.round(v @ v.T, 12)
-    near = s >= radius
-    np.fill_diagonal(near, True)
-    core = near.sum(axis=1) >= min_samples
-    cluster = {}
-    for k in np.argsort(ids):
-        if not core[k] or k in cluster:
-            continue
-        todo = [k]
-        while todo:
-            x = todo.pop()
-            if x not in cluster:
-                cluster[x] = ids[k]
-                todo.extend(y for y in np.flatnonzero(near[x] & core) if y not in cluster)
-    border = {k: min(np.flatnonzero(near[k] & core), key=lambda c: (-s[k, c], ids[c])) for k in range(len(ids)) if not core[k] and (near[k] & core).any()}
-    cluster |= {k: cluster[c] for k, c in border.items()}
-    sizes = Counter(cluster.values())
-    return {ids[k]: cluster[k] if k in cluster and sizes[cluster[k]] >= min_cluster_size else -1 for k in range(len(ids))}, int(core.sum()), len(border)
-
-
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
-def test_density_cluster_query_equals_brute_force(spark, sf):
-    rows = sorted(tuple(r) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").collect())
-    want, cores, borders = _dbscan([r[0] for r in rows], [r[1] for r in rows], 0.4, 3)
-    got = {r.vec_id: r.cluster for r in QUERIES["d6_density_cluster"](spark, f"/root/testdata/{sf}").collect()}
-    assert got == want and cores and borders and len(set(want.values())) > 2
-
-
-def test_density_cluster_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(speakers, "BLOCK", 16)
+    d = np.round(np.sqrt(np.maximum(2 - 2 * (v @ v.T), 0)), 9)
+    for a in range(len(v)):
+        d[a, (v == v[a]).all(axis=1)] = 0
+    core = np.sort(d, axis=1)[:, min(min_samples, len(v) - 1)]  # the first is the vector itself
+    reach = np.maximum(np.maximum(d, core[:, None]), core[None, :])
+
+    def parts(members, below):
+        left, out = set(members), []
+        while left:
+            todo, seen = [left.pop()], set()
+            while todo:
+                x = todo.pop()
+                seen.add(x)
+                near = {y for y in left if reach[x, y] < below}
+                left -= near
+                todo.extend(near)
+            out.append(frozenset(seen))
+        return out
+
+    def longest_edge(members):
+        """Of a minimum spanning tree: the level at which they fall apart."""
+        members = sorted(members)
+        best, inside, most = {m: reach[members[0], m] for m in members[1:]}, [members[0]], 0.0
+        while best:
+            k = min(best, key=best.get)
+            most = max(most, best.pop(k))
+            for m in best:
+                best[m] = min(best[m], reach[k, m])
+            inside.append(k)
+        return most
+
+    def cluster(members, birth):
+        """(stability, chosen clusters) of a cluster that began at rate ``birth``."""
+        stable, now = -len(members) * birth, set(members)
+        while len(now) > 1:
+            w = longest_edge(now)
+            rate = 1 / max(w, 1e-9)
+            if w == 0:
+                return stable + len(now) * rate, 0.0, []
+            big = [p for p in parts(now, w) if len(p) >= least]
+            if len(big) == 1:
+                stable += (len(now) - len(big[0])) * rate
+                now = set(big[0])
+                continue
+            stable += len(now) * rate
+            below, chosen = 0.0, []
+            for p in big:
+                own, under, inner = cluster(p, rate)
+                good = own >= under - 1e-9
+                below += own if good else under
+                chosen += [p] if good else inner
+            return stable, below, chosen
+        return stable, 0.0, []
+
+    chosen = cluster(range(len(v)), 0.0)[2] if len(v) >= least else []
+    label = dict.fromkeys(ids, -1)
+    for p in chosen:
+        label |= {ids[k]: min(ids[m] for m in p) for k in p}
+    return label
+
+
+def density_fixtures():
     rng = np.random.default_rng(5)
-    rows = rng.normal(0, 1, (150, 4)).tolist()
-    rows += rows[:20] + (np.eye(4)[[0] * 20] + rng.normal(0, 0.01, (20, 4))).tolist()
-    df = spark.createDataFrame([(k * 7 % 1000, r) for k, r in enumerate(rows)], "vec_id long, vector array<double>")
-    for radius, samples in ((0.97, 4), (0.99, 2), (0.6, 20)):
-        want, cores, borders = _dbscan([k * 7 % 1000 for k in range(len(rows))], rows, radius, samples)
-        assert cores and {r.vec_id: r.cluster for r in speakers.density_cluster(df, radius=radius, min_samples=samples, lists=6).collect()} == want
+    blob = lambda center, spread, n: center + rng.normal(0, spread, (n, len(center)))
+    e = np.eye(6)
+    uneven = np.concatenate([blob(e[0], 0.01, 30), blob(e[1], 0.1, 40), blob(e[1] + e[2], 0.03, 25), blob(e[4], 0.3, 30)])
+    nested = np.concatenate([blob(e[0], 0.02, 20), blob(e[0] + 0.15 * e[1], 0.02, 20), blob(e[3], 0.02, 20), blob(e[3] + 0.2 * e[4], 0.03, 20), rng.normal(0, 1, (15, 6))])
+    copies = np.concatenate([blob(e[0], 0.05, 20), np.repeat(e[5:], 7, axis=0), np.repeat(-e[2:3], 2, axis=0), blob(e[1], 0.05, 20)])
+    return {"uneven": uneven, "nested": nested, "copies": copies, "noise": rng.normal(0, 1, (60, 6))}
+
+
+@pytest.mark.parametrize("name", ["uneven", "nested", "copies", "noise"])
+def test_density_cluster_equals_its_definition(spark, monkeypatch, name):
+    """With many blocks, levels and neighbourhoods that leave the graph in pieces."""
+    rows = density_fixtures()[name]
+    ids = [k * 7 % 1000 for k in range(len(rows))]
+    df = spark.createDataFrame(list(zip(ids, rows.tolist(), strict=True)), "vec_id long, vector array<double>")
+    monkeypatch.setattr(density, "BLOCK", 40)
+    monkeypatch.setattr(density, "LEVEL_EDGES", 40)
+    samples, least = (2, 2) if name == "copies" else (3, 5)
+    want = hdbscan_by_definition(ids, rows, samples, least)
+    assert {r.vec_id: r.cluster for r in density.density_cluster(df, min_samples=samples, min_cluster_size=least).collect()} == want
+    assert name == "noise" or len(set(want.values())) > 2
+
+
+def test_density_cluster_query_equals_its_definition(spark):
+    rows = sorted(tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").collect())
+    got = {r.vec_id: r.cluster for r in QUERIES["d6_density_cluster"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == hdbscan_by_definition([r[0] for r in rows], [r[1] for r in rows], 3, 5) and len(set(got.values())) > 2
+
+
+def test_density_cluster_of_few(spark):
+    kind = "vec_id long, vector array<double>"
+    for rows in ([], [(1, [1.0, 0.0])], [(1, [1.0, 0.0]), (2, None), (3, [])], [(1, [1.0, 0.0]), (2, [1.0, 0.0])]):
+        got = density.density_cluster(spark.createDataFrame(rows, kind)).collect()
+        assert [r.cluster for r in got] == [-1] * len(rows)
 
 
 def test_ann_recall(spark):
