@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_blank, raw_words, snippet, tokenize
-from tessera.runtime import arrow_batches, join_few, partitions_for, pin
+from tessera.runtime import arrow_batches, join_few, partitions_for, pin, spread
 
 K1, B = 1.2, 0.75
 #: The floor of a term's weight where it stands in more than half of the documents.
@@ -52,7 +52,7 @@ def scoped(df: DataFrame) -> DataFrame:
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
-    return scoped(docs).select(F.struct(*NAMED).alias("doc"), tokenize(F.col("text")).alias("tokens"))
+    return spread(scoped(docs).select(F.struct(*NAMED).alias("doc"), "text")).select("doc", tokenize(F.col("text")).alias("tokens"))
 
 
 def _postings(tokens: DataFrame, whole: bool) -> DataFrame:

@@ -73,6 +73,16 @@ def partitions_for(df: DataFrame, each: int = 128 << 20, copies: float = 1.0) ->
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(-(-input_bytes(df) * copies // each)))
 
 
+def spread(df: DataFrame, least: int = 4 << 20) -> DataFrame:
+    """The table, dealt to all cores if its files are too small to be split into tasks of ``least`` bytes for each.
+
+    One small file with one row group is one task, whatever is computed from it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = input_bytes(df)
+    return df.repartition(cores) if 0 < size < cores * least else df
+
+
 def column(name: str) -> Column:
     """A column by its exact name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
