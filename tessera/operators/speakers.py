@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -12,7 +14,7 @@ from tessera.operators.transcripts import turn_filter
 from tessera.operators.vectors import cosine, l2_normalize
 from tessera.runtime import cut, pin
 
-#: Names that one text is scored against; more must be split by the caller.
+#: Names in one block that texts are scored against.
 MOST_NAMES = 10_000
 
 def intro_text(segments: DataFrame, seconds: float = 30.0) -> DataFrame:
@@ -58,14 +60,25 @@ def partial_ratio(a: str, b: str) -> float:
 def fuzzy_candidates(texts: DataFrame, names: DataFrame, best: int = 8) -> DataFrame:
     """``recording_id, speaker_id, place, alias, canonical, score``: the best aliases for each text.
 
-    names: alias, canonical; a speaker database, checked to be at most MOST_NAMES. Each
-    text is scored against all of them where it is; no pairs are shuffled.
+    names: alias, canonical; a speaker database. Each text is scored where it is, against
+    one block of at most about MOST_NAMES names after the other; no pairs are shuffled, and
+    the best of each block are ranked again.
     """
-    rows = names.select("alias", "canonical").orderBy("canonical", "alias").limit(MOST_NAMES + 1).collect()
-    if len(rows) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} names")
-    known = [(r["alias"], r["canonical"]) for r in rows]
-
+    names = names.select("alias", "canonical")
+    blocks = max(1, -(-names.count() // MOST_NAMES))
+    found = None
+    for block in range(blocks):
+        some = names if blocks == 1 else names.filter(F.pmod(F.xxhash64("alias", "canonical"), F.lit(blocks)) == block)
+        known = [(r["alias"], r["canonical"]) for r in some.orderBy("canonical", "alias").collect()]
+        scored = texts.select("recording_id", "speaker_id", F.explode(_best_names(known, best)("text")).alias("c")).select("recording_id", "speaker_id", "c.*")
+        found = scored if found is None else found.unionByName(scored)
+    if blocks > 1:
+        order = Window.partitionBy("recording_id", "speaker_id").orderBy(F.desc("score"), "canonical", "alias")
+        found = found.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < best)
+    return found.select("recording_id", "speaker_id", "place", "alias", "canonical", "score")
+
+
+def _best_names(known: list[tuple[str, str]], best: int) -> Callable[[str], Column]:
     @F.pandas_udf("array<struct<place:int,alias:string,canonical:string,score:double>>")
     def score(column: pd.Series) -> pd.Series:
         def top(text: str) -> list[dict]:
@@ -75,8 +88,7 @@ def fuzzy_candidates(texts: DataFrame, names: DataFrame, best: int = 8) -> DataF
 
         return column.map(top)
 
-    scored = texts.select("recording_id", "speaker_id", F.explode(score("text")).alias("c"))
-    return scored.select("recording_id", "speaker_id", "c.place", "c.alias", "c.canonical", "c.score")
+    return score
 
 
 def resolve_names(scored: DataFrame, threshold: float = 0.7, margin: float = 5.0) -> DataFrame:

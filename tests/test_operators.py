@@ -653,3 +653,15 @@ def test_incremental_apply_runs_each_missing_key_once(spark):
     answers, appended = memo.incremental_apply(asked, runs, spark.createDataFrame([("a",)], "id string"), run)
     assert {r.request_id: r.run_id for r in answers.collect()} == {1: "r1", 2: "new2", 3: "new2", 4: "r2", 5: "new5", 6: "new6"}
     assert sorted(seen) == [2, 5, 6] and sorted((r.run_id, r.op_name) for r in appended.collect()) == [("new2", "y"), ("new5", None), ("new6", None)]
+
+
+def test_fuzzy_candidates_in_blocks_of_names(spark, monkeypatch):
+    draw = random.Random(6)
+    names = [("".join(draw.choices("abcde ", k=draw.randint(3, 9))).strip() or "x", f"C{i % 7}") for i in range(60)] + [("ann", "C1"), ("ann", "C1"), ("Ann", "C0")]
+    texts = spark.createDataFrame([(i, f"S{i}", "".join(draw.choices("abcden ", k=80))) for i in range(12)] + [(99, "S", None)], "recording_id long, speaker_id string, text string")
+    table = spark.createDataFrame(names, "alias string, canonical string")
+    told = lambda: sorted(map(tuple, speakers.fuzzy_candidates(texts, table).collect()))
+    want = told()
+    assert len(want) == 13 * 8
+    monkeypatch.setattr(speakers, "MOST_NAMES", 10)
+    assert told() == want
