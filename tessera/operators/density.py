@@ -22,6 +22,8 @@ neighbour kept at both ends.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -34,6 +36,8 @@ from tessera.runtime import cut, pin
 
 #: Vectors in one block of the search.
 BLOCK = 2048
+#: Graphs up to so many edges (24 bytes each) are handled in one task, by a count; larger ones in rounds.
+ONE_TASK_ROWS = 2_000_000
 #: Edges of the tree that are merged in one level; more are split by weight.
 LEVEL_EDGES = 100_000
 #: Distances are told apart to nine places; equal vectors lie so far apart when rates are taken.
@@ -91,15 +95,71 @@ def neighbours(points: DataFrame, k: int, blocks: int) -> DataFrame:
     return found.withColumn("place", place).filter(F.col("place") <= k)
 
 
+def _is_small(rows: DataFrame) -> bool:
+    return rows.limit(ONE_TASK_ROWS + 1).count() <= ONE_TASK_ROWS
+
+
+def _in_one_task(rows: DataFrame, use: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``use`` on a table that a count has shown to be small."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(parts)
+        if held:
+            yield use(pd.concat(held, ignore_index=True))
+
+    return rows.repartition(1).mapInPandas(run, schema)
+
+
+class _Roots(dict):
+    """The root of each name; names not seen are their own. The lesser root stays."""
+
+    def find(self, k):
+        way = []
+        while (up := self.get(k, k)) != k:
+            way.append(k)
+            k = up
+        for x in way:
+            self[x] = k
+        return k
+
+    def tie(self, x, y) -> bool:
+        x, y = self.find(x), self.find(y)
+        self[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _components(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """``node, component``; a small table in one task."""
+    if not _is_small(edges):
+        return connected_components(edges, left, right)
+
+    def label(rows: pd.DataFrame) -> pd.DataFrame:
+        roots, x, y = _Roots(), rows["x"].tolist(), rows["y"].tolist()
+        for a, b in zip(x, y, strict=True):
+            roots.tie(a, b)
+        nodes = sorted({*x, *y})
+        return pd.DataFrame({"node": nodes, "component": [roots.find(k) for k in nodes]})
+
+    return pin(_in_one_task(edges.select(F.col(left).alias("x"), F.col(right).alias("y")), label, "node long, component long"), "components")
+
+
 def _forest(edges: DataFrame) -> DataFrame:
-    """Edges of a minimum spanning forest by Borůvka rounds. edges: a, b, w with a < b."""
+    """Edges of a minimum spanning forest by Borůvka rounds; of a small graph in one task. edges: a, b, w with a < b."""
+    edges = pin(edges, "graph")
+    if _is_small(edges):
+
+        def shortest_first(rows: pd.DataFrame) -> pd.DataFrame:
+            rows, roots = rows.sort_values(["w", "a", "b"]), _Roots()
+            return rows[[roots.tie(a, b) for a, b in zip(rows["a"].tolist(), rows["b"].tolist(), strict=True)]]
+
+        return _in_one_task(edges, shortest_first, "a long, b long, w double")
     left = cut(edges.select(F.col("a").alias("x"), F.col("b").alias("y"), F.struct("w", "a", "b").alias("e")))
     chosen = []
     while not left.isEmpty():
         out = left.union(left.select("y", "x", "e")).groupBy("x").agg(F.min(F.struct("e", "y")).alias("m"))
         best = cut(out.select("x", "m.y", "m.e.*"))
         chosen.append(best.select("a", "b", "w").distinct())
-        of = connected_components(best, "x", "y")
+        of = _components(best, "x", "y")
         of_x, of_y = of.toDF("x", "cx"), of.toDF("y", "cy")
         moved = left.join(of_x, "x").join(of_y, "y").filter("cx <> cy")
         # Of parallel edges the shortest is enough.
@@ -132,13 +192,13 @@ def _joined(points: DataFrame, tree: DataFrame, blocks: int) -> DataFrame:
         return pa.Table.from_pandas(f.sort_values(["w", "a", "b"]).drop_duplicates("x"), preserve_index=False)
 
     tree = pin(tree, "forest")
-    parts = connected_components(tree, "a", "b")
+    parts = _components(tree, "a", "b")
     placed = pin(points.join(parts, points["vec_id"] == parts["node"], "left").select("vec_id", "v", "core", F.coalesce("component", "vec_id").alias("comp")), "parts")
     while placed.select("comp").distinct().limit(2).count() > 1:
         found = _pairs_of_blocks(placed, blocks).groupBy("i", "j").applyInArrow(shortest, "x long, a long, b long, y long, w double")
         best = cut(found.groupBy("x").agg(F.min(F.struct("w", "a", "b", "y")).alias("m")).select("x", "m.*"))
         tree = tree.unionByName(best.select("a", "b", "w").distinct())
-        of = connected_components(best, "x", "y").toDF("comp", "new")
+        of = _components(best, "x", "y").toDF("comp", "new")
         placed = pin(placed.join(of, "comp").select("vec_id", "v", "core", F.col("new").alias("comp")), "parts")
     return tree
 
@@ -225,7 +285,7 @@ def _hierarchy(points: DataFrame, tree: DataFrame, least: int) -> DataFrame:
         now = left.filter(F.col("w") <= limit)
         if now.isEmpty():
             continue
-        of = pin(connected_components(now, "x", "y").toDF("node", "to"), "level")
+        of = pin(_components(now, "x", "y").toDF("node", "to"), "level")
         inside = now.join(of.toDF("x", "to"), "x")
         held = nodes.join(of, nodes["comp"] == of["node"]).select("to", *nodes.columns)
         events = pin(inside.groupBy("to").cogroup(held.groupBy("to")).applyInPandas(merge, _EVENTS), "merged")
@@ -240,6 +300,34 @@ def _hierarchy(points: DataFrame, tree: DataFrame, least: int) -> DataFrame:
     return told
 
 
+def _topmost(told: DataFrame) -> DataFrame:
+    """``entity, top``: the topmost good cluster that each entity is in."""
+    if _is_small(told):
+
+        def climb(rows: pd.DataFrame) -> pd.DataFrame:
+            up, good = dict(zip(rows["entity"], rows["parent"], strict=True)), set(rows["entity"][rows["good"]])
+            top: dict[str, str | None] = {}
+            for k in up:
+                way = []
+                while k in up and k not in top:
+                    way.append(k)
+                    k = up[k]
+                best = top.get(k)
+                for x in reversed(way):
+                    best = top[x] = best if best is not None else x if x in good else None
+            return pd.DataFrame({"entity": list(top), "top": pd.Series(list(top.values()), dtype=object)})
+
+        return pin(_in_one_task(told, climb, "entity string, top string"), "topmost")
+    # Doubling: ``up`` reaches twice as far each round, ``top`` is the topmost good cluster below it.
+    way = cut(told.select("entity", F.col("parent").alias("up"), F.when(F.col("good"), F.col("entity")).alias("top")))
+    while True:
+        above = way.select(F.col("entity").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"))
+        further = cut(way.join(above, "up", "left").select("entity", F.coalesce("_up", "up").alias("up"), F.coalesce("_top", "top").alias("top"), F.col("_up").isNotNull().alias("moved")))
+        way = further.drop("moved")
+        if further.filter("moved").isEmpty():
+            return way.select("entity", "top")
+
+
 def density_cluster(points: DataFrame, *, min_samples: int = 2, min_cluster_size: int = 2, neighbours_kept: int = 32) -> DataFrame:
     """``vec_id, cluster`` (-1: noise) of vectors, by direction; a cluster is named by its least ``vec_id``. See the module.
 
@@ -266,14 +354,7 @@ def density_cluster(points: DataFrame, *, min_samples: int = 2, min_cluster_size
     edges = edges.join(c.toDF("a", "ca"), "a").join(c.toDF("b", "cb"), "b").select("a", "b", F.greatest("d", "ca", "cb").alias("w"))
     tree = _joined(placed, _forest(edges), blocks)
     told = pin(_hierarchy(placed, tree, max(min_cluster_size, 2)), "hierarchy")
-    # Doubling: ``up`` reaches twice as far each round, ``top`` is the topmost good cluster below it.
-    way = cut(told.select("entity", F.col("parent").alias("up"), F.when(F.col("good"), F.col("entity")).alias("top")))
-    while True:
-        above = way.select(F.col("entity").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"))
-        further = cut(way.join(above, "up", "left").select("entity", F.coalesce("_up", "up").alias("up"), F.coalesce("_top", "top").alias("top"), F.col("_up").isNotNull().alias("moved")))
-        way = further.drop("moved")
-        if further.filter("moved").isEmpty():
-            break
+    way = _topmost(told)
     inside = way.filter("top is not null").select(F.col("entity").alias("_entity"), "top")
     member = same.join(inside, F.col("rep").cast("string") == F.col("_entity")).select("v", "top")
     every = units.join(member, "v")
