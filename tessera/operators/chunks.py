@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import split_units
 
+#: Separators that are spaces.
+_SPACES = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Zs")
 _CHUNK = "array<struct<text:string,char_start:long,char_end:long,chunk_index:int,unit_first:int,unit_last:int>>"
 
 
@@ -31,7 +36,7 @@ def chunk_rows(units: list[str], most: int, overlap: int) -> list[dict]:
     # Places in the text run ahead by the first unit of each chunk but the first.
     ends = sums[after[1:]] + np.cumsum(sizes[first]) - sizes[:1].sum()
     return [
-        {"text": t.strip(), "char_start": e - len(t) - 1, "char_end": e, "chunk_index": k, "unit_first": a, "unit_last": b - 1}
+        {"text": t.strip(_SPACES), "char_start": e - len(t) - 1, "char_end": e, "chunk_index": k, "unit_first": a, "unit_last": b - 1}
         for k, (t, e, a, b) in enumerate(zip(texts, ends.tolist(), first, after[1:], strict=True))
     ]
 
@@ -41,7 +46,8 @@ def pack_chunks(units: Column, max_chars: int = 2000, overlap_chars: int = 200)
 
     ``char_start`` and ``char_end`` run ahead by one unit at each boundary;
     ``unit_first`` and ``unit_last`` are exact. A unit is never split. Documents are
-    independent, so whole columns of unit lists pass in Arrow batches.
+    independent, so whole columns of unit lists pass in Arrow batches. Spaces (category Zs)
+    are taken off a chunk's ends, but no line ends or tabs that the end before it starts with.
     """
 
     @F.pandas_udf(_CHUNK)
