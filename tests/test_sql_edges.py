@@ -34,3 +34,10 @@ def test_titles_and_headings_keep_references_as_their_sql_does(spark, tmp_path,
     assert_same(QUERIES[name](spark, str(tmp_path)), ORACLES[name], str(tmp_path))
     decoded = {r.page_id: r.title for r in pages.parse_pages(spark.createDataFrame(rows, "page_id long, html string")).collect()}
     assert decoded[1] == 'quoted "words" <'
+
+
+def test_chunking_bounds_the_bytes_of_a_batch(spark, sf_dir):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    chunks.chunk_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert int(spark.conf.get(key)) == 8 << 20
