@@ -21,9 +21,11 @@ def _strings(v: Column, path: str) -> Column:
 
 
 def _parsed(windows: DataFrame) -> DataFrame:
-    v = F.try_parse_json("analysis")
+    # Exploded, because the planner then makes and parses a text once, and not again for every filter and field.
+    v = F.col("_v")
+    rows = windows.select("*", F.explode(F.array(F.try_parse_json("analysis"))).alias("_v"))
     whole = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    return windows.withColumn("_v", F.when(whole, v))
+    return rows.withColumn("_v", F.when(whole, v))
 
 
 def zeitgeist_values(windows: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from compare import assert_same, duck
 
-from tessera.operators import chunks
+from tessera.operators import chunks, reports
 from tessera.plans.registry import ORACLES, QUERIES
 from tessera.sources import pages
 
@@ -36,6 +36,14 @@ def test_titles_and_headings_keep_references_as_their_sql_does(spark, tmp_path,
     assert decoded[1] == 'quoted "words" <'
 
 
+def test_windows_are_parsed_once(spark):
+    rows = spark.range(3).selectExpr("'s' as session_id", "id as window_index", "'en' as speaker", """concat('{"topics":[" a ","b",3,""],"claims":[]}', left('', id)) as analysis""")
+    values = reports.zeitgeist_values(rows)
+    assert {(r.field, r.value, r.n) for r in values.collect()} == {("topics", "a", 3), ("topics", "b", 3), ("speakers", "en", 3)}
+    plan = values._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("VariantExpressionEvalUtils.parseJson") == 1
+
+
 def test_chunking_bounds_the_bytes_of_a_batch(spark, sf_dir):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     spark.conf.unset(key)
