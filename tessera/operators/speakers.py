@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -12,10 +13,13 @@ from pyspark.sql import functions as F
 
 from tessera.operators.transcripts import turn_filter
 from tessera.operators.vectors import cosine, l2_normalize
-from tessera.runtime import cut, pin
+from tessera.runtime import arrow_batches, cut, pin
 
 #: Names in one block that texts are scored against.
 MOST_NAMES = 10_000
+#: Texts and their characters that are scored at once, and windows in one step of it, which stay in a core's cache.
+TEXTS_AT_ONCE, CHARS_AT_ONCE, WINDOWS_AT_ONCE = 256, 1 << 18, 1 << 13
+
 
 def intro_text(segments: DataFrame, seconds: float = 30.0) -> DataFrame:
     """``recording_id, speaker_id, text``: what each named speaker says up to the segment that ends past the window."""
@@ -64,6 +68,7 @@ def fuzzy_candidates(texts: DataFrame, names: DataFrame, best: int = 8) -> DataF
     one block of at most about MOST_NAMES names after the other; no pairs are shuffled, and
     the best of each block are ranked again.
     """
+    arrow_batches(texts.sparkSession)
     names = names.select("alias", "canonical")
     blocks = max(1, -(-names.count() // MOST_NAMES))
     found = None
@@ -78,15 +83,88 @@ def fuzzy_candidates(texts: DataFrame, names: DataFrame, best: int = 8) -> DataF
     return found.select("recording_id", "speaker_id", "place", "alias", "canonical", "score")
 
 
+def partial_ratios(aliases: list[str], texts: list[str]) -> np.ndarray:
+    """``partial_ratio`` of each alias (rows) and each text (columns).
+
+    The texts lie in one array, with room between them for the longest alias, and a step
+    of the subsequence runs over all windows at once, a word of 8 to 64 bits each. Pairs
+    whose text is the shorter one, and aliases of over 64 characters, are scored one by one.
+    """
+    out = np.zeros((len(aliases), len(texts)))
+    size = np.array([len(t) for t in texts], np.int64)
+    by_length: dict[int, list[int]] = {}
+    for row, alias in enumerate(aliases):
+        m = len(alias)
+        for i in np.flatnonzero(size < m) if m <= 64 else range(len(texts)):
+            out[row, i] = partial_ratio(alias, texts[i])
+        if 0 < m <= 64:
+            by_length.setdefault(m, []).append(row)
+    room = max(by_length, default=1) - 1
+    ends = np.cumsum(size + room)  # of each text, behind the room before it
+    some = np.flatnonzero(size)
+    if not by_length or not len(some):
+        return out
+    codes = np.zeros(int(ends[-1]) + room, np.uint32)
+    inside = np.zeros(len(codes), bool)
+    for i in some.tolist():
+        codes[ends[i] - size[i] : ends[i]] = np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside[ends[i] - size[i] : ends[i]] = True
+    letters, place = np.unique(codes, return_inverse=True)
+    place[~inside] = len(letters)  # the room is in no alias
+    known = {chr(c): i for i, c in enumerate(letters.tolist())}
+    owner = np.repeat(np.arange(len(texts)), size + room)
+    at = np.arange(len(owner)) - (ends - size)[owner]
+    for m, rows in by_length.items():
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if m <= 8 * t().itemsize)
+        end = np.minimum(at + m, size[owner])
+        wide = np.maximum(end - np.maximum(at, 0), 0)
+        final = np.maximum(np.arange(len(owner)) - at + end - 1, 0)
+        ratio = (200.0 * np.arange(m + 1)[:, None] / (m + np.arange(m + 1))[None, :]).ravel()
+        whole = some[size[some] >= m]
+        for row in rows:
+            masks = np.zeros(len(letters) + 1, kind)
+            for i, ch in enumerate(aliases[row]):
+                if ch in known:
+                    masks[known[ch]] |= kind(1 << i)
+            hits = masks[place]
+            met = np.empty(len(owner), np.uint8)
+            for first in range(0, len(owner), WINDOWS_AT_ONCE):
+                last = min(first + WINDOWS_AT_ONCE, len(owner))
+                state = np.full(last - first, (1 << m) - 1, kind)
+                hit, less = np.empty_like(state), np.empty_like(state)
+                for k in range(m):
+                    np.bitwise_and(state, hits[first + k : last + k], out=hit)
+                    np.subtract(state, hit, out=less)
+                    np.add(state, hit, out=state)
+                    np.bitwise_or(state, less, out=state)
+                met[first:last] = m - np.bitwise_count(state & kind((1 << m) - 1))
+            # As for one pair, windows count whose last character is in the alias.
+            best = np.where((hits[final] != 0) & (wide > 0), ratio[met.astype(np.int64) * (m + 1) + wide], 0.0)
+            top = np.zeros(len(texts))
+            top[some] = np.maximum.reduceat(best, (ends - size - room)[some])
+            out[row, whole] = top[whole]
+    return out
+
+
 def _best_names(known: list[tuple[str, str]], best: int) -> Callable[[str], Column]:
+    low = [alias.lower() for alias, _ in known]
+
+    def ranked(texts: list[str]) -> list[list[dict]]:
+        scores = partial_ratios(low, texts)
+        order = np.argsort(-scores, axis=0, kind="stable")[:best]
+        return [[{"place": p, "alias": known[i][0], "canonical": known[i][1], "score": float(scores[i, k])} for p, i in enumerate(order[:, k].tolist())] for k in range(len(texts))]
+
     @F.pandas_udf("array<struct<place:int,alias:string,canonical:string,score:double>>")
     def score(column: pd.Series) -> pd.Series:
-        def top(text: str) -> list[dict]:
-            low = (text or "").lower()
-            ranked = sorted(((-partial_ratio(alias.lower(), low), i) for i, (alias, _) in enumerate(known)))[:best]
-            return [{"place": p, "alias": known[i][0], "canonical": known[i][1], "score": -s} for p, (s, i) in enumerate(ranked)]
-
-        return column.map(top)
+        out, held, chars = [], [], 0
+        for text in column:
+            text = (text or "").lower()
+            if held and (len(held) == TEXTS_AT_ONCE or chars + len(text) > CHARS_AT_ONCE):
+                out.extend(ranked(held))
+                held, chars = [], 0
+            held.append(text)
+            chars += len(text)
+        return pd.Series(out + (ranked(held) if held else []), index=column.index, dtype=object)
 
     return score
 

@@ -667,3 +667,11 @@ def test_fuzzy_candidates_in_blocks_of_names(spark, monkeypatch):
     assert len(want) == 13 * 8
     monkeypatch.setattr(speakers, "MOST_NAMES", 10)
     assert told() == want
+
+
+def test_names_are_scored_side_by_side_as_one_by_one():
+    draw = random.Random(11)
+    for _ in range(40):
+        aliases = ["".join(draw.choices("abcdé \x00", k=draw.choice([0, 1, 2, 5, 9, 20, 64, 70]))) for _ in range(6)]
+        texts = ["".join(draw.choices("abcdeé😀\x00 ", k=draw.choice([0, 1, 2, 10, 64, 65, 200]))) for _ in range(draw.choice([0, 1, 5]))]
+        assert speakers.partial_ratios(aliases, texts).tolist() == [[speakers.partial_ratio(a, t) for t in texts] for a in aliases]
