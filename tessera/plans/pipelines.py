@@ -26,7 +26,9 @@ def analyse(rows: DataFrame, text_col: str, prompt: str, schema_json: str, schem
 
 def analysis_full(segments: DataFrame, names: DataFrame, schema_json: str, schema: dict[str, Any], load: Callable, window: int = 5) -> tuple[DataFrame, DataFrame]:
     """(analysed windows, session reports): name the speakers, cut windows, ask the model, check, report."""
-    resolved = speakers.resolve_names(speakers.fuzzy_candidates(speakers.intro_text(segments), names))
+    # Texts are scored once: names are read from the candidates twice, and used twice.
+    candidates = pin(speakers.fuzzy_candidates(speakers.intro_text(segments), names), "candidates")
+    resolved = pin(speakers.resolve_names(candidates), "names")
     named = speakers.attach_names(segments, resolved)
     windows = transcripts.analysis_windows(named, window)
     analysed = analyse(windows, "text", "Analyse this window.", schema_json, schema, load)

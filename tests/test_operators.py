@@ -675,3 +675,20 @@ def test_names_are_scored_side_by_side_as_one_by_one():
         aliases = ["".join(draw.choices("abcdé \x00", k=draw.choice([0, 1, 2, 5, 9, 20, 64, 70]))) for _ in range(6)]
         texts = ["".join(draw.choices("abcdeé😀\x00 ", k=draw.choice([0, 1, 2, 10, 64, 65, 200]))) for _ in range(draw.choice([0, 1, 5]))]
         assert speakers.partial_ratios(aliases, texts).tolist() == [[speakers.partial_ratio(a, t) for t in texts] for a in aliases]
+
+
+def test_full_analysis_scores_each_text_once(spark, monkeypatch):
+    scored, plain = spark.sparkContext.accumulator(0), speakers.fuzzy_candidates
+
+    def counted(texts, names):
+        def told(score):
+            scored.add(1)
+            return score
+
+        return plain(texts, names).withColumn("score", F.udf(told, "double")("score"))
+
+    monkeypatch.setattr(speakers, "fuzzy_candidates", counted)
+    segments = spark.createDataFrame([(r, 0, 0.0, 5.0, "S", "my name is ann lee") for r in range(6)], SEGMENTS)
+    names = spark.createDataFrame([("ann lee", "A"), ("bob ray", "B")], "alias string, canonical string")
+    analysed, report = pipelines.analysis_full(segments, names, json.dumps(SCHEMA), SCHEMA, inference.fake_model(SCHEMA))
+    assert len(report.collect()) == 6 and analysed.count() == 6 and scored.value == 12
