@@ -13,6 +13,7 @@ What stands between white space in a query is one item; an item of several token
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 #: Tables of query items up to so many rows (some 100 bytes each) are broadcast.
 BROADCAST_ITEMS = 200_000
+#: Sums of documents and queries that a task holds at once.
+CELLS = 1 << 22
 NAMED = ["namespace", "doc_id", "kind"]
 
 
@@ -147,10 +150,14 @@ def _phrases(items: DataFrame, wanted: DataFrame) -> DataFrame:
     return whole.groupBy("namespace", "item", "doc_id", "kind", "len").agg(F.count("*").alias("tf")).select("namespace", "item", "doc_id", "kind", "tf", "len")
 
 
-def score(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame, *, kinds: list[str] | None = None, stop_words: list[str] | None = None, every: bool = False) -> DataFrame:
+def score(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame, *, kinds: list[str] | None = None, stop_words: list[str] | None = None, every: bool = False, best: int | None = None, by: tuple[str, ...] = ("bm25",)) -> DataFrame:
     """``query_id, doc_id, kind, bm25, matched, asked``: BM25 of each document that holds an item, or with ``every`` all of them; the number of items met and asked for.
 
-    Documents for all items are looked for among those of each query's rarest item.
+    With ``best``, documents that are not among a query's first so many by any of the
+    columns ``by`` may be left out, where a task sees it. Postings are dealt by document, and
+    a document is scored for all queries where its postings are: no pair of query and
+    document is shuffled. Beyond BROADCAST_ITEMS items the pairs are joined, and documents
+    for all items are looked for among those of each query's rarest item.
 
     Statistics are over all kinds, and are counted at query time, so appended postings
     need no rewrite; documents of other kinds than ``kinds`` are left out before they are scored.
@@ -172,6 +179,8 @@ def score(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame, *, kind
     idf = df.join(size, "namespace").select("namespace", "item", F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF)).alias("idf"), "avg_len")
     asked = items.groupBy("query_id").agg(F.count("*").alias("asked"))
     weighed = pin(items.select("namespace", "query_id", "item").join(idf, ["namespace", "item"]).join(asked, "query_id"), "weights")
+    if weighed.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS:
+        return _scored_where_they_are(found.filter(of_kind), weighed, every, best, by)
     if every:
         # A query with an item that no document holds has a weight too few, and no candidates.
         rarest = weighed.groupBy("query_id", "asked").agg(F.count("*").alias("held"), F.max_by(F.struct("namespace", "item"), F.struct("idf", "item")).alias("at")).filter("held = asked")
@@ -181,11 +190,141 @@ def score(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame, *, kind
         hits = join_few(found.filter(of_kind), weighed, ["namespace", "item"], BROADCAST_ITEMS).join(candidates, ["query_id", "doc_id", "kind"], "left_semi")
     else:
         hits = join_few(found.filter(of_kind), weighed, ["namespace", "item"], BROADCAST_ITEMS)
+    # The same weights as in _scored_where_they_are.
     tf = F.col("tf")
     w = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return hits.groupBy("query_id", "doc_id", "kind").agg(F.sum(w).alias("bm25"), F.count("*").alias("matched"), F.first("asked").alias("asked"))
 
 
+def _nine_places(scores: np.ndarray) -> np.ndarray:
+    """Scores in units of the ninth place, rounded as ``ranked`` rounds them: halves, as the number is printed, up."""
+    units = scores * 1e9
+    out = np.floor(units)
+    part = units - out
+    out += part > 0.5
+    for i in np.flatnonzero(np.abs(part - 0.5) < 1e-4):
+        out[i] = int(Decimal(repr(float(scores[i]))).scaleb(9).quantize(Decimal(1), ROUND_HALF_UP))
+    return out
+
+
+def _scored_where_they_are(found: DataFrame, weighed: DataFrame, every: bool, best: int | None, by: tuple[str, ...]) -> DataFrame:
+    """Scores of all queries, of each document in the task that its postings are dealt to. weighed: namespace, query_id, item, idf, avg_len, asked; few."""
+    spark, items, queries, met = found.sparkSession, {}, {}, []
+    for r in weighed.collect():
+        no = items.setdefault((r.namespace, r.item), (len(items), r.idf, r.avg_len))[0]
+        met.append((no, queries.setdefault(r.query_id, (len(queries), r.asked))[0]))
+    pairs = np.array(sorted(met), np.int64).reshape(-1, 2)
+    n, asked_of = len(queries), np.array([x for _, x in queries.values()], np.int64)
+    of, times = pairs[:, 1], np.bincount(pairs[:, 0], minlength=len(items))
+    start = np.cumsum(times) - times
+    idf, mean = (np.array([x[i] for x in items.values()], float) for i in (1, 2))
+
+    def pairs_of(doc: np.ndarray, item: np.ndarray, tf: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Documents, queries, scores and numbers of items met; documents ascend."""
+        w = idf[item] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean[item]))
+        each = max(CELLS // max(n, 1), 1)
+        for first in range(0, int(doc[-1]) + 1 if len(doc) else 0, each):
+            rows = slice(*np.searchsorted(doc, [first, first + each]))
+            count = times[item[rows]]
+            place = np.arange(count.sum()) + np.repeat(start[item[rows]] - np.cumsum(count) + count, count)
+            cell = np.repeat((doc[rows] - first) * n, count) + of[place]
+            got = np.bincount(cell)
+            at = np.flatnonzero(got)
+            total = np.bincount(cell, np.repeat(w[rows], count))[at]
+            got, d, q = got[at], at // n + first, at % n
+            whole = np.ones(len(at), bool)
+            if every:
+                # Rows that share an id are one document: an item counts once.
+                once = np.zeros(len(w), bool)
+                once[np.unique(doc * len(items) + item, return_index=True)[1]] = True
+                whole = (got == asked_of[q]) & (np.bincount(cell, np.repeat(once[rows], count))[at] == asked_of[q])
+            yield d[whole], q[whole], total[whole], got[whole]
+
+    def first_of(q: np.ndarray, values: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Whether a row is among the first of its query, the earlier document first; ``least`` gets the value of the last of them."""
+        order = np.lexsort((np.arange(len(q)), -values, q))
+        place = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+        least[q[order[place == best - 1]]] = values[order[place == best - 1]]
+        out = np.zeros(len(q), bool)
+        out[order[place < best]] = True
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = {c: np.full(n, -1.0) for c in by}
+        pool, held = [], None
+
+        def value(c: str, score: np.ndarray, got: np.ndarray) -> np.ndarray:
+            return _nine_places(score) if c == "bm25" else got.astype(float)
+
+        def batch_of(ids: pa.Array, kinds: pa.Array, q: np.ndarray, score: np.ndarray, got: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), ids, kinds, pa.array(score, pa.float64()), pa.array(got, pa.int64())], ["no", "doc_id", "kind", "bm25", "matched"])
+
+        def pruned() -> list[pa.Table]:
+            t = pa.concat_tables(pool).combine_chunks()
+            q, score, got = (t[c].to_numpy() for c in ("no", "bm25", "matched"))
+            kept = np.zeros(len(q), bool)
+            for c in by:
+                kept |= first_of(q, value(c, score, got), least[c])
+            return [t.filter(pa.array(kept))]
+
+        def scored(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal pool
+            t = t.combine_chunks()
+            ids, kinds = (t[c].chunk(0) for c in ("doc_id", "kind"))
+            first = _starts(t)
+            doc = np.cumsum(first) - 1
+            at = np.flatnonzero(first)
+            for d, q, score, got in pairs_of(doc, *(t[c].to_numpy() for c in ("no", "tf", "len"))):
+                if best is not None:
+                    may = np.zeros(len(q), bool)
+                    for c in by:
+                        may |= value(c, score, got) > least[c][q]
+                    d, q, score, got = d[may], q[may], score[may], got[may]
+                where = pa.array(at[d])
+                out = batch_of(ids.take(where), kinds.take(where), q, score, got)
+                if best is None:
+                    yield out
+                else:
+                    pool.append(pa.Table.from_batches([out]))
+                    if sum(x.num_rows for x in pool) > max(50_000, 4 * len(by) * best * n):
+                        pool = pruned()
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            if t.num_rows:
+                last = int(np.flatnonzero(_starts(t.combine_chunks()))[-1])  # the last document may go on
+                held = t.slice(last)
+                if last:
+                    yield from scored(t.slice(0, last))
+        if held is not None:
+            yield from scored(held)
+        if pool:
+            for batch in pruned()[0].to_batches():
+                yield batch
+
+    kind = {f.name: f.dataType.simpleString() for f in [*found.schema.fields, *weighed.schema.fields]}
+    numbered = pa.table({"namespace": [k for k, _ in items], "item": [k for _, k in items], "no": [no for no, _, _ in items.values()]})
+    numbered = spark.createDataFrame(numbered, f"namespace {kind['namespace']}, item {kind['item']}, no long")
+    dealt = join_few(found, numbered, ["namespace", "item"], BROADCAST_ITEMS).select("no", "doc_id", "kind", F.col("tf").cast("double").alias("tf"), F.col("len").cast("double").alias("len"))
+    dealt = dealt.repartition(partitions_for(found, 16 << 20), "doc_id", "kind").sortWithinPartitions("doc_id", "kind")
+    rows = dealt.mapInArrow(run, f"no long, doc_id {kind['doc_id']}, kind {kind['kind']}, bm25 double, matched long")
+    names = pa.table({"no": [no for no, _ in queries.values()], "query_id": list(queries), "asked": [asked for _, asked in queries.values()]})
+    names = spark.createDataFrame(names, f"no long, query_id {kind['query_id']}, asked long")
+    return rows.join(F.broadcast(names), "no").select("query_id", "doc_id", "kind", "bm25", "matched", "asked")
+
+
+def _starts(t: pa.Table) -> np.ndarray:
+    """Whether a row's document is another than that of the row before."""
+    out = np.zeros(t.num_rows, bool)
+    out[:1] = True
+    for c in ("doc_id", "kind"):
+        code = t[c].combine_chunks().dictionary_encode("encode")
+        code = code.chunk(0) if isinstance(code, pa.ChunkedArray) else code
+        out[1:] |= np.diff(code.indices.to_numpy(zero_copy_only=False)) != 0
+    return out
+
+
 def ranked(scored: DataFrame, top_k: int) -> DataFrame:
     """Rank by the score at nine places and then by id, so that sums in another order rank alike."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "doc_id", "kind")
@@ -195,12 +334,12 @@ def ranked(scored: DataFrame, top_k: int) -> DataFrame:
 
 def bm25_topk(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame, top_k: int = 10, kinds: list[str] | None = None) -> DataFrame:
     """The best documents for any of a query's items."""
-    return ranked(score(queries, postings, doc_stats, kinds=kinds), top_k)
+    return ranked(score(queries, postings, doc_stats, kinds=kinds, best=top_k), top_k)
 
 
 def match_all_terms(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame, stop_words: list[str], top_k: int = 10) -> DataFrame:
     """Documents that hold all of a query's items but stop words, ranked by BM25."""
-    return ranked(score(queries, postings, doc_stats, stop_words=stop_words, every=True).filter("matched = asked"), top_k)
+    return ranked(score(queries, postings, doc_stats, stop_words=stop_words, every=True, best=top_k).filter("matched = asked"), top_k)
 
 
 def phrase_matches(phrases: DataFrame, postings: DataFrame) -> DataFrame:

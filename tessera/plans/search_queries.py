@@ -144,7 +144,7 @@ SELECT query_id, rank::INTEGER AS rank, id, round(score, 6) AS score, 's' || CAS
 
 @query("x6_rrf_fuse", _INDEX + _SCORE.format(qt="qt") + _LISTS.format(top=_TOP.format("sc").replace("rank <= 10", "rank <= 30")))
 def _(spark, d):
-    scored = pin(search.score(_asked(spark, d), *_index(spark, d)), "scored")
+    scored = pin(search.score(_asked(spark, d), *_index(spark, d), best=30, by=("bm25", "matched")), "scored")
     a = search.ranked(scored, 30).select("query_id", F.col("doc_id").alias("id"), "rank", F.lit("s0").alias("snippet"))
     order = Window.partitionBy("query_id").orderBy(F.desc("matched"), "doc_id", "kind")
     b = scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 30").select("query_id", F.col("doc_id").alias("id"), "rank", F.lit("s1").alias("snippet"))

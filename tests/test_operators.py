@@ -692,3 +692,37 @@ def test_full_analysis_scores_each_text_once(spark, monkeypatch):
     names = spark.createDataFrame([("ann lee", "A"), ("bob ray", "B")], "alias string, canonical string")
     analysed, report = pipelines.analysis_full(segments, names, json.dumps(SCHEMA), SCHEMA, inference.fake_model(SCHEMA))
     assert len(report.collect()) == 6 and analysed.count() == 6 and scored.value == 12
+
+
+def test_scores_where_postings_are_equal_joined_ones(spark, monkeypatch):
+    draw = random.Random(7)
+    texts = [" ".join(draw.choices("abcdefgh", k=draw.randint(0, 9))) for _ in range(60)]
+    rows = [(f"n{i % 2}", i, draw.choice(["document", "webpage", None]), t) for i, t in enumerate([*texts, *texts[:20], *["a b"] * 30])]
+    table = spark.createDataFrame([*rows, *rows[:3]], "namespace string, doc_id int, kind string, text string")
+    asked = spark.createDataFrame([(f"n{q % 2}", q, t) for q, t in enumerate(["a b", "c", "a-b d", "e f zz", "", "g a b c d", "a b"])], "namespace string, query_id int, text string")
+    postings, stats = search.build_index(table)
+    told = lambda df: sorted(((r.query_id, r.doc_id, r.kind or "", round(r.bm25, 9), r.matched, r.asked) for r in df.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        for more in ({}, {"every": True, "stop_words": ["c"], "kinds": ["document", "webpage"]}):
+            got = search.score(asked, postings, stats, **more)
+            few = search.score(asked, postings, stats, best=2, by=("bm25", "matched"), **more)
+            assert got.schema["query_id"].dataType.simpleString() == "int"
+            top, less = told(search.ranked(got, 2).join(got.drop("kind", "bm25"), ["query_id", "doc_id"])), told(search.ranked(few, 2).join(few.drop("kind", "bm25"), ["query_id", "doc_id"]))
+            assert top == less and few.count() < got.count()
+            monkeypatch.setattr(search, "CELLS", 1)
+            cells = told(search.score(asked, postings, stats, **more))
+            assert told(got) == cells
+            monkeypatch.setattr(search, "BROADCAST_ITEMS", 0)
+            joined = search.score(asked, postings, stats, **more)
+            assert told(joined.filter("matched = asked") if "every" in more else joined) == cells and cells
+            monkeypatch.undo()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_scores_are_rounded_as_spark_rounds_them(spark):
+    draw = random.Random(3)
+    values = [draw.random() * 30 for _ in range(300)] + [k * 1e-9 + 5e-10 for k in range(300)] + [1.0000000005, 2.5]
+    want = [r.r for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(F.round("v", 9).alias("r")).collect()]
+    assert (search._nine_places(np.array(values)) / 1e9).round(9).tolist() == want
