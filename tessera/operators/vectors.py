@@ -140,12 +140,47 @@ def nearest_lists(vector: Column, centroids: np.ndarray, n: int) -> Column:
 
 
 def ann_topk(queries: DataFrame, vectors: DataFrame, top_k: int = 10, lists: int = 100, nprobe: int = 40) -> DataFrame:
-    """``query_id, rank, vec_id, score`` from the ``nprobe`` nearest cells of each query only."""
+    """``query_id, rank, vec_id, score`` from the ``nprobe`` nearest cells of each query only.
+
+    Blocks of a cell's queries meet blocks of its vectors; a task multiplies two blocks and
+    returns the best of each query only.
+    """
     centroids = coarse_centroids(vectors, lists)
     cells = vectors.select("vec_id", l2_normalize(F.col("vector")).alias("v"), F.get(nearest_lists(F.col("vector"), centroids, 1), F.lit(0)).alias("cell"))
-    probes = queries.select(F.col("vec_id").alias("query_id"), l2_normalize(F.col("vector")).alias("q"), F.explode(nearest_lists(F.col("vector"), centroids, nprobe)).alias("cell"))
-    met = probes.join(cells, "cell").filter("query_id <> vec_id")
-    return _top(met.select("query_id", "vec_id", dot(F.col("q"), F.col("v")).alias("score")), top_k)
+    probes = queries.select(F.col("vec_id").alias("asked"), l2_normalize(F.col("vector")).alias("w"), F.explode(nearest_lists(F.col("vector"), centroids, nprobe)).alias("cell"))
+    # Cells are of about one size; a block of a larger cell is a task of its own.
+    v_blocks = max(1, -(-vectors.count() // (lists * VECTOR_BLOCK)))
+    q_blocks = max(1, -(-queries.count() * nprobe // (lists * VECTOR_BLOCK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = probes.withColumn("qb", F.pmod(F.xxhash64("asked"), F.lit(q_blocks))).withColumn("vb", every(v_blocks))
+    right = cells.withColumn("vb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(v_blocks))).withColumn("qb", every(q_blocks))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        out = [none]
+        if a.num_rows and b.num_rows:
+            ids, asked = b["vec_id"].to_numpy(), a["asked"].to_numpy()
+            known = b["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            wanted = a["w"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(asked), -1)
+            for at in range(0, len(asked), QUERY_BLOCK):
+                who = asked[at : at + QUERY_BLOCK]
+                scores = wanted[at : at + QUERY_BLOCK] @ known.T
+                scores[who[:, None] == ids[None, :]] = -np.inf
+                kept = scores > -np.inf
+                if len(ids) > top_k:
+                    # Down to the last kept, and what is as near at twelve places, which ids settle.
+                    kept &= scores >= np.partition(scores, len(ids) - top_k, axis=1)[:, len(ids) - top_k, None] - 2e-12
+                r, c = np.nonzero(kept)
+                s = np.round(scores[r, c], 12)
+                order = np.lexsort((ids[c], -s, r))
+                r, c = r[order], c[order]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                r, c = r[place < top_k], c[place < top_k]
+                out.append((who[r], ids[c], scores[r, c]))
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    keys = ["cell", "qb", "vb"]
+    return _top(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double"), top_k)
 
 
 def zero_shot_scores(items: DataFrame, labels: DataFrame, scale: float = 100.0) -> DataFrame:

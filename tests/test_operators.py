@@ -726,3 +726,9 @@ def test_scores_are_rounded_as_spark_rounds_them(spark):
     values = [draw.random() * 30 for _ in range(300)] + [k * 1e-9 + 5e-10 for k in range(300)] + [1.0000000005, 2.5]
     want = [r.r for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(F.round("v", 9).alias("r")).collect()]
     assert (search._nine_places(np.array(values)) / 1e9).round(9).tolist() == want
+
+
+def test_ann_search_joins_no_pairs(spark):
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+    plan = vectors.ann_topk(v.filter("vec_id % 20 = 0"), v)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "Join" not in plan
