@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import with_fields
+from tessera.runtime import arrow_batches, with_fields
 
 Model = Callable[[list[str]], list[str]]
 
@@ -23,6 +23,7 @@ def model_stage(df: DataFrame, prompt_col: str, load: Callable[[], Model], batch
     and a row that fails carries its error instead of stopping the job. Write the
     result before using it twice: models are paid by the call.
     """
+    arrow_batches(df.sparkSession)
     place = df.columns.index(prompt_col)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
