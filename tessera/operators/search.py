@@ -31,6 +31,10 @@ LEAST_IDF = 1e-6
 BROADCAST_ITEMS = 200_000
 #: Sums of documents and queries that a task holds at once.
 CELLS = 1 << 22
+#: Tokens that become postings at once.
+TOKENS_AT_ONCE = 1 << 17
+#: Bytes of a pinned index that go to one part of a written one.
+INDEX_PART = 16 << 20
 NAMED = ["namespace", "doc_id", "kind"]
 
 
@@ -63,27 +67,36 @@ def _postings(tokens: DataFrame, whole: bool) -> DataFrame:
     arrow_batches(tokens.sparkSession)
     kind = tokens.schema["doc"].dataType.simpleString()
 
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(1)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        words = lists.flatten().dictionary_encode()
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.lexsort((code, owner))  # places stay in order
+        owner, code, place = owner[order], code[order], place[order]
+        first = np.flatnonzero(np.diff(owner, prepend=-1) | np.diff(code, prepend=-1))
+        bounds = np.append(first, len(owner))
+        docs, terms = owner[first], words.dictionary.take(pa.array(code[first]))
+        positions = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(place, pa.int32()))
+        tf = np.diff(bounds)
+        if whole:
+            every = np.arange(len(sizes))
+            docs, tf = np.concatenate([docs, every]), np.concatenate([tf, np.zeros(len(every), int)])
+            terms = pa.concat_arrays([terms.cast(pa.string()), pa.nulls(len(every), pa.string())])
+            positions = pa.concat_arrays([positions, pa.nulls(len(every), positions.type)])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs)), terms, pa.array(tf, pa.int64()), positions, pa.array(sizes[docs], pa.int64())], ["doc", "term", "tf", "positions", "len"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-            words = lists.flatten().dictionary_encode()
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.lexsort((code, owner))  # places stay in order
-            owner, code, place = owner[order], code[order], place[order]
-            first = np.flatnonzero(np.diff(owner, prepend=-1) | np.diff(code, prepend=-1))
-            bounds = np.append(first, len(owner))
-            docs, terms = owner[first], words.dictionary.take(pa.array(code[first]))
-            positions = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(place, pa.int32()))
-            tf = np.diff(bounds)
-            if whole:
-                every = np.arange(len(sizes))
-                docs, tf = np.concatenate([docs, every]), np.concatenate([tf, np.zeros(len(every), int)])
-                terms = pa.concat_arrays([terms.cast(pa.string()), pa.nulls(len(every), pa.string())])
-                positions = pa.concat_arrays([positions, pa.nulls(len(every), positions.type)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs)), terms, pa.array(tf, pa.int64()), positions, pa.array(sizes[docs], pa.int64())], ["doc", "term", "tf", "positions", "len"])
+            # Bounded arrays, whatever a batch holds; a longer document is a part of its own.
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(ends):
+                upto = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOKENS_AT_ONCE, "right")), at + 1)
+                yield part(batch.slice(at, upto - at))
+                at = upto
 
     rows = tokens.mapInArrow(run, f"doc {kind}, term string, tf long, positions array<int>, len long")
     return rows.select("doc.namespace", "term", "doc.doc_id", "doc.kind", "tf", "positions", "len")
@@ -109,7 +122,7 @@ def write_index(docs: DataFrame, path: str) -> None:
     """Postings and statistics as files; postings are dealt by ranges of terms (and documents, for a common term), so that a query's terms are found by the files' bounds."""
     order = ["namespace", "term", "doc_id"]
     postings, stats = build_index(docs)
-    postings.repartitionByRange(partitions_for(docs), *order).sortWithinPartitions(*order).write.parquet(f"{path}/postings")
+    postings.repartitionByRange(partitions_for(postings, INDEX_PART), *order).sortWithinPartitions(*order).write.parquet(f"{path}/postings")
     stats.write.parquet(f"{path}/doc_stats")
 
 

@@ -732,3 +732,22 @@ def test_ann_search_joins_no_pairs(spark):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
     plan = vectors.ann_topk(v.filter("vec_id % 20 = 0"), v)._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" in plan and "Join" not in plan
+
+
+def test_postings_are_made_and_written_in_bounded_parts(spark, tmp_path, monkeypatch):
+    table = spark.createDataFrame([(i, "document", "a b a c " * (i % 4)) for i in range(30)] + [(99, "document", None)], "doc_id long, kind string, text string").coalesce(1)
+    told = lambda: sorted((r.doc_id, r.term, r.tf, tuple(r.positions), r.len) for r in search.build_postings(table).collect())
+    want = told()
+    monkeypatch.setattr(search, "TOKENS_AT_ONCE", 5)
+    assert told() == want and len(want) == 3 * 22
+    monkeypatch.setattr(search, "INDEX_PART", 256)
+    search.write_index(table, str(tmp_path / "index"))
+    assert len(list((tmp_path / "index/postings").glob("part-*"))) > 4
+    assert spark.read.parquet(str(tmp_path / "index/postings")).count() == len(want)
+
+
+def test_model_stage_bounds_its_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    inference.model_stage(spark.createDataFrame([("x",)], "p string"), "p", inference.fake_model(SCHEMA))
+    assert spark.conf.get(key) == str(8 << 20)
