@@ -15,14 +15,15 @@
    stable as what they would split into; the root is none.
 
 Equal vectors are one vector for the search, with their number as its weight. Work: the search of
-neighbours is a product of all blocks; all else grows with the graph, but for the rounds
-that join its components. An edge that the graph lacks is longer than the distance of the last
-neighbour kept at both ends.
+neighbours is a product of all vectors, which pass by blocks of them, so that only the nearest so
+far are held and given; all else grows with the graph, but for the rounds that join its components.
+An edge that the graph lacks is longer than the distance of the last neighbour kept at both ends.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -34,8 +35,10 @@ from tessera.operators.graph import connected_components
 from tessera.operators.vectors import l2_normalize
 from tessera.runtime import cut, pin
 
-#: Vectors in one block of the search.
-BLOCK = 2048
+#: Vectors that one task of the search holds while others pass by, and the bytes they may take.
+BLOCK, BLOCK_BYTES = 16_384, 64 << 20
+#: Rows and columns of a product of vectors.
+STEP_ROWS, STEP_COLUMNS = 512, 2048
 #: Graphs up to so many edges (24 bytes each) are handled in one task, by a count; larger ones in rounds.
 ONE_TASK_ROWS = 2_000_000
 #: Edges of the tree that are merged in one level; more are split by weight.
@@ -44,55 +47,130 @@ LEVEL_EDGES = 100_000
 LEAST_DISTANCE = 1e-9
 
 
-def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.round(np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0)), 9)
-
-
-def _pairs_of_blocks(points: DataFrame, blocks: int) -> DataFrame:
-    """Each point in its block ``own``, once for each pair of blocks ``i <= j`` that it is in."""
-    dealt = points.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
-
-
-def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    own = t["own"].to_numpy()
-    return np.flatnonzero(own == t["i"][0].as_py()), np.flatnonzero(own == t["j"][0].as_py())
-
-
-def neighbours(points: DataFrame, k: int, blocks: int) -> DataFrame:
-    """``a, b, d``: the k nearest other points of each (ties: the least). points: vec_id, v (unit vectors)."""
-
-    def near(t: pa.Table) -> pa.Table:
-        left, right = _sides(t)
-        ids, v = t["vec_id"].to_numpy(), _matrix(t["v"], t.num_rows)
-        out = []
-        for rows, columns in ((left, right), (right, left))[: 1 if (t["i"][0] == t["j"][0]) else 2]:
-            for at in range(0, len(rows), 512):
-                some = rows[at : at + 512]
-                d = _distances(v[some], v[columns])
-                d[ids[some][:, None] == ids[columns][None, :]] = np.inf
-                if d.shape[1] > k:
-                    # Up to the k-th distance, so that ties are settled by id.
-                    kept = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-                else:
-                    kept = np.isfinite(d)
-                r, c = np.nonzero(kept & np.isfinite(d))
-                order = np.lexsort((ids[columns[c]], d[r, c], r))
-                r, c = r[order], c[order]
-                place = np.arange(len(r)) - np.searchsorted(r, r)
-                r, c = r[place < k], c[place < k]
-                out.append((ids[some[r]], ids[columns[c]], d[r, c]))
-        a, b, d = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        return pa.table({"a": a, "b": b, "d": d})
-
-    found = _pairs_of_blocks(points, blocks).groupBy("i", "j").applyInArrow(near, "a long, b long, d double")
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _distances(products: np.ndarray) -> np.ndarray:
+    return np.round(np.sqrt(np.maximum(2 - 2 * products, 0)), 9)
+
+
+def _least_product(d: np.ndarray, dims: int) -> np.ndarray:
+    """What the product of two vectors is at least, if their distance is at most ``d``."""
+    return 1 - np.maximum(d, 0) ** 2 / 2 - (dims + 8) * 2.0**-52
+
+
+def _blocks(asked: int, dims: int, cores: int) -> tuple[int, int]:
+    """Blocks of so many vectors that ask, and slices of those that pass by: more than one slice only where the blocks are fewer than the cores."""
+    blocks = max(1, -(-asked // max(1, min(BLOCK, BLOCK_BYTES // (8 * max(dims, 1))))))
+    return blocks, min(blocks, -(-cores // blocks))
+
+
+def _passing(asked: DataFrame, points: DataFrame, blocks: int, slices: int):
+    """Groups of a block of ``asked`` (side 0, first) and a slice of ``points`` (side 1, by id). Both: vec_id and the same other columns."""
+    dealt = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = asked.withColumn("side", F.lit(0)).withColumn("i", dealt(blocks, 0)).withColumn("j", every(slices))
+    passing = points.withColumn("side", F.lit(1)).withColumn("j", dealt(slices, 1)).withColumn("i", every(blocks))
+    # Groups are few and large: among more partitions they seldom share one.
+    groups = blocks * slices
+    return held.unionByName(passing).repartition(max(2 * groups, min(16 * groups, 1024)), "i", "j").sortWithinPartitions("i", "j", "side", "vec_id").groupBy("i", "j")
+
+
+def _asked_first(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table | None, pa.RecordBatch]]:
+    """The rows that ask, as one table, with the first batch of those that pass by; the others alone. Nothing where none asks or passes."""
+    held: list[pa.RecordBatch] = []
+    started = False
+    for t in batches:
+        side = t.column("side").to_numpy()
+        n = int(np.count_nonzero(side == 0))
+        if side[:n].any() or (n and started):
+            raise RuntimeError("rows that ask must come first")
+        if n:
+            held.append(t.slice(0, n))
+        if held and n < t.num_rows:
+            yield (None if started else pa.Table.from_batches(held).combine_chunks()), t.slice(n)
+            started = True
+
+
+class _Nearest:
+    """The k nearest of each query among the rows that have passed, ties to the least id; rows pass in the order of their ids."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.asked, self.q, self.k = ids, q, k
+        self.short = q.astype(np.float32)
+        self.ids, self.d = np.zeros((len(q), k), np.int64), np.full((len(q), k), np.inf)
+
+    def _candidates(self, rows: slice, v: np.ndarray, short: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns of pairs whose product reaches the floor of the row, which is raised where many do."""
+        dims = v.shape[1]
+        # In single precision first, lower by what that can be off.
+        if np.isfinite(floor).all():
+            close = np.flatnonzero(self.short[rows] @ short.T >= (floor - (dims + 8) * 2.0**-23).astype(np.float32))
+            if len(close) * 32 <= len(floor) * len(v):
+                return np.divmod(close, len(v))
+        products = self.q[rows] @ v.T
+        if len(v) > self.k + 1:
+            # One more than k, as the row itself may be among them; what rounds to the same distance stays.
+            last = -np.partition(-products, self.k, axis=1)[:, self.k, None] - 2e-9 - (dims + 8) * 2.0**-52
+            np.fmax(floor, last, out=floor)
+        return np.divmod(np.flatnonzero(products >= floor), len(v))
+
+    def add(self, ids: np.ndarray, v: np.ndarray) -> None:
+        short, k = v.astype(np.float32), self.k
+        for at in range(0, len(self.q), STEP_ROWS):
+            rows = slice(at, at + STEP_ROWS)
+            q, asked, held = self.q[rows], self.asked[rows], self.d[rows, -1]
+            # Only what is nearer than the last one held comes in: equal ones have greater ids.
+            floor = np.where(np.isfinite(held), _least_product(held - 5e-10, v.shape[1]), -np.inf)[:, None]
+            found = []
+            for start in range(0, len(v), STEP_COLUMNS):
+                r, c = self._candidates(rows, v[start : start + STEP_COLUMNS], short[start : start + STEP_COLUMNS], floor)
+                c += start
+                other = asked[r] != ids[c]
+                r, c = r[other], c[other]
+                for some in range(0, len(r), 65_536):
+                    x, y = r[some : some + 65_536], c[some : some + 65_536]
+                    d = _distances(np.einsum("ij,ij->i", q[x], v[y]))
+                    fit = np.isfinite(d) & (d < held[x])
+                    found.append((x[fit], ids[y[fit]], d[fit]))
+            r, b, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ([], [], [])
+            if len(r):
+                touched, at_row = np.unique(r, return_inverse=True)
+                place = np.repeat(np.arange(len(touched)), k)
+                r = np.concatenate([place, at_row])
+                b = np.concatenate([self.ids[rows][touched].ravel(), b])
+                d = np.concatenate([self.d[rows][touched].ravel(), d])
+                order = np.lexsort((b, d, r))
+                r = r[order]
+                best = order[np.arange(len(r)) - np.searchsorted(r, r) < k]
+                self.ids[rows][touched] = b[best].reshape(-1, k)
+                self.d[rows][touched] = d[best].reshape(-1, k)
+
+    def found(self) -> dict[str, np.ndarray]:
+        r, c = np.nonzero(np.isfinite(self.d))
+        return {"a": self.asked[r], "b": self.ids[r, c], "d": self.d[r, c]}
+
+
+def nearest_in_slices(points: DataFrame, k: int, blocks: int, slices: int) -> DataFrame:
+    """``a, b, d``: the k nearest other points of each in each slice (ties: the least). points: vec_id, v (unit vectors)."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for asked, t in _asked_first(batches):
+            if asked is not None:
+                best = _Nearest(asked["vec_id"].to_numpy(), _matrix(asked["v"].combine_chunks()), k)
+            best.add(t.column("vec_id").to_numpy(), _matrix(t.column("v")))
+        if best is not None:
+            yield pa.record_batch(best.found())
+
+    return _passing(points.select("vec_id", "v"), points.select("vec_id", "v"), blocks, slices).applyInArrow(near, "a long, b long, d double")
+
+
+def neighbours(points: DataFrame, k: int, blocks: int, slices: int) -> DataFrame:
+    """``a, b, d, place``: the k nearest other points of each (ties: the least), nearest first. points: vec_id, v (unit vectors)."""
     place = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-    return found.withColumn("place", place).filter(F.col("place") <= k)
+    return nearest_in_slices(points, k, blocks, slices).withColumn("place", place).filter(F.col("place") <= k)
 
 
 def _is_small(rows: DataFrame) -> bool:
@@ -143,15 +221,28 @@ def _components(edges: DataFrame, left: str, right: str) -> DataFrame:
     return pin(_in_one_task(edges.select(F.col(left).alias("x"), F.col(right).alias("y")), label, "node long, component long"), "components")
 
 
-def _forest(edges: DataFrame) -> DataFrame:
-    """Edges of a minimum spanning forest by Borůvka rounds; of a small graph in one task. edges: a, b, w with a < b."""
-    edges = pin(edges, "graph")
-    if _is_small(edges):
+def _forest(edges: DataFrame, nodes: int) -> DataFrame:
+    """Edges of a minimum spanning forest by Borůvka rounds; of a small graph in one task. edges: a, b, w with a < b.
+
+    An edge that the forest of some edges leaves out is in no forest of all of them, so a graph
+    with many edges a node is thinned part by part first.
+    """
 
-        def shortest_first(rows: pd.DataFrame) -> pd.DataFrame:
-            rows, roots = rows.sort_values(["w", "a", "b"]), _Roots()
-            return rows[[roots.tie(a, b) for a, b in zip(rows["a"].tolist(), rows["b"].tolist(), strict=True)]]
+    def shortest_first(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, roots = rows.sort_values(["w", "a", "b"]), _Roots()
+        return rows[[roots.tie(a, b) for a, b in zip(rows["a"].tolist(), rows["b"].tolist(), strict=True)]]
 
+    def thin(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(parts)
+        if held:
+            yield shortest_first(pd.concat(held, ignore_index=True))
+
+    edges = pin(edges, "graph")
+    count = edges.count()
+    while count > ONE_TASK_ROWS > 2 * nodes:
+        edges = pin(edges.repartition(-(-count // ONE_TASK_ROWS), "a", "b").mapInPandas(thin, "a long, b long, w double"), "thinned")
+        count = edges.count()
+    if count <= ONE_TASK_ROWS:
         return _in_one_task(edges, shortest_first, "a long, b long, w double")
     left = cut(edges.select(F.col("a").alias("x"), F.col("b").alias("y"), F.struct("w", "a", "b").alias("e")))
     chosen = []
@@ -170,37 +261,53 @@ def _forest(edges: DataFrame) -> DataFrame:
     return tree
 
 
-def _joined(points: DataFrame, tree: DataFrame, blocks: int) -> DataFrame:
-    """The forest made one tree: rounds that take each component's shortest edge to another, searched in all blocks. points: vec_id, v, core."""
-
-    def shortest(t: pa.Table) -> pa.Table:
-        left, right = _sides(t)
-        ids, comp, core, v = t["vec_id"].to_numpy(), t["comp"].to_numpy(), t["core"].to_numpy(), _matrix(t["v"], t.num_rows)
-        out = []
-        for at in range(0, len(left), 512):
-            some = left[at : at + 512]
-            d = np.maximum(np.maximum(_distances(v[some], v[right]), core[some][:, None]), core[right][None, :])
-            d[comp[some][:, None] == comp[right][None, :]] = np.inf
-            if d.size:
-                c, r = d.argmin(axis=1), d.argmin(axis=0)
-                out.append((comp[some], ids[some], ids[right[c]], comp[right[c]], d[np.arange(len(some)), c]))
-                out.append((comp[right], ids[right], ids[some[r]], comp[some[r]], d[r, np.arange(len(right))]))
-        names = ["x", "a", "b", "y", "w"]
-        f = pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True))) if out else pd.DataFrame({n: np.empty(0, float if n == "w" else np.int64) for n in names})
-        f = f[np.isfinite(f["w"])]
-        f["a"], f["b"] = f[["a", "b"]].min(axis=1), f[["a", "b"]].max(axis=1)
-        return pa.Table.from_pandas(f.sort_values(["w", "a", "b"]).drop_duplicates("x"), preserve_index=False)
+def _joined(points: DataFrame, tree: DataFrame, n: int, dims: int) -> DataFrame:
+    """The forest made one tree: rounds that take the shortest edge of each component but the largest to another, searched among all points. points: vec_id, v, core."""
+
+    def shortest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = None
+        for asked, t in _asked_first(batches):
+            if asked is not None:
+                q_ids, q_comp, q_core, q = asked["vec_id"].to_numpy(), asked["comp"].to_numpy(), asked["core"].to_numpy(), _matrix(asked["v"].combine_chunks())
+                # The nearest of another component so far.
+                w, b, y = np.full(len(q), np.inf), q_ids.copy(), q_comp.copy()
+            ids, comp, core, v = t.column("vec_id").to_numpy(), t.column("comp").to_numpy(), t.column("core").to_numpy(), _matrix(t.column("v"))
+            for at in range(0, len(q), STEP_ROWS):
+                for start in range(0, len(v), STEP_COLUMNS):
+                    held = w[at : at + STEP_ROWS]
+                    products = q[at : at + STEP_ROWS] @ v[start : start + STEP_COLUMNS].T
+                    floor = np.where(np.isfinite(held), _least_product(held + 5e-10, v.shape[1]), -np.inf)[:, None]
+                    r, c = np.nonzero(products >= floor)
+                    d, r, c = products[r, c], r + at, c + start
+                    other = q_comp[r] != comp[c]
+                    r, c, d = r[other], c[other], d[other]
+                    d = np.maximum(np.maximum(_distances(d), q_core[r]), core[c])
+                    nearer = d < w[r]
+                    r, c, d = r[nearer], c[nearer], d[nearer]
+                    order = np.lexsort((ids[c], d, r))
+                    r, first = np.unique(r[order], return_index=True)
+                    w[r], b[r], y[r] = d[order][first], ids[c[order][first]], comp[c[order][first]]
+        if q is not None:
+            f = pd.DataFrame({"x": q_comp, "a": np.minimum(q_ids, b), "b": np.maximum(q_ids, b), "y": y, "w": w})
+            f = f[np.isfinite(f["w"])].sort_values(["w", "a", "b"]).drop_duplicates("x")
+            yield pa.RecordBatch.from_pandas(f, preserve_index=False)
 
     tree = pin(tree, "forest")
     parts = _components(tree, "a", "b")
-    placed = pin(points.join(parts, points["vec_id"] == parts["node"], "left").select("vec_id", "v", "core", F.coalesce("component", "vec_id").alias("comp")), "parts")
-    while placed.select("comp").distinct().limit(2).count() > 1:
-        found = _pairs_of_blocks(placed, blocks).groupBy("i", "j").applyInArrow(shortest, "x long, a long, b long, y long, w double")
+    columns, cores = ["vec_id", "v", "core", "comp"], points.sparkSession.sparkContext.defaultParallelism
+    placed = pin(points.join(parts, points["vec_id"] == parts["node"], "left").withColumn("comp", F.coalesce("component", "vec_id")).select(*columns), "parts")
+    while True:
+        largest = placed.groupBy("comp").count().orderBy(F.desc("count"), "comp").first()
+        if largest is None or largest["count"] == n:
+            return tree
+        asked = placed.filter(F.col("comp") != largest["comp"])
+        found = _passing(asked, placed, *_blocks(n - largest["count"], dims, cores)).applyInArrow(shortest, "x long, a long, b long, y long, w double")
         best = cut(found.groupBy("x").agg(F.min(F.struct("w", "a", "b", "y")).alias("m")).select("x", "m.*"))
+        if best.isEmpty():
+            return tree
         tree = tree.unionByName(best.select("a", "b", "w").distinct())
         of = _components(best, "x", "y").toDF("comp", "new")
-        placed = pin(placed.join(of, "comp").select("vec_id", "v", "core", F.col("new").alias("comp")), "parts")
-    return tree
+        placed = pin(placed.join(of, "comp", "left").withColumn("comp", F.coalesce("new", "comp")).select(*columns), "parts")
 
 
 _EVENTS = "kind int, comp long, size long, sum double, below double, cluster string, parent string, good boolean"
@@ -223,10 +330,11 @@ def merge_component(comp: int, edges: pd.DataFrame, nodes: pd.DataFrame, least:
         return k
 
     rows = []
-    for w, same in edges.sort_values(["w", "a", "b"]).groupby("w", sort=True):
+    edges = edges.sort_values(["w", "a", "b"])
+    for w, same in groupby(zip(edges["w"].tolist(), edges["x"].tolist(), edges["y"].tolist(), strict=True), key=lambda e: e[0]):
         rate = 1 / max(w, LEAST_DISTANCE)
         met: dict[int, set[int]] = {}
-        for x, y in zip(same["x"], same["y"], strict=True):
+        for _, x, y in same:
             x, y = find(x), find(y)
             if x != y:
                 new = min(x, y)
@@ -338,11 +446,11 @@ def density_cluster(points: DataFrame, *, min_samples: int = 2, min_cluster_size
     units = points.filter(F.size("vector") > 0).select("vec_id", l2_normalize(F.col("vector")).alias("v"))
     same = pin(units.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "distinct")
     reps = same.select(F.col("rep").alias("vec_id"), "v", "weight")
-    n, total = reps.agg(F.count("*"), F.sum("weight")).first()
+    n, total, dims = reps.agg(F.count("*"), F.sum("weight"), F.max(F.size("v"))).first()
     if n < 2 or total < min_cluster_size:
         return points.select("vec_id", F.lit(-1).cast("long").alias("cluster"))
-    blocks = -(-n // BLOCK)
-    near = pin(neighbours(reps, min(max(neighbours_kept, min_samples), n - 1), blocks), "neighbours")
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    near = pin(neighbours(reps, min(max(neighbours_kept, min_samples), n - 1), *_blocks(n, dims, cores)), "neighbours")
     # The core distance is where the vectors so far, equal ones among them, are enough; a few neighbours are gathered for each.
     weights = reps.select("vec_id", "weight")
     counted = near.join(weights.toDF("b", "times"), "b").withColumn("so_far", F.sum("times").over(Window.partitionBy("a").orderBy("place")))
@@ -352,7 +460,7 @@ def density_cluster(points: DataFrame, *, min_samples: int = 2, min_cluster_size
     c = placed.select("vec_id", "core")
     edges = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d").distinct()
     edges = edges.join(c.toDF("a", "ca"), "a").join(c.toDF("b", "cb"), "b").select("a", "b", F.greatest("d", "ca", "cb").alias("w"))
-    tree = _joined(placed, _forest(edges), blocks)
+    tree = _joined(placed, _forest(edges, n), placed.count(), dims)
     told = pin(_hierarchy(placed, tree, max(min_cluster_size, 2)), "hierarchy")
     way = _topmost(told)
     inside = way.filter("top is not null").select(F.col("entity").alias("_entity"), "top")

@@ -536,6 +536,38 @@ def test_density_cluster_query_equals_its_definition(spark):
     assert got == hdbscan_by_definition([r[0] for r in rows], [r[1] for r in rows], 3, 5) and len(set(got.values())) > 2
 
 
+def test_density_search_gives_k_rows_a_slice(spark, monkeypatch):
+    """However many blocks there are; near copies and ties included."""
+    monkeypatch.setattr(density, "STEP_ROWS", 16)
+    monkeypatch.setattr(density, "STEP_COLUMNS", 24)
+    rng = np.random.default_rng(3)
+    near = np.eye(8)[:1] + rng.normal(0, 1e-5, (60, 8))
+    rows = np.concatenate([rng.normal(0, 1, (120, 8)), near, np.eye(8), -np.eye(8)])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    ids = [k * 37 % 1009 for k in range(len(rows))]
+    df = spark.createDataFrame(list(zip(ids, rows.tolist(), strict=True)), "vec_id long, v array<double>")
+    d = np.round(np.sqrt(np.maximum(2 - 2 * np.einsum("ik,jk->ij", rows, rows), 0)), 9)
+    want = {(a, b) for i, a in enumerate(ids) for _, b in sorted((d[i, j], c) for j, c in enumerate(ids) if j != i)[:5]}
+    for blocks, slices in ((1, 1), (9, 1), (4, 3)):
+        assert density.nearest_in_slices(df, 5, blocks, slices).count() == len(rows) * 5 * slices
+        found = {(r.a, r.b): r.d for r in density.neighbours(df, 5, blocks, slices).collect()}
+        place = {k: i for i, k in enumerate(ids)}
+        assert len(found) == len(want) and all(abs(v - d[place[a], place[b]]) < 1e-7 for (a, b), v in found.items())
+        # Distances of near copies are only as exact as a product of theirs.
+        assert {p for p in found if not 120 <= place[p[0]] < 180} - want <= {p for p in found if found[p] < 1e-4}
+
+
+def test_density_parts_of_a_graph_are_joined_from_the_smaller(spark, monkeypatch):
+    rows = np.concatenate([density_fixtures()["nested"], np.eye(6)[:2] * -1])
+    ids = list(range(len(rows)))
+    df = spark.createDataFrame(list(zip(ids, rows.tolist(), strict=True)), "vec_id long, vector array<double>")
+    asked = []
+    plain = density._passing
+    monkeypatch.setattr(density, "_passing", lambda a, p, *n: asked.append(a.count()) or plain(a, p, *n))
+    got = {r.vec_id: r.cluster for r in density.density_cluster(df, min_samples=3, min_cluster_size=5, neighbours_kept=3).collect()}
+    assert len(set(got.values())) > 2 and len(asked) > 1 and max(asked[1:]) < len(rows)
+
+
 def test_density_cluster_of_few(spark):
     kind = "vec_id long, vector array<double>"
     for rows in ([], [(1, [1.0, 0.0])], [(1, [1.0, 0.0]), (2, None), (3, [])], [(1, [1.0, 0.0]), (2, [1.0, 0.0])]):
