@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_blank
-from tessera.runtime import pin
+from tessera.runtime import few, pin
+
+#: Tables of runs found up to so many rows (some 100 bytes each) are broadcast.
+BROADCAST_RUNS = 200_000
 
 
 def canonical_json(**fields: Column) -> Column:
@@ -51,7 +54,7 @@ def lookup_runs(requests: DataFrame, runs: DataFrame, artifacts: DataFrame) -> D
     outputs = asked.select("_key", "run_id", F.explode_outer("output_ids").alias("id"))
     whole = outputs.join(artifacts.select("id", F.lit(1).alias("there")), "id", "left").groupBy("_key", "run_id")
     best = whole.agg((F.count("id") == F.count("there")).alias("whole")).filter("whole").groupBy("_key").agg(F.min("run_id").alias("run_id"))
-    return requests.withColumn("_key", _run_key()).join(best, "_key", "left").drop("_key")
+    return requests.withColumn("_key", _run_key()).join(few(pin(best, "found"), BROADCAST_RUNS), "_key", "left").drop("_key")
 
 
 def _run_key() -> Column:
@@ -61,25 +64,26 @@ def _run_key() -> Column:
     known = F.col(KEY[0]).isNotNull()
     for c in KEY[1:]:
         known = known & F.col(c).isNotNull()
-    return F.when(known, F.sha2(F.to_json(F.array(*keys, *backend)), 256))
+    return F.when(known, F.unhex(F.sha2(F.to_json(F.array(*keys, *backend)), 256)))
 
 
 def incremental_apply(requests: DataFrame, runs: DataFrame, artifacts: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(``request_id, run_id``, runs to append): hits keep their run, ``fn`` computes the others only.
 
     ``fn`` gets one request of each missing key, the least, and returns
-    ``request_id, run_id, output_ids``; other requests of the key take its run. Its
-    result is pinned: a run is paid once. The runs to append have the key columns, and
+    ``request_id, run_id, output_ids`` for these; other requests of the key take its run.
+    A ``request_id`` names one request. The result is pinned: a run is paid once. The runs to append have the key columns, and
     ``input_ids`` if the requests have them.
     """
-    looked = pin(lookup_runs(requests, runs, artifacts).withColumn("_key", F.coalesce(_run_key(), F.concat(F.lit("request "), F.col("request_id").cast("string")))), "looked")
+    looked = pin(lookup_runs(requests, runs, artifacts).withColumn("_key", F.coalesce(_run_key(), F.concat(F.lit("request "), F.col("request_id").cast("string")).cast("binary"))), "looked")
     first = looked.filter("run_id is null").groupBy("_key").agg(F.min("request_id").alias("request_id"))
-    missing = looked.drop("run_id").join(first, ["_key", "request_id"], "left_semi")
+    missing = looked.drop("run_id").join(first.select("request_id"), "request_id", "left_semi")
     made = pin(fn(missing.drop("_key")).select("request_id", "run_id", "output_ids"), "new-runs")
     new = first.join(made, "request_id").select("_key", F.col("run_id").alias("_new"))
     answers = looked.join(new, "_key", "left").select("request_id", F.coalesce("run_id", "_new").alias("run_id"))
     kept = [c for c in [*KEY, "backend", "backend_version", "input_ids"] if c in requests.columns]
-    return answers, missing.select("request_id", *kept).join(made, "request_id").select("run_id", *kept, "output_ids")
+    # Only requests that a run was made for are in it, so they need not be found again.
+    return answers, looked.select("request_id", *kept).join(made, "request_id").select("run_id", *kept, "output_ids")
 
 
 def index_delta(artifacts: DataFrame, seen: DataFrame, kinds: list[str]) -> DataFrame:

@@ -689,6 +689,15 @@ def test_incremental_apply_runs_each_missing_key_once(spark):
     assert sorted(seen) == [2, 5, 6] and sorted((r.run_id, r.op_name) for r in appended.collect()) == [("new2", "y"), ("new5", None), ("new6", None)]
 
 
+def test_requests_and_new_runs_are_moved_once(spark, sf_dir):
+    """Requests are rows of events, not joined to these again; runs to append meet what was made for them, nothing else."""
+    from tessera.plans import catalog_queries
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(catalog_queries._requests(spark, sf_dir))
+    assert plan(QUERIES["h3_appended_runs"](spark, sf_dir)).count("Join") == 1
+
+
 def test_fuzzy_candidates_in_blocks_of_names(spark, monkeypatch):
     draw = random.Random(6)
     names = [("".join(draw.choices("abcde ", k=draw.randint(3, 9))).strip() or "x", f"C{i % 7}") for i in range(60)] + [("ann", "C1"), ("ann", "C1"), ("Ann", "C0")]
